@@ -5,6 +5,8 @@ Plan (one scan, one wide shuffle):
 1. rows -> ``(bucket_start, label)`` -> partial+final count: ``g``. Its
    size is (buckets x distinct labels) at most, independent of row count,
    and a hot label costs one row per task thanks to the map-side combine.
+   ``g`` feeds three branches, so it is checkpointed once (the only scan
+   of the events); every later step reads the small checkpoint.
 2. label totals from ``g`` -> top N by count desc, label asc
    (``TakeOrderedAndProject``; exactly N rows, safe to broadcast).
 3. ``g`` left-join top N -> series = label or "Other" -> re-aggregate.
@@ -25,6 +27,7 @@ from eventlens.functions.text import series_label
 from eventlens.operators.filters import qcol
 from eventlens.operators.timeseries import Spine, finish_buckets, maybe_broadcast, with_bucket
 from eventlens.schema import OTHER_LABEL, TIME_COLUMN, TOP_N_VALUES
+from eventlens.session import materialize
 
 
 def labelled(rows: DataFrame, field: str) -> DataFrame:
@@ -70,7 +73,7 @@ def breakdown(
     if top_n <= 0:
         raise ValueError("top_n must be positive")
     spine = Spine.for_range(start, end, unit)
-    g = (
+    g = materialize(
         with_bucket(labelled(rows, field), spine.unit)
         .groupBy("bucket_start", "label")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every entry point needs: bucket labels and ISO strings are UTC, and
 # Parquet TIMESTAMP(NANOS) columns are read as raw int64 nanoseconds.
@@ -21,6 +21,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Delete checkpoint files once their DataFrame is garbage collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -82,3 +84,13 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     if not re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path):
         path = os.path.abspath(path)
     return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage (reliable checkpoint, shared folder).
+
+    Used for small aggregates that several branches of a plan read: without
+    it Catalyst re-derives (and re-scans) the aggregate in every branch.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
