@@ -76,6 +76,17 @@ class EventSet:
     ) -> _paging.PageResult:
         return _paging.fetch_page(self.filtered(spec), page, page_size, sort_column, sort_order)
 
+    def page_after(
+        self,
+        last: dict | None,
+        spec: FilterSpec | None = None,
+        page_size: int = DEFAULT_PAGE_SIZE,
+        sort_column: str | None = None,
+        sort_order: str | None = None,
+    ) -> DataFrame:
+        """Keyset paging: the rows after ``last`` (previous page's last row)."""
+        return _paging.page_after(self.filtered(spec), last, page_size, sort_column, sort_order)
+
     # -- charts (A2-A6) ----------------------------------------------------------
 
     def events_over_time(self, spec: FilterSpec | None = None, unit: str | None = None) -> DataFrame:

@@ -46,6 +46,12 @@ def refresh_timestamp(t: Column) -> Column:
     return F.date_format(t, "MMM d, yyyy - h:mm a")
 
 
+def refresh_text(dt) -> str:
+    """Driver-side twin of :func:`refresh_timestamp` for one status time."""
+    hour = dt.hour % 12 or 12
+    return f"{dt:%b} {dt.day}, {dt.year} - {hour}:{dt:%M} {'AM' if dt.hour < 12 else 'PM'}"
+
+
 def camel_words_text(name: str) -> str:
     """Driver-side twin of :func:`camel_words` for column names."""
     return re.sub(r"([A-Z])", r" \1", name).strip()

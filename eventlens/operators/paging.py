@@ -9,6 +9,7 @@ tie-break so consecutive pages neither overlap nor skip rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +34,8 @@ def _key(name: str, order: str) -> Column:
     return c.asc_nulls_last() if order == "ASC" else c.desc_nulls_last()
 
 
-def sort_keys(df: DataFrame, column: str | None, order: str | None) -> list[Column]:
-    """Requested key (nulls last either way) + a deterministic tie-break.
+def sort_spec(df: DataFrame, column: str | None, order: str | None) -> list[tuple[str, str]]:
+    """Requested key + a deterministic tie-break, as ``(column, ASC|DESC)`` pairs.
 
     The tie-break is ``timestamp DESC, uuid ASC`` when those columns exist,
     otherwise every remaining sortable column ascending.
@@ -42,18 +43,58 @@ def sort_keys(df: DataFrame, column: str | None, order: str | None) -> list[Colu
     column = column or DEFAULT_SORT_COLUMN
     if column not in df.columns:
         raise ValueError(f"unknown sort column {column!r}; available: {df.columns}")
-    keys = [_key(column, normalize_order(order))]
+    spec = [(column, normalize_order(order))]
     used = {column}
     for name, o in TIE_BREAK:
         if name in df.columns and name not in used:
-            keys.append(_key(name, o))
+            spec.append((name, o))
             used.add(name)
-    if used.isdisjoint({"uuid"}):
+    if "uuid" not in used:
         for f in df.schema.fields:
             if f.name not in used and not isinstance(f.dataType, MapType):
-                keys.append(_key(f.name, "ASC"))
+                spec.append((f.name, "ASC"))
                 used.add(f.name)
-    return keys
+    return spec
+
+
+def sort_keys(df: DataFrame, column: str | None, order: str | None) -> list[Column]:
+    """Sort expressions (nulls last either way) of :func:`sort_spec`."""
+    return [_key(name, o) for name, o in sort_spec(df, column, order)]
+
+
+def seek_predicate(spec: list[tuple[str, str]], last: Mapping) -> Column:
+    """Rows strictly after ``last`` in the order ``spec`` (nulls last)."""
+    pred = F.lit(False)
+    for name, order in reversed(spec):
+        c, v = qcol(name), last[name]
+        if v is None:
+            beyond = F.lit(False)  # nothing sorts after a null key
+        else:
+            beyond = ((c > F.lit(v)) if order == "ASC" else (c < F.lit(v))) | c.isNull()
+        pred = beyond | (c.eqNullSafe(F.lit(v)) & pred)
+    return pred
+
+
+def page_after(
+    rows: DataFrame,
+    last: Mapping | None,
+    page_size: int = DEFAULT_PAGE_SIZE,
+    sort_column: str | None = None,
+    sort_order: str | None = None,
+) -> DataFrame:
+    """Keyset page: the ``page_size`` rows following ``last`` (the previous page's
+    last row; ``None`` for the first page).
+
+    Its cost does not grow with the page number, and when the first key is
+    ``timestamp`` the seek condition is a range that reaches the Parquet scan.
+    """
+    spec = sort_spec(rows, sort_column, sort_order)
+    if last is not None:
+        missing = [name for name, _ in spec if name not in last]
+        if missing:
+            raise ValueError(f"last row lacks sort key(s) {missing}")
+        rows = rows.where(seek_predicate(spec, last))
+    return rows.orderBy(*[_key(name, o) for name, o in spec]).limit(page_size)
 
 
 def total_frame(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from eventlens.dataset import EventSet
 from eventlens.functions import text as T
+from eventlens.functions.time import event_time
 from eventlens.operators.breakdown import distinct_labels
 from eventlens.operators.filters import FilterSpec
 from eventlens.operators.paging import page_info_frame, page_rows, total_frame
@@ -106,6 +107,13 @@ def q_page_filename_desc(spark, d):
                      sort_column="filename", sort_order="desc")
 
 
+KEYSET_AFTER = {"timestamp": 1705708800000000000, "uuid": ""}  # 2024-01-20T00:00:00Z
+
+
+def q_page_keyset(spark, d):
+    return events_for(spark, d).page_after(KEYSET_AFTER, EXACT, page_size=100)
+
+
 def q_page_info(spark, d):
     return page_info_frame(events_for(spark, d).filtered(COMBINED), page=3, page_size=25)
 
@@ -219,6 +227,11 @@ def q_display_timestamp(spark, d):
     return rows.select("uuid", T.display_timestamp("timestamp").alias("display_time"))
 
 
+def q_refresh_time_text(spark, d):
+    rows = events_for(spark, d).rows
+    return rows.select("uuid", T.refresh_timestamp(event_time("timestamp")).alias("time_text"))
+
+
 def q_camel_words(spark, d):
     rows = events_for(spark, d).rows
     cap = F.concat(F.upper(F.substring("action", 1, 1)), F.substring("action", 2, 1 << 30))
@@ -414,6 +427,9 @@ ORACLE_SQL: dict[str, str] = {
     "page_desc": f'{_ranged(FULL, W_EXACT)} SELECT * FROM ev ORDER BY "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 200',
     "page_asc_nulls": f'{_ranged(FULL)} SELECT * FROM ev ORDER BY environmentName ASC NULLS LAST, "timestamp" DESC, uuid ASC LIMIT 70 OFFSET 8960',
     "page_filename_desc": f'{_ranged(FULL, W_SUBSTRING)} SELECT * FROM ev ORDER BY filename DESC NULLS LAST, "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 100',
+    "page_keyset": f'''{_ranged(FULL, W_EXACT)} SELECT * FROM ev
+WHERE "timestamp" < 1705708800000000000 OR ("timestamp" = 1705708800000000000 AND uuid > '')
+ORDER BY "timestamp" DESC, uuid ASC LIMIT 100''',
     "page_info": _ranged(FULL, W_COMBINED) + PAGE_INFO.format(page=3, size=25),
     "page_info_clamped": _ranged(FULL, W_COMBINED) + PAGE_INFO.format(page=9999, size=25),
     "events_over_time_hour": _over_time(HOUR, "hour"),
@@ -451,6 +467,7 @@ FROM ({EXPORT_SELECT}) x""",
     "path_basename": f"{_ranged(FULL)} SELECT uuid, coalesce(nullif(string_split(filename, '/')[-1], ''), filename) AS basename FROM ev",
     "ellipsis": f"{_ranged(FULL)} SELECT uuid, CASE WHEN length(filename) > 30 THEN filename[1:30] || '...' ELSE filename END AS short_path FROM ev",
     "display_timestamp": f"{_ranged(FULL)} SELECT uuid, strftime({T_EVENT}, '%m/%d/%Y, %H:%M:%S') AS display_time FROM ev",
+    "refresh_time_text": f"{_ranged(FULL)} SELECT uuid, strftime({T_EVENT}, '%b %-d, %Y - %-I:%M %p') AS time_text FROM ev",
     "camel_words": f"{_ranged(FULL)} SELECT uuid, trim(regexp_replace(upper(action[1]) || action[2:] || environmentName, '([A-Z])', ' \\1', 'g')) AS words FROM ev",
     "refresh_incremental": f"{_ranged(FULL)} SELECT * FROM ev",
 }

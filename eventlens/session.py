@@ -62,8 +62,10 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    When the session leaves it unset (local tests) a private folder is
-    created and registered as the checkpoint dir, so later calls agree.
+    When a *local* session leaves it unset (tests) a private folder is
+    created and registered as the checkpoint dir, so later calls agree; a
+    cluster session without it is an error (a machine-local folder would
+    not survive the loss of that machine).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -71,6 +73,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(
+            "spark.checkpoint.dir is not set: point it at a folder every executor can reach"
+        )
     local = tempfile.mkdtemp(prefix="eventlens-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from eventlens.functions.text import camel_words_text
-from eventlens.functions.time import event_time
+from eventlens.functions.text import camel_words_text, refresh_text
+from eventlens.functions.time import event_time, parse_instant
 from eventlens.schema import TIME_COLUMN
 from eventlens.session import ensure_conf
 from eventlens.sources.parquet import PARTITION_DATE_COLUMN
@@ -37,9 +37,14 @@ class RefreshStatus:
     rows: int            # rows appended by this run
     batches: int
 
+    @property
+    def updated_text(self) -> str:
+        """``MMM D, YYYY - h:mm AM/PM`` (UTC) of ``updated_at``."""
+        return refresh_text(parse_instant(self.updated_at))
+
     def as_dict(self) -> dict:
         return {"status": self.status, "statusText": self.status_text, "updatedAt": self.updated_at,
-                "rows": self.rows, "batches": self.batches}
+                "updatedText": self.updated_text, "rows": self.rows, "batches": self.batches}
 
 
 def refresh(

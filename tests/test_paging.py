@@ -66,3 +66,18 @@ def test_helpers():
 def test_unknown_sort_column(ev):
     with pytest.raises(ValueError, match="unknown sort column"):
         page_rows(ev.rows, 1, 10, "nope")
+
+
+@pytest.mark.parametrize("column,order", [("timestamp", "DESC"), ("environmentName", "ASC"), ("environmentName", "DESC")])
+def test_keyset_pages_equal_offset_pages(ev, column, order):
+    from eventlens.operators.paging import page_after
+
+    full = [r.uuid for r in page_rows(ev.rows, 1, 1000, column, order).collect()]
+    got, last = [], None
+    while True:
+        page = page_after(ev.rows, last, 7, column, order).collect()
+        if not page:
+            break
+        got += [r.uuid for r in page]
+        last = page[-1].asDict()
+    assert got == full
