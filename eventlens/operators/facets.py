@@ -78,18 +78,27 @@ def _exploded(
     if not targets:
         raise ValueError("no facet columns")
     preds = column_predicates(rows, spec or FilterSpec(), validate)
-    fail = {c: (~F.coalesce(p, F.lit(False))).cast("int") for c, p in preds.items()}
-    base = rows
-    fails = None
-    if fail:
-        fails = sum(fail.values(), F.lit(0))
+    # Each predicate (regexes included) is evaluated once per row, in a
+    # projection below the generator, not once per exploded struct.
+    fail_names = {c: f"__fail_{i}" for i, c in enumerate(preds)}
+    cols = [qcol(c) for c in targets] + [
+        (~F.coalesce(p, F.lit(False))).cast("int").alias(fail_names[c]) for c, p in preds.items()
+    ]
+    base = rows.select(*cols)
+    if preds:
+        base = base.withColumn("__fails", sum((F.col(n) for n in fail_names.values()), F.lit(0)))
         if prefilter:
-            base = base.where(fails <= 1)
+            base = base.where(F.col("__fails") <= 1)
     structs = []
     for c in targets:
         dtype = rows.schema[c].dataType
         sort_long, sort_double = _sort_keys(qcol(c), dtype)
-        ok = F.lit(True) if fails is None else ((fails - fail.get(c, F.lit(0))) == 0)
+        if not preds:
+            ok = F.lit(True)
+        elif c in fail_names:
+            ok = (F.col("__fails") - F.col(fail_names[c])) == 0
+        else:
+            ok = F.col("__fails") == 0
         structs.append(
             F.struct(
                 F.lit(c).alias("column_name"),
