@@ -63,7 +63,12 @@ def sort_keys(df: DataFrame, column: str | None, order: str | None) -> list[Colu
 
 
 def seek_predicate(spec: list[tuple[str, str]], last: Mapping) -> Column:
-    """Rows strictly after ``last`` in the order ``spec`` (nulls last)."""
+    """Rows strictly after ``last`` in the order ``spec`` (nulls last).
+
+    A redundant one-sided bound on the leading key (``key <= v`` for DESC,
+    ``>=`` for ASC) is ANDed in front: it is implied by the exact condition
+    but simple enough for Parquet statistics to skip row groups with it.
+    """
     pred = F.lit(False)
     for name, order in reversed(spec):
         c, v = qcol(name), last[name]
@@ -72,7 +77,13 @@ def seek_predicate(spec: list[tuple[str, str]], last: Mapping) -> Column:
         else:
             beyond = ((c > F.lit(v)) if order == "ASC" else (c < F.lit(v))) | c.isNull()
         pred = beyond | (c.eqNullSafe(F.lit(v)) & pred)
-    return pred
+    lead, order = spec[0]
+    c, v = qcol(lead), last[lead]
+    if v is None:
+        bound = c.isNull()
+    else:
+        bound = ((c >= F.lit(v)) if order == "ASC" else (c <= F.lit(v))) | c.isNull()
+    return bound & pred
 
 
 def page_after(
