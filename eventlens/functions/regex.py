@@ -43,6 +43,13 @@ def to_java_regex(pattern: str) -> str:
     class_depth = 0
     while i < n:
         ch = pattern[i]
+        if pattern.startswith("\\Q", i):
+            # \Q...\E quotes a literal span in both dialects: copy it untouched.
+            end = pattern.find("\\E", i + 2)
+            end = n if end < 0 else end + 2
+            out.append(pattern[i:end])
+            i = end
+            continue
         if ch == "\\" and i + 1 < n:
             out.append(pattern[i : i + 2])
             i += 2

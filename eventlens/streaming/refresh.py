@@ -47,6 +47,20 @@ class RefreshStatus:
                 "updatedText": self.updated_text, "rows": self.rows, "batches": self.batches}
 
 
+def _stream(spark, landing, schema, transform, file_glob, max_files_per_trigger, recursive=False) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    stream = reader.parquet(landing)
+    if transform is not None:
+        stream = transform(stream)
+    return stream.withColumn(PARTITION_DATE_COLUMN, F.to_date(event_time(TIME_COLUMN)))
+
+
 def refresh(
     spark: SparkSession,
     landing: str,
@@ -56,20 +70,17 @@ def refresh(
     transform: Callable[[DataFrame], DataFrame] | None = None,
     file_glob: str | None = None,
     max_files_per_trigger: int | None = None,
+    recursive: bool = False,
 ) -> RefreshStatus:
-    """Append every not-yet-seen Parquet file under ``landing`` to ``table``."""
+    """Append every not-yet-seen Parquet file under ``landing`` to ``table``.
+
+    Files are picked up directly under ``landing`` or in ``key=value``
+    partition folders; ``recursive=True`` also descends into plain folders.
+    """
     ensure_conf(spark)
-    reader = spark.readStream.schema(schema)
-    if file_glob:
-        reader = reader.option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    stream = reader.parquet(landing)
-    if transform is not None:
-        stream = transform(stream)
-    stream = stream.withColumn(PARTITION_DATE_COLUMN, F.to_date(event_time(TIME_COLUMN)))
     query = (
-        stream.writeStream.format("parquet")
+        _stream(spark, landing, schema, transform, file_glob, max_files_per_trigger, recursive)
+        .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .partitionBy(PARTITION_DATE_COLUMN)
         .outputMode("append")
@@ -80,6 +91,36 @@ def refresh(
     return status_of(query)
 
 
+def start_refresh(
+    spark: SparkSession,
+    landing: str,
+    table: str,
+    checkpoint: str,
+    schema: StructType,
+    every: str = "1 hour",
+    transform: Callable[[DataFrame], DataFrame] | None = None,
+    file_glob: str | None = None,
+    max_files_per_trigger: int | None = None,
+    recursive: bool = False,
+):
+    """Long-running variant of :func:`refresh`: picks up new files every ``every``.
+
+    Returns the ``StreamingQuery``; poll it with :func:`status_of` and end it
+    with ``query.stop()``. The checkpoint is shared with :func:`refresh`, so
+    the two can be mixed without re-appending a file.
+    """
+    ensure_conf(spark)
+    return (
+        _stream(spark, landing, schema, transform, file_glob, max_files_per_trigger, recursive)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .partitionBy(PARTITION_DATE_COLUMN)
+        .outputMode("append")
+        .trigger(processingTime=every)
+        .start(table)
+    )
+
+
 def status_of(query) -> RefreshStatus:
     progress = [p for p in (query.recentProgress or [])]
     rows = sum(int(p.get("numInputRows", 0) if isinstance(p, dict) else p.numInputRows) for p in progress)

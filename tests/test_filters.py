@@ -68,6 +68,7 @@ def test_to_java_regex_rewrites_only_bare_dollar():
     assert to_java_regex("[$]x") == "(?d)[$]x"
     assert to_java_regex("[]$]") == "(?d)[]$]"
     assert to_java_regex("(?m)^a$") == "(?d)(?m)^a$"
+    assert to_java_regex("\\Qa$\\E$") == "(?d)\\Qa$\\E\\z"
 
 
 def test_or_within_and_across_columns_null_excluded(spark):

@@ -34,3 +34,23 @@ def test_refreshed_table_prunes_date_partitions(spark, tmp_dir):
     assert "event_date" not in ev.rows.columns
     assert sorted(r.uuid for r in ev.rows.collect()) == ["a4", "a5", "a6"]  # a6 = end + 1 day, 00:00
     assert "PartitionFilters: [isnotnull(event_date" in plan_text(ev.rows)
+
+
+def test_long_running_refresh_reports_progress(spark, tmp_dir):
+    from eventlens.streaming.refresh import start_refresh, status_of
+
+    landing, table, ckpt = f"{tmp_dir}/landing", f"{tmp_dir}/table", f"{tmp_dir}/ckpt"
+    make_events(spark, [{"uuid": f"a{i}"} for i in range(30)]).write.parquet(f"{landing}/b1")
+    q = start_refresh(spark, landing, table, ckpt, EVENT_SCHEMA, every="1 second", recursive=True)
+    try:
+        q.processAllAvailable()
+        assert status_of(q).status == "InProgress"
+        make_events(spark, [{"uuid": f"b{i}"} for i in range(5)]).write.parquet(f"{landing}/b2")
+        q.processAllAvailable()
+        assert spark.read.parquet(table).count() == 35
+    finally:
+        q.stop()
+    s = status_of(q)
+    assert s.status == "Completed" and s.rows == 35
+    # the batch refresh continues from the same checkpoint without re-appending
+    assert refresh(spark, landing, table, ckpt, EVENT_SCHEMA, recursive=True).rows == 0
