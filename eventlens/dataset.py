@@ -117,6 +117,11 @@ class EventSet:
     def facet_counts(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None) -> DataFrame:
         return _facets.facet_counts(self.rows, spec, columns)
 
+    def facet_panel(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None,
+                    cap: int = FACET_VALUE_CAP) -> _facets.FacetPanel:
+        """Cascading values and "(a of m)" counts together, from one scan."""
+        return _facets.facet_panel(self.rows, spec, columns, cap)
+
     def value_search(self, column: str, term: str, spec: FilterSpec | None = None) -> DataFrame:
         return _facets.value_search(self.rows, column, term, spec)
 

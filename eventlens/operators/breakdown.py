@@ -61,23 +61,22 @@ def distinct_labels(rows: DataFrame, field: str) -> DataFrame:
     return label_totals(rows, field).agg(F.count(F.lit(1)).alias("distinct_labels"))
 
 
-def breakdown(
-    rows: DataFrame,
-    field: str,
-    start,
-    end,
-    unit: str | None = None,
-    top_n: int = TOP_N_VALUES,
-) -> DataFrame:
-    """``bucket, bucket_ms, series, is_other, series_rank, event_count`` (zero-filled)."""
-    if top_n <= 0:
-        raise ValueError("top_n must be positive")
-    spine = Spine.for_range(start, end, unit)
-    g = materialize(
+def bucket_label_counts(rows: DataFrame, field: str, spine: Spine) -> DataFrame:
+    """``bucket_start, label, n``: the only part of a breakdown that reads the rows."""
+    return (
         with_bucket(labelled(rows, field), spine.unit)
         .groupBy("bucket_start", "label")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def breakdown_from_counts(g: DataFrame, spine: Spine, top_n: int = TOP_N_VALUES) -> DataFrame:
+    """Top-N + Other series, zero-filled over the axis, from (bucket, label) counts.
+
+    ``g`` is read by three branches; pass a materialized (checkpointed) frame.
+    """
+    if top_n <= 0:
+        raise ValueError("top_n must be positive")
     totals = g.groupBy("label").agg(F.sum("n").alias("event_count"))
     top = top_labels(totals, top_n).select("label", "series_rank")
     mapped = g.join(F.broadcast(top), "label", "left").select(
@@ -103,3 +102,19 @@ def breakdown(
         "series_rank",
         F.coalesce(F.col("event_count"), F.lit(0)).cast("long").alias("event_count"),
     )
+
+
+def breakdown(
+    rows: DataFrame,
+    field: str,
+    start,
+    end,
+    unit: str | None = None,
+    top_n: int = TOP_N_VALUES,
+) -> DataFrame:
+    """``bucket, bucket_ms, series, is_other, series_rank, event_count`` (zero-filled)."""
+    if top_n <= 0:
+        raise ValueError("top_n must be positive")
+    spine = Spine.for_range(start, end, unit)
+    g = materialize(bucket_label_counts(rows, field, spine))
+    return breakdown_from_counts(g, spine, top_n)

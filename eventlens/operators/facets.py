@@ -21,6 +21,7 @@ per column to the final window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ from pyspark.sql.types import (
 
 from eventlens.operators.filters import FilterSpec, column_predicates, qcol
 from eventlens.schema import FACET_VALUE_CAP, TIME_COLUMN
+from eventlens.session import materialize
 
 
 def _sort_keys(c: Column, dtype: DataType) -> tuple[Column, Column]:
@@ -126,13 +128,7 @@ def facet_values(
     (typed order) among rows passing every other column's filter."""
     ex = _exploded(rows, spec, columns, prefilter=True, validate=validate).where(F.col("ok"))
     distinct = ex.select("column_name", "value", "sort_long", "sort_double").distinct()
-    order = Window.partitionBy("column_name").orderBy(
-        F.col("sort_long").asc_nulls_last(), F.col("sort_double").asc_nulls_last(), F.col("value").asc()
-    )
-    ranked = distinct.withColumn("value_rank", F.row_number().over(order))
-    return ranked.where(F.col("value_rank") <= cap).select(
-        "column_name", "value", F.col("value_rank").cast("long").alias("value_rank")
-    )
+    return _capped_values(distinct, cap)
 
 
 def column_values(
@@ -156,6 +152,20 @@ def facet_counts(
     """
     ex = _exploded(rows, spec, columns, prefilter=False, validate=validate)
     per_value = ex.groupBy("column_name", "value").agg(F.max(F.col("ok").cast("int")).alias("avail"))
+    return _count_labels(per_value, cap)
+
+
+def _capped_values(per_value: DataFrame, cap: int) -> DataFrame:
+    order = Window.partitionBy("column_name").orderBy(
+        F.col("sort_long").asc_nulls_last(), F.col("sort_double").asc_nulls_last(), F.col("value").asc()
+    )
+    ranked = per_value.withColumn("value_rank", F.row_number().over(order))
+    return ranked.where(F.col("value_rank") <= cap).select(
+        "column_name", "value", F.col("value_rank").cast("long").alias("value_rank")
+    )
+
+
+def _count_labels(per_value: DataFrame, cap: int) -> DataFrame:
     per_column = per_value.groupBy("column_name").agg(
         F.sum("avail").cast("long").alias("available_values"),
         F.count(F.lit(1)).alias("total_values"),
@@ -165,9 +175,35 @@ def facet_counts(
     label = F.when(
         a < m, F.concat(F.lit("("), a.cast("string"), F.lit(" of "), m.cast("string"), F.lit(")"))
     ).otherwise(F.concat(F.lit("("), m.cast("string"), F.lit(")")))
-    return per_column.select(
-        "column_name", "available_values", "total_values", label.alias("count_label")
+    return per_column.select("column_name", "available_values", "total_values", label.alias("count_label"))
+
+
+@dataclass(frozen=True)
+class FacetPanel:
+    values: DataFrame  # column_name, value, value_rank (available values, capped)
+    counts: DataFrame  # column_name, available_values, total_values, count_label
+
+
+def facet_panel(
+    rows: DataFrame,
+    spec: FilterSpec | None = None,
+    columns: Sequence[str] | None = None,
+    cap: int = FACET_VALUE_CAP,
+    validate: bool = True,
+) -> FacetPanel:
+    """Values *and* counts of a filter panel from one scan and one shuffle.
+
+    The per-(column, value) aggregate carries an "available" flag; it is
+    checkpointed once and both outputs are served from it (instead of one
+    scan for the values and another for the counts).
+    """
+    ex = _exploded(rows, spec, columns, prefilter=False, validate=validate)
+    per_value = materialize(
+        ex.groupBy("column_name", "value", "sort_long", "sort_double").agg(
+            F.max(F.col("ok").cast("int")).alias("avail")
+        )
     )
+    return FacetPanel(_capped_values(per_value.where(F.col("avail") == 1), cap), _count_labels(per_value, cap))
 
 
 def value_search(

@@ -68,21 +68,29 @@ def finish_buckets(df: DataFrame, unit: str) -> DataFrame:
     )
 
 
-def events_over_time(rows: DataFrame, start, end, unit: str | None = None) -> DataFrame:
-    """``bucket, bucket_ms, event_count`` for every bucket of the axis (0 when empty).
-
-    Events outside the axis (only the inclusive end instant can be) are
-    counted by ``total`` but not drawn.
-    """
-    spine = Spine.for_range(start, end, unit)
-    counts = (
+def bucket_counts(rows: DataFrame, spine: Spine) -> DataFrame:
+    """``bucket_start, event_count``: the only part of a chart that reads the rows."""
+    return (
         with_bucket(rows.select(TIME_COLUMN), spine.unit)
         .groupBy("bucket_start")
         .agg(F.count(F.lit(1)).alias("event_count"))
     )
-    axis = rows.sparkSession.range(1).select(F.explode(spine.sequence()).alias("bucket_start"))
+
+
+def over_time_from_counts(counts: DataFrame, spine: Spine) -> DataFrame:
+    """Zero-filled axis joined to bucket counts (at most axis + 1 rows, so broadcast-safe)."""
+    axis = counts.sparkSession.range(1).select(F.explode(spine.sequence()).alias("bucket_start"))
     joined = axis.join(maybe_broadcast(counts, spine.size + 1), "bucket_start", "left")
-    out = finish_buckets(joined, spine.unit).select(
+    return finish_buckets(joined, spine.unit).select(
         "bucket", "bucket_ms", F.coalesce(F.col("event_count"), F.lit(0)).alias("event_count")
     )
-    return out
+
+
+def events_over_time(rows: DataFrame, start, end, unit: str | None = None) -> DataFrame:
+    """``bucket, bucket_ms, event_count`` for every bucket of the axis (0 when empty).
+
+    Events outside the axis (only the inclusive end instant can be) are
+    counted by ``total`` but not drawn.
+    """
+    spine = Spine.for_range(start, end, unit)
+    return over_time_from_counts(bucket_counts(rows, spine), spine)

@@ -1,8 +1,8 @@
 """Filter-mode and SQL-mode requests, shaped like the audited app's JSON bodies.
 
-``run_request`` answers one request with one count, one page and one chart
+``run_request`` answers one request with a total, one page and one chart
 DataFrame; the chart is an aggregate (bucket x series), never the filtered
-rows themselves.
+rows themselves, and the total is read off that same aggregate.
 """
 
 from __future__ import annotations
@@ -11,10 +11,14 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventlens.dataset import EventSet
+from eventlens.operators.breakdown import breakdown_from_counts, bucket_label_counts
 from eventlens.operators.filters import FilterSpec
-from eventlens.operators.paging import PageResult, normalize_order
+from eventlens.operators.paging import PageResult, clamp_page, normalize_order, page_bounds, page_rows
+from eventlens.operators.timeseries import Spine, bucket_counts, over_time_from_counts
+from eventlens.session import materialize
 from eventlens.schema import DEFAULT_PAGE_SIZE, DEFAULT_SORT_COLUMN, TOP_N_VALUES
 
 
@@ -53,13 +57,27 @@ def run_request(
     unit: str | None = None,
     top_n: int = TOP_N_VALUES,
 ) -> QueryResult:
-    """Answer a request: SQL mode when ``query`` is set, filter mode otherwise."""
+    """Answer a request: SQL mode when ``query`` is set, filter mode otherwise.
+
+    Filter mode reads the rows twice: one aggregate that feeds both the chart
+    and the total (checkpointed, so the chart is served from it), and one
+    ``TakeOrderedAndProject`` for the page. No other rows leave the executors.
+    """
     if request.query:
         page = events.sql_page(request.query, request.page, request.page_size)
         return QueryResult(page, None)
-    page = events.page(request.spec, request.page, request.page_size, request.sort_column, request.sort_order)
+    rows = events.filtered(request.spec)
+    spine = Spine.for_range(events.start, events.end, unit)
     if chart_field:
-        chart = events.breakdown(chart_field, request.spec, unit, top_n)
+        counts = materialize(bucket_label_counts(rows, chart_field, spine))
+        chart = breakdown_from_counts(counts, spine, top_n)
+        total_col = "n"
     else:
-        chart = events.events_over_time(request.spec, unit)
-    return QueryResult(page, chart)
+        counts = materialize(bucket_counts(rows, spine))
+        chart = over_time_from_counts(counts, spine)
+        total_col = "event_count"
+    total = counts.agg(F.sum(total_col)).first()[0] or 0
+    page_no = clamp_page(total, request.page, request.page_size)
+    first, last = page_bounds(total, page_no, request.page_size)
+    page_df = page_rows(rows, page_no, request.page_size, request.sort_column, request.sort_order)
+    return QueryResult(PageResult(total, page_no, request.page_size, first, last, page_df), chart)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlens.dataset import EventSet
-from eventlens.operators.facets import facet_counts, facet_values
+from eventlens.operators.facets import facet_counts, facet_panel, facet_values
 from eventlens.operators.filters import FilterSpec, apply_filters
 from eventlens.plans.inspect import file_scans, plan_tree, python_evals
 from eventlens.sources.testdata import audit_source
@@ -83,3 +83,13 @@ def test_value_search_is_case_insensitive(spark):
     ev = EventSet.from_frame(make_events(spark, [{"filename": n} for n in ["A.PY", "b.py", "c.csv"]]), *RANGE)
     out = {r.value for r in ev.value_search("filename", ".Py").collect()}
     assert out == {"A.PY", "b.py"}
+
+
+def test_facet_panel_equals_separate_calls(spark):
+    rows = audit_source(spark, SF001).in_range(0, 2**62)
+    spec = FilterSpec(exact={"action": ["click", "view"]}, regex={"environmentName": ["/^env[12]$"]},
+                      substring={"filename": ["demofile1"]})
+    panel = facet_panel(rows, spec)
+    assert sorted(map(tuple, panel.values.collect())) == sorted(map(tuple, facet_values(rows, spec).collect()))
+    assert sorted(map(tuple, panel.counts.collect())) == sorted(map(tuple, facet_counts(rows, spec).collect()))
+    assert file_scans(panel.values) == 0 and file_scans(panel.counts) == 0

@@ -110,3 +110,13 @@ def test_breakdown_sums_to_total(ev, spec, field, n):
     assert sum(r.event_count for r in over_time) == total
     series = {(r.series, r.is_other) for r in out}
     assert len([s for s in series if not s[1]]) <= n
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(spec=specs(), field=st.sampled_from([None, "action", "username"]))
+def test_request_total_is_read_off_the_chart_aggregate(ev, spec, field):
+    from eventlens.plans.request import QueryRequest, run_request
+
+    res = run_request(ev, QueryRequest(spec=spec, page=2, page_size=50), chart_field=field)
+    assert res.page.total == ev.total(spec)
+    assert len(res.page.collect()) == max(0, min(50, res.page.total - 50)) or res.page.page == 1

@@ -131,3 +131,13 @@ def test_timestamp_ntz_source_maps_to_ns(spark):
     )
     ev = EventSet.from_frame(df, "2024-01-02", "2024-01-02")
     assert ev.rows.collect()[0].timestamp == ns("2024-01-02T03:04:05.123456")
+
+
+def test_request_total_counts_the_end_instant(spark):
+    from eventlens.plans.request import QueryRequest, run_request
+
+    rows = [{"timestamp": ns("2025-11-10T05:00:00")}, {"timestamp": ns("2025-11-11")}]
+    ev = EventSet.from_frame(make_events(spark, rows), "2025-11-10", "2025-11-10")
+    res = run_request(ev, QueryRequest())
+    assert res.page.total == 2
+    assert sum(r.event_count for r in res.chart.collect()) == 1
