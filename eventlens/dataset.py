@@ -74,7 +74,8 @@ class EventSet:
         sort_column: str | None = None,
         sort_order: str | None = None,
     ) -> _paging.PageResult:
-        return _paging.fetch_page(self.filtered(spec), page, page_size, sort_column, sort_order)
+        return _paging.fetch_page(self.filtered(spec), page, page_size, sort_column, sort_order,
+                                  (self.lo_ns, self.hi_ns))
 
     def page_after(
         self,

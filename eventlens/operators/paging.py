@@ -124,11 +124,89 @@ def page_rows(
     if page_size <= 0:
         raise ValueError("page_size must be positive")
     page = max(1, int(page))
-    offset = (page - 1) * page_size
-    ordered = rows.orderBy(*sort_keys(rows, sort_column, sort_order))
-    if offset:
-        ordered = ordered.offset(offset)
-    return ordered.limit(page_size)
+    return offset_rows(rows, (page - 1) * page_size, page_size, sort_column, sort_order)
+
+
+def offset_rows(rows: DataFrame, offset: int, n: int, column: str | None, order: str | None) -> DataFrame:
+    """``n`` rows from position ``offset`` of the sorted rows (one TakeOrderedAndProject)."""
+    ordered = rows.orderBy(*sort_keys(rows, column, order))
+    return (ordered.offset(offset) if offset else ordered).limit(n)
+
+
+# Offsets past this, under a time sort, seek with a histogram instead of
+# making every task keep offset + n rows for one final merge.
+DEEP_OFFSET = 10_000
+SEEK_FANOUT = 1024
+
+
+def seek_time_window(
+    rows: DataFrame,
+    offset: int,
+    order: str,
+    lo_ns: int,
+    hi_ns: int,
+    small: int = DEEP_OFFSET,
+    fanout: int = SEEK_FANOUT,
+) -> tuple[int, int, int] | None:
+    """Find a time window ``[w_lo, w_hi]`` holding the row at ``offset`` of the
+    time order, and the number of rows that precede the window.
+
+    Each step is one aggregate over at most ``fanout`` + 1 buckets (collected;
+    bounded), restricted to the current window so the range reaches the
+    scan. A bucket holding more than ``small`` rows is split again, so a hot
+    period (even a third of all rows) is narrowed down instead of sorted.
+    Returns ``None`` when ``offset`` is past the last row.
+    """
+    ts = qcol(TIME_COLUMN)
+    before = 0
+    lo, hi = lo_ns, hi_ns
+    while True:
+        width = max(1, -(-(hi - lo + 1) // fanout))
+        hist = (
+            rows.where((ts >= F.lit(lo)) & (ts <= F.lit(hi)))
+            .groupBy(((ts - F.lit(lo)) / F.lit(width)).cast("long").alias("b"))
+            .count()
+            .collect()
+        )
+        found = None
+        for r in sorted(hist, key=lambda r: r["b"], reverse=(order == "DESC")):
+            if before + r["count"] > offset:
+                found = r
+                break
+            before += r["count"]
+        if found is None:
+            return None
+        w_lo = lo + found["b"] * width
+        w_hi = min(hi, w_lo + width - 1)
+        if found["count"] <= small or width == 1:
+            return w_lo, w_hi, before
+        lo, hi = w_lo, w_hi
+
+
+def deep_page_rows(
+    rows: DataFrame,
+    page: int,
+    page_size: int,
+    sort_order: str | None,
+    lo_ns: int,
+    hi_ns: int,
+    small: int = DEEP_OFFSET,
+) -> DataFrame:
+    """Page ``page`` of ``rows`` sorted by time, for any depth, at bounded cost.
+
+    Rows before the located window are skipped by count, not by sorting;
+    the final ``TakeOrderedAndProject`` keeps at most ``small + page_size``
+    rows per task. Identical to :func:`page_rows` with ``sort_column='timestamp'``.
+    """
+    order = normalize_order(sort_order)
+    offset = (max(1, int(page)) - 1) * page_size
+    window = seek_time_window(rows, offset, order, lo_ns, hi_ns, small)
+    if window is None:
+        return rows.where(F.lit(False)).limit(0)
+    w_lo, w_hi, before = window
+    ts = qcol(TIME_COLUMN)
+    rest = rows.where(ts <= F.lit(w_hi)) if order == "DESC" else rows.where(ts >= F.lit(w_lo))
+    return offset_rows(rest, offset - before, page_size, TIME_COLUMN, order)
 
 
 def max_page(total: int, page_size: int) -> int:
@@ -184,9 +262,32 @@ def fetch_page(
     page_size: int = DEFAULT_PAGE_SIZE,
     sort_column: str | None = None,
     sort_order: str | None = None,
+    time_range: tuple[int, int] | None = None,
 ) -> PageResult:
     """Count once, clamp the page, and return the page's lazy rows."""
     total = rows.count()
+    return page_result(rows, total, page, page_size, sort_column, sort_order, time_range)
+
+
+def page_result(
+    rows: DataFrame,
+    total: int,
+    page: int,
+    page_size: int,
+    sort_column: str | None,
+    sort_order: str | None,
+    time_range: tuple[int, int] | None = None,
+) -> PageResult:
+    """Clamp the page against a known total and plan its rows.
+
+    Deep pages of a time sort (offset past ``DEEP_OFFSET``) use the
+    histogram seek when the time range is known.
+    """
     page = clamp_page(total, page, page_size)
     start, end = page_bounds(total, page, page_size)
-    return PageResult(total, page, page_size, start, end, page_rows(rows, page, page_size, sort_column, sort_order))
+    offset = (page - 1) * page_size
+    if time_range is not None and (sort_column or DEFAULT_SORT_COLUMN) == TIME_COLUMN and offset > DEEP_OFFSET:
+        df = deep_page_rows(rows, page, page_size, sort_order, *time_range)
+    else:
+        df = page_rows(rows, page, page_size, sort_column, sort_order)
+    return PageResult(total, page, page_size, start, end, df)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from eventlens.dataset import EventSet
 from eventlens.operators.breakdown import breakdown_from_counts, bucket_label_counts
 from eventlens.operators.filters import FilterSpec
-from eventlens.operators.paging import PageResult, clamp_page, normalize_order, page_bounds, page_rows
+from eventlens.operators.paging import PageResult, normalize_order, page_result
 from eventlens.operators.timeseries import Spine, bucket_counts, over_time_from_counts
 from eventlens.session import materialize
 from eventlens.schema import DEFAULT_PAGE_SIZE, DEFAULT_SORT_COLUMN, TOP_N_VALUES
@@ -77,7 +77,6 @@ def run_request(
         chart = over_time_from_counts(counts, spine)
         total_col = "event_count"
     total = counts.agg(F.sum(total_col)).first()[0] or 0
-    page_no = clamp_page(total, request.page, request.page_size)
-    first, last = page_bounds(total, page_no, request.page_size)
-    page_df = page_rows(rows, page_no, request.page_size, request.sort_column, request.sort_order)
-    return QueryResult(PageResult(total, page_no, request.page_size, first, last, page_df), chart)
+    page = page_result(rows, total, request.page, request.page_size, request.sort_column,
+                       request.sort_order, (events.lo_ns, events.hi_ns))
+    return QueryResult(page, chart)

@@ -19,7 +19,7 @@ from eventlens.functions import text as T
 from eventlens.functions.time import event_time
 from eventlens.operators.breakdown import distinct_labels
 from eventlens.operators.filters import FilterSpec
-from eventlens.operators.paging import page_info_frame, page_rows, total_frame
+from eventlens.operators.paging import deep_page_rows, page_info_frame, page_rows, total_frame
 from eventlens.session import ensure_conf, scratch_path
 from eventlens.sources import sinks
 from eventlens.sources.testdata import AUDIT_COLUMNS, AUDIT_VIEW_SQL, audit_source, table_path
@@ -114,6 +114,12 @@ def q_page_keyset(spark, d):
     return events_for(spark, d).page_after(KEYSET_AFTER, EXACT, page_size=100)
 
 
+def q_page_deep_seek(spark, d):
+    ev = events_for(spark, d)
+    return deep_page_rows(ev.rows, page=80, page_size=100, sort_order="DESC",
+                          lo_ns=ev.lo_ns, hi_ns=ev.hi_ns, small=500)
+
+
 def q_page_info(spark, d):
     return page_info_frame(events_for(spark, d).filtered(COMBINED), page=3, page_size=25)
 
@@ -430,6 +436,7 @@ ORACLE_SQL: dict[str, str] = {
     "page_keyset": f'''{_ranged(FULL, W_EXACT)} SELECT * FROM ev
 WHERE "timestamp" < 1705708800000000000 OR ("timestamp" = 1705708800000000000 AND uuid > '')
 ORDER BY "timestamp" DESC, uuid ASC LIMIT 100''',
+    "page_deep_seek": f'{_ranged(FULL)} SELECT * FROM ev ORDER BY "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 7900',
     "page_info": _ranged(FULL, W_COMBINED) + PAGE_INFO.format(page=3, size=25),
     "page_info_clamped": _ranged(FULL, W_COMBINED) + PAGE_INFO.format(page=9999, size=25),
     "events_over_time_hour": _over_time(HOUR, "hour"),

@@ -81,3 +81,19 @@ def test_keyset_pages_equal_offset_pages(ev, column, order):
         got += [r.uuid for r in page]
         last = page[-1].asDict()
     assert got == full
+
+
+def test_deep_time_pages_equal_offset_pages(spark):
+    from eventlens.operators.paging import deep_page_rows, page_rows
+
+    # a hot second holding a third of the rows, with exact-timestamp ties inside it
+    base = ns("2025-11-10T08:00:00")
+    rows = [{"uuid": f"a{i:04d}", "timestamp": base + i * 7_000_000_000} for i in range(600)]
+    rows += [{"uuid": f"h{i:04d}", "timestamp": base + 3_600_000_000_000 + (i % 40)} for i in range(300)]
+    ev = EventSet.from_frame(make_events(spark, rows), "2025-11-10", "2025-11-10")
+    for order in ["DESC", "ASC"]:
+        full = [r.uuid for r in page_rows(ev.rows, 1, 10_000, "timestamp", order).collect()]
+        for page in [1, 3, 7, 12, 19]:
+            got = [r.uuid for r in deep_page_rows(ev.rows, page, 50, order, ev.lo_ns, ev.hi_ns, small=20).collect()]
+            assert got == full[(page - 1) * 50: page * 50], (order, page)
+        assert deep_page_rows(ev.rows, 99, 50, order, ev.lo_ns, ev.hi_ns, small=20).collect() == []
