@@ -138,6 +138,29 @@ def column_values(
     return facet_values(rows, None, columns, cap)
 
 
+def column_metadata_values(
+    rows: DataFrame, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP,
+    labels: dict[str, str] | None = None,
+) -> DataFrame:
+    """Column metadata with its values, one row per (column, value):
+    ``column_name, data_type, label, value, value_rank``."""
+    from eventlens.functions.text import column_label
+
+    targets = target_columns(rows, columns)
+    meta = F.create_map(
+        *[x for c in targets for x in (F.lit(c), F.lit(rows.schema[c].dataType.simpleString()))]
+    )
+    names = F.create_map(*[x for c in targets for x in (F.lit(c), F.lit(column_label(c, labels)))])
+    values = facet_values(rows, None, targets, cap)
+    return values.select(
+        "column_name",
+        meta[F.col("column_name")].alias("data_type"),
+        names[F.col("column_name")].alias("label"),
+        "value",
+        "value_rank",
+    )
+
+
 def facet_counts(
     rows: DataFrame,
     spec: FilterSpec | None = None,

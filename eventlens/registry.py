@@ -18,6 +18,7 @@ from eventlens.dataset import EventSet
 from eventlens.functions import text as T
 from eventlens.functions.time import event_time
 from eventlens.operators.breakdown import distinct_labels
+from eventlens.operators.facets import column_metadata_values
 from eventlens.operators.filters import FilterSpec
 from eventlens.operators.paging import deep_page_rows, page_info_frame, page_rows, total_frame
 from eventlens.session import ensure_conf, scratch_path
@@ -169,6 +170,10 @@ def q_column_values(spark, d):
     return events_for(spark, d).column_values()
 
 
+def q_column_metadata(spark, d):
+    return column_metadata_values(events_for(spark, d).rows)
+
+
 def q_facets_cascading(spark, d):
     return events_for(spark, d).facets(COMBINED)
 
@@ -377,9 +382,12 @@ FROM (SELECT DISTINCT CAST({col} AS VARCHAR) AS v FROM ev WHERE {where}) d
 QUALIFY value_rank <= {cap}"""
 
 
+def _facet_union(parts: dict[str, str], columns=FACET_COLUMNS) -> str:
+    return "\nUNION ALL\n".join(f"({_facet_branch(c, parts)})" for c in columns)
+
+
 def _facets(rng, parts: dict[str, str], columns=FACET_COLUMNS) -> str:
-    body = "\nUNION ALL\n".join(f"({_facet_branch(c, parts)})" for c in columns)
-    return f"{_ranged(rng)}\n{body}"
+    return f"{_ranged(rng)}\n{_facet_union(parts, columns)}"
 
 
 def _facet_counts(rng, parts: dict[str, str], columns=FACET_COLUMNS) -> str:
@@ -451,6 +459,15 @@ FROM tot ORDER BY event_count DESC, label ASC LIMIT 10""",
     "breakdown_week_other": _breakdown(WEEK, "week", "workspaceName"),
     "breakdown_hour_users": _breakdown(HOUR, "hour", "username"),
     "column_values": _facets(FULL, {}),
+    "column_metadata": f"""{_ranged(FULL)},
+v AS ({_facet_union({})}),
+meta(column_name, data_type, label) AS (VALUES
+  ('uuid', 'string', 'UUID'), ('filename', 'string', 'File Path'),
+  ('projectName', 'string', 'Project Name'), ('userId', 'string', 'User ID'),
+  ('username', 'string', 'User Name'), ('environmentName', 'string', 'Environment Name'),
+  ('workspaceName', 'string', 'Workspace Name'), ('action', 'string', 'Event'))
+SELECT v.column_name, meta.data_type, meta.label, v.value, v.value_rank
+FROM v JOIN meta ON v.column_name = meta.column_name""",
     "facets_cascading": _facets(FULL, COMBINED_PARTS),
     "facet_counts": _facet_counts(FULL, COMBINED_PARTS),
     "value_search": f"""{_ranged(FULL)} SELECT * FROM ({_facet_branch('filename', {'action': "action IN ('click')"})}) s
