@@ -9,6 +9,7 @@ literal dates, not by this library).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,25 @@ SQL_REGEXP = (
 )
 
 
+_EVENT_SETS: dict[tuple, EventSet] = {}
+
+
 def events_for(spark: SparkSession, sf_dir: str, rng=FULL) -> EventSet:
+    """The audit ``EventSet`` of a range, reused across queries like a service would.
+
+    Only the lazy plan is reused (keyed by session, tables, range and the
+    file's modification time); every action still scans the table.
+    """
     ensure_conf(spark)
-    return EventSet(audit_source(spark, sf_dir), *rng)
+    try:
+        stamp = os.stat(table_path(sf_dir, "events")).st_mtime_ns
+    except OSError:
+        stamp = None
+    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(rng), stamp)
+    ev = _EVENT_SETS.get(key)
+    if ev is None:
+        ev = _EVENT_SETS[key] = EventSet(audit_source(spark, sf_dir), *rng)
+    return ev
 
 
 # ---------------------------------------------------------------------------
