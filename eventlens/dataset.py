@@ -20,18 +20,19 @@ from eventlens.operators import projection as _projection
 from eventlens.operators import timeseries as _timeseries
 from eventlens.operators.filters import FilterSpec, apply_filters
 from eventlens.plans.sql import sql_frame
-from eventlens.schema import DEFAULT_PAGE_SIZE, FACET_VALUE_CAP, TOP_N_VALUES
+from eventlens.schema import DEFAULT_PAGE_SIZE, DEFAULT_VIEW, FACET_VALUE_CAP, TOP_N_VALUES, ViewConfig
 from eventlens.sources import sinks
 from eventlens.sources.parquet import EventSource, column_metadata, frame_source, parquet_source
 from eventlens.session import ensure_conf, scratch_path
 
 
 class EventSet:
-    def __init__(self, source: EventSource, start, end):
+    def __init__(self, source: EventSource, start, end, view: ViewConfig = DEFAULT_VIEW):
         if start is None or end is None:
             raise ValueError("start and end dates are required")
         ensure_conf(source.frame.sparkSession)
         self.source = source
+        self.view = view
         self.start = start
         self.end = end
         self.lo_ns, self.hi_ns = range_bounds_ns(start, end)
@@ -40,12 +41,14 @@ class EventSet:
     # -- construction (S1, S2, S4) -------------------------------------------
 
     @classmethod
-    def load(cls, spark: SparkSession, paths, start, end, merge_schema: bool = False) -> EventSet:
-        return cls(parquet_source(spark, paths, merge_schema), start, end)
+    def load(cls, spark: SparkSession, paths, start, end, merge_schema: bool = False,
+             view: ViewConfig = DEFAULT_VIEW) -> EventSet:
+        return cls(parquet_source(spark, paths, merge_schema), start, end, view)
 
     @classmethod
-    def from_frame(cls, frame: DataFrame, start, end, time_column: str = "timestamp") -> EventSet:
-        return cls(frame_source(frame, time_column), start, end)
+    def from_frame(cls, frame: DataFrame, start, end, time_column: str = "timestamp",
+                   view: ViewConfig = DEFAULT_VIEW) -> EventSet:
+        return cls(frame_source(frame, time_column), start, end, view)
 
     @property
     def spark(self) -> SparkSession:
@@ -106,22 +109,32 @@ class EventSet:
         return _breakdown.top_values(self.filtered(spec), field, n)
 
     # -- facets (A7-A9, P11) -----------------------------------------------------
+    #
+    # Default targets are the filter panel's columns (``view.filterable``:
+    # action, username, projectName, filename when present); pass
+    # ``columns=`` for others. Unique ids (uuid, deduplicationId) are left out
+    # by default because their distinct values would dominate the shuffle.
+
+    def facet_columns(self, columns: Sequence[str] | None = None) -> list[str]:
+        if columns is not None:
+            return list(columns)
+        return self.view.filterable(self.columns) or _facets.target_columns(self.rows, None)
 
     def column_values(self, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP) -> DataFrame:
-        return _facets.column_values(self.rows, columns, cap)
+        return _facets.column_values(self.rows, self.facet_columns(columns), cap)
 
     def facets(
         self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP
     ) -> DataFrame:
-        return _facets.facet_values(self.rows, spec, columns, cap)
+        return _facets.facet_values(self.rows, spec, self.facet_columns(columns), cap)
 
     def facet_counts(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-        return _facets.facet_counts(self.rows, spec, columns)
+        return _facets.facet_counts(self.rows, spec, self.facet_columns(columns))
 
     def facet_panel(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None,
                     cap: int = FACET_VALUE_CAP) -> _facets.FacetPanel:
         """Cascading values and "(a of m)" counts together, from one scan."""
-        return _facets.facet_panel(self.rows, spec, columns, cap)
+        return _facets.facet_panel(self.rows, spec, self.facet_columns(columns), cap)
 
     def value_search(self, column: str, term: str, spec: FilterSpec | None = None) -> DataFrame:
         return _facets.value_search(self.rows, column, term, spec)

@@ -46,6 +46,9 @@ COMBINED = FilterSpec(
     regex={"filename": ["/\\.ipynb$"], "environmentName": ["/^env[12]$"]},
 )
 
+# Facet queries cover every column but the time (the app's columns endpoints do).
+FACET_COLUMNS = [c for c in AUDIT_COLUMNS if c != "timestamp"]
+
 SQL_EQUALITY = "SELECT * FROM events WHERE action = 'click'"
 SQL_GROUP_COUNT = (
     "SELECT username, COUNT(*) AS count FROM events GROUP BY username ORDER BY count DESC"
@@ -184,19 +187,19 @@ def q_breakdown_hour_users(spark, d):
 
 
 def q_column_values(spark, d):
-    return events_for(spark, d).column_values()
+    return events_for(spark, d).column_values(FACET_COLUMNS)
 
 
 def q_column_metadata(spark, d):
-    return column_metadata_values(events_for(spark, d).rows)
+    return column_metadata_values(events_for(spark, d).rows, FACET_COLUMNS)
 
 
 def q_facets_cascading(spark, d):
-    return events_for(spark, d).facets(COMBINED)
+    return events_for(spark, d).facets(COMBINED, FACET_COLUMNS)
 
 
 def q_facet_counts(spark, d):
-    return events_for(spark, d).facet_counts(COMBINED)
+    return events_for(spark, d).facet_counts(COMBINED, FACET_COLUMNS)
 
 
 def q_value_search(spark, d):
@@ -328,7 +331,6 @@ COMBINED_PARTS = {
     "username": "username LIKE '%user_1%'",
     "environmentName": "regexp_matches(environmentName, '^env[12]$')",
 }
-FACET_COLUMNS = [c for c in AUDIT_COLUMNS if c != "timestamp"]
 
 BUCKET_SQL = {
     "hour": (f"date_trunc('hour', {T_EVENT})", "'%Y-%m-%d %H:00'", "INTERVAL 1 HOUR"),

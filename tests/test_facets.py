@@ -93,3 +93,11 @@ def test_facet_panel_equals_separate_calls(spark):
     assert sorted(map(tuple, panel.values.collect())) == sorted(map(tuple, facet_values(rows, spec).collect()))
     assert sorted(map(tuple, panel.counts.collect())) == sorted(map(tuple, facet_counts(rows, spec).collect()))
     assert file_scans(panel.values) == 0 and file_scans(panel.counts) == 0
+
+
+def test_eventset_defaults_to_panel_columns(spark):
+    ev = EventSet(audit_source(spark, SF001), "2024-01-01", "2024-01-31")
+    assert ev.facet_columns() == ["action", "username", "projectName", "filename"]
+    cols = {r.column_name for r in ev.facet_counts().collect()}
+    assert cols == {"action", "username", "projectName", "filename"}
+    assert ev.facet_columns(["uuid"]) == ["uuid"]
