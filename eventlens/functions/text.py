@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
 from eventlens.functions.time import event_time
-from eventlens.schema import COLUMN_LABELS, UNKNOWN_LABEL
-
-ELLIPSIS_AT = 30
+from eventlens.schema import (
+    COLUMN_LABELS,
+    DISPLAY_TIME_FORMAT,
+    ELLIPSIS_AT,
+    REFRESH_TIME_FORMAT,
+    UNKNOWN_LABEL,
+)
 
 
 def series_label(c: Column, dtype: DataType) -> Column:
@@ -38,12 +42,12 @@ def camel_words(c: Column) -> Column:
 
 def display_timestamp(ns: str = "timestamp") -> Column:
     """Table cell text of an ns epoch: ``MM/DD/YYYY, HH:mm:ss`` (UTC)."""
-    return F.date_format(event_time(ns), "MM/dd/yyyy, HH:mm:ss")
+    return F.date_format(event_time(ns), DISPLAY_TIME_FORMAT)
 
 
 def refresh_timestamp(t: Column) -> Column:
     """Refresh banner text of a TIMESTAMP: ``MMM D, YYYY - h:mm AM/PM`` (UTC)."""
-    return F.date_format(t, "MMM d, yyyy - h:mm a")
+    return F.date_format(t, REFRESH_TIME_FORMAT)
 
 
 def refresh_text(dt) -> str:

@@ -19,20 +19,14 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from eventlens.schema import BUCKET_LABEL_FORMATS, BUCKET_MAX_DAYS
+
 NS_PER_US = 1_000
 NS_PER_DAY = 86_400 * 1_000_000_000
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 BUCKET_UNITS = ("hour", "day", "week", "month")
 
-# Label formats per bucket width (hour, day, Sunday-started week, month).
-BUCKET_LABEL_FORMATS = {
-    "hour": "yyyy-MM-dd HH:00",
-    "day": "yyyy-MM-dd",
-    "week": "yyyy-MM-dd",
-    "month": "yyyy-MM",
-}
-
 _SPINE_STEP = {
     "hour": "INTERVAL 1 HOUR",
     "day": "INTERVAL 1 DAY",
@@ -88,12 +82,9 @@ def auto_bucket(start, end) -> str:
     if start is None or end is None:
         return "day"
     days = int((parse_instant(end) - parse_instant(start)) / timedelta(days=1))
-    if days <= 1:
-        return "hour"
-    if days <= 60:
-        return "day"
-    if days <= 365:
-        return "week"
+    for unit in ("hour", "day", "week"):
+        if days <= BUCKET_MAX_DAYS[unit]:
+            return unit
     return "month"
 
 

@@ -88,6 +88,23 @@ UNKNOWN_LABEL = "Unknown"
 OTHER_LABEL = "Other"
 TIME_COLUMN = "timestamp"
 
+# Chart bucket width by range length in whole days: <= 1 hour, <= 60 day,
+# <= 365 week, longer month. Weeks start on Sunday.
+BUCKET_MAX_DAYS = {"hour": 1, "day": 60, "week": 365}
+
+# Bucket keys (Spark datetime patterns).
+BUCKET_LABEL_FORMATS = {
+    "hour": "yyyy-MM-dd HH:00",
+    "day": "yyyy-MM-dd",
+    "week": "yyyy-MM-dd",
+    "month": "yyyy-MM",
+}
+
+DISPLAY_TIME_FORMAT = "MM/dd/yyyy, HH:mm:ss"
+REFRESH_TIME_FORMAT = "MMM d, yyyy - h:mm a"
+ELLIPSIS_AT = 30
+EXPORT_PREFIX = "workspace_audit_events"
+
 # ---------------------------------------------------------------------------
 
 EVENT_SCHEMA = StructType(

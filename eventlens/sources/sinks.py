@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 
-EXPORT_PREFIX = "workspace_audit_events"
+from eventlens.schema import EXPORT_PREFIX
 
 
 def export_name(fmt: str, now: datetime | None = None) -> str:
