@@ -24,12 +24,14 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="eventlens-test-ckpt-"))
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
     s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    # Use the shared folder the environment names; only a bare session gets its own.
+    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventlens-test-ckpt-"))
     yield s
     s.stop()
 
