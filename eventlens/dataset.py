@@ -120,13 +120,17 @@ class EventSet:
             return list(columns)
         return self.view.filterable(self.columns) or _facets.target_columns(self.rows, None)
 
-    def column_values(self, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP) -> DataFrame:
-        return _facets.column_values(self.rows, self.facet_columns(columns), cap)
+    def column_values(self, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP,
+                      prelimit: bool = False) -> DataFrame:
+        return _facets.column_values(self.rows, self.facet_columns(columns), cap, prelimit)
 
     def facets(
-        self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP
+        self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP,
+        prelimit: bool = False,
     ) -> DataFrame:
-        return _facets.facet_values(self.rows, spec, self.facet_columns(columns), cap)
+        """Cascading facet values; ``prelimit=True`` for high-cardinality columns
+        (per-task cut before the shuffle, same result)."""
+        return _facets.facet_values(self.rows, spec, self.facet_columns(columns), cap, prelimit=prelimit)
 
     def facet_counts(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None) -> DataFrame:
         return _facets.facet_counts(self.rows, spec, self.facet_columns(columns))

@@ -29,8 +29,13 @@ from pyspark.sql.types import (
     BooleanType,
     DataType,
     DateType,
+    DoubleType,
     FractionalType,
     IntegralType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
     TimestampNTZType,
     TimestampType,
 )
@@ -117,25 +122,75 @@ def _exploded(
     )
 
 
+PRELIMIT_SCHEMA = StructType(
+    [
+        StructField("column_name", StringType()),
+        StructField("value", StringType()),
+        StructField("sort_long", LongType()),
+        StructField("sort_double", DoubleType()),
+    ]
+)
+
+
+def _first_distinct_per_task(cap: int):
+    """Arrow function for ``mapInArrow``: per task, per column, the first ``cap``
+    distinct (value, sort keys) in Spark's order (sort_long, sort_double nulls
+    last; value by UTF-8 bytes). Exact: a value among the global first ``cap``
+    is among the first ``cap`` of every task that holds it."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        order = [("sort_long", "ascending"), ("sort_double", "ascending"), ("value", "ascending")]
+        best: dict[str, pa.Table] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for name in pc.unique(table["column_name"]).to_pylist():
+                part = table.filter(pc.equal(table["column_name"], name))
+                if name in best:
+                    part = pa.concat_tables([best[name], part])
+                part = part.group_by(["column_name", "value", "sort_long", "sort_double"]).aggregate([])
+                idx = pc.sort_indices(part, sort_keys=order, null_placement="at_end")
+                best[name] = part.take(idx[:cap]).select(["column_name", "value", "sort_long", "sort_double"])
+        for table in best.values():
+            yield from table.cast(pa.schema(
+                [("column_name", pa.string()), ("value", pa.string()),
+                 ("sort_long", pa.int64()), ("sort_double", pa.float64())]
+            )).to_batches()
+
+    return run
+
+
 def facet_values(
     rows: DataFrame,
     spec: FilterSpec | None = None,
     columns: Sequence[str] | None = None,
     cap: int = FACET_VALUE_CAP,
     validate: bool = True,
+    prelimit: bool = False,
 ) -> DataFrame:
     """``column_name, value, value_rank``: per column, its first ``cap`` distinct values
-    (typed order) among rows passing every other column's filter."""
+    (typed order) among rows passing every other column's filter.
+
+    ``prelimit=True`` cuts each task's candidates to its first ``cap``
+    distinct values per column before the shuffle (Arrow-batched
+    ``mapInArrow``), so a high-cardinality column ships at most ``cap``
+    rows per task instead of all its distinct values. Same result.
+    """
     ex = _exploded(rows, spec, columns, prefilter=True, validate=validate).where(F.col("ok"))
-    distinct = ex.select("column_name", "value", "sort_long", "sort_double").distinct()
-    return _capped_values(distinct, cap)
+    candidates = ex.select("column_name", "value", "sort_long", "sort_double")
+    if prelimit:
+        candidates = candidates.mapInArrow(_first_distinct_per_task(cap), PRELIMIT_SCHEMA)
+    return _capped_values(candidates.distinct(), cap)
 
 
 def column_values(
-    rows: DataFrame, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP
+    rows: DataFrame, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP,
+    prelimit: bool = False,
 ) -> DataFrame:
     """Distinct non-null values per column (all but ``timestamp``), sorted, first ``cap``."""
-    return facet_values(rows, None, columns, cap)
+    return facet_values(rows, None, columns, cap, prelimit=prelimit)
 
 
 def column_metadata_values(

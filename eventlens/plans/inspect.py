@@ -42,4 +42,4 @@ def pushed_filters(df: DataFrame) -> list[str]:
 
 def python_evals(df: DataFrame) -> int:
     """Python UDF / Pandas UDF evaluation nodes (should be zero here)."""
-    return count_nodes(df, r"(BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas)")
+    return count_nodes(df, r"(BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|PythonMapInArrow|MapInArrow|MapInPandas)")

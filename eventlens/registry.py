@@ -19,7 +19,7 @@ from eventlens.dataset import EventSet
 from eventlens.functions import text as T
 from eventlens.functions.time import event_time
 from eventlens.operators.breakdown import distinct_labels
-from eventlens.operators.facets import column_metadata_values
+from eventlens.operators.facets import column_metadata_values, column_values
 from eventlens.operators.filters import FilterSpec
 from eventlens.operators.paging import deep_page_rows, page_info_frame, page_rows, total_frame
 from eventlens.session import ensure_conf, scratch_path
@@ -190,6 +190,11 @@ def q_column_values(spark, d):
     return events_for(spark, d).column_values(FACET_COLUMNS)
 
 
+def q_column_values_prelimit(spark, d):
+    """``column_values`` with each task's candidates cut to 1000 per column before the shuffle."""
+    return column_values(events_for(spark, d).rows, FACET_COLUMNS, prelimit=True)
+
+
 def q_column_metadata(spark, d):
     return column_metadata_values(events_for(spark, d).rows, FACET_COLUMNS)
 
@@ -478,6 +483,7 @@ FROM tot ORDER BY event_count DESC, label ASC LIMIT 10""",
     "breakdown_week_other": _breakdown(WEEK, "week", "workspaceName"),
     "breakdown_hour_users": _breakdown(HOUR, "hour", "username"),
     "column_values": _facets(FULL, {}),
+    "column_values_prelimit": _facets(FULL, {}),
     "column_metadata": f"""{_ranged(FULL)},
 v AS ({_facet_union({})}),
 meta(column_name, data_type, label) AS (VALUES

@@ -101,3 +101,20 @@ def test_eventset_defaults_to_panel_columns(spark):
     cols = {r.column_name for r in ev.facet_counts().collect()}
     assert cols == {"action", "username", "projectName", "filename"}
     assert ev.facet_columns(["uuid"]) == ["uuid"]
+
+
+@pytest.mark.parametrize("combo", COMBOS[:3])
+def test_prelimit_equals_plain_facets(spark, combo):
+    from eventlens.plans.inspect import python_evals
+
+    rows = audit_source(spark, SF001).in_range(0, 2**62)
+    parts = {"exact": {}, "substring": {}, "regex": {}}
+    for c in combo:
+        kind, vals = TERMS[c]
+        parts[kind][c] = vals
+    spec = FilterSpec(**parts)
+    for cap in (3, 50):
+        plain = sorted(map(tuple, facet_values(rows, spec, cap=cap).collect()))
+        cut = facet_values(rows, spec, cap=cap, prelimit=True)
+        assert python_evals(cut) == 1
+        assert sorted(map(tuple, cut.collect())) == plain

@@ -32,7 +32,8 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF01)
-    assert python_evals(df) == 0
+    # Only the opt-in facet pre-limit runs Python (Arrow batches inside tasks).
+    assert python_evals(df) == (1 if name.endswith("_prelimit") else 0)
     rows = [tuple(r) for r in df.collect()]
     res = duck.execute(ORACLE[name])
     ocols = [d[0] for d in res.description]
