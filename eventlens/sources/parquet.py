@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 from eventlens.functions.time import ns_from_physical, ns_range_predicate
