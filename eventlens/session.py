@@ -70,16 +70,20 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception as exc:  # noqa: BLE001 - e.g. a Spark Connect session has no context
+        raise ValueError("spark.checkpoint.dir is not set: point it at a shared folder") from exc
+    current = sc.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError(
             "spark.checkpoint.dir is not set: point it at a folder every executor can reach"
         )
     local = tempfile.mkdtemp(prefix="eventlens-")
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    sc.setCheckpointDir(local)
+    return sc.getCheckpointDir() or local
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:

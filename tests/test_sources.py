@@ -42,3 +42,12 @@ def test_refresh_status_text():
     s = RefreshStatus("InProgress", "In Progress", "2025-11-10T13:05:00.000Z", 5, 1)
     assert s.as_dict()["updatedText"] == "Nov 10, 2025 - 1:05 PM"
     assert ns("2025-11-10") > 0
+
+
+def test_scratch_paths_live_in_the_shared_folder(spark):
+    from eventlens.session import scratch_path, shared_dir
+
+    base = shared_dir(spark)
+    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert a != b
+    assert base.split(":")[-1].rstrip("/") in a
