@@ -269,6 +269,28 @@ def fetch_page(
     return page_result(rows, total, page, page_size, sort_column, sort_order, time_range)
 
 
+def _reverse_key(name: str, order: str) -> Column:
+    """Exact reverse of ``_key``: ASC NULLS LAST <-> DESC NULLS FIRST."""
+    c = qcol(name)
+    return c.desc_nulls_first() if order == "ASC" else c.asc_nulls_first()
+
+
+def tail_page_rows(
+    rows: DataFrame, total: int, offset: int, n: int, column: str | None, order: str | None
+) -> DataFrame:
+    """Rows ``[offset, offset + n)`` of the order, read from its far end.
+
+    The reverse order keeps only ``total - offset`` rows per task, so a page
+    near the end (the last page) is as cheap as the first, for any sort.
+    """
+    spec = sort_spec(rows, column, order)
+    end = min(total, offset + n)
+    skip = total - end
+    reverse = rows.orderBy(*[_reverse_key(c, o) for c, o in spec])
+    window = (reverse.offset(skip) if skip else reverse).limit(max(0, end - offset))
+    return window.orderBy(*[_key(c, o) for c, o in spec])
+
+
 def page_result(
     rows: DataFrame,
     total: int,
@@ -280,13 +302,16 @@ def page_result(
 ) -> PageResult:
     """Clamp the page against a known total and plan its rows.
 
-    Deep pages of a time sort (offset past ``DEEP_OFFSET``) use the
+    Deep pages (offset past ``DEEP_OFFSET``) near the end of the order are
+    read from its far end; elsewhere under a time sort they use the
     histogram seek when the time range is known.
     """
     page = clamp_page(total, page, page_size)
     start, end = page_bounds(total, page, page_size)
     offset = (page - 1) * page_size
-    if time_range is not None and (sort_column or DEFAULT_SORT_COLUMN) == TIME_COLUMN and offset > DEEP_OFFSET:
+    if offset > DEEP_OFFSET and total - offset <= DEEP_OFFSET:
+        df = tail_page_rows(rows, total, offset, page_size, sort_column, sort_order)
+    elif time_range is not None and (sort_column or DEFAULT_SORT_COLUMN) == TIME_COLUMN and offset > DEEP_OFFSET:
         df = deep_page_rows(rows, page, page_size, sort_order, *time_range)
     else:
         df = page_rows(rows, page, page_size, sort_column, sort_order)

@@ -21,7 +21,7 @@ from eventlens.functions.time import event_time
 from eventlens.operators.breakdown import distinct_labels
 from eventlens.operators.facets import column_metadata_values, column_values
 from eventlens.operators.filters import FilterSpec
-from eventlens.operators.paging import deep_page_rows, page_info_frame, page_rows, total_frame
+from eventlens.operators.paging import deep_page_rows, page_info_frame, page_rows, tail_page_rows, total_frame
 from eventlens.session import ensure_conf, scratch_path
 from eventlens.sources import sinks
 from eventlens.sources.testdata import AUDIT_COLUMNS, AUDIT_VIEW_SQL, audit_source, table_path
@@ -141,6 +141,14 @@ def q_page_deep_seek(spark, d):
                           lo_ns=ev.lo_ns, hi_ns=ev.hi_ns, small=500)
 
 
+def q_page_last_env_asc(spark, d):
+    """Last page of a string sort with nulls and ties, read from the far end."""
+    rows = events_for(spark, d).rows
+    total = rows.count()
+    last = (max(1, -(-total // 100)) - 1) * 100
+    return tail_page_rows(rows, total, last, 100, "environmentName", "ASC")
+
+
 def q_page_info(spark, d):
     return page_info_frame(events_for(spark, d).filtered(COMBINED), page=3, page_size=25)
 
@@ -469,6 +477,11 @@ ORACLE_SQL: dict[str, str] = {
 WHERE "timestamp" < 1705708800000000000 OR ("timestamp" = 1705708800000000000 AND uuid > '')
 ORDER BY "timestamp" DESC, uuid ASC LIMIT 100''',
     "page_deep_seek": f'{_ranged(FULL)} SELECT * FROM ev ORDER BY "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 7900',
+    "page_last_env_asc": f"""{_ranged(FULL)}
+SELECT uuid, "timestamp", filename, projectName, userId, username, environmentName, workspaceName, action FROM (
+  SELECT *, row_number() OVER (ORDER BY environmentName ASC NULLS LAST, "timestamp" DESC, uuid ASC) AS rn,
+         count(*) OVER () AS c FROM ev) x
+WHERE rn > (greatest(1, CAST(ceil(c / 100) AS BIGINT)) - 1) * 100""",
     "page_info": _ranged(FULL, W_COMBINED) + PAGE_INFO.format(page=3, size=25),
     "page_info_clamped": _ranged(FULL, W_COMBINED) + PAGE_INFO.format(page=9999, size=25),
     "events_over_time_hour": _over_time(HOUR, "hour"),

@@ -97,3 +97,14 @@ def test_deep_time_pages_equal_offset_pages(spark):
             got = [r.uuid for r in deep_page_rows(ev.rows, page, 50, order, ev.lo_ns, ev.hi_ns, small=20).collect()]
             assert got == full[(page - 1) * 50: page * 50], (order, page)
         assert deep_page_rows(ev.rows, 99, 50, order, ev.lo_ns, ev.hi_ns, small=20).collect() == []
+
+
+@pytest.mark.parametrize("column,order", [("environmentName", "ASC"), ("environmentName", "DESC"), ("timestamp", "DESC")])
+def test_tail_pages_equal_offset_pages(ev, column, order):
+    from eventlens.operators.paging import tail_page_rows
+
+    full = [r.uuid for r in page_rows(ev.rows, 1, 1000, column, order).collect()]
+    total = len(full)
+    for offset, n in [(35, 10), (30, 7), (0, 40), (39, 3)]:
+        got = [r.uuid for r in tail_page_rows(ev.rows, total, offset, n, column, order).collect()]
+        assert got == full[offset: offset + n], (offset, n)
