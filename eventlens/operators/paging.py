@@ -14,7 +14,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import (
+    DateType,
+    IntegralType,
+    MapType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from eventlens.operators.filters import qcol
 from eventlens.schema import DEFAULT_PAGE_SIZE, DEFAULT_SORT_COLUMN, DEFAULT_SORT_ORDER, TIME_COLUMN
@@ -269,6 +276,106 @@ def fetch_page(
     return page_result(rows, total, page, page_size, sort_column, sort_order, time_range)
 
 
+def _as_long(c: Column, dtype) -> Column | None:
+    """Order-preserving int64 view of a key, or None when there is none."""
+    if isinstance(dtype, IntegralType):
+        return c.cast("long")
+    if isinstance(dtype, DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(dtype, TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp"))
+    return None
+
+
+def _common_prefix(a: str, b: str) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def seek_window(
+    rows: DataFrame,
+    spec: list[tuple[str, str]],
+    offset: int,
+    small: int = DEEP_OFFSET,
+    fanout: int = SEEK_FANOUT,
+) -> tuple[Column, int] | None:
+    """Locate row ``offset`` of the order ``spec`` (nulls last) without sorting.
+
+    Returns ``(pred, local)``: ``pred`` keeps a suffix of the order that
+    starts at most ``small`` rows before the target, so
+    ``rows.where(pred).orderBy(spec).offset(local)`` starts at the target.
+    Each step is one aggregate over the leading key (min / max / count) and
+    one over at most ``fanout`` buckets of it: string prefixes past the
+    common prefix of min and max, or ranges of an integral / date key. A
+    single hot value is resolved on the next key. ``None`` when a key type
+    has no bucketing (the caller falls back to a plain top-k).
+    """
+    if not spec:
+        return F.lit(True), offset
+    name, order = spec[0]
+    c, dtype = qcol(name), rows.schema[name].dataType
+    desc = order == "DESC"
+    longs = _as_long(c, dtype)
+    if not isinstance(dtype, StringType) and longs is None:
+        return None
+    key = c if longs is None else longs
+    stats = rows.agg(F.count(key).alias("nn"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    nn, lo, hi = stats["nn"], stats["lo"], stats["hi"]
+    if offset >= nn:  # inside the trailing null group
+        inner = seek_window(rows.where(c.isNull()), spec[1:], offset - nn, small, fanout)
+        return None if inner is None else (c.isNull() & inner[0], inner[1])
+    if lo == hi:  # one value: resolve on the next key
+        inner = seek_window(rows.where(key == F.lit(lo)), spec[1:], offset, small, fanout)
+        return None if inner is None else ((key == F.lit(lo)) & inner[0]) | c.isNull(), inner[1]
+    if longs is None:
+        width = _common_prefix(lo, hi) + 1
+        bucket = F.substring(c, 1, width)
+    else:
+        step = max(1, -(-(hi - lo + 1) // fanout))
+        bucket = ((key - F.lit(lo)) / F.lit(step)).cast("long")
+    hist = rows.where(c.isNotNull()).groupBy(bucket.alias("b")).count().collect()
+    before = 0
+    for r in sorted(hist, key=lambda r: r["b"], reverse=desc):
+        if before + r["count"] > offset:
+            b, count = r["b"], r["count"]
+            break
+        before += r["count"]
+    after = (bucket < F.lit(b)) if desc else (bucket > F.lit(b))
+    if count <= small:
+        at_or_after = (bucket <= F.lit(b)) if desc else (bucket >= F.lit(b))
+        return at_or_after | c.isNull(), offset - before
+    inside = bucket == F.lit(b)
+    inner = seek_window(rows.where(inside), spec, offset - before, small, fanout)
+    if inner is None:
+        return None
+    return (inside & inner[0]) | after | c.isNull(), inner[1]
+
+
+def seek_page_rows(
+    rows: DataFrame,
+    page: int,
+    page_size: int,
+    sort_column: str | None,
+    sort_order: str | None,
+    small: int = DEEP_OFFSET,
+) -> DataFrame:
+    """Page ``page`` for any sort with a bucketable leading key, at bounded cost."""
+    spec = sort_spec(rows, sort_column, sort_order)
+    offset = (max(1, int(page)) - 1) * page_size
+    found = seek_window(rows, spec, offset, small)
+    if found is None:
+        return page_rows(rows, page, page_size, sort_column, sort_order)
+    pred, local = found
+    ordered = rows.where(pred).orderBy(*[_key(c, o) for c, o in spec])
+    return (ordered.offset(local) if local else ordered).limit(page_size)
+
+
 def _reverse_key(name: str, order: str) -> Column:
     """Exact reverse of ``_key``: ASC NULLS LAST <-> DESC NULLS FIRST."""
     c = qcol(name)
@@ -303,16 +410,18 @@ def page_result(
     """Clamp the page against a known total and plan its rows.
 
     Deep pages (offset past ``DEEP_OFFSET``) near the end of the order are
-    read from its far end; elsewhere under a time sort they use the
-    histogram seek when the time range is known.
+    read from its far end; elsewhere they are located by histogram seeks
+    (time ranges for the time sort, key buckets for other sorts).
     """
     page = clamp_page(total, page, page_size)
     start, end = page_bounds(total, page, page_size)
     offset = (page - 1) * page_size
-    if offset > DEEP_OFFSET and total - offset <= DEEP_OFFSET:
+    if offset <= DEEP_OFFSET:
+        df = page_rows(rows, page, page_size, sort_column, sort_order)
+    elif total - offset <= DEEP_OFFSET:
         df = tail_page_rows(rows, total, offset, page_size, sort_column, sort_order)
-    elif time_range is not None and (sort_column or DEFAULT_SORT_COLUMN) == TIME_COLUMN and offset > DEEP_OFFSET:
+    elif time_range is not None and (sort_column or DEFAULT_SORT_COLUMN) == TIME_COLUMN:
         df = deep_page_rows(rows, page, page_size, sort_order, *time_range)
     else:
-        df = page_rows(rows, page, page_size, sort_column, sort_order)
+        df = seek_page_rows(rows, page, page_size, sort_column, sort_order)
     return PageResult(total, page, page_size, start, end, df)

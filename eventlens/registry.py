@@ -21,7 +21,14 @@ from eventlens.functions.time import event_time
 from eventlens.operators.breakdown import distinct_labels
 from eventlens.operators.facets import column_metadata_values, column_values
 from eventlens.operators.filters import FilterSpec
-from eventlens.operators.paging import deep_page_rows, page_info_frame, page_rows, tail_page_rows, total_frame
+from eventlens.operators.paging import (
+    deep_page_rows,
+    page_info_frame,
+    page_rows,
+    seek_page_rows,
+    tail_page_rows,
+    total_frame,
+)
 from eventlens.session import ensure_conf, scratch_path
 from eventlens.sources import sinks
 from eventlens.sources.testdata import AUDIT_COLUMNS, AUDIT_VIEW_SQL, audit_source, table_path
@@ -141,6 +148,12 @@ def q_page_deep_seek(spark, d):
                           lo_ns=ev.lo_ns, hi_ns=ev.hi_ns, small=500)
 
 
+def q_page_deep_filename(spark, d):
+    """A middle page of a string sort, located by key-bucket seeks (no deep top-k)."""
+    return seek_page_rows(events_for(spark, d).rows, page=60, page_size=100,
+                          sort_column="filename", sort_order="ASC", small=500)
+
+
 def q_page_last_env_asc(spark, d):
     """Last page of a string sort with nulls and ties, read from the far end."""
     rows = events_for(spark, d).rows
@@ -477,6 +490,7 @@ ORACLE_SQL: dict[str, str] = {
 WHERE "timestamp" < 1705708800000000000 OR ("timestamp" = 1705708800000000000 AND uuid > '')
 ORDER BY "timestamp" DESC, uuid ASC LIMIT 100''',
     "page_deep_seek": f'{_ranged(FULL)} SELECT * FROM ev ORDER BY "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 7900',
+    "page_deep_filename": f'{_ranged(FULL)} SELECT * FROM ev ORDER BY filename ASC NULLS LAST, "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 5900',
     "page_last_env_asc": f"""{_ranged(FULL)}
 SELECT uuid, "timestamp", filename, projectName, userId, username, environmentName, workspaceName, action FROM (
   SELECT *, row_number() OVER (ORDER BY environmentName ASC NULLS LAST, "timestamp" DESC, uuid ASC) AS rn,

@@ -108,3 +108,26 @@ def test_tail_pages_equal_offset_pages(ev, column, order):
     for offset, n in [(35, 10), (30, 7), (0, 40), (39, 3)]:
         got = [r.uuid for r in tail_page_rows(ev.rows, total, offset, n, column, order).collect()]
         assert got == full[offset: offset + n], (offset, n)
+
+
+def hot_events(spark):
+    # a hot value holding a third of the rows, nulls, shared path prefixes, tied timestamps
+    base = ns("2025-11-10T08:00:00")
+    rows = []
+    for i in range(900):
+        env = "env-hot" if i % 3 == 0 else (None if i % 7 == 0 else f"env-{i % 23:02d}")
+        rows.append({"uuid": f"u{i:04d}", "timestamp": base + (i % 250) * 1_000_000_000,
+                     "environmentName": env, "filename": f"/mnt/data/p{i % 5}/f{i:04d}.py"})
+    return EventSet.from_frame(make_events(spark, rows), "2025-11-10", "2025-11-10")
+
+
+@pytest.mark.parametrize("column,order", [("environmentName", "ASC"), ("environmentName", "DESC"),
+                                          ("filename", "ASC"), ("filename", "DESC"), ("uuid", "DESC")])
+def test_seek_pages_equal_offset_pages(spark, column, order):
+    from eventlens.operators.paging import seek_page_rows
+
+    ev = hot_events(spark)
+    full = [r.uuid for r in page_rows(ev.rows, 1, 10_000, column, order).collect()]
+    for page in [1, 4, 9, 13, 18]:
+        got = [r.uuid for r in seek_page_rows(ev.rows, page, 50, column, order, small=30).collect()]
+        assert got == full[(page - 1) * 50: page * 50], (column, order, page)
