@@ -311,9 +311,10 @@ def seek_window(
     starts at most ``small`` rows before the target, so
     ``rows.where(pred).orderBy(spec).offset(local)`` starts at the target.
     Each step is one aggregate over the leading key (min / max / count) and
-    one over at most ``fanout`` buckets of it: string prefixes past the
-    common prefix of min and max, or ranges of an integral / date key. A
-    single hot value is resolved on the next key. ``None`` when a key type
+    one over at most ``fanout`` + 1 buckets of it (collected; bounded): for
+    strings, ranges of the next character past the common prefix of min and
+    max; for integral / date keys, value ranges. A single hot value is
+    resolved on the next key. ``None`` when a key type
     has no bucketing (the caller falls back to a plain top-k).
     """
     if not spec:
@@ -334,8 +335,17 @@ def seek_window(
         inner = seek_window(rows.where(key == F.lit(lo)), spec[1:], offset, small, fanout)
         return None if inner is None else ((key == F.lit(lo)) & inner[0]) | c.isNull(), inner[1]
     if longs is None:
-        width = _common_prefix(lo, hi) + 1
-        bucket = F.substring(c, 1, width)
+        # Past the common prefix of min and max, bucket the next character's
+        # code point into at most ``fanout`` ranges (code point order is
+        # UTF-8 byte order); a value that ends at the prefix sorts first (-1).
+        pos = _common_prefix(lo, hi) + 1
+        cp_lo = ord(lo[pos - 1]) if len(lo) >= pos else 0
+        cp_hi = ord(hi[pos - 1])
+        step = max(1, -(-(cp_hi - cp_lo + 1) // fanout))
+        nxt = F.ascii(F.substring(c, pos, 1))
+        bucket = F.when(F.length(c) < pos, F.lit(-1)).otherwise(
+            ((nxt - F.lit(cp_lo)) / F.lit(step)).cast("long")
+        )
     else:
         step = max(1, -(-(hi - lo + 1) // fanout))
         bucket = ((key - F.lit(lo)) / F.lit(step)).cast("long")

@@ -131,3 +131,17 @@ def test_seek_pages_equal_offset_pages(spark, column, order):
     for page in [1, 4, 9, 13, 18]:
         got = [r.uuid for r in seek_page_rows(ev.rows, page, 50, column, order, small=30).collect()]
         assert got == full[(page - 1) * 50: page * 50], (column, order, page)
+
+
+def test_seek_handles_unicode_and_prefix_values(spark):
+    from eventlens.operators.paging import seek_page_rows
+
+    names = ["a", "ab", "abc", "é", "éa", "日本", "日", "z", "", "a\u0001", "\U0001F600x", "\U0001F600"]
+    rows = [{"uuid": f"u{i:04d}", "filename": names[i % len(names)] + (str(i % 3) if i % 2 else "")}
+            for i in range(400)]
+    ev = EventSet.from_frame(make_events(spark, rows), "2025-11-10", "2025-11-10")
+    for order in ["ASC", "DESC"]:
+        full = [r.uuid for r in page_rows(ev.rows, 1, 10_000, "filename", order).collect()]
+        for page in [2, 5, 7]:
+            got = [r.uuid for r in seek_page_rows(ev.rows, page, 40, "filename", order, small=10).collect()]
+            assert got == full[(page - 1) * 40: page * 40], (order, page)
