@@ -304,6 +304,7 @@ def seek_window(
     offset: int,
     small: int = DEEP_OFFSET,
     fanout: int = SEEK_FANOUT,
+    _stats: tuple | None = None,
 ) -> tuple[Column, int] | None:
     """Locate row ``offset`` of the order ``spec`` (nulls last) without sorting.
 
@@ -326,8 +327,10 @@ def seek_window(
     if not isinstance(dtype, StringType) and longs is None:
         return None
     key = c if longs is None else longs
-    stats = rows.agg(F.count(key).alias("nn"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    nn, lo, hi = stats["nn"], stats["lo"], stats["hi"]
+    if _stats is None:
+        stats = rows.agg(F.count(key).alias("nn"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        _stats = (stats["nn"], stats["lo"], stats["hi"])
+    nn, lo, hi = _stats
     if offset >= nn:  # inside the trailing null group
         inner = seek_window(rows.where(c.isNull()), spec[1:], offset - nn, small, fanout)
         return None if inner is None else (c.isNull() & inner[0], inner[1])
@@ -349,11 +352,16 @@ def seek_window(
     else:
         step = max(1, -(-(hi - lo + 1) // fanout))
         bucket = ((key - F.lit(lo)) / F.lit(step)).cast("long")
-    hist = rows.where(c.isNotNull()).groupBy(bucket.alias("b")).count().collect()
+    hist = (
+        rows.where(c.isNotNull())
+        .groupBy(bucket.alias("b"))
+        .agg(F.count(F.lit(1)).alias("count"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        .collect()
+    )
     before = 0
     for r in sorted(hist, key=lambda r: r["b"], reverse=desc):
         if before + r["count"] > offset:
-            b, count = r["b"], r["count"]
+            b, count, inner_stats = r["b"], r["count"], (r["count"], r["lo"], r["hi"])
             break
         before += r["count"]
     after = (bucket < F.lit(b)) if desc else (bucket > F.lit(b))
@@ -361,7 +369,7 @@ def seek_window(
         at_or_after = (bucket <= F.lit(b)) if desc else (bucket >= F.lit(b))
         return at_or_after | c.isNull(), offset - before
     inside = bucket == F.lit(b)
-    inner = seek_window(rows.where(inside), spec, offset - before, small, fanout)
+    inner = seek_window(rows.where(inside), spec, offset - before, small, fanout, inner_stats)
     if inner is None:
         return None
     return (inside & inner[0]) | after | c.isNull(), inner[1]
