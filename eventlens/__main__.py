@@ -20,7 +20,7 @@ import sys
 from datetime import date, datetime
 
 from eventlens.dataset import EventSet
-from eventlens.functions.time import iso_string
+from eventlens.functions.time import default_range, iso_string
 from eventlens.operators.filters import FilterSpec
 from eventlens.plans.request import QueryRequest, run_request
 from eventlens.schema import COLUMN_LABELS, EVENT_SCHEMA, TIME_COLUMN
@@ -42,7 +42,8 @@ def _default(v):
 
 
 def _events(spark, args) -> EventSet:
-    return EventSet.load(spark, args.paths, args.start, args.end, merge_schema=args.merge_schema)
+    start, end = default_range(date.fromisoformat(args.end) if args.end else None)
+    return EventSet.load(spark, args.paths, args.start or start, args.end or end, merge_schema=args.merge_schema)
 
 
 def _facets_json(values_df, counts_df=None) -> dict:
@@ -114,8 +115,8 @@ def main(argv: list[str] | None = None) -> int:
     def ranged(name):
         p = sub.add_parser(name)
         p.add_argument("--paths", nargs="+", required=True)
-        p.add_argument("--start", required=True)
-        p.add_argument("--end", required=True)
+        p.add_argument("--start", default=None, help="ISO date (default: 7 days before --end)")
+        p.add_argument("--end", default=None, help="ISO date (default: today, UTC)")
         p.add_argument("--merge-schema", action="store_true")
         return p
 

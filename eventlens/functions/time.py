@@ -77,6 +77,12 @@ def range_bounds_ns(start, end) -> tuple[int, int]:
     return lo, hi
 
 
+def default_range(today: date | None = None, days: int = 7) -> tuple[str, str]:
+    """The picker's default: the last ``days`` days through today (UTC), as ISO dates."""
+    today = today or datetime.now(timezone.utc).date()
+    return (today - timedelta(days=days)).isoformat(), today.isoformat()
+
+
 def auto_bucket(start, end) -> str:
     """Bucket width from the range length in whole days."""
     if start is None or end is None:

@@ -19,7 +19,7 @@ from eventlens.operators.filters import FilterSpec
 from eventlens.operators.paging import PageResult, normalize_order, page_result
 from eventlens.operators.timeseries import Spine, bucket_counts, over_time_from_counts
 from eventlens.session import materialize
-from eventlens.schema import DEFAULT_PAGE_SIZE, DEFAULT_SORT_COLUMN, TOP_N_VALUES
+from eventlens.schema import DEFAULT_PAGE_SIZE, DEFAULT_SORT_COLUMN, TIME_COLUMN, TOP_N_VALUES
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def run_request(
     """
     if request.query:
         page = events.sql_page(request.query, request.page, request.page_size)
-        return QueryResult(page, None)
+        return QueryResult(page, sql_chart(events, request.query, chart_field, unit, top_n))
     rows = events.filtered(request.spec)
     spine = Spine.for_range(events.start, events.end, unit)
     if chart_field:
@@ -80,3 +80,22 @@ def run_request(
     page = page_result(rows, total, request.page, request.page_size, request.sort_column,
                        request.sort_order, (events.lo_ns, events.hi_ns))
     return QueryResult(page, chart)
+
+
+def sql_chart(
+    events: EventSet,
+    query: str,
+    chart_field: str | None = None,
+    unit: str | None = None,
+    top_n: int = TOP_N_VALUES,
+) -> DataFrame | None:
+    """SQL results chart like filter results when they carry the int64 ns
+    ``timestamp`` column (a breakdown when ``chart_field`` is a result column);
+    ``None`` otherwise, since there is no time to bucket."""
+    df = events.sql(query)
+    if dict(df.dtypes).get(TIME_COLUMN) != "bigint":
+        return None
+    spine = Spine.for_range(events.start, events.end, unit)
+    if chart_field and chart_field in df.columns:
+        return breakdown_from_counts(materialize(bucket_label_counts(df, chart_field, spine)), spine, top_n)
+    return over_time_from_counts(bucket_counts(df, spine), spine)

@@ -63,3 +63,8 @@ def test_request_plan(ev):
     assert {r.series for r in res.chart.collect()} == {"ann", "bob"}
     res = run_request(ev, QueryRequest.from_body({"query": "SELECT username FROM events"}))
     assert res.page.total == 3 and res.chart is None
+    res = run_request(ev, QueryRequest.from_body({"query": "SELECT * FROM events WHERE action = 'Read'"}))
+    assert sum(r.event_count for r in res.chart.collect()) == res.page.total == 2
+    res = run_request(ev, QueryRequest.from_body({"query": "SELECT * FROM events"}), chart_field="username")
+    assert {(r.series, sum(x.event_count for x in res.chart.collect() if x.series == r.series))
+            for r in res.chart.collect()} == {("ann", 2), ("bob", 1)}

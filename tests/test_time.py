@@ -141,3 +141,12 @@ def test_request_total_counts_the_end_instant(spark):
     res = run_request(ev, QueryRequest())
     assert res.page.total == 2
     assert sum(r.event_count for r in res.chart.collect()) == 1
+
+
+def test_default_range_is_last_seven_days():
+    from datetime import date
+
+    from eventlens.functions.time import default_range
+
+    assert default_range(date(2025, 11, 10)) == ("2025-11-03", "2025-11-10")
+    assert auto_bucket(*default_range(date(2025, 11, 10))) == "day"
