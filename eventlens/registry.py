@@ -269,6 +269,13 @@ def q_sql_regexp_matches(spark, d):
     return events_for(spark, d).sql(SQL_REGEXP)
 
 
+def q_sql_chart(spark, d):
+    """SQL-mode results drawn as the zero-filled chart (the app updates chart and table)."""
+    from eventlens.plans.request import sql_chart
+
+    return sql_chart(events_for(spark, d), SQL_EQUALITY)
+
+
 def q_path_basename(spark, d):
     rows = events_for(spark, d).rows
     return rows.select("uuid", T.basename(F.col("filename")).alias("basename"))
@@ -540,6 +547,7 @@ FROM ({EXPORT_SELECT}) x""",
     "sql_group_count": _sql_mode(FULL, SQL_GROUP_COUNT),
     "sql_like_and": _sql_mode(FULL, SQL_LIKE_AND),
     "sql_regexp_matches": _sql_mode(FULL, SQL_REGEXP),
+    "sql_chart": _over_time(FULL, "day", "action = 'click'"),
     "path_basename": f"{_ranged(FULL)} SELECT uuid, coalesce(nullif(string_split(filename, '/')[-1], ''), filename) AS basename FROM ev",
     "ellipsis": f"{_ranged(FULL)} SELECT uuid, CASE WHEN length(filename) > 30 THEN filename[1:30] || '...' ELSE filename END AS short_path FROM ev",
     "display_timestamp": f"{_ranged(FULL)} SELECT uuid, strftime({T_EVENT}, '%m/%d/%Y, %H:%M:%S') AS display_time FROM ev",
