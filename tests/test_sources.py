@@ -51,3 +51,14 @@ def test_scratch_paths_live_in_the_shared_folder(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b
     assert base.split(":")[-1].rstrip("/") in a
+
+
+def test_persisted_eventset_answers_the_same(spark):
+    ev = EventSet.from_frame(make_events(spark, [{"action": "Read"}, {"action": "Write"}]), *RANGE)
+    cached = ev.persisted()
+    try:
+        assert cached.total() == ev.total() == 2
+        assert cached.rows.storageLevel.useMemory
+        assert not ev.rows.storageLevel.useMemory
+    finally:
+        cached.unpersist()
