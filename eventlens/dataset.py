@@ -8,7 +8,6 @@ reaches the Parquet scan) and hands out DataFrames. Only bounded results
 
 from __future__ import annotations
 
-import copy
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -52,13 +51,14 @@ class EventSet:
                    view: ViewConfig = DEFAULT_VIEW) -> EventSet:
         return cls(frame_source(frame, time_column), start, end, view)
 
-    def persisted(self, storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> EventSet:
-        """A copy whose range rows are cached for repeated requests (count, page,
-        chart, facets). Lost blocks are recomputed from lineage. Worth it when the
-        range fits the cluster's memory+disk; call :meth:`unpersist` when done."""
-        twin = copy.copy(self)
-        twin.rows = self.rows.persist(storage_level)
-        return twin
+    def persist(self, storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> EventSet:
+        """Cache the range rows for repeated requests (count, page, chart, facets).
+
+        Lost blocks are recomputed from lineage. Worth it when the range fits
+        the cluster's memory and disk; call :meth:`unpersist` when done.
+        """
+        self.rows.persist(storage_level)
+        return self
 
     def unpersist(self) -> None:
         self.rows.unpersist()

@@ -55,10 +55,11 @@ def test_scratch_paths_live_in_the_shared_folder(spark):
 
 def test_persisted_eventset_answers_the_same(spark):
     ev = EventSet.from_frame(make_events(spark, [{"action": "Read"}, {"action": "Write"}]), *RANGE)
-    cached = ev.persisted()
+    before = ev.total()
+    assert ev.persist() is ev
     try:
-        assert cached.total() == ev.total() == 2
-        assert cached.rows.storageLevel.useMemory
-        assert not ev.rows.storageLevel.useMemory
+        assert ev.rows.storageLevel.useMemory
+        assert ev.total() == before == 2
     finally:
-        cached.unpersist()
+        ev.unpersist()
+    assert not ev.rows.storageLevel.useMemory
