@@ -145,8 +145,9 @@ class EventSet:
         (per-task cut before the shuffle, same result)."""
         return _facets.facet_values(self.rows, spec, self.facet_columns(columns), cap, prelimit=prelimit)
 
-    def facet_counts(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-        return _facets.facet_counts(self.rows, spec, self.facet_columns(columns))
+    def facet_counts(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None,
+                     approx: bool = False) -> DataFrame:
+        return _facets.facet_counts(self.rows, spec, self.facet_columns(columns), approx=approx)
 
     def facet_panel(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None,
                     cap: int = FACET_VALUE_CAP) -> _facets.FacetPanel:

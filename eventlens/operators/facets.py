@@ -222,13 +222,26 @@ def facet_counts(
     columns: Sequence[str] | None = None,
     cap: int = FACET_VALUE_CAP,
     validate: bool = True,
+    approx: bool = False,
+    rsd: float = 0.01,
 ) -> DataFrame:
     """``column_name, available_values, total_values, count_label`` in one pass.
 
     Counts are exact; ``count_label`` uses lists capped at ``cap`` like a
     filter panel does: ``(a of m)`` when fewer are available, else ``(m)``.
+    ``approx=True`` estimates both counts with HyperLogLog++ (relative
+    standard deviation ``rsd``), so no distinct value crosses the shuffle;
+    use it for high-cardinality columns when an estimate is acceptable.
     """
     ex = _exploded(rows, spec, columns, prefilter=False, validate=validate)
+    if approx:
+        # HyperLogLog++ sketches: one partial sketch per column per task crosses
+        # the shuffle instead of every distinct value. Relative error ~rsd.
+        per_column = ex.groupBy("column_name").agg(
+            F.approx_count_distinct(F.when(F.col("ok"), F.col("value")), rsd).alias("available_values"),
+            F.approx_count_distinct("value", rsd).alias("total_values"),
+        )
+        return _labels_from_counts(per_column, cap)
     per_value = ex.groupBy("column_name", "value").agg(F.max(F.col("ok").cast("int")).alias("avail"))
     return _count_labels(per_value, cap)
 
@@ -248,6 +261,10 @@ def _count_labels(per_value: DataFrame, cap: int) -> DataFrame:
         F.sum("avail").cast("long").alias("available_values"),
         F.count(F.lit(1)).alias("total_values"),
     )
+    return _labels_from_counts(per_column, cap)
+
+
+def _labels_from_counts(per_column: DataFrame, cap: int) -> DataFrame:
     a = F.least(F.col("available_values"), F.lit(cap))
     m = F.least(F.col("total_values"), F.lit(cap))
     label = F.when(

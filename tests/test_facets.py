@@ -118,3 +118,15 @@ def test_prelimit_equals_plain_facets(spark, combo):
         cut = facet_values(rows, spec, cap=cap, prelimit=True)
         assert python_evals(cut) == 1
         assert sorted(map(tuple, cut.collect())) == plain
+
+
+def test_approximate_counts_are_close(spark):
+    rows = audit_source(spark, SF001).in_range(0, 2**62)
+    spec = FilterSpec(exact={"action": ["click", "view"]})
+    exact = {r.column_name: r for r in facet_counts(rows, spec).collect()}
+    approx = {r.column_name: r for r in facet_counts(rows, spec, approx=True).collect()}
+    assert set(exact) == set(approx)
+    for c, e in exact.items():
+        a = approx[c]
+        assert abs(a.total_values - e.total_values) <= max(2, 0.05 * e.total_values), c
+        assert abs(a.available_values - e.available_values) <= max(2, 0.05 * e.available_values), c
