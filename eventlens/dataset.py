@@ -194,11 +194,11 @@ class EventSet:
         column is given and present in the result."""
         df = self.sql(text, raw)
         total = df.count()
+        if sort_column and sort_column in df.columns:
+            # Deep pages get the same far-end / seek strategies as filter mode.
+            return _paging.page_result(df, total, page, page_size, sort_column, sort_order)
         page = _paging.clamp_page(total, page, page_size)
         start, end = _paging.page_bounds(total, page, page_size)
-        if sort_column and sort_column in df.columns:
-            rows = _paging.page_rows(df, page, page_size, sort_column, sort_order)
-        else:
-            offset = (page - 1) * page_size
-            rows = (df.offset(offset) if offset else df).limit(page_size)
+        offset = (page - 1) * page_size
+        rows = (df.offset(offset) if offset else df).limit(page_size)
         return _paging.PageResult(total, page, page_size, start, end, rows)
