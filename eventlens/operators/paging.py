@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
+    FractionalType,
     IntegralType,
     MapType,
     StringType,
@@ -305,6 +306,7 @@ def seek_window(
     small: int = DEEP_OFFSET,
     fanout: int = SEEK_FANOUT,
     _stats: tuple | None = None,
+    _depth: int = 0,
 ) -> tuple[Column, int] | None:
     """Locate row ``offset`` of the order ``spec`` (nulls last) without sorting.
 
@@ -314,30 +316,52 @@ def seek_window(
     Each step is one aggregate over the leading key (min / max / count) and
     one over at most ``fanout`` + 1 buckets of it (collected; bounded): for
     strings, ranges of the next character past the common prefix of min and
-    max; for integral / date keys, value ranges. A single hot value is
-    resolved on the next key. ``None`` when a key type
+    max; for integral / date keys, value ranges; for fractional keys, ranges
+    of the finite values plus one bucket each for -inf, +inf and NaN. A single
+    hot value is resolved on the next key. ``None`` when a key type
     has no bucketing (the caller falls back to a plain top-k).
     """
     if not spec:
         return F.lit(True), offset
+    if _depth > 64:
+        return None
     name, order = spec[0]
     c, dtype = qcol(name), rows.schema[name].dataType
     desc = order == "DESC"
     longs = _as_long(c, dtype)
-    if not isinstance(dtype, StringType) and longs is None:
+    fractional = isinstance(dtype, FractionalType)
+    if not isinstance(dtype, StringType) and longs is None and not fractional:
         return None
-    key = c if longs is None else longs
+    key = c.cast("double") if fractional else (c if longs is None else longs)
+    finite = ~F.isnan(key) & (key != F.lit(float("inf"))) & (key != F.lit(float("-inf")))
+    ranged = F.when(finite, key) if fractional else key
     if _stats is None:
-        stats = rows.agg(F.count(key).alias("nn"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        stats = rows.agg(F.count(key).alias("nn"), F.min(ranged).alias("lo"), F.max(ranged).alias("hi")).first()
         _stats = (stats["nn"], stats["lo"], stats["hi"])
     nn, lo, hi = _stats
     if offset >= nn:  # inside the trailing null group
-        inner = seek_window(rows.where(c.isNull()), spec[1:], offset - nn, small, fanout)
+        inner = seek_window(rows.where(c.isNull()), spec[1:], offset - nn, small, fanout, None, _depth + 1)
         return None if inner is None else (c.isNull() & inner[0], inner[1])
-    if lo == hi:  # one value: resolve on the next key
-        inner = seek_window(rows.where(key == F.lit(lo)), spec[1:], offset, small, fanout)
+    if lo is not None and lo == hi and not fractional:  # one value: resolve on the next key
+        inner = seek_window(rows.where(key == F.lit(lo)), spec[1:], offset, small, fanout, None, _depth + 1)
         return None if inner is None else ((key == F.lit(lo)) & inner[0]) | c.isNull(), inner[1]
-    if longs is None:
+    if fractional:
+        # -inf < finite values < +inf < NaN (Spark's order); each special is its own bucket.
+        if lo is None or lo == hi:
+            finite_bucket = F.lit(0).cast("long")
+        else:
+            step = (hi - lo) / fanout
+            if step <= 0 or step != step:
+                return None
+            finite_bucket = F.least(F.lit(fanout - 1), ((key - F.lit(lo)) / F.lit(step)).cast("long"))
+        bucket = (
+            F.when(F.isnan(key), F.lit(fanout + 2))
+            .when(key == F.lit(float("inf")), F.lit(fanout + 1))
+            .when(key == F.lit(float("-inf")), F.lit(-1))
+            .otherwise(finite_bucket)
+        )
+        ranged_min, ranged_max = F.min(ranged), F.max(ranged)
+    elif longs is None:
         # Past the common prefix of min and max, bucket the next character's
         # code point into at most ``fanout`` ranges (code point order is
         # UTF-8 byte order); a value that ends at the prefix sorts first (-1).
@@ -352,10 +376,12 @@ def seek_window(
     else:
         step = max(1, -(-(hi - lo + 1) // fanout))
         bucket = ((key - F.lit(lo)) / F.lit(step)).cast("long")
+    if not fractional:
+        ranged_min, ranged_max = F.min(key), F.max(key)
     hist = (
         rows.where(c.isNotNull())
         .groupBy(bucket.alias("b"))
-        .agg(F.count(F.lit(1)).alias("count"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        .agg(F.count(F.lit(1)).alias("count"), ranged_min.alias("lo"), ranged_max.alias("hi"))
         .collect()
     )
     before = 0
@@ -369,7 +395,11 @@ def seek_window(
         at_or_after = (bucket <= F.lit(b)) if desc else (bucket >= F.lit(b))
         return at_or_after | c.isNull(), offset - before
     inside = bucket == F.lit(b)
-    inner = seek_window(rows.where(inside), spec, offset - before, small, fanout, inner_stats)
+    if fractional and (b < 0 or b > fanout or inner_stats[1] is None or inner_stats[1] == inner_stats[2]):
+        # a special value (-inf, +inf, NaN) or one finite value: resolve on the next key
+        inner = seek_window(rows.where(inside), spec[1:], offset - before, small, fanout, None, _depth + 1)
+    else:
+        inner = seek_window(rows.where(inside), spec, offset - before, small, fanout, inner_stats, _depth + 1)
     if inner is None:
         return None
     return (inside & inner[0]) | after | c.isNull(), inner[1]

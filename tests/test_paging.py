@@ -145,3 +145,25 @@ def test_seek_handles_unicode_and_prefix_values(spark):
         for page in [2, 5, 7]:
             got = [r.uuid for r in seek_page_rows(ev.rows, page, 40, "filename", order, small=10).collect()]
             assert got == full[(page - 1) * 40: page * 40], (order, page)
+
+
+@pytest.mark.parametrize("order", ["ASC", "DESC"])
+def test_seek_on_fractional_keys_with_specials(spark, order):
+    from pyspark.sql import functions as F
+
+    from eventlens.operators.paging import seek_page_rows
+
+    specials = [float("nan"), float("inf"), float("-inf"), -0.0, 0.0, None, 2.5]
+    rows = [{"uuid": f"u{i:04d}", "timestamp": ns("2025-11-10T01:00:00") + i % 97} for i in range(600)]
+    df = make_events(spark, rows).withColumn(
+        "score",
+        F.when(F.col("uuid").substr(2, 4).cast("int") % 5 == 0,
+               F.element_at(F.array(*[F.lit(v).cast("double") for v in specials]),
+                            (F.col("uuid").substr(2, 4).cast("int") % 7 + 1).cast("int")))
+        .otherwise(F.col("uuid").substr(2, 4).cast("double") / 7.0),
+    )
+    ev = EventSet.from_frame(df, "2025-11-10", "2025-11-10")
+    full = [r.uuid for r in page_rows(ev.rows, 1, 10_000, "score", order).collect()]
+    for page in [1, 3, 6, 9, 12]:
+        got = [r.uuid for r in seek_page_rows(ev.rows, page, 50, "score", order, small=20).collect()]
+        assert got == full[(page - 1) * 50: page * 50], (order, page)
