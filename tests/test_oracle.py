@@ -11,6 +11,7 @@ from tests.conftest import SF001, SF01
 from tools.check_oracle import TABLES, digest
 
 QUERIES = E.queries()
+DUCK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
 ORACLE = E.oracle_sql()
 
 
@@ -41,6 +42,9 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows) == digest(ocols, orows)
+    spark_types = {f.name: DUCK_TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
+    duck_types = dict(zip(ocols, [str(t) for t in duck.sql(ORACLE[name]).types]))
+    assert spark_types == duck_types
 
 
 def test_entry_smoke(spark):
