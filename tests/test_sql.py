@@ -32,6 +32,12 @@ def test_sql_is_read_only(ev):
             ev.sql(text).collect()
 
 
+def test_trailing_semicolon_is_accepted(ev):
+    assert ev.sql("SELECT * FROM events WHERE action = 'Read';  ").count() == 2
+    with pytest.raises(Exception):
+        ev.sql("SELECT 1; SELECT 2;").collect()
+
+
 def test_sql_text_is_not_rewritten(ev):
     row = ev.sql("SELECT 'events' AS word, count(*) AS n FROM events -- trailing comment").collect()[0]
     assert (row.word, row.n) == ("events", 3)
