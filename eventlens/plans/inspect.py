@@ -32,8 +32,8 @@ def file_scans(df: DataFrame) -> int:
 
 
 def shuffles(df: DataFrame) -> int:
-    """Shuffle exchanges (broadcasts excluded)."""
-    return count_nodes(df, r"(?<!Broadcast)Exchange \(")
+    """Shuffle exchanges (broadcasts and reused exchanges excluded)."""
+    return count_nodes(df, r"(?<![A-Za-z])Exchange \(")
 
 
 def pushed_filters(df: DataFrame) -> list[str]:

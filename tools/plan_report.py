@@ -52,7 +52,7 @@ def summarise(df) -> dict:
     schema = sorted(set(re.findall(r"ReadSchema: struct<(.*)>", full)))
     return {
         "scans": len(re.findall(r"Scan (parquet|csv|json|orc)", tree)),
-        "shuffles": len(re.findall(r"(?<!Broadcast)Exchange \(", tree)),
+        "shuffles": len(re.findall(r"(?<![A-Za-z])Exchange \(", tree)),
         "broadcasts": len(re.findall(r"BroadcastExchange \(", tree)),
         "codegen": codegen,
         "notable": [n for n in NOTABLE if re.search(rf"\b{re.escape(n)}\b", tree)],
