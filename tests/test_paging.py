@@ -167,3 +167,20 @@ def test_seek_on_fractional_keys_with_specials(spark, order):
     for page in [1, 3, 6, 9, 12]:
         got = [r.uuid for r in seek_page_rows(ev.rows, page, 50, "score", order, small=20).collect()]
         assert got == full[(page - 1) * 50: page * 50], (order, page)
+
+
+@pytest.mark.parametrize("column,order", [("timestamp", "DESC"), ("timestamp", "ASC"),
+                                          ("environmentName", "ASC"), ("filename", "DESC")])
+def test_page_dispatch_matches_plain_offset_pages(spark, monkeypatch, column, order):
+    from eventlens.operators import paging
+
+    monkeypatch.setattr(paging, "DEEP_OFFSET", 60)
+    ev = hot_events(spark)
+    full = [r.uuid for r in page_rows(ev.rows, 1, 10_000, column, order).collect()]
+    total = len(full)
+    for page in range(1, total // 50 + 2):
+        res = ev.page(page=page, page_size=50, sort_column=column, sort_order=order)
+        want = full[(res.page - 1) * 50: res.page * 50]
+        assert [r.uuid for r in res.collect()] == want, (column, order, page)
+    res = ev.sql_page("SELECT * FROM events", page=10, page_size=50, sort_column=column, sort_order=order)
+    assert [r.uuid for r in res.collect()] == full[450:500]
