@@ -63,3 +63,22 @@ def test_persisted_eventset_answers_the_same(spark):
     finally:
         ev.unpersist()
     assert not ev.rows.storageLevel.useMemory
+
+
+def test_timestamp_ltz_time_column_maps_and_pushes(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from eventlens.plans.inspect import pushed_filters
+    from tests.conftest import ns
+
+    df = spark.createDataFrame(
+        [("a", "2025-11-10 00:00:00"), ("b", "2025-11-10 23:59:59.999999"), ("c", "2025-11-11 00:00:00"),
+         ("d", "2025-11-11 00:00:00.000001"), ("e", "2025-11-09 23:59:59.999999")],
+        "uuid string, t string",
+    ).select("uuid", F.col("t").cast("timestamp").alias("timestamp"))
+    df.write.parquet(f"{tmp_dir}/ltz")
+    ev = EventSet.load(spark, f"{tmp_dir}/ltz", *RANGE)
+    got = {r.uuid: r.timestamp for r in ev.rows.collect()}
+    assert got == {"a": ns("2025-11-10"), "b": ns("2025-11-10T23:59:59.999999"), "c": ns("2025-11-11")}
+    pushed = " ".join(pushed_filters(ev.rows))
+    assert "GreaterThanOrEqual(timestamp" in pushed and "LessThanOrEqual(timestamp" in pushed
