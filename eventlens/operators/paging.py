@@ -147,6 +147,12 @@ DEEP_OFFSET = 10_000
 SEEK_FANOUT = 1024
 
 
+def _int_div(x: Column, d: int) -> Column:
+    """Exact ``x div d`` for non-negative int64 ``x`` (Spark's ``/`` is double and
+    rounds past 2^53, which would misplace rows at bucket edges)."""
+    return (x.cast("decimal(20,0)") / F.lit(d).cast("decimal(20,0)")).cast("long")
+
+
 def seek_time_window(
     rows: DataFrame,
     offset: int,
@@ -172,7 +178,7 @@ def seek_time_window(
         width = max(1, -(-(hi - lo + 1) // fanout))
         hist = (
             rows.where((ts >= F.lit(lo)) & (ts <= F.lit(hi)))
-            .groupBy(((ts - F.lit(lo)) / F.lit(width)).cast("long").alias("b"))
+            .groupBy(_int_div(ts - F.lit(lo), width).alias("b"))
             .count()
             .collect()
         )
@@ -375,7 +381,7 @@ def seek_window(
         )
     else:
         step = max(1, -(-(hi - lo + 1) // fanout))
-        bucket = ((key - F.lit(lo)) / F.lit(step)).cast("long")
+        bucket = _int_div(key - F.lit(lo), step)
     if not fractional:
         ranged_min, ranged_max = F.min(key), F.max(key)
     hist = (

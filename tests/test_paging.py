@@ -184,3 +184,23 @@ def test_page_dispatch_matches_plain_offset_pages(spark, monkeypatch, column, or
         assert [r.uuid for r in res.collect()] == want, (column, order, page)
     res = ev.sql_page("SELECT * FROM events", page=10, page_size=50, sort_column=column, sort_order=order)
     assert [r.uuid for r in res.collect()] == full[450:500]
+
+
+def test_time_seek_is_exact_over_long_ranges(spark):
+    from eventlens.functions.time import range_bounds_ns
+    from eventlens.operators.paging import SEEK_FANOUT, deep_page_rows
+
+    # ~3 years in ns: offsets from the range start pass 2^53, where a double
+    # division rounds. Put rows exactly on bucket edges where it rounds down.
+    lo, hi = range_bounds_ns("2022-01-01", "2024-12-31")
+    width = -(-(hi - lo + 1) // SEEK_FANOUT)
+    edges = [k for k in range(1, SEEK_FANOUT) if int(float(k * width) / width) < k]
+    assert edges
+    stamps = sorted({lo + k * width + d for k in edges for d in (-1, 0, 1)})
+    rows = [{"uuid": f"u{i:04d}", "timestamp": t} for i, t in enumerate(stamps)]
+    ev = EventSet.from_frame(make_events(spark, rows), "2022-01-01", "2024-12-31")
+    for order in ["DESC", "ASC"]:
+        full = [r.uuid for r in page_rows(ev.rows, 1, 10_000, "timestamp", order).collect()]
+        for page in range(1, len(full) // 7 + 1, 3):
+            got = [r.uuid for r in deep_page_rows(ev.rows, page, 7, order, ev.lo_ns, ev.hi_ns, small=5).collect()]
+            assert got == full[(page - 1) * 7: page * 7], (order, page)
