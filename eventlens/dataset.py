@@ -150,9 +150,10 @@ class EventSet:
         return _facets.facet_counts(self.rows, spec, self.facet_columns(columns), approx=approx)
 
     def facet_panel(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None,
-                    cap: int = FACET_VALUE_CAP) -> _facets.FacetPanel:
-        """Cascading values and "(a of m)" counts together, from one scan."""
-        return _facets.facet_panel(self.rows, spec, self.facet_columns(columns), cap)
+                    cap: int = FACET_VALUE_CAP, approx: bool = False) -> _facets.FacetPanel:
+        """Cascading values and "(a of m)" counts together, from one scan
+        (``approx=True``: exact values via the per-task cut, estimated counts)."""
+        return _facets.facet_panel(self.rows, spec, self.facet_columns(columns), cap, approx=approx)
 
     def value_search(self, column: str, term: str, spec: FilterSpec | None = None) -> DataFrame:
         return _facets.value_search(self.rows, column, term, spec)

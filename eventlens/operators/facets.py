@@ -285,13 +285,23 @@ def facet_panel(
     columns: Sequence[str] | None = None,
     cap: int = FACET_VALUE_CAP,
     validate: bool = True,
+    approx: bool = False,
 ) -> FacetPanel:
     """Values *and* counts of a filter panel from one scan and one shuffle.
 
     The per-(column, value) aggregate carries an "available" flag; it is
     checkpointed once and both outputs are served from it (instead of one
     scan for the values and another for the counts).
+
+    ``approx=True`` is the mode for high-cardinality columns: values through
+    the exact per-task cut (``prelimit``), counts from HyperLogLog sketches.
+    Two scans, and no column's distinct values cross a shuffle.
     """
+    if approx:
+        return FacetPanel(
+            facet_values(rows, spec, columns, cap, validate, prelimit=True),
+            facet_counts(rows, spec, columns, cap, validate=False, approx=True),
+        )
     ex = _exploded(rows, spec, columns, prefilter=False, validate=validate)
     per_value = materialize(
         ex.groupBy("column_name", "value", "sort_long", "sort_double").agg(

@@ -130,3 +130,11 @@ def test_approximate_counts_are_close(spark):
         a = approx[c]
         assert abs(a.total_values - e.total_values) <= max(2, 0.05 * e.total_values), c
         assert abs(a.available_values - e.available_values) <= max(2, 0.05 * e.available_values), c
+
+
+def test_approx_panel_has_exact_values(spark):
+    rows = audit_source(spark, SF001).in_range(0, 2**62)
+    spec = FilterSpec(exact={"action": ["click", "view"]}, substring={"filename": ["demofile1"]})
+    panel = facet_panel(rows, spec, approx=True)
+    assert sorted(map(tuple, panel.values.collect())) == sorted(map(tuple, facet_values(rows, spec).collect()))
+    assert {r.column_name for r in panel.counts.collect()} == {r.column_name for r in facet_counts(rows, spec).collect()}
