@@ -75,7 +75,7 @@ def cmd_query(spark, args) -> dict:
 
 def cmd_columns(spark, args) -> dict:
     ev = _events(spark, args)
-    columns = args.columns or [c for c in ev.columns if c != TIME_COLUMN]
+    columns = [c for c in (args.columns or ev.columns) if c != TIME_COLUMN]
     meta = {m["name"]: m for m in ev.column_metadata()}
     facets = _facets_json(ev.column_values(columns))
     return {
