@@ -1,6 +1,8 @@
-from datetime import datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from eventlens.dataset import EventSet
@@ -150,3 +152,50 @@ def test_default_range_is_last_seven_days():
 
     assert default_range(date(2025, 11, 10)) == ("2025-11-03", "2025-11-10")
     assert auto_bucket(*default_range(date(2025, 11, 10))) == "day"
+
+
+def test_pre_epoch_nanos_floor_to_the_earlier_microsecond(spark):
+    values = [-1, -1_000, -1_001, 999, 1_000]
+    df = spark.createDataFrame([(v,) for v in values], "timestamp long")
+    out = [r[0] for r in df.select(iso_string("timestamp")).collect()]
+    assert out == [
+        "1969-12-31T23:59:59.999999",
+        "1969-12-31T23:59:59.999999",
+        "1969-12-31T23:59:59.999998",
+        "1970-01-01T00:00:00",
+        "1970-01-01T00:00:00.000001",
+    ]
+
+
+def _walk_axis(start, end, unit):
+    """Brute force: step from the start day's midnight one unit at a time while
+    before the end day's last instant or in the same bucket as it."""
+    import calendar
+    from datetime import timedelta as td
+
+    from eventlens.functions.time import bucket_floor
+
+    cur = parse_instant(start).replace(hour=0, minute=0, second=0, microsecond=0)
+    last = parse_instant(end).replace(hour=23, minute=59, second=59, microsecond=999999)
+    out = []
+    while cur < last or bucket_floor(cur, unit) == bucket_floor(last, unit):
+        out.append(bucket_floor(cur, unit))
+        if unit == "month":
+            y, m = cur.year + (cur.month // 12), cur.month % 12 + 1
+            cur = cur.replace(year=y, month=m, day=min(cur.day, calendar.monthrange(y, m)[1]))
+        else:
+            cur = cur + {"hour": td(hours=1), "day": td(days=1), "week": td(days=7)}[unit]
+    return sorted(set(out))
+
+
+@settings(max_examples=25, deadline=None)
+@given(
+    start=st.dates(min_value=date(2023, 1, 1), max_value=date(2025, 12, 31)),
+    days=st.integers(min_value=0, max_value=800),
+    unit=st.sampled_from(["hour", "day", "week", "month"]),
+)
+def test_axis_equals_brute_force_walk(start, days, unit):
+    end = start + timedelta(days=days if unit != "hour" else min(days, 3))
+    first, last, n = spine_bounds(start.isoformat(), end.isoformat(), unit)
+    walk = _walk_axis(start.isoformat(), end.isoformat(), unit)
+    assert (walk[0], walk[-1], len(walk)) == (first, last, n)
