@@ -8,6 +8,8 @@ ordinary file paths (D5):
   outside a character class becomes ``\\z``.
 * RE2 ``.`` matches ``\\r`` and U+2028; Java's does not unless UNIX_LINES
   is on, so the pattern is prefixed with ``(?d)``.
+* RE2-only spellings become Java's: ``(?P<name>`` -> ``(?<name>`` and
+  bracket classes ``[[:digit:]]`` -> ``[\\p{Digit}]``.
 
 Everything else (look-around, back-references, ``\\p{Greek}``) is left to
 Java and documented in the README.
@@ -22,6 +24,25 @@ from pyspark.sql import functions as F
 
 REGEX_MARKER = "/"
 
+# RE2's bracket classes [:name:] and their java.util.regex spellings.
+POSIX_CLASSES = {
+    "alnum": "\\p{Alnum}",
+    "alpha": "\\p{Alpha}",
+    "ascii": "\\p{ASCII}",
+    "blank": "\\p{Blank}",
+    "cntrl": "\\p{Cntrl}",
+    "digit": "\\p{Digit}",
+    "graph": "\\p{Graph}",
+    "lower": "\\p{Lower}",
+    "print": "\\p{Print}",
+    "punct": "\\p{Punct}",
+    "space": "\\s",
+    "upper": "\\p{Upper}",
+    "word": "\\w",
+    "xdigit": "\\p{XDigit}",
+}
+_POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
+
 _MULTILINE_FLAG = re.compile(r"\(\?[a-zA-Z]*m[a-zA-Z]*[:)]")
 
 
@@ -55,6 +76,14 @@ def to_java_regex(pattern: str) -> str:
             i += 2
             continue
         if class_depth:
+            m = _POSIX.match(pattern, i)
+            if m and m.group(2) in POSIX_CLASSES:
+                java = POSIX_CLASSES[m.group(2)]
+                if m.group(1):  # [:^name:] is the complement
+                    java = {"\\s": "\\S", "\\w": "\\W"}.get(java, java.replace("\\p", "\\P"))
+                out.append(java)
+                i = m.end()
+                continue
             if ch == "[":
                 class_depth += 1
             elif ch == "]":
@@ -74,6 +103,10 @@ def to_java_regex(pattern: str) -> str:
                 out.append("]")
                 i += 1
             continue
+        if pattern.startswith("(?P<", i):  # RE2 named group -> Java named group
+            out.append("(?<")
+            i += 4
+            continue
         if ch == "$" and rewrite_dollar:
             out.append("\\z")
         else:

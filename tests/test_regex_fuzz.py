@@ -13,7 +13,8 @@ SUBJECTS = [
     "/home/u/data/f.csv", "test_1.ipynb", "demofile12.py", "a b", "a\tb", "[x]", "\\", "a.b.c",
 ]
 
-ATOMS = ["a", "b", "c", "x", ".", "\\.", "\\d", "\\w", "[ab]", "[^a]", "[.$]", "\\$", "py", "/", "_", " "]
+ATOMS = ["a", "b", "c", "x", ".", "\\.", "\\d", "\\w", "[ab]", "[^a]", "[.$]", "\\$", "py", "/", "_", " ",
+         "[[:digit:]]", "[[:alpha:]]", "[^[:space:]]", "[[:punct:]]", "(?P<g>a.)"]
 
 
 @st.composite
@@ -30,7 +31,9 @@ def patterns(draw):
         body = f"({body}|{draw(st.sampled_from(ATOMS))})"
     if draw(st.booleans()):
         body += "$"
-    return body
+    # group names must be unique in both dialects
+    parts = body.split("(?P<g>")
+    return parts[0] + "".join(f"(?P<g{i}>{p}" for i, p in enumerate(parts[1:]))
 
 
 @pytest.fixture(scope="module")
