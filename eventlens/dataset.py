@@ -116,6 +116,8 @@ class EventSet:
         unit: str | None = None,
         top_n: int = TOP_N_VALUES,
     ) -> DataFrame:
+        """Top-N + "Other" series over time; aggregates now (checkpoint), see
+        :func:`eventlens.operators.breakdown.breakdown`."""
         return _breakdown.breakdown(self.filtered(spec), field, self.start, self.end, unit, top_n)
 
     def top_values(self, field: str, spec: FilterSpec | None = None, n: int = TOP_N_VALUES) -> DataFrame:

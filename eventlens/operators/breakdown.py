@@ -112,7 +112,12 @@ def breakdown(
     unit: str | None = None,
     top_n: int = TOP_N_VALUES,
 ) -> DataFrame:
-    """``bucket, bucket_ms, series, is_other, series_rank, event_count`` (zero-filled)."""
+    """``bucket, bucket_ms, series, is_other, series_rank, event_count`` (zero-filled).
+
+    Eager in one respect: the (bucket, label) aggregate is computed and
+    checkpointed when this is called (the only pass over the rows); the
+    returned DataFrame reads that checkpoint.
+    """
     if top_n <= 0:
         raise ValueError("top_n must be positive")
     spine = Spine.for_range(start, end, unit)
