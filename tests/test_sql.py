@@ -74,3 +74,15 @@ def test_request_plan(ev):
     res = run_request(ev, QueryRequest.from_body({"query": "SELECT * FROM events"}), chart_field="username")
     assert {(r.series, sum(x.event_count for x in res.chart.collect() if x.series == r.series))
             for r in res.chart.collect()} == {("ann", 2), ("bob", 1)}
+
+
+def test_sql_regexp_matches_has_re2_end_anchor(spark):
+    from eventlens.plans.sql import sql_frame
+
+    df = spark.createDataFrame([("a.py",), ("a.py\n",), ("x$",), ("a\rb",)], "s string")
+    def hits(pattern):
+        q = f"SELECT s FROM events WHERE regexp_matches(s, '{pattern}')"
+        return sorted(r.s for r in sql_frame(df, q).collect())
+    assert hits("\\\\.py$") == ["a.py"]
+    assert hits("x\\\\$") == ["x$"]
+    assert hits("a.b") == ["a\rb"]
