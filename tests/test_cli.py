@@ -41,3 +41,15 @@ def test_cli_requests(spark, tmp_dir):
 
     code, out = run(["query", *rng, "--body", json.dumps({"filters": {"nope": ["x"]}})])
     assert code == 2 and "unknown filter column" in out["error"]
+
+
+def test_cli_sync_appends_once(spark, tmp_dir):
+    from tests.conftest import make_events
+
+    landing, table, ckpt = f"{tmp_dir}/landing", f"{tmp_dir}/table", f"{tmp_dir}/ckpt"
+    make_events(spark, [{"uuid": f"a{i}"} for i in range(12)]).write.parquet(landing)
+    args = ["sync", "--landing", landing, "--table", table, "--checkpoint", ckpt]
+    code, first = run(args)
+    assert code == 0 and first["rows"] == 12 and first["status"] == "Completed"
+    code, second = run(args)
+    assert second["rows"] == 0 and spark.read.parquet(table).count() == 12
