@@ -81,7 +81,11 @@ def events_for(spark: SparkSession, sf_dir: str, rng=FULL) -> EventSet:
         stamp = os.stat(table_path(sf_dir, "events")).st_mtime_ns
     except OSError:
         stamp = None
-    key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(rng), stamp)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no context
+        app = None
+    key = (id(spark), app, os.path.abspath(sf_dir), tuple(rng), stamp)
     ev = _EVENT_SETS.get(key)
     if ev is None:
         ev = _EVENT_SETS[key] = EventSet(audit_source(spark, sf_dir), *rng)
