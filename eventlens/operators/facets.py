@@ -10,7 +10,7 @@ predicate once:
   columns cannot contribute to any facet and is dropped before exploding;
 * for target t the row contributes iff ``fails - fail_t == 0``.
 
-The row then explodes into one ``(column, value)`` struct per target, which
+The row then generates one ``(column, value)`` row per target (``inline``), which
 a partial aggregate de-duplicates per task before the single shuffle
 (hashed on column *and* value, so a high-cardinality or hot column spreads
 over all reducers). The cap is a ``row_number() <= cap`` per column, which
@@ -115,11 +115,7 @@ def _exploded(
                 ok.alias("ok"),
             )
         )
-    return (
-        base.select(F.explode(F.array(*structs)).alias("f"))
-        .select("f.*")
-        .where(F.col("value").isNotNull())
-    )
+    return base.select(F.inline(F.array(*structs))).where(F.col("value").isNotNull())
 
 
 PRELIMIT_SCHEMA = StructType(
