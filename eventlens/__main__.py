@@ -77,7 +77,7 @@ def cmd_columns(spark, args) -> dict:
     ev = _events(spark, args)
     columns = [c for c in (args.columns or ev.columns) if c != TIME_COLUMN]
     meta = {m["name"]: m for m in ev.column_metadata()}
-    facets = _facets_json(ev.column_values(columns))
+    facets = _facets_json(ev.column_values(columns, prelimit=args.prelimit))
     return {
         "columns": {c: {"type": meta[c]["type"], "values": facets.get(c, {}).get("values", [])} for c in columns},
         "columnLabels": COLUMN_LABELS,
@@ -86,7 +86,7 @@ def cmd_columns(spark, args) -> dict:
 
 def cmd_filtered_columns(spark, args) -> dict:
     ev = _events(spark, args)
-    panel = ev.facet_panel(FilterSpec.from_request(json.loads(args.body or "{}")), args.columns)
+    panel = ev.facet_panel(FilterSpec.from_request(json.loads(args.body or "{}")), args.columns, approx=args.approx)
     return {"columns": _facets_json(panel.values, panel.counts)}
 
 
@@ -124,10 +124,13 @@ def main(argv: list[str] | None = None) -> int:
     q = ranged("query")
     q.add_argument("--body", default="{}")
     q.add_argument("--chart-field", default=None)
-    ranged("columns").add_argument("--columns", nargs="*")
+    c = ranged("columns")
+    c.add_argument("--columns", nargs="*")
+    c.add_argument("--prelimit", action="store_true", help="per-task cut before the shuffle (unique-id columns)")
     f = ranged("filtered-columns")
     f.add_argument("--body", default="{}")
     f.add_argument("--columns", nargs="*")
+    f.add_argument("--approx", action="store_true", help="exact values via the per-task cut, estimated counts")
     d = ranged("download")
     d.add_argument("--body", default="{}")
     d.add_argument("--format", choices=["csv", "parquet"], default="csv")

@@ -35,6 +35,10 @@ def test_cli_requests(spark, tmp_dir):
     code, out = run(["filtered-columns", *rng, "--body", json.dumps({"filters": {"action": ["click"]}})])
     assert set(out["columns"]) == {"action", "username", "projectName", "filename"}
     assert out["columns"]["action"]["countLabel"] == "(5)"
+    code, approx = run(["filtered-columns", *rng, "--approx", "--body", json.dumps({"filters": {"action": ["click"]}})])
+    assert {c: v["values"] for c, v in approx["columns"].items()} == {c: v["values"] for c, v in out["columns"].items()}
+    code, cut = run(["columns", *rng, "--columns", "uuid", "--prelimit"])
+    assert len(cut["columns"]["uuid"]["values"]) == 1000
 
     code, out = run(["download", *rng, "--body", body, "--format", "parquet", "--out", f"{tmp_dir}/dl"])
     assert spark.read.parquet(out["path"]).count() > 0
