@@ -39,6 +39,9 @@ class EventSet:
         self.lo_ns, self.hi_ns = range_bounds_ns(start, end)
         self.rows: DataFrame = source.in_range(self.lo_ns, self.hi_ns)
 
+    def __repr__(self) -> str:
+        return f"EventSet({self.start} .. {self.end}, columns={self.columns})"
+
     # -- construction (S1, S2, S4) -------------------------------------------
 
     @classmethod
