@@ -314,14 +314,17 @@ def q_refresh_incremental(spark, d):
     source = audit_source(spark, d)
     schema = source.frame.schema
     base = scratch_path(spark, "refresh")
+    events = table_path(d, "events")
+    # The table is one file in the folder, or a folder of part files.
+    landing, glob = (events, None) if os.path.isdir(events) else (d, os.path.basename(events))
     refresh(
         spark,
-        landing=d,
+        landing=landing,
         table=f"{base}/table",
         checkpoint=f"{base}/checkpoint",
         schema=schema,
         transform=lambda s: s.select(*[c.alias(n) for n, c in source.projection]),
-        file_glob="events.parquet",
+        file_glob=glob,
     )
     return EventSet.load(spark, f"{base}/table", *FULL).rows.select(*AUDIT_COLUMNS)
 

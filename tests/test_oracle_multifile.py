@@ -11,9 +11,7 @@ import __spark_entry__ as E
 from tests.conftest import SF01
 from tools.check_oracle import TABLES, digest
 
-# The refresh query streams files named events.parquet from the folder itself.
-SKIP = {"refresh_incremental"}
-NAMES = sorted(set(E.queries()) - SKIP)
+NAMES = sorted(E.queries())
 
 
 @pytest.fixture(scope="module")
