@@ -28,6 +28,8 @@ from eventlens.session import ensure_conf, scratch_path
 
 
 class EventSet:
+    """Audit events of one date range (closed: ``[start, end + 1 day]``), as lazy DataFrames."""
+
     def __init__(self, source: EventSource, start, end, view: ViewConfig = DEFAULT_VIEW):
         if start is None or end is None:
             raise ValueError("start and end dates are required")
@@ -47,11 +49,13 @@ class EventSet:
     @classmethod
     def load(cls, spark: SparkSession, paths, start, end, merge_schema: bool = False,
              view: ViewConfig = DEFAULT_VIEW) -> EventSet:
+        """Events from canonical Parquet files or folders (one relation)."""
         return cls(parquet_source(spark, paths, merge_schema), start, end, view)
 
     @classmethod
     def from_frame(cls, frame: DataFrame, start, end, time_column: str = "timestamp",
                    view: ViewConfig = DEFAULT_VIEW) -> EventSet:
+        """Events from any DataFrame with the canonical columns."""
         return cls(frame_source(frame, time_column), start, end, view)
 
     def persist(self, storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> EventSet:
@@ -80,9 +84,11 @@ class EventSet:
     # -- filter mode (P*, A1, O*) ----------------------------------------------
 
     def filtered(self, spec: FilterSpec | None = None) -> DataFrame:
+        """The range's rows passing ``spec`` (lazy)."""
         return apply_filters(self.rows, spec)
 
     def total(self, spec: FilterSpec | None = None) -> int:
+        """Number of rows passing ``spec`` (one job)."""
         return self.filtered(spec).count()
 
     def page(
@@ -93,6 +99,7 @@ class EventSet:
         sort_column: str | None = None,
         sort_order: str | None = None,
     ) -> _paging.PageResult:
+        """Total + one page (deep pages use the seek strategies)."""
         return _paging.fetch_page(self.filtered(spec), page, page_size, sort_column, sort_order,
                                   (self.lo_ns, self.hi_ns))
 
@@ -110,6 +117,7 @@ class EventSet:
     # -- charts (A2-A6) ----------------------------------------------------------
 
     def events_over_time(self, spec: FilterSpec | None = None, unit: str | None = None) -> DataFrame:
+        """Zero-filled counts per bucket (width from the range unless ``unit``)."""
         return _timeseries.events_over_time(self.filtered(spec), self.start, self.end, unit)
 
     def breakdown(
@@ -124,6 +132,7 @@ class EventSet:
         return _breakdown.breakdown(self.filtered(spec), field, self.start, self.end, unit, top_n)
 
     def top_values(self, field: str, spec: FilterSpec | None = None, n: int = TOP_N_VALUES) -> DataFrame:
+        """The ``n`` most frequent labels of ``field``."""
         return _breakdown.top_values(self.filtered(spec), field, n)
 
     # -- facets (A7-A9, P11) -----------------------------------------------------
@@ -134,12 +143,14 @@ class EventSet:
     # by default because their distinct values would dominate the shuffle.
 
     def facet_columns(self, columns: Sequence[str] | None = None) -> list[str]:
+        """Facet targets: ``columns`` if given, else the filter panel's columns."""
         if columns is not None:
             return list(columns)
         return self.view.filterable(self.columns) or _facets.target_columns(self.rows, None)
 
     def column_values(self, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP,
                       prelimit: bool = False) -> DataFrame:
+        """Each column's first 1000 distinct values (no filters)."""
         return _facets.column_values(self.rows, self.facet_columns(columns), cap, prelimit)
 
     def facets(
@@ -152,6 +163,7 @@ class EventSet:
 
     def facet_counts(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None,
                      approx: bool = False) -> DataFrame:
+        """Available vs total distinct values per column, with the panel label."""
         return _facets.facet_counts(self.rows, spec, self.facet_columns(columns), approx=approx)
 
     def facet_panel(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None,
@@ -161,23 +173,28 @@ class EventSet:
         return _facets.facet_panel(self.rows, spec, self.facet_columns(columns), cap, approx=approx)
 
     def value_search(self, column: str, term: str, spec: FilterSpec | None = None) -> DataFrame:
+        """Facet values of ``column`` containing ``term`` (case-insensitive)."""
         return _facets.value_search(self.rows, column, term, spec)
 
     # -- display and export (J*, K*) -----------------------------------------
 
     def table_view(self, spec: FilterSpec | None = None, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE,
                    sort_column: str | None = None, sort_order: str | None = None) -> DataFrame:
+        """One page, projected for display (titles, display time, hidden columns out)."""
         rows = _paging.page_rows(self.filtered(spec), page, page_size, sort_column, sort_order)
         return _projection.table_view(rows)
 
     def export_frame(self, spec: FilterSpec | None = None) -> DataFrame:
+        """Rows passing ``spec`` as exported: ISO time, hidden columns out, labelled."""
         return _projection.export_frame(self.filtered(spec))
 
     def export_csv(self, spec: FilterSpec | None = None, path: str | None = None, single_file: bool = False) -> str:
+        """Write the export as a CSV folder (default: a new path in the shared folder)."""
         path = path or sinks.export_path(scratch_path(self.spark, "exports"), "csv")
         return sinks.write_csv(self.export_frame(spec), path, single_file)
 
     def export_parquet(self, spec: FilterSpec | None = None, path: str | None = None, single_file: bool = False) -> str:
+        """Write the export as a Parquet folder (default: a new path in the shared folder)."""
         path = path or sinks.export_path(scratch_path(self.spark, "exports"), "parquet")
         return sinks.write_parquet(self.export_frame(spec), path, single_file)
 
