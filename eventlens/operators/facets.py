@@ -271,6 +271,8 @@ def _labels_from_counts(per_column: DataFrame, cap: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class FacetPanel:
+    """A filter panel's cascading values and their "(a of m)" counts."""
+
     values: DataFrame  # column_name, value, value_rank (available values, capped)
     counts: DataFrame  # column_name, available_values, total_values, count_label
 

@@ -259,6 +259,8 @@ def page_info_frame(rows: DataFrame, page: int = 1, page_size: int = DEFAULT_PAG
 
 @dataclass(frozen=True)
 class PageResult:
+    """A page of a sorted result: the total, the (clamped) page, record range, lazy rows."""
+
     total: int
     page: int
     page_size: int

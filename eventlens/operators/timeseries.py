@@ -33,6 +33,8 @@ BROADCAST_MAX_ROWS = 200_000
 
 @dataclass(frozen=True)
 class Spine:
+    """The chart axis of a range: bucket width, first and last bucket start, count."""
+
     unit: str
     first: object
     last: object

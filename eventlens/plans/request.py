@@ -24,6 +24,8 @@ from eventlens.schema import DEFAULT_PAGE_SIZE, DEFAULT_SORT_COLUMN, TIME_COLUMN
 
 @dataclass(frozen=True)
 class QueryRequest:
+    """A filter-mode or SQL-mode request (the app's JSON body, parsed)."""
+
     spec: FilterSpec = field(default_factory=FilterSpec)
     page: int = 1
     page_size: int = DEFAULT_PAGE_SIZE
@@ -46,6 +48,8 @@ class QueryRequest:
 
 @dataclass(frozen=True)
 class QueryResult:
+    """The page and the chart answering a request (chart is ``None`` without time)."""
+
     page: PageResult
     chart: DataFrame | None
 

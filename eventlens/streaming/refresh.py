@@ -31,6 +31,8 @@ from eventlens.sources.parquet import PARTITION_DATE_COLUMN
 
 @dataclass(frozen=True)
 class RefreshStatus:
+    """What a refresh run did, in the shape of the app's status response."""
+
     status: str          # e.g. "Completed"
     status_text: str     # e.g. "Completed" / "In Progress"
     updated_at: str      # ISO time of the last progress report
@@ -122,6 +124,7 @@ def start_refresh(
 
 
 def status_of(query) -> RefreshStatus:
+    """Status of a refresh ``StreamingQuery`` (running or finished) from its progress reports."""
     progress = [p for p in (query.recentProgress or [])]
     rows = sum(int(p.get("numInputRows", 0) if isinstance(p, dict) else p.numInputRows) for p in progress)
     stamps = [(p.get("timestamp") if isinstance(p, dict) else p.timestamp) for p in progress]
