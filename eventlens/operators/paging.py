@@ -403,6 +403,14 @@ def seek_window(
         at_or_after = (bucket <= F.lit(b)) if desc else (bucket >= F.lit(b))
         return at_or_after | c.isNull(), offset - before
     inside = bucket == F.lit(b)
+    # Redundant bounds for the next level's histogram scan (a top-level
+    # conjunct there, so Parquet statistics can skip row groups).
+    if longs is None and not fractional:
+        inside = inside & c.startswith(lo[: pos - 1])
+    elif not fractional:
+        b_lo, b_hi = inner_stats[1], inner_stats[2]
+        if b_lo is not None and isinstance(dtype, IntegralType):
+            inside = inside & (c >= F.lit(b_lo)) & (c <= F.lit(b_hi))
     if fractional and (b < 0 or b > fanout or inner_stats[1] is None or inner_stats[1] == inner_stats[2]):
         # a special value (-inf, +inf, NaN) or one finite value: resolve on the next key
         inner = seek_window(rows.where(inside), spec[1:], offset - before, small, fanout, None, _depth + 1)

@@ -56,3 +56,13 @@ def test_export_is_narrow(spark, tmp_dir):
     df = ev.export_frame(FilterSpec(substring={"filename": ["f1"]}))
     assert shuffles(df) == 0 and file_scans(df) == 1
     assert "StringContains(filename,f1)" in " ".join(pushed_filters(df))
+
+
+def test_deep_string_seek_page_on_parquet(spark, tmp_dir):
+    from eventlens.operators.paging import seek_page_rows
+
+    ev = canonical(spark, tmp_dir)
+    df = seek_page_rows(ev.rows, page=3, page_size=5, sort_column="filename", sort_order="ASC", small=4)
+    full = [r.uuid for r in page_rows(ev.rows, 1, 1000, "filename", "ASC").collect()]
+    assert [r.uuid for r in df.collect()] == full[10:15]
+    assert python_evals(df) == 0
