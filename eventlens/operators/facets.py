@@ -70,7 +70,7 @@ def target_columns(rows: DataFrame, columns: Sequence[str] | None) -> list[str]:
     missing = [c for c in columns if c not in rows.columns]
     if missing:
         raise ValueError(f"unknown facet column(s) {missing}; available: {rows.columns}")
-    return list(columns)
+    return list(dict.fromkeys(columns))
 
 
 def _exploded(

@@ -138,3 +138,9 @@ def test_approx_panel_has_exact_values(spark):
     panel = facet_panel(rows, spec, approx=True)
     assert sorted(map(tuple, panel.values.collect())) == sorted(map(tuple, facet_values(rows, spec).collect()))
     assert {r.column_name for r in panel.counts.collect()} == {r.column_name for r in facet_counts(rows, spec).collect()}
+
+
+def test_repeated_facet_columns_are_deduplicated(spark):
+    ev = EventSet.from_frame(make_events(spark, [{"action": "Read"}, {"action": "Write"}]), *RANGE)
+    out = ev.facets(columns=["action", "action"]).collect()
+    assert sorted(r.value for r in out) == ["Read", "Write"]
