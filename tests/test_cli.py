@@ -57,3 +57,14 @@ def test_cli_sync_appends_once(spark, tmp_dir):
     assert code == 0 and first["rows"] == 12 and first["status"] == "Completed"
     code, second = run(args)
     assert second["rows"] == 0 and spark.read.parquet(table).count() == 12
+
+
+def test_cli_single_file_csv_download(spark, tmp_dir):
+    import glob
+
+    path = f"{tmp_dir}/events"
+    audit_frame(spark, SF001).repartition(4).write.parquet(path)
+    rng = ["--paths", path, "--start", "2024-01-01", "--end", "2024-01-31"]
+    code, out = run(["download", *rng, "--format", "csv", "--single-file", "--out", f"{tmp_dir}/dl"])
+    assert code == 0 and out["path"].endswith(".csv")
+    assert len(glob.glob(f"{out['path']}/part-*.csv")) == 1
