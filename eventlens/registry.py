@@ -98,43 +98,53 @@ def events_for(spark: SparkSession, sf_dir: str, rng=FULL) -> EventSet:
 
 
 def q_load_range(spark, d):
+    """Every event of a partial date range (closed end)."""
     return events_for(spark, d, PART).rows
 
 
 def q_filter_exact(spark, d):
+    """Exact values on one column."""
     return events_for(spark, d).filtered(EXACT)
 
 
 def q_filter_substring(spark, d):
+    """A plain substring (pushes down as StringContains on real files)."""
     return events_for(spark, d).filtered(SUBSTRING)
 
 
 def q_filter_substring_wildcard(spark, d):
+    """P3/D4: '_' inside a term stays a LIKE wildcard."""
     return events_for(spark, d).filtered(WILDCARD)
 
 
 def q_filter_regex(spark, d):
+    """An RE2 pattern with an end anchor."""
     return events_for(spark, d).filtered(REGEX)
 
 
 def q_filter_combined(spark, d):
+    """OR within a column, AND across columns, all three modes."""
     return events_for(spark, d).filtered(COMBINED)
 
 
 def q_total_count(spark, d):
+    """A1: the total under combined filters."""
     return total_frame(events_for(spark, d).filtered(COMBINED))
 
 
 def q_page_desc(spark, d):
+    """O1-O3: page 3 of the default order (timestamp DESC, uuid tie-break)."""
     return page_rows(events_for(spark, d).filtered(EXACT), page=3, page_size=100)
 
 
 def q_page_asc_nulls(spark, d):
+    """A page straddling the nulls-last boundary of a tied string sort."""
     return page_rows(events_for(spark, d).rows, page=129, page_size=70,
                      sort_column="environmentName", sort_order="ASC")
 
 
 def q_page_filename_desc(spark, d):
+    """A descending string sort with many ties."""
     return page_rows(events_for(spark, d).filtered(SUBSTRING), page=2, page_size=100,
                      sort_column="filename", sort_order="desc")
 
@@ -143,6 +153,7 @@ KEYSET_AFTER = {"timestamp": 1705708800000000000, "uuid": ""}  # 2024-01-20T00:0
 
 
 def q_page_keyset(spark, d):
+    """O3: the keyset page after a given (timestamp, uuid)."""
     return events_for(spark, d).page_after(KEYSET_AFTER, EXACT, page_size=100)
 
 
@@ -167,51 +178,63 @@ def q_page_last_env_asc(spark, d):
 
 
 def q_page_info(spark, d):
+    """Total, page and record range of a page."""
     return page_info_frame(events_for(spark, d).filtered(COMBINED), page=3, page_size=25)
 
 
 def q_page_info_clamped(spark, d):
+    """A page past the end falls back to page 1."""
     return page_info_frame(events_for(spark, d).filtered(COMBINED), page=9999, page_size=25)
 
 
 def q_events_over_time_hour(spark, d):
+    """A one-day range charts by hour."""
     return events_for(spark, d, HOUR).events_over_time()
 
 
 def q_events_over_time_day(spark, d):
+    """Day buckets, zero-filled, under a filter."""
     return events_for(spark, d).events_over_time(FilterSpec(exact={"action": ["click"]}))
 
 
 def q_events_over_time_week(spark, d):
+    """Sunday-started weeks over a 91-day range."""
     return events_for(spark, d, WEEK).events_over_time()
 
 
 def q_events_over_time_month(spark, d):
+    """A2: month buckets over a range longer than a year."""
     return events_for(spark, d, MONTH).events_over_time(SUBSTRING)
 
 
 def q_top_values(spark, d):
+    """A4/F8: the 10 most frequent workspace labels ('' and null -> Unknown)."""
     return events_for(spark, d).top_values("workspaceName")
 
 
 def q_distinct_labels(spark, d):
+    """Distinct label count."""
     return distinct_labels(events_for(spark, d).rows, "workspaceName")
 
 
 def q_breakdown_day(spark, d):
+    """A3: breakdown by action (5 labels, no Other) under a regex filter."""
     spec = FilterSpec(regex={"environmentName": ["/^env[0-2]$"]})
     return events_for(spark, d).breakdown("action", spec)
 
 
 def q_breakdown_week_other(spark, d):
+    """Top 10 + Other by workspace, weekly."""
     return events_for(spark, d, WEEK).breakdown("workspaceName")
 
 
 def q_breakdown_hour_users(spark, d):
+    """A3: a high-cardinality field (users) by hour."""
     return events_for(spark, d, HOUR).breakdown("username")
 
 
 def q_column_values(spark, d):
+    """Each column's first 1000 distinct values."""
     return events_for(spark, d).column_values(FACET_COLUMNS)
 
 
@@ -221,30 +244,37 @@ def q_column_values_prelimit(spark, d):
 
 
 def q_column_metadata(spark, d):
+    """Type, label and values per column."""
     return column_metadata_values(events_for(spark, d).rows, FACET_COLUMNS)
 
 
 def q_facets_cascading(spark, d):
+    """Cascading facet values under combined filters, one scan."""
     return events_for(spark, d).facets(COMBINED, FACET_COLUMNS)
 
 
 def q_facet_counts(spark, d):
+    """Available vs total values and the '(a of m)' label."""
     return events_for(spark, d).facet_counts(COMBINED, FACET_COLUMNS)
 
 
 def q_value_search(spark, d):
+    """Case-insensitive search in a column's facet values."""
     return events_for(spark, d).value_search("filename", "DEMOFILE4", FilterSpec(exact={"action": ["click"]}))
 
 
 def q_table_view(spark, d):
+    """One page as the table shows it."""
     return events_for(spark, d).table_view(FilterSpec(exact={"action": ["view"]}), page=1)
 
 
 def q_export_rows(spark, d):
+    """The export projection."""
     return events_for(spark, d).export_frame(COMBINED)
 
 
 def q_export_roundtrip_csv(spark, d):
+    """K2/K4: write the export as CSV and read it back."""
     ev = events_for(spark, d)
     frame = ev.export_frame(COMBINED)
     path = ev.export_csv(COMBINED, sinks.export_path(scratch_path(spark, "export"), "csv"))
@@ -252,24 +282,29 @@ def q_export_roundtrip_csv(spark, d):
 
 
 def q_export_roundtrip_parquet(spark, d):
+    """K3/K4: write the export as Parquet and read it back."""
     ev = events_for(spark, d)
     path = ev.export_parquet(COMBINED, sinks.export_path(scratch_path(spark, "export"), "parquet"))
     return spark.read.parquet(path)
 
 
 def q_sql_equality(spark, d):
+    """Q1/Q2: SQL mode, equality example."""
     return events_for(spark, d).sql(SQL_EQUALITY)
 
 
 def q_sql_group_count(spark, d):
+    """Q3: SQL mode, group count with the user's ORDER BY."""
     return events_for(spark, d).sql(SQL_GROUP_COUNT)
 
 
 def q_sql_like_and(spark, d):
+    """Q4: SQL mode, LIKE + AND example."""
     return events_for(spark, d).sql(SQL_LIKE_AND)
 
 
 def q_sql_regexp_matches(spark, d):
+    """Q5: SQL mode, regexp_matches."""
     return events_for(spark, d).sql(SQL_REGEXP)
 
 
@@ -281,26 +316,31 @@ def q_sql_chart(spark, d):
 
 
 def q_path_basename(spark, d):
+    """base name of each path."""
     rows = events_for(spark, d).rows
     return rows.select("uuid", T.basename(F.col("filename")).alias("basename"))
 
 
 def q_ellipsis(spark, d):
+    """paths shortened to 30 characters + '...'."""
     rows = events_for(spark, d).rows
     return rows.select("uuid", T.ellipsis(F.col("filename")).alias("short_path"))
 
 
 def q_display_timestamp(spark, d):
+    """table display time."""
     rows = events_for(spark, d).rows
     return rows.select("uuid", T.display_timestamp("timestamp").alias("display_time"))
 
 
 def q_refresh_time_text(spark, d):
+    """refresh banner time format."""
     rows = events_for(spark, d).rows
     return rows.select("uuid", T.refresh_timestamp(event_time("timestamp")).alias("time_text"))
 
 
 def q_camel_words(spark, d):
+    """camelCase split into words."""
     rows = events_for(spark, d).rows
     cap = F.concat(F.upper(F.substring("action", 1, 1)), F.substring("action", 2, 1 << 30))
     return rows.select("uuid", T.camel_words(F.concat(cap, F.col("environmentName"))).alias("words"))
