@@ -115,6 +115,10 @@ def to_java_regex(pattern: str) -> str:
     return "(?d)" + "".join(out)
 
 
+# Patterns java.util.regex already compiled (validity depends on nothing else).
+_VALID: set[str] = set()
+
+
 def validate_patterns(spark: SparkSession, patterns: list[str]) -> None:
     """Raise ``ValueError`` for a pattern Java cannot compile.
 
@@ -123,11 +127,12 @@ def validate_patterns(spark: SparkSession, patterns: list[str]) -> None:
     patterns are checked in one fold; only on failure are they retried one
     by one to name the culprit.
     """
-    patterns = list(dict.fromkeys(patterns))
+    patterns = [p for p in dict.fromkeys(patterns) if p not in _VALID]
     if not patterns:
         return
     try:
         spark.range(0).select(*[F.lit("").rlike(p) for p in patterns]).collect()
+        _VALID.update(patterns)
         return
     except Exception:  # noqa: BLE001 - find which pattern failed below
         pass
