@@ -68,3 +68,14 @@ def test_cli_single_file_csv_download(spark, tmp_dir):
     code, out = run(["download", *rng, "--format", "csv", "--single-file", "--out", f"{tmp_dir}/dl"])
     assert code == 0 and out["path"].endswith(".csv")
     assert len(glob.glob(f"{out['path']}/part-*.csv")) == 1
+
+
+def test_cli_default_range_is_last_week(spark, tmp_dir):
+    path = f"{tmp_dir}/events"
+    audit_frame(spark, SF001).write.parquet(path)
+    code, out = run(["data", "--paths", path, "--end", "2024-01-10", "--limit", "2"])
+    assert code == 0 and len(out["data"]) == 2
+    from eventlens.dataset import EventSet
+    ev = EventSet.load(spark, path, "2024-01-03", "2024-01-10")
+    assert out["total"] == ev.total()
+    assert repr(ev).startswith("EventSet(2024-01-03 .. 2024-01-10")
