@@ -7,11 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import table
+from eventlens.llm.common import remainder, table
+from eventlens.llm.decontaminate import contamination
 from eventlens.llm.exact_dedup import exact_groups
+from eventlens.llm.langid import fit_language_model, language_column, training_rows
 from eventlens.llm.simhash import simhash_components
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a fifth of them is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    net = fit_language_model(training_rows(docs))
+    found = docs.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        language_column(net, F.col("text")).alias("found"),
+    )
+    return found.select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), "found.shares"
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents by progressively finer hashes."""
     rows = exact_groups(table(spark, sf_dir, "documents"), digests=True)
@@ -28,6 +44,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark contamination of every document by winnowing."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 OP4_SQL = r"""
 WITH n AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -40,11 +69,49 @@ SELECT doc_id,
 FROM n
 """
 
+OP8_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), items AS (
+    SELECT item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), sized AS (
+    SELECT item_id, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS gram
+    FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM sized)
+), sizes AS (SELECT DISTINCT n FROM sized
+), grams AS (
+    SELECT r, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS gram
+    FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM docs, sizes WHERE len(w) >= n)
+), met AS (
+    SELECT r, item_id, p, n FROM grams JOIN windows USING (n, gram)
+), words AS (
+    SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS place FROM met) GROUP BY r
+), found AS (
+    SELECT r, count(DISTINCT item_id) AS n_items,
+           string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+    FROM met GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
+    "op8_decontaminate": OP8_SQL,
 }
