@@ -31,7 +31,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back (cuts lineage)."""
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``; nothing may read it, or frames made of it, afterwards."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import stored
+from eventlens.llm.common import discard, stored
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-        edges = stored(small, "component-links")
+        done, edges = edges, stored(small, "component-links")
+        discard(done)
         before, state = state, _sum(edges)
         if state == before:
             break

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.llm.byte_bpe import encode_rows
+from eventlens.llm.chat import fold_events, read_back, render
 from eventlens.llm.common import remainder, table
 from eventlens.llm.decontaminate import contamination
 from eventlens.llm.exact_dedup import exact_groups
 from eventlens.llm.langid import fit_language_model, language_column, training_rows
 from eventlens.llm.simhash import simhash_components
+from eventlens.llm.token_counts import token_counts
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +40,28 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, rendered and read back."""
+    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], log.schema
+    )
+    events = log.unionByName(extra).select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.lit(None).cast("string").alias("msg"),
+        F.lit("message").alias("kind"), "role", "text",
+    )
+    back = read_back(render(fold_events(events)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        F.col("conv").alias("conv_id"),
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     rows = simhash_components(table(spark, sf_dir, "documents"))
@@ -44,6 +70,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents through a digest cache."""
+    rows = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark contamination of every document by winnowing."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,6 +89,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with byte-level BPE and decoded again."""
+    rows = encode_rows(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 OP4_SQL = r"""
 WITH n AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -69,6 +111,29 @@ SELECT doc_id,
 FROM n
 """
 
+#: Every column but ``formatted_chars`` restated; that one is the template's own length, so it is spelled out here.
+OP5_SQL = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), g AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
+           coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+           CAST(sum(length(role) + length(text) + 16
+               + (length(text) - length(replace(text, '\', '')))
+               + (length(text) - length(replace(text, '[INST]', '12345')))
+               + (length(text) - length(replace(text, '[/INST]', '123456')))
+               + (length(text) - length(replace(text, '<s>', '12')))
+               + (length(text) - length(replace(text, '</s>', '123')))) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, formatted_chars
+FROM g
+"""
+
 OP8_SQL = r"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, doc_id,
@@ -107,11 +172,15 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_simhash": op6_simhash,
+    "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
+    "op5_chat_format": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
 }
