@@ -188,7 +188,7 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     """One row per input row: ``id, n_tokens, ids_sha256, decoded_sha256``.
 
     The digests are of the decimal ids joined by commas, and of the bytes they
-    decode to. With ``with_ids`` also ``ids`` and ``decoded``.
+    decode to. With ``with_ids`` also ``ids``.
     """
     spark = prepare(docs.sparkSession)
     ranks = read_ranks(ranks_path)  # a file of the driver, of fixed size
@@ -212,7 +212,7 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             yield group.row(arrow)
 
     out_schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (
-        ", ids array<int>, decoded binary" if with_ids else ""
+        ", ids array<int>" if with_ids else ""
     )
     out_arrow = _arrow_schema(spark, out_schema)
 
@@ -270,6 +270,5 @@ def _assembled(row: dict, ranks_of, schema: pa.Schema, with_ids: bool) -> Iterat
         out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
         if with_ids:
             out["ids"].append([i for c in numbers for w in chunk_own[c] for i in words[w]])
-            out["decoded"].append(decoded)
     for at in range(0, len(out["id"]), 1000):
         yield pa.RecordBatch.from_pydict({k: v[at : at + 1000] for k, v in out.items()}, schema=schema)

@@ -43,6 +43,20 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """``docs`` stored with a row number, and the name of that column (none of its own)."""
+    name = "row"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), purpose), name
+
+
+def only(rows: DataFrame, name: str, kept: DataFrame) -> DataFrame:
+    """The numbered rows whose number is in the only column of ``kept``, without the number."""
+    kept = kept.toDF(name)
+    return rows.join(kept, name, "left_semi").drop(name)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

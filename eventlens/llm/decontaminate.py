@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import prepare, stored
+from eventlens.llm.common import numbered, only, prepare, stored
 
 WINDOW = 13
 GRAM = 5
@@ -250,3 +250,10 @@ def contamination(
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that aren't contaminated, with their own columns."""
+    rows, row = numbered(docs, "decontaminate-input")
+    found = contamination(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text", **options)
+    return only(rows, row, found.filter("NOT contaminated").select("id"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import prepare, stored
+from eventlens.llm.common import numbered, only, prepare, stored
 
 #: Bits of the survivor filter: 65,536 words of 64 bits, 512 KB whatever the input.
 FILTER_BITS = 1 << 22
@@ -90,6 +90,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "exact-input")
-    rows = exact_groups(numbered.select(F.struct(id_col, "__row").alias("id"), F.col(text_col).alias("text")), "id", "text")
-    return numbered.join(rows.filter("kept").select("id.__row"), "__row", "left_semi").drop("__row")
+    rows, row = numbered(docs, "exact-input")
+    named = rows.select(F.struct(F.col(id_col), F.col(row).alias("row")).alias("id"), F.col(text_col).alias("text"))
+    return only(rows, row, exact_groups(named, "id", "text").filter("kept").select("id.row"))

@@ -277,3 +277,12 @@ def language_column(net: Network | None, text: Column) -> Column:
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows that may be learned from: four of five, by crc32 of the id."""
     return docs.filter(remainder(id_col, 5) != 0)
+
+
+def drop_unidentified(docs: DataFrame, net: Network | None, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The documents whose language is found (not ``und``) with at least ``min_score``, with their own columns."""
+    columns = docs.columns
+    prepare(docs.sparkSession)
+    found = language_column(net, F.col(text_col))
+    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("doc"), found.alias("found"))
+    return rows.filter((F.col("found.lang") != "und") & (F.col("found.score") >= min_score)).select("doc.*")

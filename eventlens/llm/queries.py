@@ -13,7 +13,10 @@ from eventlens.llm.chat import fold_events, read_back, render
 from eventlens.llm.common import remainder, table
 from eventlens.llm.decontaminate import contamination
 from eventlens.llm.exact_dedup import exact_groups
+from eventlens.llm.kneser_ney import quality
 from eventlens.llm.langid import fit_language_model, language_column, training_rows
+from eventlens.llm.license_scan import license_scan
+from eventlens.llm.pitman_yor import pitman_yor_scores
 from eventlens.llm.simhash import simhash_components
 from eventlens.llm.token_counts import token_counts
 
@@ -32,6 +35,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return license_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a model of six of seven of them."""
+    docs = table(spark, sf_dir, "documents")
+    rows = pitman_yor_scores(docs, docs.filter(remainder("doc_id", 7) != 2))
+    held_out = F.coalesce(remainder("id", 7) == 2, F.lit(False)).alias("held_out")
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
+    return rows.select(F.col("id").alias("doc_id"), held_out, *rows.columns[1:], perplexity)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents by progressively finer hashes."""
     rows = exact_groups(table(spark, sf_dir, "documents"), digests=True)
@@ -99,6 +116,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under trusted text, and whether its language's threshold keeps it."""
+    rows = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 OP4_SQL = r"""
 WITH n AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -171,12 +194,15 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
+    "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -41,6 +41,40 @@ def coarse_of(fine: np.ndarray) -> np.ndarray:
     return fine // FINE
 
 
+#: Classes of each level, from the data up: fine, coarse, and one without context.
+LEVEL_CLASSES = (CLASSES, int(coarse_of(np.array([CLASSES - 1]))[0]) + 1, 1)
+
+
+def levels(token_of: np.ndarray, class_of: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Rows of each level, from the data up, in token order: their token, their class, and their row a level up."""
+    coarse = coarse_of(class_of)
+    pair, parent = np.unique(token_of * LEVEL_CLASSES[1] + coarse, return_inverse=True)
+    tokens, above = np.unique(pair // LEVEL_CLASSES[1], return_inverse=True)
+    return (
+        [token_of, pair // LEVEL_CLASSES[1], tokens],
+        [class_of, pair % LEVEL_CLASSES[1], np.zeros(tokens.size, np.int64)],
+        [parent, above],
+    )
+
+
+def find_rows(level: int, row_token: np.ndarray, row_class: np.ndarray, token: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    """Row of each (token, class) at a level, -1 where there is none; unknown tokens are -1."""
+    rows = row_token * LEVEL_CLASSES[level] + row_class
+    if not rows.size:
+        return np.full(token.size, -1)
+    wanted = token * LEVEL_CLASSES[level] + class_of
+    place = np.minimum(np.searchsorted(rows, wanted), rows.size - 1)
+    return np.where((rows[place] == wanted) & (token >= 0), place, -1)
+
+
+def find_tokens(known: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Place of each token among the known ones (sorted), -1 for others."""
+    if not known.size:
+        return np.full(tokens.size, -1)
+    at = np.minimum(np.searchsorted(known, tokens), known.size - 1)
+    return np.where(known[at] == tokens, at, -1)
+
+
 def pack(*arrays) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
 
@@ -180,8 +214,8 @@ def score_texts(docs: DataFrame, models: DataFrame, score: Callable[[bytes | Non
             values = score(known, message)
             texts, at = np.unique(text, return_inverse=True)
             pair = np.repeat(np.arange(uses.size), uses.astype(np.int64))
-            sums = np.zeros((texts.size, width))
-            np.add.at(sums, at, values[pair] * count[:, None].astype(np.float64))
+            times = count.astype(np.float64)
+            sums = np.stack([np.bincount(at, values[pair, k] * times, texts.size) for k in range(width)], axis=1)
             answers.append(pack(narrow(texts), sums))
         return pd.DataFrame({"block": messages.block, "answer": answers, "ids": messages.ids, "n_tokens": messages.n_tokens})
 

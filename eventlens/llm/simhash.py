@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import popcount, prepare, shuffle_width, stored, word_lists
+from eventlens.llm.common import numbered, only, popcount, prepare, shuffle_width, stored, word_lists
 from eventlens.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -205,3 +205,11 @@ def simhash_components(
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stored(rooted.join(names, "root").select("fp", "component_id"), "simhash-names")
     return seen.join(named, "fp").select("id", "fp", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of each component the row with the smallest id (of those with it the first stored), with its own columns."""
+    rows, row = numbered(docs, "simhash-input")
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = simhash_components(rows.select(name.alias("id"), F.col(text_col).alias("text")), "id", "text", **options)
+    return only(rows, row, found.filter("id = component_id").select("id.row"))
