@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import prepare
 
-GROUP_CHARS = 12_000_000
+GROUP_CHARS = 32_000_000
 FOLD_BYTES = 256
 BUCKETS = 1 << 16
 
@@ -65,31 +65,48 @@ def _literals(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     return spark.createDataFrame([row], "bytes array<int>, pairs array<map<bigint, int>>, tokens array<binary>")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fold_merges(word: Column, byte_ids: Column, pairs: Column) -> Column:
-    """Ids of a word given as an array of byte values."""
+    """Ids of a word given as an array of byte values.
+
+    The state holds the ids and the ranks of their neighbouring pairs; a merge
+    replaces two ids and looks up the two pairs that the new one makes.
+    """
+    none = F.array().cast("array<int>")
 
     def rank(a: Column, b: Column) -> Column:
-        return F.get(pairs, F.pmod(a * 31 + b * 17, F.lit(BUCKETS)))[F.shiftleft(a.cast("bigint"), 20) + b]
+        bucket = F.get(pairs, (a * 31 + b * 17).bitwiseAND(BUCKETS - 1))
+        return bucket[F.shiftleft(a.cast("bigint"), 20).bitwiseOR(b.cast("bigint"))]
 
     def step(state: Column, _: Column) -> Column:
-        ids = state["ids"]
-        ranks = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), rank)
+        ids, ranks = state["ids"], state["ranks"]
+
+        def merge(least: Column) -> Column:
+            def merged(at: Column) -> Column:
+                before = F.when(at > 1, F.array(rank(F.get(ids, at - 2), least))).otherwise(none)
+                after = F.when(at + 1 < F.size(ids), F.array(rank(least, F.get(ids, at + 1)))).otherwise(none)
+                return F.struct(
+                    F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+                    F.concat(
+                        F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, F.size(ids))
+                    ).alias("ranks"),
+                )
+
+            return F.when(least.isNull(), state).otherwise(_let(F.array_position(ranks, least).cast("int"), merged))
 
-        def merge(found: Column) -> Column:
-            least = F.array_min(found)
-            at = F.array_position(found, least).cast("int")
-            merged = F.concat(
-                F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))
-            )
-            return F.when(least.isNull(), F.struct(ids.alias("ids"), F.lit(False).alias("open"))).otherwise(
-                F.struct(merged.alias("ids"), (F.size(ids) > 2).alias("open"))
-            )
+        return _let(F.array_min(ranks), merge)
 
-        return F.when(state["open"], F.transform(F.array(ranks), merge)[0]).otherwise(state)
+    def start(ids: Column) -> Column:
+        tail = F.size(ids) - 1
+        return F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), tail), F.slice(ids, F.lit(2), tail), rank).alias("ranks"))
 
+    steps = F.array_repeat(F.lit(0), F.size(word) - 1)
     first = F.transform(word, lambda b: F.get(byte_ids, b))
-    start = F.struct(first.alias("ids"), (F.size(word) > 1).alias("open"))
-    return F.aggregate(F.array_repeat(F.lit(0), F.size(word) - 1), start, step, lambda s: s["ids"])
+    return F.when(F.size(word) < 2, first).otherwise(F.aggregate(steps, _let(first, start), step, lambda s: s["ids"]))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -241,11 +258,11 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
 
 def _assembled(row: dict, ranks_of, schema: pa.Schema, with_ids: bool) -> Iterator[pa.RecordBatch]:
     ints = lambda name: np.frombuffer(row[name][0].as_py(), np.int32)
-    word_ids = row["encoded"].values
+    word_ids = row["encoded"].flatten()  # of this row alone; .values would be of the whole batch
     numbers = word_ids.flatten().to_pylist()
     ends = np.concatenate([[0], np.cumsum(word_ids.value_lengths().to_numpy())]).tolist()
     words = [numbers[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-    pieces = row["decoded"].values.to_pylist()
+    pieces = row["decoded"].flatten().to_pylist()
     for at, word in enumerate(row["long"][0].as_py()):
         if word is not None:
             words[at] = merge_long(word, ranks_of.value)
