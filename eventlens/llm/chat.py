@@ -45,7 +45,7 @@ def _java(text: str) -> str:
 
 
 def escape(text: Column) -> Column:
-    doubled = F.regexp_replace(text, r"\\", r"\\\\\\\\")
+    doubled = F.regexp_replace(text, r"\\", r"\\\\")
     inside = "|".join(f"{_java(s[0])}(?={_java(s[1:])})" for s in CONTROL)
     return F.regexp_replace(doubled, f"({inside})", r"$1\\")
 

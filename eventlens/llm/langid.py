@@ -34,6 +34,7 @@ PAD = 256
 #: Documents of each language and windows of each document that training may read.
 SAMPLE_DOCS = 300
 SAMPLE_WINDOWS = 6
+STEPS = 300
 #: Windows that are read side by side.
 LANES = 4096
 
@@ -141,17 +142,17 @@ def _back_through_time(d: Direction, symbols: np.ndarray, saved: list, error: np
 
 
 def train(
-    windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 5, batch: int = 256,
+    windows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = STEPS, batch: int = 256,
     rate: float = 0.01, hidden: int = HIDDEN, seed: int = 7,
 ) -> Network:
-    """Adam on the cross entropy of every position that isn't padding."""
+    """Adam on the cross entropy of every position that isn't padding, in ``steps`` batches whatever the sample's size."""
     rng = np.random.default_rng(seed)
     net = _new_network(languages, rng, hidden)
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in net.parameters()]
-    step, steps = 0, epochs * -(-len(windows) // batch)
-    for _ in range(epochs):
+    step = 0
+    while step < steps:
         order = rng.permutation(len(windows))
-        for at in range(0, len(order), batch):
+        for at in range(0, len(order), batch)[: steps - step]:
             own = order[at : at + batch]
             symbols = np.ascontiguousarray(windows[own].T)
             ahead = list(_steps(net.forward, symbols, True))

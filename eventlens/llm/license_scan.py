@@ -93,14 +93,14 @@ def blocks_of(text: str) -> list[list[tuple[int, str]]]:
 def _prepared() -> list[tuple[str, frozenset, list[str], zstandard.ZstdCompressor]]:
     out = []
     for name, telling, notice in TEMPLATES:
-        dictionary = zstandard.ZstdCompressionDict(notice.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary = zstandard.ZstdCompressionDict(notice.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         out.append((name, frozenset(telling.split()), words_of(notice), zstandard.ZstdCompressor(level=9, dict_data=dictionary)))
     return out
 
 
 def reductions(block: str) -> list[tuple[float, int]]:
     """Share of the compressed size that each template saves, best first."""
-    data = block.encode()
+    data = " ".join(block.lower().split()).encode()
     alone = len(zstandard.ZstdCompressor(level=9).compress(data))
     saved = [(1 - len(c.compress(data)) / alone, i) for i, (_, _, _, c) in enumerate(_prepared())]
     return sorted(saved, key=lambda x: (-x[0], x[1]))

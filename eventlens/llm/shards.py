@@ -32,7 +32,7 @@ COARSE, FINE = 8, 8
 CLASSES = COARSE * FINE + 1
 SUFFIX_BYTES = 2
 #: Characters of the texts that one block packs.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 5_000_000
 END = np.uint64(0)
 
 
