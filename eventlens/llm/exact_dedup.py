@@ -91,5 +91,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     rows, row = numbered(docs, "exact-input")
-    named = rows.select(F.struct(F.col(id_col), F.col(row).alias("row")).alias("id"), F.col(text_col).alias("text"))
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    named = rows.select(name.alias("id"), F.col(text_col).alias("text"))
     return only(rows, row, exact_groups(named, "id", "text").filter("kept").select("id.row"))
