@@ -1,6 +1,6 @@
 """Command line: the audited app's requests, answered by Spark, printed as JSON.
 
-    python -m eventlens data      --paths P... --start 2025-11-01 --end 2025-11-30 [--limit 100]
+    python -m eventlens data      --paths P... --start 2025-11-01 --end 2025-11-30 [--out DIR | --page 1 --page-size 100]
     python -m eventlens query     --paths P... --start ... --end ... --body '{"filters": {...}, "page": 2}'
                                   [--chart-field username]
     python -m eventlens columns   --paths P... --start ... --end ... [--columns a b]
@@ -23,15 +23,14 @@ from eventlens.dataset import EventSet
 from eventlens.functions.time import default_range, iso_string
 from eventlens.operators.filters import FilterSpec
 from eventlens.plans.request import QueryRequest, run_request
-from eventlens.schema import COLUMN_LABELS, EVENT_SCHEMA, TIME_COLUMN
+from eventlens.schema import COLUMN_LABELS, TIME_COLUMN
 from eventlens.session import build_session
+from eventlens.sources.sinks import export_path, write_parquet
 
 
-def _rows(df, limit: int | None = None) -> list[dict]:
+def _rows(df) -> list[dict]:
     if TIME_COLUMN in df.columns and dict(df.dtypes)[TIME_COLUMN] == "bigint":
         df = df.withColumn(TIME_COLUMN, iso_string(TIME_COLUMN))
-    if limit is not None:
-        df = df.limit(limit)
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
@@ -60,7 +59,10 @@ def _facets_json(values_df, counts_df=None) -> dict:
 
 def cmd_data(spark, args) -> dict:
     ev = _events(spark, args)
-    return {"data": _rows(ev.rows, args.limit), "total": ev.total()}
+    if args.out:  # every row, to files
+        return {"path": write_parquet(ev.rows, export_path(args.out, "parquet")), "total": ev.total()}
+    page = ev.page(page=args.page, page_size=args.page_size)
+    return {"data": _rows(page.rows), "total": page.total, "page": page.page, "pageSize": page.page_size}
 
 
 def cmd_query(spark, args) -> dict:
@@ -87,24 +89,24 @@ def cmd_columns(spark, args) -> dict:
 def cmd_filtered_columns(spark, args) -> dict:
     ev = _events(spark, args)
     panel = ev.facet_panel(FilterSpec.from_request(json.loads(args.body or "{}")), args.columns, approx=args.approx)
-    return {"columns": _facets_json(panel.values, panel.counts)}
+    columns = _facets_json(panel.values, panel.counts)
+    types = {m["name"]: m["type"] for m in ev.column_metadata()}
+    return {"columns": {c: {"type": types[c], **found} for c, found in columns.items()}}
 
 
 def cmd_download(spark, args) -> dict:
     ev = _events(spark, args)
     spec = FilterSpec.from_request(json.loads(args.body or "{}"))
-    from eventlens.sources.sinks import export_path
-
     path = export_path(args.out, args.format)
     write = ev.export_csv if args.format == "csv" else ev.export_parquet
     return {"path": write(spec, path, single_file=args.single_file)}
 
 
 def cmd_sync(spark, args) -> dict:
-    from eventlens.streaming.refresh import refresh
+    from eventlens.streaming.refresh import landing_schema, refresh
 
-    return refresh(spark, args.landing, args.table, args.checkpoint, EVENT_SCHEMA,
-                   recursive=args.recursive).as_dict()
+    schema = landing_schema(spark, args.landing, args.recursive)
+    return refresh(spark, args.landing, args.table, args.checkpoint, schema, recursive=args.recursive).as_dict()
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -120,7 +122,10 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--merge-schema", action="store_true")
         return p
 
-    ranged("data").add_argument("--limit", type=int, default=100)
+    rows = ranged("data")
+    rows.add_argument("--out", default=None, help="folder for all rows; without it one sorted page is printed")
+    rows.add_argument("--page", type=int, default=1)
+    rows.add_argument("--page-size", type=int, default=None)
     q = ranged("query")
     q.add_argument("--body", default="{}")
     q.add_argument("--chart-field", default=None)

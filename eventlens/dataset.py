@@ -20,8 +20,8 @@ from eventlens.operators import paging as _paging
 from eventlens.operators import projection as _projection
 from eventlens.operators import timeseries as _timeseries
 from eventlens.operators.filters import FilterSpec, apply_filters
-from eventlens.plans.sql import sql_frame
-from eventlens.schema import DEFAULT_PAGE_SIZE, DEFAULT_VIEW, FACET_VALUE_CAP, TOP_N_VALUES, ViewConfig
+from eventlens.plans.sql import has_order_by, sql_frame
+from eventlens.schema import DEFAULT_VIEW, ViewConfig
 from eventlens.sources import sinks
 from eventlens.sources.parquet import EventSource, column_metadata, frame_source, parquet_source
 from eventlens.session import ensure_conf, scratch_path
@@ -79,7 +79,7 @@ class EventSet:
         return self.rows.columns
 
     def column_metadata(self) -> list[dict]:
-        return column_metadata(self.rows)
+        return column_metadata(self.rows, self.view.labels)
 
     # -- filter mode (P*, A1, O*) ----------------------------------------------
 
@@ -95,24 +95,31 @@ class EventSet:
         self,
         spec: FilterSpec | None = None,
         page: int = 1,
-        page_size: int = DEFAULT_PAGE_SIZE,
+        page_size: int | None = None,
         sort_column: str | None = None,
         sort_order: str | None = None,
     ) -> _paging.PageResult:
         """Total + one page (deep pages use the seek strategies)."""
-        return _paging.fetch_page(self.filtered(spec), page, page_size, sort_column, sort_order,
-                                  (self.lo_ns, self.hi_ns))
+        return _paging.fetch_page(self.filtered(spec), page, page_size or self.view.page_size,
+                                  *self.order(sort_column, sort_order), (self.lo_ns, self.hi_ns))
+
+    def order(self, sort_column: str | None, sort_order: str | None) -> tuple[str, str]:
+        """The sort asked for, with the view's defaults where it says nothing."""
+        return sort_column or self.view.sort_column, sort_order or self.view.sort_order
 
     def page_after(
         self,
         last: dict | None,
         spec: FilterSpec | None = None,
-        page_size: int = DEFAULT_PAGE_SIZE,
+        page_size: int | None = None,
         sort_column: str | None = None,
         sort_order: str | None = None,
+        seen: int = 0,
     ) -> DataFrame:
-        """Keyset paging: the rows after ``last`` (previous page's last row)."""
-        return _paging.page_after(self.filtered(spec), last, page_size, sort_column, sort_order)
+        """Keyset paging: the rows after ``last`` (previous page's last row), of
+        whose equals ``seen`` have been shown (see ``paging.next_cursor``)."""
+        return _paging.page_after(self.filtered(spec), last, page_size or self.view.page_size,
+                                  *self.order(sort_column, sort_order), seen=seen)
 
     # -- charts (A2-A6) ----------------------------------------------------------
 
@@ -125,15 +132,16 @@ class EventSet:
         field: str,
         spec: FilterSpec | None = None,
         unit: str | None = None,
-        top_n: int = TOP_N_VALUES,
+        top_n: int | None = None,
     ) -> DataFrame:
-        """Top-N + "Other" series over time; aggregates now (checkpoint), see
+        """Top-N + "Other" series over time; aggregates now, see
         :func:`eventlens.operators.breakdown.breakdown`."""
+        top_n = self.view.top_n if top_n is None else top_n
         return _breakdown.breakdown(self.filtered(spec), field, self.start, self.end, unit, top_n)
 
-    def top_values(self, field: str, spec: FilterSpec | None = None, n: int = TOP_N_VALUES) -> DataFrame:
+    def top_values(self, field: str, spec: FilterSpec | None = None, n: int | None = None) -> DataFrame:
         """The ``n`` most frequent labels of ``field``."""
-        return _breakdown.top_values(self.filtered(spec), field, n)
+        return _breakdown.top_values(self.filtered(spec), field, self.view.top_n if n is None else n)
 
     # -- facets (A7-A9, P11) -----------------------------------------------------
     #
@@ -148,45 +156,48 @@ class EventSet:
             return list(columns)
         return self.view.filterable(self.columns) or _facets.target_columns(self.rows, None)
 
-    def column_values(self, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP,
+    def column_values(self, columns: Sequence[str] | None = None, cap: int | None = None,
                       prelimit: bool = False) -> DataFrame:
-        """Each column's first 1000 distinct values (no filters)."""
-        return _facets.column_values(self.rows, self.facet_columns(columns), cap, prelimit)
+        """Each column's first distinct values (no filters), as many as the view's cap."""
+        return _facets.column_values(self.rows, self.facet_columns(columns), cap or self.view.facet_cap, prelimit)
 
     def facets(
-        self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP,
+        self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None, cap: int | None = None,
         prelimit: bool = False,
     ) -> DataFrame:
         """Cascading facet values; ``prelimit=True`` for high-cardinality columns
         (per-task cut before the shuffle, same result)."""
+        cap = cap or self.view.facet_cap
         return _facets.facet_values(self.rows, spec, self.facet_columns(columns), cap, prelimit=prelimit)
 
     def facet_counts(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None,
                      approx: bool = False) -> DataFrame:
         """Available vs total distinct values per column, with the panel label."""
-        return _facets.facet_counts(self.rows, spec, self.facet_columns(columns), approx=approx)
+        return _facets.facet_counts(self.rows, spec, self.facet_columns(columns), self.view.facet_cap, approx=approx)
 
     def facet_panel(self, spec: FilterSpec | None = None, columns: Sequence[str] | None = None,
-                    cap: int = FACET_VALUE_CAP, approx: bool = False) -> _facets.FacetPanel:
-        """Cascading values and "(a of m)" counts together, from one scan
+                    cap: int | None = None, approx: bool = False) -> _facets.FacetPanel:
+        """Cascading values and "(a of m)" counts together
         (``approx=True``: exact values via the per-task cut, estimated counts)."""
+        cap = cap or self.view.facet_cap
         return _facets.facet_panel(self.rows, spec, self.facet_columns(columns), cap, approx=approx)
 
     def value_search(self, column: str, term: str, spec: FilterSpec | None = None) -> DataFrame:
         """Facet values of ``column`` containing ``term`` (case-insensitive)."""
-        return _facets.value_search(self.rows, column, term, spec)
+        return _facets.value_search(self.rows, column, term, spec, self.view.facet_cap)
 
     # -- display and export (J*, K*) -----------------------------------------
 
-    def table_view(self, spec: FilterSpec | None = None, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE,
+    def table_view(self, spec: FilterSpec | None = None, page: int = 1, page_size: int | None = None,
                    sort_column: str | None = None, sort_order: str | None = None) -> DataFrame:
         """One page, projected for display (titles, display time, hidden columns out)."""
-        rows = _paging.page_rows(self.filtered(spec), page, page_size, sort_column, sort_order)
-        return _projection.table_view(rows)
+        rows = _paging.page_rows(self.filtered(spec), page, page_size or self.view.page_size,
+                                 *self.order(sort_column, sort_order))
+        return _projection.table_view(rows, self.view)
 
     def export_frame(self, spec: FilterSpec | None = None) -> DataFrame:
         """Rows passing ``spec`` as exported: ISO time, hidden columns out, labelled."""
-        return _projection.export_frame(self.filtered(spec))
+        return _projection.export_frame(self.filtered(spec), self.view)
 
     def export_csv(self, spec: FilterSpec | None = None, path: str | None = None, single_file: bool = False) -> str:
         """Write the export as a CSV folder (default: a new path in the shared folder)."""
@@ -208,18 +219,29 @@ class EventSet:
         self,
         text: str,
         page: int = 1,
-        page_size: int = DEFAULT_PAGE_SIZE,
+        page_size: int | None = None,
         sort_column: str | None = None,
         sort_order: str | None = None,
         raw: bool = False,
     ) -> _paging.PageResult:
-        """Count and page a SQL result. The user's ORDER BY is kept unless a sort
-        column is given and present in the result."""
+        """Count and page a SQL result.
+
+        A query with its own ORDER BY keeps it. Others are sorted by
+        ``sort_column``, or the view's default, if the result has it (newest
+        first by default), else by all their columns, so that pages agree.
+        """
+        page_size = page_size or self.view.page_size
         df = self.sql(text, raw)
         total = df.count()
-        if sort_column and sort_column in df.columns:
-            # Deep pages get the same far-end / seek strategies as filter mode.
-            return _paging.page_result(df, total, page, page_size, sort_column, sort_order)
+        column = sort_column or self.view.sort_column
+        if not has_order_by(text):
+            if column not in df.columns:
+                column = _paging.sortable_columns(df)[0] if _paging.sortable_columns(df) else None
+                sort_order = "ASC"
+            if column is not None:
+                # Deep pages get the same far-end / seek strategies as filter mode.
+                order = sort_order or self.view.sort_order
+                return _paging.page_result(df, total, page, page_size, column, order)
         page = _paging.clamp_page(total, page, page_size)
         start, end = _paging.page_bounds(total, page, page_size)
         offset = (page - 1) * page_size

@@ -8,6 +8,8 @@ ordinary file paths (D5):
   outside a character class becomes ``\\z``.
 * RE2 ``.`` matches ``\\r`` and U+2028; Java's does not unless UNIX_LINES
   is on, so the pattern is prefixed with ``(?d)``.
+* In a class, RE2 takes ``[`` and ``&`` as members; Java would nest or
+  intersect, so both are escaped there.
 * RE2-only spellings become Java's: ``(?P<name>`` -> ``(?<name>`` and
   bracket classes ``[[:digit:]]`` -> ``[\\p{Digit}]``.
 
@@ -61,7 +63,7 @@ def to_java_regex(pattern: str) -> str:
     rewrite_dollar = _MULTILINE_FLAG.search(pattern) is None
     out: list[str] = []
     i, n = 0, len(pattern)
-    class_depth = 0
+    in_class = False
     while i < n:
         ch = pattern[i]
         if pattern.startswith("\\Q", i):
@@ -75,7 +77,7 @@ def to_java_regex(pattern: str) -> str:
             out.append(pattern[i : i + 2])
             i += 2
             continue
-        if class_depth:
+        if in_class:
             m = _POSIX.match(pattern, i)
             if m and m.group(2) in POSIX_CLASSES:
                 java = POSIX_CLASSES[m.group(2)]
@@ -84,15 +86,12 @@ def to_java_regex(pattern: str) -> str:
                 out.append(java)
                 i = m.end()
                 continue
-            if ch == "[":
-                class_depth += 1
-            elif ch == "]":
-                class_depth -= 1
-            out.append(ch)
+            in_class = ch != "]"
+            out.append("\\" + ch if ch in "[&" else ch)
             i += 1
             continue
         if ch == "[":
-            class_depth = 1
+            in_class = True
             out.append(ch)
             i += 1
             # A ']' right after '[' or '[^' is a literal member of the class.
@@ -117,6 +116,7 @@ def to_java_regex(pattern: str) -> str:
 
 # Patterns java.util.regex already compiled (validity depends on nothing else).
 _VALID: set[str] = set()
+_VALID_MOST = 10_000
 
 
 def validate_patterns(spark: SparkSession, patterns: list[str]) -> None:
@@ -132,6 +132,8 @@ def validate_patterns(spark: SparkSession, patterns: list[str]) -> None:
         return
     try:
         spark.range(0).select(*[F.lit("").rlike(p) for p in patterns]).collect()
+        if len(_VALID) > _VALID_MOST:
+            _VALID.clear()
         _VALID.update(patterns)
         return
     except Exception:  # noqa: BLE001 - find which pattern failed below

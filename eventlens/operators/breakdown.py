@@ -1,21 +1,17 @@
 """Breakdown over time (A3-A6, N2, F8): top-N labels of a field + "Other", zero-filled.
 
-Plan (one scan, one wide shuffle):
-
-1. rows -> ``(bucket_start, label)`` -> partial+final count: ``g``. Its
-   size is (buckets x distinct labels) at most, independent of row count,
-   and a hot label costs one row per task thanks to the map-side combine.
-   ``g`` feeds three branches, so it is checkpointed once (the only scan
-   of the events); every later step reads the small checkpoint.
-2. label totals from ``g`` -> top N by count desc, label asc
-   (``TakeOrderedAndProject``; exactly N rows, safe to broadcast).
-3. ``g`` left-join top N -> series = label or "Other" -> re-aggregate.
-4. each series row generates its own axis (``explode(sequence)``), so the
-   zero-filled grid needs no cross join, then left-joins the counts.
+Plan (two scans, no shuffle that grows with the number of labels x buckets):
+
+1. label totals -> top N by count desc, label asc (``TakeOrderedAndProject``;
+   exactly N rows, safe to broadcast).
+2. rows -> series (their label if it is in the top N, else "Other") and bucket
+   -> partial + final count, stored once: at most (N + 1) x buckets rows.
+3. each series row generates its own axis, so the zero-filled grid needs no
+   cross join, then left-joins the counts.
 
 "Other" exists only when there are more than N distinct labels, which
-is exactly when some label of ``g`` misses the top N. A real value
-spelled "Other" stays a separate series (``is_other`` = false).
+is exactly when some row misses the top N. A real value spelled "Other"
+stays a separate series (``is_other`` = false).
 """
 
 from __future__ import annotations
@@ -61,37 +57,33 @@ def distinct_labels(rows: DataFrame, field: str) -> DataFrame:
     return label_totals(rows, field).agg(F.count(F.lit(1)).alias("distinct_labels"))
 
 
-def bucket_label_counts(rows: DataFrame, field: str, spine: Spine) -> DataFrame:
-    """``bucket_start, label, n``: the only part of a breakdown that reads the rows."""
-    return (
-        with_bucket(labelled(rows, field), spine.unit)
-        .groupBy("bucket_start", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
+def series_counts(rows: DataFrame, field: str, spine: Spine, top_n: int = TOP_N_VALUES) -> DataFrame:
+    """``bucket_start, series, is_other, series_rank, event_count``, stored once.
 
-def breakdown_from_counts(g: DataFrame, spine: Spine, top_n: int = TOP_N_VALUES) -> DataFrame:
-    """Top-N + Other series, zero-filled over the axis, from (bucket, label) counts.
-
-    ``g`` is read by three branches; pass a materialized (checkpointed) frame.
+    The only part of a breakdown that reads the rows, twice: for the top
+    labels, and for the counts. Labels are mapped to their series (a broadcast
+    of ``top_n`` rows) before rows are counted, so a task sends at most
+    ``top_n + 1`` rows a bucket, and the stored result is as small.
     """
     if top_n <= 0:
         raise ValueError("top_n must be positive")
-    totals = g.groupBy("label").agg(F.sum("n").alias("event_count"))
-    top = top_labels(totals, top_n).select("label", "series_rank")
-    mapped = g.join(F.broadcast(top), "label", "left").select(
-        "bucket_start",
-        F.coalesce(F.col("series_rank"), F.lit(top_n + 1).cast("long")).alias("series_rank"),
-        F.col("series_rank").isNull().alias("is_other"),
-        F.when(F.col("series_rank").isNull(), F.lit(OTHER_LABEL)).otherwise(F.col("label")).alias("series"),
-        "n",
+    top = top_labels(label_totals(rows, field), top_n).select("label", "series_rank")
+    mapped = with_bucket(labelled(rows, field), spine.unit).join(F.broadcast(top), "label", "left")
+    other = F.col("series_rank").isNull()
+    return materialize(
+        mapped.groupBy(
+            "bucket_start",
+            F.when(other, F.lit(OTHER_LABEL)).otherwise(F.col("label")).alias("series"),
+            other.alias("is_other"),
+            F.coalesce("series_rank", F.lit(top_n + 1).cast("long")).alias("series_rank"),
+        ).agg(F.count(F.lit(1)).alias("event_count"))
     )
+
+
+def breakdown_from_counts(counts: DataFrame, spine: Spine, top_n: int = TOP_N_VALUES) -> DataFrame:
+    """Top-N + Other series, zero-filled over the axis, from :func:`series_counts`."""
     keys = ["bucket_start", "series", "is_other", "series_rank"]
-    counts = mapped.groupBy(*keys).agg(F.sum("n").alias("event_count"))
-    series = counts.select("series", "is_other", "series_rank").distinct()
-    grid = series.select(
-        "series", "is_other", "series_rank", F.explode(spine.sequence()).alias("bucket_start")
-    )
+    grid = spine.axis(counts.select(*keys[1:]).distinct())
     bound = (spine.size + 1) * (top_n + 1)
     joined = grid.join(maybe_broadcast(counts, bound), keys, "left")
     return finish_buckets(joined, spine.unit).select(
@@ -114,12 +106,9 @@ def breakdown(
 ) -> DataFrame:
     """``bucket, bucket_ms, series, is_other, series_rank, event_count`` (zero-filled).
 
-    Eager in one respect: the (bucket, label) aggregate is computed and
-    checkpointed when this is called (the only pass over the rows); the
-    returned DataFrame reads that checkpoint.
+    Eager in one respect: the counts are computed and stored when this is
+    called; the returned DataFrame reads those, at most ``top_n + 1`` rows a
+    bucket.
     """
-    if top_n <= 0:
-        raise ValueError("top_n must be positive")
     spine = Spine.for_range(start, end, unit)
-    g = materialize(bucket_label_counts(rows, field, spine))
-    return breakdown_from_counts(g, spine, top_n)
+    return breakdown_from_counts(series_counts(rows, field, spine, top_n), spine, top_n)

@@ -42,7 +42,6 @@ from pyspark.sql.types import (
 
 from eventlens.operators.filters import FilterSpec, column_predicates, qcol
 from eventlens.schema import FACET_VALUE_CAP, TIME_COLUMN
-from eventlens.session import materialize
 
 
 def _sort_keys(c: Column, dtype: DataType) -> tuple[Column, Column]:
@@ -189,12 +188,17 @@ def column_values(
     return facet_values(rows, None, columns, cap, prelimit=prelimit)
 
 
+def _target_rows(rows: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """``column_name`` of each target, so that columns without a value are listed too."""
+    return rows.sparkSession.createDataFrame([(c,) for c in targets], "column_name string")
+
+
 def column_metadata_values(
     rows: DataFrame, columns: Sequence[str] | None = None, cap: int = FACET_VALUE_CAP,
     labels: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Column metadata with its values, one row per (column, value):
-    ``column_name, data_type, label, value, value_rank``."""
+    """Column metadata with its values, one row per (column, value), one with a
+    null value for a column without any: ``column_name, data_type, label, value, value_rank``."""
     from eventlens.functions.text import column_label
 
     targets = target_columns(rows, columns)
@@ -202,7 +206,7 @@ def column_metadata_values(
         *[x for c in targets for x in (F.lit(c), F.lit(rows.schema[c].dataType.simpleString()))]
     )
     names = F.create_map(*[x for c in targets for x in (F.lit(c), F.lit(column_label(c, labels)))])
-    values = facet_values(rows, None, targets, cap)
+    values = _target_rows(rows, targets).join(facet_values(rows, None, targets, cap), "column_name", "left")
     return values.select(
         "column_name",
         meta[F.col("column_name")].alias("data_type"),
@@ -223,7 +227,7 @@ def facet_counts(
 ) -> DataFrame:
     """``column_name, available_values, total_values, count_label`` in one pass.
 
-    Counts are exact; ``count_label`` uses lists capped at ``cap`` like a
+    Every target has a row, also one without a value. Counts are exact; ``count_label`` uses lists capped at ``cap`` like a
     filter panel does: ``(a of m)`` when fewer are available, else ``(m)``.
     ``approx=True`` estimates both counts with HyperLogLog++ (relative
     standard deviation ``rsd``), so no distinct value crosses the shuffle;
@@ -237,9 +241,14 @@ def facet_counts(
             F.approx_count_distinct(F.when(F.col("ok"), F.col("value")), rsd).alias("available_values"),
             F.approx_count_distinct("value", rsd).alias("total_values"),
         )
-        return _labels_from_counts(per_column, cap)
-    per_value = ex.groupBy("column_name", "value").agg(F.max(F.col("ok").cast("int")).alias("avail"))
-    return _count_labels(per_value, cap)
+    else:
+        per_value = ex.groupBy("column_name", "value").agg(F.max(F.col("ok").cast("int")).alias("avail"))
+        per_column = per_value.groupBy("column_name").agg(
+            F.sum("avail").cast("long").alias("available_values"),
+            F.count(F.lit(1)).alias("total_values"),
+        )
+    every = _target_rows(rows, target_columns(rows, columns)).join(per_column, "column_name", "left")
+    return _labels_from_counts(every.fillna(0, ["available_values", "total_values"]), cap)
 
 
 def _capped_values(per_value: DataFrame, cap: int) -> DataFrame:
@@ -252,14 +261,6 @@ def _capped_values(per_value: DataFrame, cap: int) -> DataFrame:
     )
 
 
-def _count_labels(per_value: DataFrame, cap: int) -> DataFrame:
-    per_column = per_value.groupBy("column_name").agg(
-        F.sum("avail").cast("long").alias("available_values"),
-        F.count(F.lit(1)).alias("total_values"),
-    )
-    return _labels_from_counts(per_column, cap)
-
-
 def _labels_from_counts(per_column: DataFrame, cap: int) -> DataFrame:
     a = F.least(F.col("available_values"), F.lit(cap))
     m = F.least(F.col("total_values"), F.lit(cap))
@@ -285,28 +286,19 @@ def facet_panel(
     validate: bool = True,
     approx: bool = False,
 ) -> FacetPanel:
-    """Values *and* counts of a filter panel from one scan and one shuffle.
+    """Values *and* counts of a filter panel, each lazy and from its own scan.
 
-    The per-(column, value) aggregate carries an "available" flag; it is
-    checkpointed once and both outputs are served from it (instead of one
-    scan for the values and another for the counts).
+    The distinct values of a column can be as many as the rows, so they are
+    not stored between the two.
 
     ``approx=True`` is the mode for high-cardinality columns: values through
-    the exact per-task cut (``prelimit``), counts from HyperLogLog sketches.
-    Two scans, and no column's distinct values cross a shuffle.
+    the exact per-task cut (``prelimit``), counts from HyperLogLog sketches;
+    then no column's distinct values cross a shuffle.
     """
-    if approx:
-        return FacetPanel(
-            facet_values(rows, spec, columns, cap, validate, prelimit=True),
-            facet_counts(rows, spec, columns, cap, validate=False, approx=True),
-        )
-    ex = _exploded(rows, spec, columns, prefilter=False, validate=validate)
-    per_value = materialize(
-        ex.groupBy("column_name", "value", "sort_long", "sort_double").agg(
-            F.max(F.col("ok").cast("int")).alias("avail")
-        )
+    return FacetPanel(
+        facet_values(rows, spec, columns, cap, validate, prelimit=approx),
+        facet_counts(rows, spec, columns, cap, validate=False, approx=approx),
     )
-    return FacetPanel(_capped_values(per_value.where(F.col("avail") == 1), cap), _count_labels(per_value, cap))
 
 
 def value_search(

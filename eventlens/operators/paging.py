@@ -46,7 +46,8 @@ def sort_spec(df: DataFrame, column: str | None, order: str | None) -> list[tupl
     """Requested key + a deterministic tie-break, as ``(column, ASC|DESC)`` pairs.
 
     The tie-break is ``timestamp DESC, uuid ASC`` when those columns exist,
-    otherwise every remaining sortable column ascending.
+    then every remaining sortable column ascending: rows that still tie are
+    equal, so every strategy shows the same pages.
     """
     column = column or DEFAULT_SORT_COLUMN
     if column not in df.columns:
@@ -57,27 +58,27 @@ def sort_spec(df: DataFrame, column: str | None, order: str | None) -> list[tupl
         if name in df.columns and name not in used:
             spec.append((name, o))
             used.add(name)
-    if "uuid" not in used:
-        for f in df.schema.fields:
-            if f.name not in used and not isinstance(f.dataType, MapType):
-                spec.append((f.name, "ASC"))
-                used.add(f.name)
+    spec += [(name, "ASC") for name in sortable_columns(df) if name not in used]
     return spec
 
 
+def sortable_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+
+
 def sort_keys(df: DataFrame, column: str | None, order: str | None) -> list[Column]:
     """Sort expressions (nulls last either way) of :func:`sort_spec`."""
     return [_key(name, o) for name, o in sort_spec(df, column, order)]
 
 
-def seek_predicate(spec: list[tuple[str, str]], last: Mapping) -> Column:
-    """Rows strictly after ``last`` in the order ``spec`` (nulls last).
+def seek_predicate(spec: list[tuple[str, str]], last: Mapping, equal: bool = False) -> Column:
+    """Rows strictly after ``last`` in the order ``spec`` (nulls last), with ``equal`` also its equals.
 
     A redundant one-sided bound on the leading key (``key <= v`` for DESC,
     ``>=`` for ASC) is ANDed in front: it is implied by the exact condition
     but simple enough for Parquet statistics to skip row groups with it.
     """
-    pred = F.lit(False)
+    pred = F.lit(equal)
     for name, order in reversed(spec):
         c, v = qcol(name), last[name]
         if v is None:
@@ -100,22 +101,47 @@ def page_after(
     page_size: int = DEFAULT_PAGE_SIZE,
     sort_column: str | None = None,
     sort_order: str | None = None,
+    seen: int = 0,
 ) -> DataFrame:
     """Keyset page: the ``page_size`` rows following ``last`` (the previous page's
     last row; ``None`` for the first page).
 
+    ``last`` may leave out tie-break columns past ``timestamp`` and ``uuid``;
+    rows that equal it in the columns it has are then taken as shown. With
+    ``seen`` (see :func:`next_cursor`) it has all of them, and so many of its
+    equals have been shown; the page begins with the next one.
+
     Its cost does not grow with the page number, and when the first key is
     ``timestamp`` the seek condition is a range that reaches the Parquet scan.
     """
     spec = sort_spec(rows, sort_column, sort_order)
     if last is not None:
-        missing = [name for name, _ in spec if name not in last]
+        needed = spec if seen else [s for s in spec if s[0] in (spec[0][0], TIME_COLUMN, "uuid")] or spec
+        missing = [name for name, _ in needed if name not in last]
         if missing:
             raise ValueError(f"last row lacks sort key(s) {missing}")
-        rows = rows.where(seek_predicate(spec, last))
+        known = [s for s in spec if s[0] in last]
+        rows = rows.where(seek_predicate(known, last, equal=seen > 0))
+        if seen:
+            return rows.orderBy(*[_key(name, o) for name, o in spec]).offset(seen).limit(page_size)
     return rows.orderBy(*[_key(name, o) for name, o in spec]).limit(page_size)
 
 
+def next_cursor(page: list, previous: tuple[Mapping, int] | None = None) -> tuple[dict, int] | None:
+    """``last, seen`` for the page after the collected rows ``page``; ``previous``: the cursor it was read with."""
+    if not page:
+        return None
+    last = page[-1].asDict()
+    seen = 0
+    for row in reversed(page):
+        if row.asDict() != last:
+            break
+        seen += 1
+    if previous is not None and seen == len(page) and dict(previous[0]) == last:
+        seen += previous[1]
+    return last, seen
+
+
 def total_frame(rows: DataFrame) -> DataFrame:
     """One row: ``total`` = number of rows (no sort is planned under the count)."""
     return rows.agg(F.count(F.lit(1)).alias("total"))

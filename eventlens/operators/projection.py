@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from eventlens.functions.text import column_label, display_timestamp, title_label
 from eventlens.functions.time import iso_string
 from eventlens.operators.filters import qcol
-from eventlens.schema import COLUMN_LABELS, HIDDEN_COLUMNS, TABLE_COLUMN_ORDER, TIME_COLUMN
+from eventlens.schema import DEFAULT_VIEW, HIDDEN_COLUMNS, TABLE_COLUMN_ORDER, TIME_COLUMN, ViewConfig
 
 
 def drop_hidden(df: DataFrame, hidden=HIDDEN_COLUMNS) -> DataFrame:
@@ -30,11 +30,11 @@ def table_columns(columns: list[str], order=TABLE_COLUMN_ORDER, hidden=HIDDEN_CO
     return head + [c for c in columns if c not in order and c not in hidden]
 
 
-def export_frame(rows: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+def export_frame(rows: DataFrame, view: ViewConfig = DEFAULT_VIEW) -> DataFrame:
     """Export projection: ISO time text, hidden columns dropped, reordered, labelled."""
-    labels = labels or COLUMN_LABELS
-    df = drop_hidden(rows)
-    cols = ordered_columns(df.columns)
+    labels = view.labels
+    df = drop_hidden(rows, view.hidden_columns)
+    cols = ordered_columns(df.columns, view.column_order)
     return df.select(
         *[
             (iso_string(c) if c == TIME_COLUMN else qcol(c)).alias(labels.get(c, c))
@@ -43,12 +43,12 @@ def export_frame(rows: DataFrame, labels: dict[str, str] | None = None) -> DataF
     )
 
 
-def table_view(rows: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+def table_view(rows: DataFrame, view: ViewConfig = DEFAULT_VIEW) -> DataFrame:
     """Display projection of (usually one page of) rows: upper-cased titles, display time."""
-    cols = table_columns(rows.columns)
+    cols = table_columns(rows.columns, view.column_order, view.hidden_columns)
     return rows.select(
         *[
-            (display_timestamp(c) if c == TIME_COLUMN else qcol(c)).alias(title_label(c, labels))
+            (display_timestamp(c) if c == TIME_COLUMN else qcol(c)).alias(title_label(c, view.labels))
             for c in cols
         ]
     )

@@ -21,12 +21,11 @@ from eventlens.functions.time import (
     bucket_start,
     event_time,
     spine_bounds,
-    spine_sequence,
 )
 from eventlens.schema import TIME_COLUMN
 
-# A chart axis longer than this is a request for the wrong bucket width.
-MAX_SPINE_BUCKETS = 1_000_000
+# Buckets of an axis that one generated row expands to.
+AXIS_BLOCK = 4096
 # Aggregated bucket counts up to this many rows are broadcast to the axis join.
 BROADCAST_MAX_ROWS = 200_000
 
@@ -44,14 +43,17 @@ class Spine:
     def for_range(cls, start, end, unit: str | None = None) -> Spine:
         unit = unit or auto_bucket(start, end)
         first, last, n = spine_bounds(start, end, unit)
-        if n > MAX_SPINE_BUCKETS:
-            raise ValueError(
-                f"{n} {unit} buckets between {start} and {end}; choose a wider bucket"
-            )
         return cls(unit, first, last, n)
 
-    def sequence(self):
-        return spine_sequence(self.first, self.last, self.unit)
+    def axis(self, df: DataFrame, name: str = "bucket_start") -> DataFrame:
+        """Each row of ``df`` once for each bucket, in two steps of generated rows, so an
+        axis of any length needs no array of its length."""
+        block, at = F.explode(F.sequence(F.lit(0), F.lit((self.size - 1) // AXIS_BLOCK))), "__bucket"
+        blocks = df.select(*df.columns, block.alias(at))
+        first = F.col(at) * AXIS_BLOCK
+        last = F.least(first + (AXIS_BLOCK - 1), F.lit(self.size - 1))
+        numbered = blocks.select(*df.columns, F.explode(F.sequence(first, last)).alias(at))
+        return numbered.select(*df.columns, F.timestamp_add(self.unit.upper(), F.col(at), F.lit(self.first)).alias(name))
 
 
 def with_bucket(rows: DataFrame, unit: str, name: str = "bucket_start") -> DataFrame:
@@ -81,7 +83,7 @@ def bucket_counts(rows: DataFrame, spine: Spine) -> DataFrame:
 
 def over_time_from_counts(counts: DataFrame, spine: Spine) -> DataFrame:
     """Zero-filled axis joined to bucket counts (at most axis + 1 rows, so broadcast-safe)."""
-    axis = counts.sparkSession.range(1).select(F.explode(spine.sequence()).alias("bucket_start"))
+    axis = spine.axis(counts.sparkSession.range(1)).select("bucket_start")
     joined = axis.join(maybe_broadcast(counts, spine.size + 1), "bucket_start", "left")
     return finish_buckets(joined, spine.unit).select(
         "bucket", "bucket_ms", F.coalesce(F.col("event_count"), F.lit(0)).alias("event_count")

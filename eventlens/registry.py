@@ -19,10 +19,12 @@ from eventlens.dataset import EventSet
 from eventlens.functions import text as T
 from eventlens.functions.time import event_time
 from eventlens.operators.breakdown import distinct_labels
-from eventlens.operators.facets import column_metadata_values, column_values
+from eventlens.operators.facets import column_metadata_values, column_values, facet_counts
 from eventlens.operators.filters import FilterSpec
 from eventlens.operators.paging import (
     deep_page_rows,
+    next_cursor,
+    page_after,
     page_info_frame,
     page_rows,
     seek_page_rows,
@@ -31,6 +33,7 @@ from eventlens.operators.paging import (
 )
 from eventlens.session import ensure_conf, scratch_path
 from eventlens.sources import sinks
+from eventlens.sources.parquet import parquet_source
 from eventlens.sources.testdata import AUDIT_COLUMNS, AUDIT_VIEW_SQL, audit_source, table_path
 
 # ---------------------------------------------------------------------------
@@ -53,6 +56,8 @@ COMBINED = FilterSpec(
     regex={"filename": ["/\\.ipynb$"], "environmentName": ["/^env[12]$"]},
 )
 
+REGEX_CLASS = FilterSpec(regex={"filename": ["/demofile[[4&&5]\\d\\.py$"]})
+
 # Facet queries cover every column but the time (the app's columns endpoints do).
 FACET_COLUMNS = [c for c in AUDIT_COLUMNS if c != "timestamp"]
 
@@ -65,31 +70,21 @@ SQL_REGEXP = (
     "SELECT uuid, filename, action FROM events "
     "WHERE regexp_matches(filename, 'demofile4[0-9]\\.(py|csv)')"
 )
-
-
-_EVENT_SETS: dict[tuple, EventSet] = {}
+SQL_REGEXP_DIGITS = r"SELECT uuid, filename FROM events WHERE regexp_matches(filename, 'demofile4\d\.py$')"
+SQL_QUOTED_NAME = "SELECT uuid, \"action\" FROM events WHERE \"action\" = 'click' -- it's a comment"
+SQL_ESCAPED = r"SELECT uuid, 'it''s' AS quoted, 'a\b\' AS slashed FROM events WHERE filename LIKE '%demofile4%'"
 
 
 def events_for(spark: SparkSession, sf_dir: str, rng=FULL) -> EventSet:
-    """The audit ``EventSet`` of a range, reused across queries like a service would.
+    """The audit ``EventSet`` of a range; files are listed and read anew by every query."""
+    ensure_conf(spark)
+    return EventSet(audit_source(spark, sf_dir), *rng)
 
-    Only the lazy plan is reused (keyed by session, tables, range and the
-    file's modification time); every action still scans the table.
-    """
+
+def all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every audit row, whatever its time."""
     ensure_conf(spark)
-    try:
-        stamp = os.stat(table_path(sf_dir, "events")).st_mtime_ns
-    except OSError:
-        stamp = None
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no context
-        app = None
-    key = (id(spark), app, os.path.abspath(sf_dir), tuple(rng), stamp)
-    ev = _EVENT_SETS.get(key)
-    if ev is None:
-        ev = _EVENT_SETS[key] = EventSet(audit_source(spark, sf_dir), *rng)
-    return ev
+    return audit_source(spark, sf_dir).canonical()
 
 
 # ---------------------------------------------------------------------------
@@ -317,31 +312,31 @@ def q_sql_chart(spark, d):
 
 def q_path_basename(spark, d):
     """base name of each path."""
-    rows = events_for(spark, d).rows
+    rows = all_rows(spark, d)
     return rows.select("uuid", T.basename(F.col("filename")).alias("basename"))
 
 
 def q_ellipsis(spark, d):
     """paths shortened to 30 characters + '...'."""
-    rows = events_for(spark, d).rows
+    rows = all_rows(spark, d)
     return rows.select("uuid", T.ellipsis(F.col("filename")).alias("short_path"))
 
 
 def q_display_timestamp(spark, d):
     """table display time."""
-    rows = events_for(spark, d).rows
+    rows = all_rows(spark, d)
     return rows.select("uuid", T.display_timestamp("timestamp").alias("display_time"))
 
 
 def q_refresh_time_text(spark, d):
     """refresh banner time format."""
-    rows = events_for(spark, d).rows
+    rows = all_rows(spark, d)
     return rows.select("uuid", T.refresh_timestamp(event_time("timestamp")).alias("time_text"))
 
 
 def q_camel_words(spark, d):
     """camelCase split into words."""
-    rows = events_for(spark, d).rows
+    rows = all_rows(spark, d)
     cap = F.concat(F.upper(F.substring("action", 1, 1)), F.substring("action", 2, 1 << 30))
     return rows.select("uuid", T.camel_words(F.concat(cap, F.col("environmentName"))).alias("words"))
 
@@ -366,7 +361,120 @@ def q_refresh_incremental(spark, d):
         transform=lambda s: s.select(*[c.alias(n) for n, c in source.projection]),
         file_glob=glob,
     )
-    return EventSet.load(spark, f"{base}/table", *FULL).rows.select(*AUDIT_COLUMNS)
+    return parquet_source(spark, f"{base}/table").canonical().select(*AUDIT_COLUMNS)
+
+
+def q_refresh_status(spark, d):
+    """R2: what a refresh of one row a batch at most reports, against the table it wrote."""
+    from eventlens.streaming.refresh import refresh
+
+    base = scratch_path(spark, "refresh")
+    all_rows(spark, d).repartition(6, "uuid").write.parquet(f"{base}/landing")
+    status = refresh(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint",
+                     all_rows(spark, d).schema, max_files_per_trigger=1)
+    table = spark.read.parquet(f"{base}/table")
+    return table.agg(F.count(F.lit(1)).alias("table_rows")).select(
+        F.lit(status.status).alias("status"), F.lit(status.rows).cast("bigint").alias("reported_rows"), "table_rows"
+    )
+
+
+def q_refresh_optional_columns(spark, d):
+    """Columns beyond the canonical ones come through a refresh whose schema is read from the files."""
+    from eventlens.streaming.refresh import landing_schema, refresh
+
+    base = scratch_path(spark, "refresh")
+    more = F.concat(F.lit("rev-"), F.col("userId"))
+    all_rows(spark, d).withColumn("environmentRevisionNumber", more).write.parquet(f"{base}/landing")
+    schema = landing_schema(spark, f"{base}/landing")
+    refresh(spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", schema)
+    rows = parquet_source(spark, f"{base}/table").canonical()
+    return rows.select(*AUDIT_COLUMNS, "environmentRevisionNumber")
+
+
+def q_union_files(spark, d):
+    """Several folders of Parquet files as one relation."""
+    base = scratch_path(spark, "union")
+    rows = all_rows(spark, d)
+    parts = [f"{base}/a", f"{base}/b"]
+    rows.where("action = 'click'").write.parquet(parts[0])
+    rows.where("action <> 'click' OR action IS NULL").repartition(3, "uuid").write.parquet(parts[1])
+    return EventSet.load(spark, parts, *FULL).rows.select(*AUDIT_COLUMNS)
+
+
+def q_sql_regexp_digits(spark, d):
+    """Q5: a pattern with a class escape and an end anchor, as users write it."""
+    return events_for(spark, d).sql(SQL_REGEXP_DIGITS)
+
+
+def q_sql_quoted_identifier(spark, d):
+    """Q1: a double-quoted name is a column."""
+    return events_for(spark, d).sql(SQL_QUOTED_NAME)
+
+
+def q_sql_escaped_quote(spark, d):
+    """Q1: a doubled quote and backslashes in literals."""
+    return events_for(spark, d).sql(SQL_ESCAPED)
+
+
+def q_sql_page_default_sort(spark, d):
+    """Q1/O1: a page of an unordered query shows the newest rows first."""
+    return events_for(spark, d).sql_page(SQL_EQUALITY, page=2).rows
+
+
+def q_sql_page_request_sort(spark, d):
+    """Q1/O1: a page of an unordered query in the order the request asks for."""
+    return events_for(spark, d).sql_page(SQL_EQUALITY, page=3, page_size=50, sort_column="filename", sort_order="ASC").rows
+
+
+def q_page_invalid_order(spark, d):
+    """O2: an unknown direction is DESC."""
+    return page_rows(events_for(spark, d).filtered(EXACT), page=1, page_size=40, sort_column="username", sort_order="sideways")
+
+
+def q_page_keyset_duplicates(spark, d):
+    """O3: keyset pages of rows that all occur three times lose none and repeat none."""
+    rows = events_for(spark, d).filtered(EXACT)
+    thrice = rows.unionByName(rows).unionByName(rows)
+    cursor = None
+    for _ in range(3):  # pages of 50 end inside groups of three
+        last, seen = cursor or (None, 0)
+        cursor = next_cursor(page_after(thrice, last, 50, seen=seen).collect(), cursor)
+    return page_after(thrice, cursor[0], 50, seen=cursor[1])
+
+
+def q_export_roundtrip_csv_spaces(spark, d):
+    """K2: values that begin and end in white space survive the CSV export."""
+    rows = events_for(spark, d).filtered(COMBINED)
+    padded = rows.withColumn("filename", F.concat(F.lit(" \t"), F.col("filename"), F.lit("  ")))
+    frame = EventSet.from_frame(padded, *FULL).export_frame()
+    path = sinks.write_csv(frame, sinks.export_path(scratch_path(spark, "export"), "csv"))
+    return sinks.read_csv_export(spark, path, frame.schema)
+
+
+def q_filter_regex_class(spark, d):
+    """Brackets and ampersands in a class are members of it."""
+    return events_for(spark, d).filtered(REGEX_CLASS)
+
+
+def q_breakdown_filename(spark, d):
+    """A3/A5: a field with almost as many labels as rows."""
+    return events_for(spark, d).breakdown("filename")
+
+
+def q_facet_panel_values(spark, d):
+    """The values of a filter panel."""
+    return events_for(spark, d).facet_panel(COMBINED, FACET_COLUMNS).values
+
+
+def q_facet_panel_counts(spark, d):
+    """The counts of a filter panel."""
+    return events_for(spark, d).facet_panel(COMBINED, FACET_COLUMNS).counts
+
+
+def q_facet_counts_empty_column(spark, d):
+    """A column without a value is listed with none."""
+    rows = events_for(spark, d).rows.withColumn("hardwareTierId", F.lit(None).cast("string"))
+    return facet_counts(rows, COMBINED, [*FACET_COLUMNS, "hardwareTierId"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -393,12 +501,15 @@ def _ranged(rng, where: str = "") -> str:
     return f"WITH audit AS ({AUDIT_VIEW_SQL}), ev AS (SELECT * FROM audit WHERE {cond})"
 
 
+EVERY = f"WITH ev AS ({AUDIT_VIEW_SQL})"
+
 T_EVENT = 'make_timestamp(("timestamp" - ("timestamp" % 1000)) // 1000)'
 
 W_EXACT = "action IN ('click', 'purchase')"
 W_SUBSTRING = "filename LIKE '%demofile1%'"
 W_WILDCARD = "filename LIKE '%proj_/demofile1_.py%'"
 W_REGEX = "regexp_matches(filename, 'demofile4\\d\\.py$')"
+W_REGEX_CLASS = "regexp_matches(filename, 'demofile[[4&&5]\\d\\.py$')"
 W_COMBINED = (
     "action IN ('click', 'view')"
     " AND (filename LIKE '%demofile1%' OR regexp_matches(filename, '\\.ipynb$'))"
@@ -489,8 +600,8 @@ def _facets(rng, parts: dict[str, str], columns=FACET_COLUMNS) -> str:
     return f"{_ranged(rng)}\n{_facet_union(parts, columns)}"
 
 
-def _facet_counts(rng, parts: dict[str, str], columns=FACET_COLUMNS) -> str:
-    branches = []
+def _facet_counts(rng, parts: dict[str, str], columns=FACET_COLUMNS, empty: tuple[str, ...] = ()) -> str:
+    branches = [f"SELECT '{c}' AS column_name, 0 AS available_values, 0 AS total_values" for c in empty]
     for c in columns:
         others = " AND ".join([p for k, p in parts.items() if k != c] or ["TRUE"])
         branches.append(
@@ -505,7 +616,7 @@ SELECT column_name, available_values, total_values,
             THEN '(' || CAST(least(available_values, 1000) AS VARCHAR) || ' of '
                  || CAST(least(total_values, 1000) AS VARCHAR) || ')'
             ELSE '(' || CAST(least(total_values, 1000) AS VARCHAR) || ')' END AS count_label
-FROM cnt WHERE total_values > 0"""
+FROM cnt"""
 
 
 ISO_SQL = (
@@ -595,10 +706,35 @@ FROM ({EXPORT_SELECT}) x""",
     "sql_like_and": _sql_mode(FULL, SQL_LIKE_AND),
     "sql_regexp_matches": _sql_mode(FULL, SQL_REGEXP),
     "sql_chart": _over_time(FULL, "day", "action = 'click'"),
-    "path_basename": f"{_ranged(FULL)} SELECT uuid, coalesce(nullif(string_split(filename, '/')[-1], ''), filename) AS basename FROM ev",
-    "ellipsis": f"{_ranged(FULL)} SELECT uuid, CASE WHEN length(filename) > 30 THEN filename[1:30] || '...' ELSE filename END AS short_path FROM ev",
-    "display_timestamp": f"{_ranged(FULL)} SELECT uuid, strftime({T_EVENT}, '%m/%d/%Y, %H:%M:%S') AS display_time FROM ev",
-    "refresh_time_text": f"{_ranged(FULL)} SELECT uuid, strftime({T_EVENT}, '%b %-d, %Y - %-I:%M %p') AS time_text FROM ev",
-    "camel_words": f"{_ranged(FULL)} SELECT uuid, trim(regexp_replace(upper(action[1]) || action[2:] || environmentName, '([A-Z])', ' \\1', 'g')) AS words FROM ev",
-    "refresh_incremental": f"{_ranged(FULL)} SELECT * FROM ev",
+    "path_basename": f"{EVERY} SELECT uuid, coalesce(nullif(string_split(filename, '/')[-1], ''), filename) AS basename FROM ev",
+    "ellipsis": f"{EVERY} SELECT uuid, CASE WHEN length(filename) > 30 THEN filename[1:30] || '...' ELSE filename END AS short_path FROM ev",
+    "display_timestamp": f"{EVERY} SELECT uuid, strftime({T_EVENT}, '%m/%d/%Y, %H:%M:%S') AS display_time FROM ev",
+    "refresh_time_text": f"{EVERY} SELECT uuid, strftime({T_EVENT}, '%b %-d, %Y - %-I:%M %p') AS time_text FROM ev",
+    "camel_words": f"{EVERY} SELECT uuid, trim(regexp_replace(upper(action[1]) || action[2:] || environmentName, '([A-Z])', ' \\1', 'g')) AS words FROM ev",
+    "refresh_incremental": f"{EVERY} SELECT * FROM ev",
+    "refresh_status": f"{EVERY} SELECT 'Completed' AS status, count(*) AS reported_rows, count(*) AS table_rows FROM ev",
+    "refresh_optional_columns": f"{EVERY} SELECT *, 'rev-' || userId AS environmentRevisionNumber FROM ev",
+    "union_files": f"{_ranged(FULL)} SELECT * FROM ev",
+    "sql_regexp_digits": _sql_mode(FULL, SQL_REGEXP_DIGITS),
+    "sql_quoted_identifier": _sql_mode(FULL, SQL_QUOTED_NAME + "\n"),
+    "sql_escaped_quote": _sql_mode(FULL, SQL_ESCAPED),
+    "sql_page_default_sort": f"""{_ranged(FULL, "action = 'click'")}
+SELECT * FROM ev ORDER BY "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 100""",
+    "sql_page_request_sort": f"""{_ranged(FULL, "action = 'click'")}
+SELECT * FROM ev ORDER BY filename ASC NULLS LAST, "timestamp" DESC, uuid ASC LIMIT 50 OFFSET 100""",
+    "page_invalid_order": f"""{_ranged(FULL, W_EXACT)}
+SELECT * FROM ev ORDER BY username DESC NULLS LAST, "timestamp" DESC, uuid ASC LIMIT 40""",
+    "page_keyset_duplicates": f"""{_ranged(FULL, W_EXACT)}
+SELECT * FROM (SELECT * FROM ev UNION ALL SELECT * FROM ev UNION ALL SELECT * FROM ev) x
+ORDER BY "timestamp" DESC, uuid ASC LIMIT 50 OFFSET 150""",
+    "export_roundtrip_csv_spaces": f"""{_ranged(FULL, W_COMBINED)}
+SELECT "Date & Time (UTC)", nullif("User Name", '') AS "User Name", nullif("Event", '') AS "Event",
+       ' ' || chr(9) || "File Path" || '  ' AS "File Path", nullif("Project Name", '') AS "Project Name",
+       nullif("Workspace Name", '') AS "Workspace Name", nullif("Environment Name", '') AS "Environment Name"
+FROM ({EXPORT_SELECT}) x""",
+    "filter_regex_class": f"{_ranged(FULL, W_REGEX_CLASS)} SELECT * FROM ev",
+    "breakdown_filename": _breakdown(FULL, "day", "filename"),
+    "facet_panel_values": _facets(FULL, COMBINED_PARTS),
+    "facet_panel_counts": _facet_counts(FULL, COMBINED_PARTS),
+    "facet_counts_empty_column": _facet_counts(FULL, COMBINED_PARTS, empty=("hardwareTierId",)),
 }

@@ -72,8 +72,6 @@ FILTER_EXCLUDE_COLUMNS = [
     "hardwareTierId",
 ]
 
-FIELD_SELECTOR_EXCLUDE_COLUMNS = ["uuid", "deduplicationId", "timestamp", "projectId", "userId"]
-
 FILTER_SECTIONS = {
     "section1": ["action", "username", "projectName", "workspaceName", "filename"],
     "section2": ["environmentName", "hardwareTierId"],

@@ -20,7 +20,9 @@ from eventlens.operators.filters import qcol
 from eventlens.schema import COLUMN_LABELS, TIME_COLUMN
 from eventlens.session import ensure_conf
 
-PARTITION_DATE_COLUMN = "event_date"
+# Folder column of tables that the refresh job writes: the UTC day of each event.
+# Only that job uses the name, so a user's own date column never prunes rows.
+PARTITION_DATE_COLUMN = "eventlens_utc_day"
 
 
 def read_parquet(spark: SparkSession, paths: str | Sequence[str], merge_schema: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ def export_path(base_dir: str, fmt: str, now: datetime | None = None) -> str:
 
 
 def _prepare(df: DataFrame, single_file: bool) -> DataFrame:
-    return df.coalesce(1) if single_file else df
+    return df.repartition(1) if single_file else df  # coalesce would pull the scan into one task
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> str:
@@ -40,6 +40,8 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
         .option("emptyValue", "")
         .option("nullValue", "")
         .option("encoding", "UTF-8")
+        .option("ignoreLeadingWhiteSpace", "false")  # the writer's defaults strip values
+        .option("ignoreTrailingWhiteSpace", "false")
         .csv(path)
     )
     return path

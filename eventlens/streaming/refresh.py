@@ -5,7 +5,7 @@ queryable event table exactly once: the file source remembers processed
 files in the checkpoint, the Parquet sink commits each batch atomically,
 and ``availableNow`` processes everything pending then stops, so the job
 can be re-run on a schedule (the audited app's refresh ran hourly). The
-sink is partitioned by ``event_date`` so date-range reads prune folders.
+sink is partitioned by the UTC day so date-range reads prune folders.
 
 There is no state: the stream is a stateless projection, so a lost
 executor only re-runs its task and a lost driver resumes from the
@@ -18,17 +18,22 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from eventlens.functions.text import camel_words_text, refresh_text
 from eventlens.functions.time import event_time, parse_instant
-from eventlens.schema import TIME_COLUMN
+from eventlens.schema import EVENT_SCHEMA, TIME_COLUMN
 from eventlens.session import ensure_conf
 from eventlens.sources.parquet import PARTITION_DATE_COLUMN
 
 
+# Reports a query keeps (a few KB each); a run of more batches than this is counted in part.
+PROGRESS_REPORTS = 1_000_000
+
+
 @dataclass(frozen=True)
 class RefreshStatus:
     """What a refresh run did, in the shape of the app's status response."""
@@ -49,6 +54,18 @@ class RefreshStatus:
                 "updatedText": self.updated_text, "rows": self.rows, "batches": self.batches}
 
 
+def landing_schema(spark: SparkSession, landing: str, recursive: bool = False) -> StructType:
+    """All columns of the files under ``landing``, optional ones included; the
+    canonical ones while there is no file."""
+    reader = ensure_conf(spark).read.option("mergeSchema", "true")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    try:
+        return reader.parquet(landing).schema
+    except AnalysisException:  # nothing there yet
+        return EVENT_SCHEMA
+
+
 def _stream(spark, landing, schema, transform, file_glob, max_files_per_trigger, recursive=False) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if recursive:
@@ -60,6 +77,8 @@ def _stream(spark, landing, schema, transform, file_glob, max_files_per_trigger,
     stream = reader.parquet(landing)
     if transform is not None:
         stream = transform(stream)
+    # Reports of all batches are kept, so that the status counts every row.
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(PROGRESS_REPORTS))
     return stream.withColumn(PARTITION_DATE_COLUMN, F.to_date(event_time(TIME_COLUMN)))
 
 

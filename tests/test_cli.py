@@ -19,7 +19,7 @@ def test_cli_requests(spark, tmp_dir):
     audit_frame(spark, SF001).write.parquet(path)
     rng = ["--paths", path, "--start", "2024-01-01", "--end", "2024-01-31"]
 
-    code, out = run(["data", *rng, "--limit", "3"])
+    code, out = run(["data", *rng, "--page-size", "3"])
     assert code == 0 and out["total"] == 1000 and len(out["data"]) == 3
     assert "T" in out["data"][0]["timestamp"]
 
@@ -73,7 +73,7 @@ def test_cli_single_file_csv_download(spark, tmp_dir):
 def test_cli_default_range_is_last_week(spark, tmp_dir):
     path = f"{tmp_dir}/events"
     audit_frame(spark, SF001).write.parquet(path)
-    code, out = run(["data", "--paths", path, "--end", "2024-01-10", "--limit", "2"])
+    code, out = run(["data", "--paths", path, "--end", "2024-01-10", "--page-size", "2"])
     assert code == 0 and len(out["data"]) == 2
     from eventlens.dataset import EventSet
     ev = EventSet.load(spark, path, "2024-01-03", "2024-01-10")

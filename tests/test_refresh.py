@@ -31,9 +31,9 @@ def test_refreshed_table_prunes_date_partitions(spark, tmp_dir):
     make_events(spark, rows).write.parquet(landing)
     refresh(spark, landing, table, ckpt, EVENT_SCHEMA)
     ev = EventSet.load(spark, table, "2025-11-05", "2025-11-06")
-    assert "event_date" not in ev.rows.columns
+    assert "eventlens_utc_day" not in ev.rows.columns
     assert sorted(r.uuid for r in ev.rows.collect()) == ["a4", "a5", "a6"]  # a6 = end + 1 day, 00:00
-    assert "PartitionFilters: [isnotnull(event_date" in plan_text(ev.rows)
+    assert "PartitionFilters: [isnotnull(eventlens_utc_day" in plan_text(ev.rows)
 
 
 def test_long_running_refresh_reports_progress(spark, tmp_dir):
