@@ -92,7 +92,8 @@ def test_facet_panel_equals_separate_calls(spark):
     panel = facet_panel(rows, spec)
     assert sorted(map(tuple, panel.values.collect())) == sorted(map(tuple, facet_values(rows, spec).collect()))
     assert sorted(map(tuple, panel.counts.collect())) == sorted(map(tuple, facet_counts(rows, spec).collect()))
-    assert file_scans(panel.values) == 0 and file_scans(panel.counts) == 0
+    # Each reads the rows itself: the distinct values are not stored in between.
+    assert file_scans(panel.values) > 0 and file_scans(panel.counts) > 0
 
 
 def test_eventset_defaults_to_panel_columns(spark):

@@ -83,6 +83,21 @@ def test_sql_regexp_matches_has_re2_end_anchor(spark):
     def hits(pattern):
         q = f"SELECT s FROM events WHERE regexp_matches(s, '{pattern}')"
         return sorted(r.s for r in sql_frame(df, q).collect())
-    assert hits("\\\\.py$") == ["a.py"]
-    assert hits("x\\\\$") == ["x$"]
+    assert hits("\\.py$") == ["a.py"]
+    assert hits("x\\$") == ["x$"]
     assert hits("a.b") == ["a\rb"]
+
+
+def test_literals_and_names_are_read_as_users_write_them(spark):
+    from eventlens.plans.sql import has_order_by, spark_literals, sql_frame
+
+    df = spark.createDataFrame([("a\\b", "it's"), ("ab", "x")], "s string, `odd name` string")
+    def rows(sql):
+        return [tuple(r) for r in sql_frame(df, sql).collect()]
+    assert rows(r"SELECT s FROM events WHERE s = 'a\b'") == [("a\\b",)]
+    assert rows("SELECT s FROM events WHERE \"odd name\" = 'it''s' -- it's") == [("a\\b",)]
+    assert rows(r"SELECT s FROM events WHERE regexp_matches(s, '^a(\\|$|x)b$') /* ' */") == [("a\\b",)]
+    assert rows(r"SELECT s FROM events WHERE regexp_matches(s, '^\wb$')") == [("ab",)]
+    assert spark_literals("select \"a\\b\" -- 'x\\'") == "select \"a\\b\" -- 'x\\'"
+    assert has_order_by("SELECT 1 ORDER\n BY 1") and not has_order_by("SELECT * FROM (SELECT 1 ORDER BY 1) -- order by")
+    assert not has_order_by("SELECT 'order by' AS \"order by\"")
