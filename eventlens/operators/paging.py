@@ -236,7 +236,7 @@ def deep_page_rows(
 
     Rows before the located window are skipped by count, not by sorting;
     the final ``TakeOrderedAndProject`` keeps at most ``small + page_size``
-    rows per task. Identical to :func:`page_rows` with ``sort_column='timestamp'``.
+    rows per task, also if one instant holds most rows. Identical to :func:`page_rows` with ``sort_column='timestamp'``.
     """
     order = normalize_order(sort_order)
     offset = (max(1, int(page)) - 1) * page_size
@@ -245,6 +245,15 @@ def deep_page_rows(
         return rows.where(F.lit(False)).limit(0)
     w_lo, w_hi, before = window
     ts = qcol(TIME_COLUMN)
+    if w_lo == w_hi and offset - before > small:
+        # One instant holds more rows than a task should sort: go on with the next keys.
+        spec = sort_spec(rows, TIME_COLUMN, order)
+        found = seek_window(rows.where(ts == F.lit(w_lo)), spec[1:], offset - before, small)
+        if found is not None:
+            pred, local = found
+            beyond = (ts < F.lit(w_lo)) if order == "DESC" else (ts > F.lit(w_lo))
+            ordered = rows.where(((ts == F.lit(w_lo)) & pred) | beyond).orderBy(*[_key(c, o) for c, o in spec])
+            return (ordered.offset(local) if local else ordered).limit(page_size)
     rest = rows.where(ts <= F.lit(w_hi)) if order == "DESC" else rows.where(ts >= F.lit(w_lo))
     return offset_rows(rest, offset - before, page_size, TIME_COLUMN, order)
 

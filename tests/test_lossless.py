@@ -1,0 +1,86 @@
+"""Results stay whole: repeated rows, hot instants, long axes, bounded intermediate results."""
+
+from pyspark.sql import functions as F
+
+from eventlens.operators import breakdown, paging
+from eventlens.operators.breakdown import series_counts
+from eventlens.operators.paging import deep_page_rows, next_cursor, page_after, page_rows, seek_page_rows, tail_page_rows
+from eventlens.operators.timeseries import Spine, events_over_time
+from eventlens.schema import ViewConfig
+from tests.conftest import make_events, ns
+
+
+def repeated(spark):
+    """Rows of which some agree in time and uuid, and some in everything."""
+    t = ns("2025-11-10T12:00:00")
+    rows = [{"uuid": "a", "timestamp": t, "filename": f"f{i % 4}"} for i in range(23)]
+    rows += [{"uuid": f"b{i}", "timestamp": t + i % 3, "filename": None} for i in range(20)]
+    return make_events(spark, rows).repartition(3)
+
+
+def test_keyset_pages_add_up_to_all_rows(spark):
+    rows = repeated(spark)
+    want = sorted(map(str, rows.collect()))
+    for column, order in (("timestamp", "DESC"), ("filename", "ASC"), ("uuid", "DESC")):
+        got, cursor = [], None
+        while True:
+            last, seen = cursor or (None, 0)
+            page = page_after(rows, last, 5, column, order, seen=seen).collect()
+            if not page:
+                break
+            got += page
+            cursor = next_cursor(page, cursor)
+        assert sorted(map(str, got)) == want
+        assert list(map(str, got)) == list(map(str, page_rows(rows, 1, 100, column, order).collect()))
+
+
+def test_strategies_show_the_same_pages(spark):
+    rows = repeated(spark)
+    t = ns("2025-11-10T12:00:00")
+    for page in range(1, 10):
+        plain = list(map(str, page_rows(rows, page, 5, "timestamp", "DESC").collect()))
+        assert list(map(str, seek_page_rows(rows, page, 5, "timestamp", "DESC", small=3).collect())) == plain
+        assert list(map(str, deep_page_rows(rows, page, 5, "DESC", t - 10, t + 10, small=3).collect())) == plain
+        assert list(map(str, tail_page_rows(rows, 43, 5 * (page - 1), 5, "timestamp", "DESC").collect())) == plain
+
+
+def test_hot_instant_is_split_on_the_next_keys(spark, monkeypatch):
+    t = ns("2025-11-10T12:00:00")
+    rows = spark.range(3000).select(
+        F.format_string("u%05d", "id").alias("uuid"), F.lit(t).alias("timestamp"), F.lit("x").alias("filename")
+    )
+    offsets = []
+    real = paging.seek_window
+    monkeypatch.setattr(paging, "seek_window", lambda *a, **k: offsets.append(real(*a, **k)) or offsets[-1])
+    page = deep_page_rows(rows, 21, 100, "DESC", t - 5, t + 5, small=50)
+    assert [r.uuid for r in page.collect()] == [f"u{i:05d}" for i in range(2000, 2100)]
+    assert offsets and offsets[-1][1] <= 150
+
+
+def test_axis_of_any_length(spark):
+    rows = make_events(spark, [{"timestamp": ns("2024-02-29T12:00:00")}])
+    chart = events_over_time(rows, "1900-01-01", "2025-12-31", "hour")
+    total = chart.agg(F.count("*").alias("n"), F.sum("event_count").alias("hits"), F.countDistinct("bucket_ms").alias("d")).first()
+    assert total.n == total.d == Spine.for_range("1900-01-01", "2025-12-31", "hour").size > 1_000_000 and total.hits == 1
+
+
+def test_stored_counts_are_bounded_by_the_chart(spark, monkeypatch):
+    rows = make_events(spark, [{"filename": f"f{i}", "timestamp": ns("2025-11-10T12:00:00") + i} for i in range(500)])
+    spine = Spine.for_range("2025-11-01", "2025-11-30")
+    stored = []
+    monkeypatch.setattr(breakdown, "materialize", lambda df: stored.append(df.count()) or df)
+    counts = series_counts(rows, "filename", spine, 10)
+    assert stored == [11] and counts.agg(F.sum("event_count")).first()[0] == 500
+
+
+def test_view_defaults_are_used(spark):
+    from eventlens import EventSet
+
+    rows = make_events(spark, [{"filename": f"f{i}", "action": f"a{i}"} for i in range(9)])
+    view = ViewConfig(page_size=2, top_n=1, hidden_columns=("filename",), facet_cap=1, sort_column="filename", sort_order="ASC")
+    ev = EventSet.from_frame(rows, "2025-11-01", "2025-11-30", view=view)
+    assert [r.filename for r in ev.page().rows.collect()] == ["f0", "f1"]
+    assert ev.top_values("action").count() == 1 and ev.breakdown("action").select("series").distinct().count() == 2
+    assert ev.column_values(["action"]).count() == 1
+    assert "File Path" not in ev.export_frame().columns
+    assert [r.filename for r in ev.sql_page("SELECT * FROM events").rows.collect()] == ["f0", "f1"]
