@@ -5,14 +5,14 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from eventlens import registry
 from eventlens.plans.inspect import python_evals
 from tests.conftest import SF001, SF01
 from tools.check_oracle import TABLES, digest
 
-QUERIES = E.queries()
+QUERIES = registry.QUERIES
 DUCK_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE"}
-ORACLE = E.oracle_sql()
+ORACLE = registry.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")

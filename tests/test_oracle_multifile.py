@@ -7,11 +7,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
+from eventlens import registry
 from tests.conftest import SF01
 from tools.check_oracle import TABLES, digest
 
-NAMES = sorted(E.queries())
+NAMES = sorted(registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -37,9 +37,9 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_on_many_files_matches_oracle(spark, duck, multi_dir, name):
-    df = E.queries()[name](spark, multi_dir)
+    df = registry.QUERIES[name](spark, multi_dir)
     rows = [tuple(r) for r in df.collect()]
-    res = duck.execute(E.oracle_sql()[name])
+    res = duck.execute(registry.ORACLE_SQL[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert len(rows) == len(orows)
