@@ -18,7 +18,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from eventlens import registry  # noqa: E402
 from eventlens.plans.inspect import plan_text, plan_tree  # noqa: E402
 from eventlens.session import build_session  # noqa: E402
 
@@ -78,7 +78,7 @@ def main() -> None:
         "| Query | File scans | Shuffles | Broadcasts | Codegen stages | Notable operators | Pushed to the scan |",
         "|---|---|---|---|---|---|---|",
     ]
-    for name, fn in E.queries().items():
+    for name, fn in registry.QUERIES.items():
         df = fn(spark, sf_dir)
         df.collect()  # run once so the report shows AQE's final plan
         s = summarise(df)

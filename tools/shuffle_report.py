@@ -23,7 +23,7 @@ from collections import defaultdict
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from eventlens import registry  # noqa: E402
 from eventlens.session import build_session  # noqa: E402
 
 
@@ -87,7 +87,7 @@ def main() -> None:
                           extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
                                  "spark.eventLog.compress": "false"})
     sc = spark.sparkContext
-    for name, fn in E.queries().items():
+    for name, fn in registry.QUERIES.items():
         if only and name not in only:
             continue
         sc.setJobGroup(name, name)
@@ -97,7 +97,7 @@ def main() -> None:
             print(f"skipped {name}: {str(exc).splitlines()[0][:200]}", file=sys.stderr)
     sc.setJobGroup("done", "done")
     spark.stop()
-    names = set(E.queries())
+    names = set(registry.QUERIES)
     report = {k: v for k, v in parse(log_dir).items() if k in names}
     print("| Query | Input records | Shuffle records | Shuffle bytes | Shuffle records / input record | Max task shuffle read |")
     print("|---|---|---|---|---|---|")
