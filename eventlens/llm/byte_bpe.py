@@ -1,17 +1,23 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are cut by the tokenizer's pattern. Each worker gathers the texts of its
-input up to ``GROUP_CHARS`` characters and hands on, as one row, the distinct
-words as arrays of bytes and each text as a list of word numbers. Spark's
-higher-order functions then fold the ranked merges over every distinct word:
-ranks of all neighbouring pairs from a rank map that is a literal of the plan
-(a scalar subquery's value, in buckets, as a map is searched from end to end),
-merge the leftmost pair of least rank, until no pair has one. They also decode
-each word's ids by concatenating the tokens' bytes. A last step puts texts
-together again. Nothing is shuffled and no text travels twice.
-
-Words longer than ``FOLD_BYTES`` (a fold is quadratic) are merged in the worker
-with a heap instead, with the same result.
+Texts are cut by the tokenizer's pattern. Each task numbers the distinct words
+of its input as they come, hands every new word on once as an array of bytes,
+and then each text as its word numbers; a later step of the same stage puts
+texts together again. Nothing is shuffled, no text travels twice, and both
+steps forget their words together when these exceed ``TASK_WORDS``.
+
+Spark's higher-order functions fold the ranked merges over every distinct
+word. The word's boundaries, one between any two bytes at first, are the bits
+of a number. Its merges, the parts of it that the constant rank map lists, are
+folded in order of rank: a part whose two ends are boundaries, with a single
+boundary inside, loses that one. One pass in this order is the library's
+repeated choice of the least rank, because every token of a trained vocabulary
+comes from its own bytes by merges of lesser ranks (``single_pass`` checks
+it): when a rank's turn comes, a part between two boundaries has merged inside
+just as the token alone would have. Decoding concatenates the tokens' bytes.
+
+Words of over ``FOLD_BYTES`` bytes, the bits of the number, are merged in the
+worker with a heap instead, with the same result.
 
 Null text counts as empty: no ids. Ids of rows may be null or repeated; each
 row is encoded by itself. Extra columns are ignored.
@@ -32,9 +38,11 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import prepare
 
-GROUP_CHARS = 32_000_000
-FOLD_BYTES = 256
-BUCKETS = 1 << 16
+FOLD_BYTES = 61
+TASK_WORDS = 300_000
+
+_BASE, _ODD = np.uint64(1_099_511_628_211), np.uint64(0x9E3779B97F4A7C15)
+_SIEVE_BITS = 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,70 +51,87 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """Rank of the token that two tokens make, by first id * 2^20 + second id."""
-    return {
-        ranks[token[:i]] << 20 | ranks[token[i:]]: rank
-        for token, rank in ranks.items()
-        for i in range(1, len(token))
-        if token[:i] in ranks and token[i:] in ranks
-    }
-
-
-def _literals(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """One row: id of each byte, pair ranks in buckets, bytes of each id."""
-    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
-    for key, rank in pair_ranks(ranks).items():
-        buckets[((key >> 20) * 31 + (key & 0xFFFFF) * 17) % BUCKETS][key] = rank
-    tokens = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = bytearray(token)
-    row = ([ranks[bytes([b])] for b in range(256)], buckets, tokens)
-    return spark.createDataFrame([row], "bytes array<int>, pairs array<map<bigint, int>>, tokens array<binary>")
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def fold_merges(word: Column, byte_ids: Column, pairs: Column) -> Column:
-    """Ids of a word given as an array of byte values.
-
-    The state holds the ids and the ranks of their neighbouring pairs; a merge
-    replaces two ids and looks up the two pairs that the new one makes.
-    """
-    none = F.array().cast("array<int>")
-
-    def rank(a: Column, b: Column) -> Column:
-        bucket = F.get(pairs, (a * 31 + b * 17).bitwiseAND(BUCKETS - 1))
-        return bucket[F.shiftleft(a.cast("bigint"), 20).bitwiseOR(b.cast("bigint"))]
-
-    def step(state: Column, _: Column) -> Column:
-        ids, ranks = state["ids"], state["ranks"]
-
-        def merge(least: Column) -> Column:
-            def merged(at: Column) -> Column:
-                before = F.when(at > 1, F.array(rank(F.get(ids, at - 2), least))).otherwise(none)
-                after = F.when(at + 1 < F.size(ids), F.array(rank(least, F.get(ids, at + 1)))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-                    F.concat(
-                        F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranks, at + 2, F.size(ids))
-                    ).alias("ranks"),
-                )
-
-            return F.when(least.isNull(), state).otherwise(_let(F.array_position(ranks, least).cast("int"), merged))
-
-        return _let(F.array_min(ranks), merge)
-
-    def start(ids: Column) -> Column:
-        tail = F.size(ids) - 1
-        return F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, F.lit(1), tail), F.slice(ids, F.lit(2), tail), rank).alias("ranks"))
-
-    steps = F.array_repeat(F.lit(0), F.size(word) - 1)
-    first = F.transform(word, lambda b: F.get(byte_ids, b))
-    return F.when(F.size(word) < 2, first).otherwise(F.aggregate(steps, _let(first, start), step, lambda s: s["ids"]))
+class RankMap:
+    """The rank map, arranged to look up every part of many words at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.sieve = np.zeros(1 << _SIEVE_BITS, bool)  # most parts that are no tokens end here
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by_length: dict[int, list[tuple[bytes, int]]] = {}
+        for token, rank in ranks.items():
+            by_length.setdefault(len(token), []).append((token, rank))
+        for length, pairs in by_length.items():
+            data = np.frombuffer(b"".join(t for t, _ in pairs), np.uint8).reshape(-1, length)
+            value = np.zeros(len(pairs), np.uint64)
+            for k in range(length):
+                value = value * _BASE + data[:, k] + np.uint64(1)
+            order = np.argsort(value)
+            self.tables[length] = value[order], np.array([r for _, r in pairs])[order]
+            self.sieve[value * _ODD >> np.uint64(64 - _SIEVE_BITS)] = True
+
+    def merges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word its number of merges; of all merges, by word and rank, first byte and length."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        first = np.cumsum(sizes) - sizes
+        end_of, word_of = np.repeat(first + sizes, sizes), np.repeat(np.arange(len(words)), sizes)
+        at, value = np.arange(data.size), data.astype(np.uint64) + np.uint64(1)
+        found = []
+        for length in range(2, max(self.tables) + 1):
+            inside = at + length <= end_of[at]
+            at, value = at[inside], value[inside]
+            if not at.size:
+                break
+            value = value * _BASE + data[at + length - 1] + np.uint64(1)
+            if length not in self.tables:
+                continue
+            known, ranks = self.tables[length]
+            maybe = np.flatnonzero(self.sieve[value * _ODD >> np.uint64(64 - _SIEVE_BITS)])
+            place = np.minimum(np.searchsorted(known, value[maybe]), known.size - 1)
+            hit = known[place] == value[maybe]
+            found.append((at[maybe[hit]], np.full(int(hit.sum()), length), ranks[place[hit]]))
+        if not found:
+            return np.zeros(len(words), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, length, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+        word = word_of[at]
+        order = np.lexsort((at, rank, word))
+        return np.bincount(word, minlength=len(words)), (at - first[word])[order], length[order]
+
+
+def fold_merges(merges: Column, bounds: Column) -> Column:
+    """Boundaries left when the merges, in order of rank, are folded over the boundaries of all bytes."""
+
+    def step(state: Column, merge: Column) -> Column:
+        # Bits of the part that differ from its two ends: one, if it is a single boundary inside.
+        odd = state.bitwiseAND(merge["span"]).bitwiseXOR(merge["ends"])
+        return F.when(F.bit_count(odd) == 1, state.bitwiseAND(F.bitwise_not(odd))).otherwise(state)
+
+    return F.aggregate(merges, bounds, step)
+
+
+def parts(word: bytes, bounds: int) -> list[bytes]:
+    """The word cut at its boundaries."""
+    out, start = [], 0
+    for end in range(1, len(word) + 1):
+        if bounds >> end & 1:
+            out.append(word[start:end])
+            start = end
+    return out
+
+
+def single_pass(ranks: dict[bytes, int]) -> bool:
+    """Whether each token comes from its own bytes by one pass over its merges in order of rank."""
+    words = [t for t in ranks if 1 < len(t) <= FOLD_BYTES]
+    counts, first, length = RankMap(ranks).merges(words)
+    at, state = np.cumsum(counts) - counts, np.array([(1 << (len(w) + 1)) - 1 for w in words], np.int64)
+    one = np.int64(1)
+    ends = one << first | one << (first + length)
+    span = (one << (first + length + 1)) - (one << first)
+    for k in range(int(counts.max(initial=0))):
+        own = np.flatnonzero(counts > k)
+        odd = (state[own] & span[at[own] + k]) ^ ends[at[own] + k]
+        state[own] = np.where(np.bitwise_count(odd) == 1, state[own] & ~odd, state[own])
+    return all(f"{b:b}".count("1") == 2 for b in state.tolist())
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -129,76 +154,45 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-class _Group:
-    """Texts of a worker as numbers of chunks, chunks as numbers of words.
-
-    A chunk runs from a single space to the next one. As the pattern never
-    matches across the start of such a space, a text's words are those of its
-    chunks; texts with other white space beside a space are cut whole.
-    """
+class _Words:
+    """Distinct words of a task by number."""
 
     def __init__(self, pattern: str):
         self.find = regex.compile(pattern).findall
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
-        self.loose: set[int] = set()
-        self.chunk_words: list[list[int]] = []
-        self.ids: list = []
-        self.texts: list[np.ndarray] = []
-        self.chars = 0
-
-    def _number(self, chunk: str) -> int:
-        at = self.chunks[chunk] = len(self.chunk_words)
-        body = chunk[1:] if chunk.startswith(" ") else chunk
-        if body != body.strip() or not body:
-            self.loose.add(at)
-        self.chunk_words.append([self.words.setdefault(w, len(self.words)) for w in self.find(chunk)])
-        return at
-
-    def add(self, key, text: str | None) -> None:
-        self.ids.append(key)
-        self.chars += len(text or "")
-        if not text:
-            self.texts.append(np.zeros(0, np.int32))
-            return
-        first, *rest = text.split(" ")
-        known, numbers = self.chunks, []
-        for chunk in [first, *[" " + r for r in rest]]:
-            at = known.get(chunk)
-            numbers.append(self._number(chunk) if at is None else at)
-        if self.loose and rest and not self.loose.isdisjoint(numbers):
-            own = ("text", text)  # cut whole, under a name no chunk has
-            if own not in known:
-                known[own] = len(self.chunk_words)
-                self.chunk_words.append([self.words.setdefault(w, len(self.words)) for w in self.find(text)])
-            numbers = [known[own]]
-        self.texts.append(np.array(numbers, np.int32))
-
-    def row(self, schema: pa.Schema) -> pa.RecordBatch:
-        words = [w.encode() for w in self.words]
-        short = [w if len(w) <= FOLD_BYTES else b"" for w in words]
-        flat = np.frombuffer(b"".join(short), np.uint8).astype(np.int16)
-        ends = np.concatenate([[0], np.cumsum([len(w) for w in short])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        pack = lambda a: np.concatenate([*a, np.zeros(0, np.int32)]).astype(np.int32).tobytes()
-        sizes = lambda a: np.array([len(x) for x in a], np.int32).tobytes()
-        row = {
-            "ids": pa.array([self.ids], schema.field("ids").type),
-            "text_sizes": [sizes(self.texts)], "text_chunks": [pack(self.texts)],
-            "chunk_sizes": [sizes(self.chunk_words)], "chunk_words": [pack([np.array(c, np.int32) for c in self.chunk_words])],
-            "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), lists),
-            "long": pa.array([[w if len(w) > FOLD_BYTES else None for w in words] if any(len(w) > FOLD_BYTES for w in words) else []], pa.list_(pa.binary())),
-        }
-        batch = pa.RecordBatch.from_arrays([pa.array(row[f.name]) if isinstance(row[f.name], list) else row[f.name] for f in schema], names=schema.names)
-        self.clear()
-        return batch.cast(schema)
+        self.number: dict[str, int] = {}
+
+    def numbers(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
+        """Packed word numbers of each text, and the words that are new."""
+        number, before = self.number, len(self.number)
+        packed = []
+        for text in texts:
+            words = self.find(text) if text else []
+            packed.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32).tobytes())
+        return packed, list(number)[before:] if len(number) > before else []
+
+
+def _word_rows(new: list[str], table: RankMap, fresh: bool, schema: pa.Schema) -> pa.RecordBatch:
+    words = [w.encode() for w in new]
+    folded = [w if len(w) <= FOLD_BYTES else b"" for w in words]
+    counts, first, length = table.merges(folded)
+    one = np.int64(1)
+    ends = one << first | one << (first + length)
+    span = (one << (first + length + 1)) - (one << first)
+    merges = pa.StructArray.from_arrays([pa.array(span), pa.array(ends)], fields=list(schema.field("merges").type.value_type))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), merges)
+    columns = {
+        "word": pa.array(words, pa.binary()),
+        "bounds": pa.array([(1 << (len(w) + 1)) - 1 if w else None for w in folded], pa.int64()),
+        "merges": lists,
+        "fresh": pa.array([fresh and i == 0 for i in range(len(words))]),
+    }
+    return _batch(columns, len(words), schema)
 
 
-def _ragged(flat: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
-    return iter(np.split(flat, np.cumsum(sizes)[:-1])) if sizes.size else iter(())
+def _batch(columns: dict[str, pa.Array], rows: int, schema: pa.Schema) -> pa.RecordBatch:
+    """The columns, and nulls for others."""
+    made = [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
 def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -209,24 +203,24 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     """
     spark = prepare(docs.sparkSession)
     ranks = read_ranks(ranks_path)  # a file of the driver, of fixed size
+    if not single_pass(ranks):
+        raise ValueError("the ranks are not those of byte-pair training")
     ranks_of = spark.sparkContext.broadcast(ranks)
-    literals = _literals(spark, ranks)
     id_type = docs.schema[id_col].dataType.simpleString()
-    group_schema = (
-        f"ids array<{id_type}>, text_sizes binary, text_chunks binary, chunk_sizes binary, chunk_words binary, "
-        "words array<array<smallint>>, long array<binary>"
-    )
-    arrow = _arrow_schema(spark, group_schema)
+    row_schema = f"id {id_type}, numbers binary, word binary, bounds bigint, merges array<struct<span: bigint, ends: bigint>>, fresh boolean"
+    arrow = _arrow_schema(spark, row_schema)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = _Group(pattern)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, table, fresh = _Words(pattern), RankMap(ranks_of.value), True
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                group.add(key, text)
-                if group.chars >= GROUP_CHARS:
-                    yield group.row(arrow)
-        if group.ids:
-            yield group.row(arrow)
+            packed, new = words.numbers(batch.column(1).to_pylist())
+            for at in range(0, len(new), 20_000):
+                yield _word_rows(new[at : at + 20_000], table, fresh, arrow)
+                fresh = False
+            yield _batch({"id": batch.column(0), "numbers": pa.array(packed, pa.binary())}, batch.num_rows, arrow)
+            if len(words.number) > TASK_WORDS:
+                words.number.clear()
+                fresh = True
 
     out_schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (
         ", ids array<int>" if with_ids else ""
@@ -234,20 +228,15 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     out_arrow = _arrow_schema(spark, out_schema)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Encoded(ranks_of.value)
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield from _assembled({f.name: batch.column(k)[i : i + 1] for k, f in enumerate(batch.schema)}, ranks_of, out_arrow, with_ids)
+            out = known.read(batch, with_ids)
+            if out["id"]:
+                yield pa.RecordBatch.from_pydict({k: out[k] for k in out_arrow.names}, schema=out_arrow)
 
-    grouped = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(gather, group_schema)
-    for name in literals.columns:  # one value each, beside every group
-        grouped = grouped.withColumn(name, literals.select(name).scalar())
-    byte_ids, pairs, tokens = map(F.col, literals.columns)
-    encoded = grouped.withColumn("encoded", F.transform("words", lambda w: fold_merges(w, byte_ids, pairs)))
-    decoded = encoded.withColumn(
-        "decoded",
-        F.transform("encoded", lambda ids: F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(tokens, i)))),
-    ).drop("words", *literals.columns)
-    return decoded.mapInArrow(assemble, out_schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, row_schema)
+    folded = rows.withColumn("bounds", F.when(F.col("bounds").isNotNull(), fold_merges(F.col("merges"), F.col("bounds"))))
+    return folded.drop("merges").mapInArrow(assemble, out_schema)
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
@@ -256,36 +245,44 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(spark.createDataFrame([], ddl).schema)
 
 
-def _assembled(row: dict, ranks_of, schema: pa.Schema, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    ints = lambda name: np.frombuffer(row[name][0].as_py(), np.int32)
-    word_ids = row["encoded"].flatten()  # of this row alone; .values would be of the whole batch
-    numbers = word_ids.flatten().to_pylist()
-    ends = np.concatenate([[0], np.cumsum(word_ids.value_lengths().to_numpy())]).tolist()
-    words = [numbers[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-    pieces = row["decoded"].flatten().to_pylist()
-    for at, word in enumerate(row["long"][0].as_py()):
-        if word is not None:
-            words[at] = merge_long(word, ranks_of.value)
-            back = {i: t for t, i in ranks_of.value.items()}
-            pieces[at] = b"".join(map(back.__getitem__, words[at]))
-    texts = [",".join(map(str, w)) for w in words]
-    chunk_text, chunk_bytes, chunk_n, chunk_own = [], [], [], []
-    for own in _ragged(ints("chunk_words"), ints("chunk_sizes")):
-        own = own.tolist()
-        chunk_own.append(own)
-        chunk_text.append(",".join([texts[w] for w in own]))
-        chunk_bytes.append(b"".join([pieces[w] for w in own]))
-        chunk_n.append(sum([len(words[w]) for w in own]))
-    out: dict[str, list] = {name: [] for name in schema.names}
-    lengths = np.array(chunk_n, np.int64)
-    for key, own in zip(row["ids"][0].as_py(), _ragged(ints("text_chunks"), ints("text_sizes")), strict=True):
-        numbers = own.tolist()
-        out["id"].append(key)
-        out["n_tokens"].append(int(lengths[own].sum()) if own.size else 0)
-        out["ids_sha256"].append(hashlib.sha256(",".join(map(chunk_text.__getitem__, numbers)).encode()).hexdigest())
-        decoded = b"".join(map(chunk_bytes.__getitem__, numbers))
-        out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
-        if with_ids:
-            out["ids"].append([i for c in numbers for w in chunk_own[c] for i in words[w]])
-    for at in range(0, len(out["id"]), 1000):
-        yield pa.RecordBatch.from_pydict({k: v[at : at + 1000] for k, v in out.items()}, schema=schema)
+class _Encoded:
+    """Ids and decoded bytes of a task's words by number."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.token = [b""] * (max(ranks.values(), default=0) + 1)
+        for token, rank in ranks.items():
+            self.token[rank] = token
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: list[list[int]] = []
+        self.texts: list[str] = []
+        self.decoded: list[bytes] = []
+
+    def add(self, word: bytes, bounds: int | None) -> None:
+        ids = merge_long(word, self.ranks) if bounds is None else [self.ranks[p] for p in parts(word, bounds)]
+        self.ids.append(ids)
+        self.texts.append(",".join(map(str, ids)))
+        self.decoded.append(b"".join([self.token[i] for i in ids]))
+
+    def read(self, batch: pa.RecordBatch, with_ids: bool) -> dict[str, list]:
+        """Learn the batch's words and put its texts together, in row order."""
+        names = batch.schema.names
+        keys, packed, words, bounds, fresh = (batch.column(names.index(c)).to_pylist() for c in ("id", "numbers", "word", "bounds", "fresh"))
+        out: dict[str, list] = {"id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+        for i, word in enumerate(words):
+            if fresh[i]:
+                self.clear()
+            if word is not None:
+                self.add(word, bounds[i])
+                continue
+            numbers = np.frombuffer(packed[i], np.int32).tolist()
+            text = ",".join([self.texts[n] for n in numbers])
+            out["id"].append(keys[i])
+            out["n_tokens"].append(text.count(",") + 1 if text else 0)
+            out["ids_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join([self.decoded[n] for n in numbers])).hexdigest())
+            if with_ids:
+                out["ids"].append([x for n in numbers for x in self.ids[n]])
+        return out

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from eventlens.llm import byte_bpe
-from eventlens.llm.byte_bpe import encode_rows, merge_long, read_ranks
+from eventlens.llm.byte_bpe import RankMap, encode_rows, merge_long, parts, read_ranks, single_pass
 from tests.llm.data import SMALL, empty_docs, odd_docs
 
 PATH = tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -50,8 +50,8 @@ def test_equals_library_on_random_spacing(spark, library):
     assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == expected(library, rows)
 
 
-def test_groups_do_not_matter(spark, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "GROUP_CHARS", 50)
+def test_forgetting_words_does_not_matter(spark, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "TASK_WORDS", 5)
     rows = [(i, f"word {i} again and again, {'x' * (i * 40)}") for i in range(40)]
     assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == expected(library, rows)
 
@@ -64,5 +64,24 @@ def test_heap_equals_library(text):
     assert merge_long(text.encode(), ranks) == library.encode_ordinary(text)
 
 
+def test_one_pass_in_rank_order_is_enough():
+    ranks = read_ranks(PATH)
+    assert single_pass(ranks) and single_pass(read_ranks(tokenizers.path("byte_bpe_50k.tiktoken")))
+    # "abc" only comes from a merge of a greater rank, so one pass would miss it.
+    assert not single_pass({b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4})
+
+
+def test_rank_map_finds_every_part():
+    ranks = read_ranks(PATH)
+    words = [b" the", b"x", b"", b"Erreth", "é中".encode(), b" " * 7]
+    counts, first, length = RankMap(ranks).merges(words)
+    at = 0
+    for word, n in zip(words, counts, strict=True):
+        want = sorted((ranks[word[i:j]], i, j - i) for i in range(len(word)) for j in range(i + 2, len(word) + 1) if word[i:j] in ranks)
+        assert [(i, k) for _, i, k in want] == list(zip(first[at : at + n].tolist(), length[at : at + n].tolist(), strict=True))
+        at += n
+    assert parts(b"abcd", 0b10011) == [b"a", b"bcd"]
+
+
 def test_empty(spark):
     assert got(empty_docs(spark)) == []
