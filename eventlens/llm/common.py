@@ -27,20 +27,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back (cuts lineage)."""
     path = scratch_path(df.sparkSession, purpose)
+    _written.append(path)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.scratch = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote for ``df``; nothing may read it, or frames made of it, afterwards."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.scratch)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.scratch)
+    _written.remove(df.scratch)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all that ``stored`` has written in this process and not discarded; how many folders it was.
+
+    For the end of a job, when the results of the operators have been written elsewhere.
+    """
+    count = len(_written)
+    while _written:
+        _delete(spark, _written.pop())
+    return count
 
 
 def numbered(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
