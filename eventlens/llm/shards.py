@@ -88,6 +88,13 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def opened(message: bytes) -> tuple:
+    """A packed message, with the token and the class of each pair in place of its code."""
+    tokens, steps, *rest = unpack(message)
+    code = np.cumsum(steps, dtype=np.int64)
+    return tokens, code // CLASSES, code % CLASSES, *rest
+
+
 class Block:
     """Texts of one worker, to be packed together."""
 
@@ -139,7 +146,8 @@ class Block:
             own, first = np.unique(pair[a:b], return_index=True)
             tokens, token_of = np.unique(own // CLASSES, return_inverse=True)
             uses = np.diff(np.append(first, b - a))
-            message = [hashed[order[tokens]], narrow(token_of), narrow(own % CLASSES)]
+            code = token_of * CLASSES + own % CLASSES  # rises, so its steps pack well
+            message = [hashed[order[tokens]], narrow(np.diff(code, prepend=0))]
             if by_text:
                 message += [narrow(uses), narrow(key[a:b] % texts), narrow(count[a:b])]
             else:
@@ -171,7 +179,7 @@ def shard_counts(docs: DataFrame, build: Callable[[int, np.ndarray, np.ndarray,
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, classes, counts = [], [], []
         for message in pdf.message:
-            tokens, token_of, class_of, count = unpack(message)
+            tokens, token_of, class_of, count = opened(message)
             hashes.append(tokens[token_of])
             classes.append(class_of)
             counts.append(count.astype(np.int64))
@@ -187,8 +195,8 @@ def shard_counts(docs: DataFrame, build: Callable[[int, np.ndarray, np.ndarray,
 def score_texts(docs: DataFrame, models: DataFrame, score: Callable[[bytes | None, tuple], np.ndarray], width: int) -> DataFrame:
     """``id, n_tokens, sums`` for each row of ``docs`` (id, text).
 
-    ``score(model, message)`` gives ``width`` numbers for each (token, class)
-    pair of a message; a text's sums add them over its tokens.
+    ``score(model, (tokens, token_of, class_of))`` gives ``width`` numbers for
+    each (token, class) pair of a message; a text's sums add them over its tokens.
     """
     spark = docs.sparkSession
     shards = shuffle_width(spark)
@@ -209,9 +217,8 @@ def score_texts(docs: DataFrame, models: DataFrame, score: Callable[[bytes | Non
         known = model.model.iloc[0] if len(model) else None
         answers = []
         for data in messages.message:
-            message = unpack(data)
-            tokens, token_of, class_of, uses, text, count = message
-            values = score(known, message)
+            tokens, token_of, class_of, uses, text, count = opened(data)
+            values = score(known, (tokens, token_of, class_of))
             texts, at = np.unique(text, return_inverse=True)
             pair = np.repeat(np.arange(uses.size), uses.astype(np.int64))
             times = count.astype(np.float64)
