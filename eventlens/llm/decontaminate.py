@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import numbered, only, prepare, stored
+from eventlens.llm.common import prepare, stored
 
 WINDOW = 13
 GRAM = 5
@@ -253,7 +253,15 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns."""
-    rows, row = numbered(docs, "decontaminate-input")
-    found = contamination(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text", **options)
-    return only(rows, row, found.filter("NOT contaminated").select("id"))
+    """The documents that aren't contaminated, with their own columns.
+
+    Contamination depends on the text alone, so documents go by the digest of
+    theirs; no text is stored or numbered for it.
+    """
+    digest = F.unhex(F.sha2(F.col(text_col), 256))
+    found = contamination(docs.select(digest.alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text", **options)
+    name = "digest"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    bad = stored(found.filter("contaminated").select(F.col("id").alias(name)).distinct(), "contaminated")
+    return docs.withColumn(name, digest).join(bad, name, "left_anti").drop(name)
