@@ -70,7 +70,10 @@ class RankMap:
             self.sieve[value * _ODD >> np.uint64(64 - _SIEVE_BITS)] = True
 
     def merges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word its number of merges; of all merges, by word and rank, first byte and length."""
+        """For each word (of ``FOLD_BYTES`` at most) its number of merges; of all merges, by word and rank, first byte and length.
+
+        Ranks are below 2^22.
+        """
         sizes = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         first = np.cumsum(sizes) - sizes
@@ -89,13 +92,22 @@ class RankMap:
             maybe = np.flatnonzero(self.sieve[value * _ODD >> np.uint64(64 - _SIEVE_BITS)])
             place = np.minimum(np.searchsorted(known, value[maybe]), known.size - 1)
             hit = known[place] == value[maybe]
-            found.append((at[maybe[hit]], np.full(int(hit.sum()), length), ranks[place[hit]]))
-        if not found:
-            return np.zeros(len(words), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, length, rank = (np.concatenate(x) for x in zip(*found, strict=True))
-        word = word_of[at]
-        order = np.lexsort((at, rank, word))
-        return np.bincount(word, minlength=len(words)), (at - first[word])[order], length[order]
+            starts = at[maybe[hit]]
+            word = word_of[starts]
+            # Word, rank, first byte and length in one number, so that sorting it sorts them all.
+            found.append(word << 38 | ranks[place[hit]] << 16 | (starts - first[word]) << 8 | length)
+        keys = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+        return np.bincount(keys >> 38, minlength=len(words)), keys >> 8 & 0xFF, keys & 0xFF
+
+
+_maps: list[tuple[dict, RankMap]] = []
+
+
+def _rank_map(ranks: dict[bytes, int]) -> RankMap:
+    """The rank map of a worker's last ranks, made once."""
+    if not _maps or _maps[0][0] is not ranks:
+        _maps[:] = [(ranks, RankMap(ranks))]
+    return _maps[0][1]
 
 
 def fold_merges(merges: Column, bounds: Column) -> Column:
@@ -112,10 +124,12 @@ def fold_merges(merges: Column, bounds: Column) -> Column:
 def parts(word: bytes, bounds: int) -> list[bytes]:
     """The word cut at its boundaries."""
     out, start = [], 0
-    for end in range(1, len(word) + 1):
-        if bounds >> end & 1:
-            out.append(word[start:end])
-            start = end
+    bounds &= bounds - 1  # without the one before the first byte
+    while bounds:
+        end = (bounds & -bounds).bit_length() - 1
+        out.append(word[start:end])
+        start = end
+        bounds &= bounds - 1
     return out
 
 
@@ -211,7 +225,7 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     arrow = _arrow_schema(spark, row_schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table, fresh = _Words(pattern), RankMap(ranks_of.value), True
+        words, table, fresh = _Words(pattern), _rank_map(ranks_of.value), True
         for batch in batches:
             packed, new = words.numbers(batch.column(1).to_pylist())
             for at in range(0, len(new), 20_000):
