@@ -1,14 +1,13 @@
 """License scans by conditional compression.
 
-A candidate block is a run of neighbouring lines that use licensing words
-(lines of over ``LONG_LINE`` characters are cut at sentence ends first). Each
-block is compressed alone and with every template as a raw zstandard
-dictionary; templates are ranked by how much smaller the dictionary makes the
-block. In that order a template is confirmed if a word-by-word comparison
-finds its telling words (name, version, conditions) unchanged, at most
+A candidate block is what lies within ``REACH`` words of a licensing word, over
+lines, blank lines and comment marks. A template is looked for at each place of
+its rarest telling word (name, version, conditions), and confirmed if a
+word-by-word comparison finds all telling words unchanged, at most
 ``MAX_DIFFERENCE`` of its words different, and no telling words of another
-license in between. A block that holds several notices is scanned again
-without the lines of the one found.
+license in between. Of the confirmed ones the one is taken whose use as a raw
+zstandard dictionary saves most bytes of the notice found; the words before and
+after it are scanned again.
 
 Null and empty texts have no blocks. Repeated rows get equal results; equal
 reductions are taken in template order. Extra columns are ignored. A block is
@@ -18,9 +17,11 @@ bounded by its document, and documents are read whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -28,9 +29,8 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import prepare
 
-LONG_LINE = 2000
 MAX_DIFFERENCE = 0.2
-#: Words that make a line a candidate; the same expression runs in the scan.
+#: Words that make their surroundings a candidate; the same expression runs in the scan.
 VOCABULARY = r"(?i)licen[sc]|copyright|copyleft|spdx|all rights reserved|public domain|permission is hereby|redistribut|warrant(y|ies)|merchantab|free software|creative ?commons|\bCC[ -](BY|0)|\b(A|L)?GPL\b"
 
 #: License, telling words, notice. Public licence notices.
@@ -58,35 +58,31 @@ TEMPLATES = (
     ("Unlicense", "unencumbered public domain", "This is free and unencumbered software released into the public domain."),
 )
 
-_WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
-_LINE = re.compile(VOCABULARY)
-_SENTENCE = re.compile(r"(?<=[.!?]) +")
+_WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
+_HIT = re.compile(VOCABULARY)
+_TAIL = re.compile(r"[^\sA-Za-z0-9]*")
+#: Words on both sides of a licensing word that can belong to its notice.
+REACH = int((1 + 2 * MAX_DIFFERENCE) * max(len(_WORD.findall(notice)) for _, _, notice in TEMPLATES))
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def blocks_of(text: str) -> list[list[tuple[int, str]]]:
-    """Candidate blocks, as runs of (offset, line)."""
-    blocks: list[list[tuple[int, str]]] = []
-    at, last = 0, False
-    for line in text.split("\n"):
-        start = at
-        at += len(line) + 1
-        parts = [line]
-        if len(line) > LONG_LINE:
-            parts = _SENTENCE.split(line)
-        for part in parts:
-            here = text.index(part, start)
-            start = here + len(part)
-            hit = bool(_LINE.search(part))
-            if hit and last:
-                blocks[-1].append((here, part))
-            elif hit:
-                blocks.append([(here, part)])
-            last = hit
-    return blocks
+    """Candidate blocks, each as its (offset, text)."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    ends = [b for _, b in spans]
+    runs: list[list[int]] = []
+    for hit in _HIT.finditer(text):
+        at = bisect_right(ends, hit.start())
+        first, last = max(0, at - REACH), min(len(spans), at + REACH)
+        if runs and first <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], last)
+        else:
+            runs.append([first, last])
+    cuts = [(spans[a][0], _TAIL.match(text, spans[b - 1][1]).end()) for a, b in runs]
+    return [[(a, text[a:b])] for a, b in cuts]
 
 
 @lru_cache(maxsize=1)
@@ -107,48 +103,91 @@ def reductions(block: str) -> list[tuple[float, int]]:
 
 
 def differences(notice: list[str], telling: frozenset, words: list[str]) -> tuple[int, int, int] | None:
-    """Words of the notice that differ and the words of the block it spans; None if a telling word differs."""
+    """Words of the notice that differ and the words it spans, without chance matches around it; None if a telling word differs."""
     runs = [m for m in SequenceMatcher(None, notice, words, autojunk=False).get_matching_blocks() if m.size]
-    if not runs:
-        return None
-    same = {notice[i] for m in runs for i in range(m.a, m.a + m.size)}
-    first, last = runs[0].b, runs[-1].b + runs[-1].size
-    matched = sum(m.size for m in runs)
-    if not telling <= same:
-        return None
-    return max(len(notice), last - first) - matched, first, last
-
-
-def scan_block(block: list[tuple[int, str]]) -> list[dict]:
-    """Confirmed notices of a block."""
-    text = "\n".join(line for _, line in block)
-    words = words_of(text)
-    for saved, i in reductions(text):
-        if saved <= 0:
-            break
-        name, telling, notice, _ = _prepared()[i]
-        found = differences(notice, telling, words)
+    best = None
+    for i in range(len(runs)):
+        matched = 0
+        for j in range(i, len(runs)):
+            matched += runs[j].size
+            first, last = runs[i].b, runs[j].b + runs[j].size
+            found = (max(len(notice), last - first) - matched, first, last)
+            if best is None or (found[0], last - first) < (best[0], best[2] - best[1]):
+                if telling <= {notice[m.a + k] for m in runs[i : j + 1] for k in range(m.size)}:
+                    best = found
+    return best
+
+
+def _places(i: int, words: list[str], at: dict[str, list[int]]) -> list[tuple[int, int, int]]:
+    """Confirmed places of a template: differing words, first and last word."""
+    _, telling, notice, _ = _prepared()[i]
+    if not all(w in at for w in telling):
+        return []
+    rare = min(telling, key=lambda w: (len(at[w]) * notice.count(w), w))
+    slack = int(MAX_DIFFERENCE * len(notice)) + 1
+    out = []
+    for start in sorted({b - a for b in at[rare] for a, w in enumerate(notice) if w == rare}):
+        first = max(0, start - slack)
+        found = differences(notice, telling, words[first : start + len(notice) + slack])
         if found is None or found[0] > MAX_DIFFERENCE * len(notice):
             continue
+        span = set(words[first + found[1] : first + found[2]])
         # A longer name that contains this one, such as a version "2.0" of another license, tells more.
-        if any(telling < other and other <= set(words[found[1] : found[2]]) for _, other, _, _ in _prepared()):
+        if not any(telling < other and other <= span for _, other, _, _ in _prepared()):
+            out.append((found[0], first + found[1], first + found[2]))
+    return out
+
+
+def _confirmed(text: str, words: list[tuple[str, int, int]]) -> list[tuple]:
+    """Confirmed notices that do not overlap, those that save most bytes first: bytes, template, words, span, reduction, differing words."""
+    plain = [w for w, _, _ in words]
+    at: dict[str, list[int]] = {}
+    for k, w in enumerate(plain):
+        at.setdefault(w, []).append(k)
+    found = []
+    for i, (_, _, _, compressor) in enumerate(_prepared()):
+        for differing, first, last in _places(i, plain, at):
+            start, end = words[first][1], _TAIL.match(text, words[last - 1][2]).end()
+            data = " ".join(text[start:end].lower().split()).encode()
+            alone = len(zstandard.ZstdCompressor(level=9).compress(data))
+            saved = alone - len(compressor.compress(data))
+            if saved > 0:
+                found.append((saved, i, first, last, start, end, saved / alone, differing))
+    kept, taken = [], np.zeros(len(words), bool)
+    for own in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+        if not taken[own[2] : own[3]].any():
+            taken[own[2] : own[3]] = True
+            kept.append(own)
+    return sorted(kept, key=lambda x: x[2])
+
+
+def _scan(text: str, offset: int) -> list[dict]:
+    """Confirmed notices of a text; what is between them is scanned again until nothing is left to find."""
+    out = []
+    parts = [[(m.group().lower(), *m.span()) for m in _WORD.finditer(text)]]
+    while parts:
+        words = parts.pop()
+        kept = _confirmed(text, words)
+        if not kept:
             continue
-        seen, lines = 0, []
-        for k, (_, line) in enumerate(block):
-            n = len(words_of(line))
-            if seen < found[2] and seen + n > found[1]:
-                lines.append(k)
-            seen += n
-        own = {
-            "license": name, "start": block[lines[0]][0], "length": block[lines[-1]][0] + len(block[lines[-1]][1]) - block[lines[0]][0],
-            "reduction": float(saved), "differing_words": found[0],
-        }
-        rest = [part for part in (block[: lines[0]], block[lines[-1] + 1 :]) if part]
-        return sorted([own, *(x for part in rest for x in scan_block(part))], key=lambda x: x["start"])
-    if len(block) > 1:  # unrelated lines beside each other
-        half = len(block) // 2
-        return scan_block(block[:half]) + scan_block(block[half:])
-    return []
+        last = 0
+        for _, i, first, end, start, stop, reduction, differing in [*kept, (0, 0, len(words), 0, 0, 0, 0.0, 0)]:
+            rest = words[last:first]
+            if rest:
+                parts.append(rest)
+            if end:
+                own = {"license": _prepared()[i][0], "start": offset + start, "length": stop - start, "reduction": reduction, "differing_words": differing}
+                out.append(own)
+            last = end
+    return out
+
+
+def scan_block(block: list[tuple[int, str]]) -> list[dict]:
+    """Confirmed notices of a block."""
+    out = []
+    for offset, text in block:
+        out += _scan(text, offset)
+    return sorted(out, key=lambda x: x["start"])
 
 
 MATCH = "struct<license: string, start: bigint, length: bigint, reduction: double, differing_words: bigint>"

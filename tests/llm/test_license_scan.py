@@ -1,3 +1,5 @@
+import textwrap
+
 from eventlens.llm.license_scan import TEMPLATES, blocks_of, license_scan, reductions, scan_block
 from tests.llm.data import SMALL, empty_docs, odd_docs
 
@@ -49,3 +51,10 @@ def test_odd_and_empty(spark):
     assert license_scan(odd_docs(spark)).filter("size(licenses) > 0").count() == 0
     assert license_scan(odd_docs(spark)).count() == odd_docs(spark).count()
     assert license_scan(empty_docs(spark)).count() == 0
+
+
+def test_wrapped_notices_with_blank_and_comment_lines():
+    for name, _, notice in TEMPLATES:
+        lines = textwrap.wrap(notice, 72, break_on_hyphens=False)
+        for text in ("\n".join(lines), "\n\n".join(lines), "\n".join(f"# {x}" for x in lines), "\n *\n".join(f" * {x}" for x in lines)):
+            assert found(f"Copyright 2020 Someone\n\n{text}\n\nOther text of the file.") == [name], (name, text)
