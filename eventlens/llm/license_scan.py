@@ -7,7 +7,7 @@ word-by-word comparison finds all telling words unchanged, at most
 ``MAX_DIFFERENCE`` of its words different, and no telling words of another
 license in between. Of the confirmed ones the one is taken whose use as a raw
 zstandard dictionary saves most bytes of the notice found; the words before and
-after it are scanned again.
+after it are scanned again. SPDX identifiers are read as they stand.
 
 Null and empty texts have no blocks. Repeated rows get equal results; equal
 reductions are taken in template order. Extra columns are ignored. A block is
@@ -42,12 +42,14 @@ TEMPLATES = (
     ("GPL-3.0", "gnu general version 3", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "gnu general version 2", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0-or-later", "gnu general version 3 later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "gnu general version 2 later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "gnu lesser version 3", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "gnu affero version 3", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "mozilla 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "bsd 3-clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "bsd 2-clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "redistribution binary forms neither endorse", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "redistribution binary forms reproduce", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("ISC", "isc", "Released under the ISC License."),
     ("CC0-1.0", "cc0 1.0", "Dedicated to the public domain under CC0 1.0."),
     ("CC-BY-4.0", "cc by 4.0", "Licensed under CC BY 4.0."),
@@ -61,6 +63,8 @@ TEMPLATES = (
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
 _HIT = re.compile(VOCABULARY)
 _TAIL = re.compile(r"[^\sA-Za-z0-9]*")
+_ID = r"(?:\([ \t]*)*[A-Za-z0-9](?:[A-Za-z0-9.+\-]*[A-Za-z0-9+])?(?:[ \t]*\))*"
+_SPDX = re.compile(rf"(?i:SPDX-License-Identifier):[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)")
 #: Words on both sides of a licensing word that can belong to its notice.
 REACH = int((1 + 2 * MAX_DIFFERENCE) * max(len(_WORD.findall(notice)) for _, _, notice in TEMPLATES))
 
@@ -171,8 +175,10 @@ def _scan(text: str, offset: int) -> list[dict]:
         if not kept:
             continue
         last = 0
-        for _, i, first, end, start, stop, reduction, differing in [*kept, (0, 0, len(words), 0, 0, 0, 0.0, 0)]:
+        for n, (_, i, first, end, start, stop, reduction, differing) in enumerate([*kept, (0, 0, len(words), 0, 0, 0, 0.0, 0)]):
             rest = words[last:first]
+            if n and len(rest) > 1 and rest[0][0] in ("or", "and"):  # "under the MIT License or the ..."
+                rest = [(w, rest[1][1], rest[1][1]) for w in ("licensed", "under")] + rest[1:]
             if rest:
                 parts.append(rest)
             if end:
@@ -182,11 +188,24 @@ def _scan(text: str, offset: int) -> list[dict]:
     return out
 
 
+def _identifiers(text: str, offset: int) -> list[dict]:
+    """SPDX identifiers, as the licenses of an expression."""
+    compressor = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(b"spdx-license-identifier: ", dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    out = []
+    for m in _SPDX.finditer(text):
+        data = m.group().lower().encode()
+        alone = len(zstandard.ZstdCompressor(level=9).compress(data))
+        reduction = 1 - len(compressor.compress(data)) / alone
+        for name in re.findall(r"[A-Za-z0-9.+\-]+", re.sub(r"WITH[ \t]+[^ \t)]+|\b(AND|OR)\b", " ", m.group(1))):
+            out.append({"license": name, "start": offset + m.start(), "length": len(m.group()), "reduction": reduction, "differing_words": 0})
+    return out
+
+
 def scan_block(block: list[tuple[int, str]]) -> list[dict]:
     """Confirmed notices of a block."""
     out = []
     for offset, text in block:
-        out += _scan(text, offset)
+        out += _scan(text, offset) + _identifiers(text, offset)
     return sorted(out, key=lambda x: x["start"])
 
 

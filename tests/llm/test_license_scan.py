@@ -58,3 +58,15 @@ def test_wrapped_notices_with_blank_and_comment_lines():
         lines = textwrap.wrap(notice, 72, break_on_hyphens=False)
         for text in ("\n".join(lines), "\n\n".join(lines), "\n".join(f"# {x}" for x in lines), "\n *\n".join(f" * {x}" for x in lines)):
             assert found(f"Copyright 2020 Someone\n\n{text}\n\nOther text of the file.") == [name], (name, text)
+
+
+def test_notices_that_share_a_line():
+    assert found("Released under the MIT License. Licensed under CC BY-NC 4.0.") == ["MIT", "CC-BY-NC-4.0"]
+    assert found("Licensed under the MIT License or the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    padded = "Released under the MIT License. " + "word " * 500 + "Licensed under CC BY-NC 4.0."
+    assert found(padded) == found(padded.replace("word", "longer words")) == ["MIT", "CC-BY-NC-4.0"]
+    assert found("// SPDX-License-Identifier: GPL-2.0-only") == ["GPL-2.0-only"]
+    assert found("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport os") == ["MIT", "Apache-2.0"]
+    assert found("SPDX-License-Identifier: MIT and some words") == ["MIT"]
+    assert found("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0") == ["GPL-2.0-only"]
+    assert found("Released under the MIT License.\n" * 1500) == ["MIT"] * 1500
