@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,5 +93,20 @@ def word_lists(texts) -> Iterator[list[bytes]]:
         yield text.encode().lower().split() if text else []
 
 
+#: Text of one slice that a worker turns into Python objects at a time.
+SLICE_BYTES = 4 << 20
+
+
+def byte_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the values of ``column`` in one hold at most ``most`` bytes; a longer value is alone."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
+            yield batch.slice(at, end - at)
+            at, done = end, int(sizes[end - 1])
+
+
 def popcount(values: np.ndarray) -> np.ndarray:
     return np.bitwise_count(values)

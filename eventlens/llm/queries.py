@@ -13,12 +13,15 @@ from eventlens.llm.chat import fold_events, read_back, render
 from eventlens.llm.common import remainder, table
 from eventlens.llm.decontaminate import contamination
 from eventlens.llm.exact_dedup import exact_groups
+from eventlens.llm.fill_middle import fill_middle
+from eventlens.llm.importance import importance_sample
 from eventlens.llm.kneser_ney import quality
 from eventlens.llm.langid import fit_language_model, language_column, training_rows
 from eventlens.llm.license_scan import license_scan
 from eventlens.llm.pitman_yor import pitman_yor_scores
 from eventlens.llm.simhash import simhash_components
 from eventlens.llm.token_counts import token_counts
+from eventlens.llm.weighted_fingerprint import edited_fingerprints
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +125,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards the benchmark's texts, and a tenth drawn by them."""
+    rows = importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted fingerprints of all documents, of edited copies, and their likeness."""
+    return edited_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut at line ranks and rearranged, and restored again."""
+    rows = fill_middle(table(spark, sf_dir, "documents"), with_digests=True)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 OP4_SQL = r"""
 WITH n AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -192,6 +212,80 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """
 
+OP11_SQL = r"""
+WITH table_of AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS crc
+    FROM range(256) AS t(i)
+), docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), source_words AS (SELECT r, unnest(w) AS word FROM docs
+), target_words AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+    FROM benchmark
+), spelled AS (
+    SELECT word, hex(encode(word)) AS digits FROM (SELECT word FROM source_words UNION SELECT word FROM target_words)
+), bucket_of AS (
+    SELECT word, xor(list_reduce(
+        list_transform(range(len(digits) // 2), lambda i: ('0x' || substr(digits, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT),
+        lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM spelled, table_of
+), counts AS (
+    SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t
+    FROM (SELECT 0 AS side, word FROM source_words UNION ALL SELECT 1, word FROM target_words) JOIN bucket_of USING (word)
+    GROUP BY bucket
+), gain_of AS (
+    SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+                                        / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain
+    FROM counts
+), weights AS (
+    SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+    FROM source_words JOIN bucket_of USING (word) JOIN gain_of USING (bucket) GROUP BY r
+), scored AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+               (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM docs LEFT JOIN weights USING (r)
+), drawn AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+           10 * count(*) OVER () // 100 AS draw
+    FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= draw THEN place END AS rank
+FROM scored LEFT JOIN drawn USING (doc_id)
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+           sha256('7:' || doc_id) AS h
+    FROM documents
+), g AS (
+    SELECT *, CAST(len(units) AS BIGINT) AS n, [('0x' || substr(h, 1, 8))::BIGINT, ('0x' || substr(h, 9, 8))::BIGINT,
+           ('0x' || substr(h, 17, 8))::BIGINT, ('0x' || substr(h, 25, 8))::BIGINT] AS x
+    FROM d
+), c AS (
+    SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 100
+                THEN 'plain' WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM g
+), p AS (
+    SELECT *, array_to_string(units[:a], '') AS prefix, array_to_string(units[a + 1 : b], '') AS middle,
+           array_to_string(units[b + 1 :], '') AS suffix
+    FROM c
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -203,10 +297,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op5_chat_format": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op13_fill_middle": OP13_SQL,
 }
