@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import prepare, shuffle_width, stored
 
-SAMPLES = 64
+SAMPLES = 48
 #: Hexadecimal digits of one sample in a fingerprint.
 DIGITS = 8
 PIECE_CHARS = 1 << 16
@@ -58,24 +58,24 @@ def _word_hashes(text: Column) -> Column:
     return F.sort_array(F.flatten(words))
 
 
-def _uniform(hashed: Column) -> tuple[Column, Column]:
+def _halves(hashed: str) -> tuple[str, str]:
     """Two numbers inside (0, 1) of the halves of a hash."""
-    scale = F.lit(2.0**-32)
-    high, low = F.shiftrightunsigned(hashed, 32), hashed.bitwiseAND(F.lit(0xFFFFFFFF))
-    return (high + F.lit(0.5)) * scale, (low + F.lit(0.5)) * scale
+    return f"((shiftrightunsigned({hashed}, 32) + 0.5D) * {2.0**-32!r}D)", f"((({hashed} & 4294967295L) + 0.5D) * {2.0**-32!r}D)"
 
 
-def _sample(term: Column, log_weight: Column, i: int) -> Column:
-    """Sample ``i`` of one weighted term as one number."""
-    third = F.xxhash64(term, F.lit(3 * i + 2))
-    (u1, u2), (u3, u4) = (_uniform(F.xxhash64(term, F.lit(3 * i + j))) for j in (0, 1))
-    r, log_c = -F.log(u1 * u2), F.log(-F.log(u3 * u4))
-    b = F.shiftrightunsigned(third, 11) * F.lit(2.0**-53)
-    t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t + F.lit(1.0) - b)
-    fixed = F.greatest(F.lit(0.0), (log_a + F.lit(512.0)) * F.lit(2.0**22)).cast("bigint")
-    name = third.bitwiseXOR(t).bitwiseAND(F.lit((1 << _NAME_BITS) - 1))
-    return F.shiftleft(fixed, _NAME_BITS).bitwiseOR(name)
+def _sample(i: int) -> Column:
+    """Sample ``i`` of one weighted term as one number; null for no term.
+
+    ``ln a`` lies between -90 and 4 for weights of up to 2^31, so the fixed-point part is positive.
+    """
+    hashes = [f"xxhash64(term, {3 * i + j})" for j in range(3)]
+    (u1, u2), (u3, u4) = _halves(hashes[0]), _halves(hashes[1])
+    r, log_c = f"(-ln({u1} * {u2}))", f"ln(-ln({u3} * {u4}))"
+    b = f"(shiftrightunsigned({hashes[2]}, 11) * {2.0**-53!r}D)"
+    t = f"floor(log_weight / {r} + {b})"
+    log_a = f"({log_c} - {r} * ({t} + 1.0D - {b}))"
+    fixed = f"CAST(({log_a} + 512.0D) * {2.0**22!r}D AS BIGINT)"
+    return F.expr(f"shiftleft({fixed}, {_NAME_BITS}) | (({hashes[2]} ^ {t}) & {(1 << _NAME_BITS) - 1}L)")
 
 
 def weighted_terms(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -99,29 +99,18 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFr
     Rows keep their partitioning if the keys hold its columns; otherwise one
     row of ``SAMPLES`` numbers for each task and key is shuffled.
     """
-    least = [
-        F.min(F.when(F.col("term").isNotNull(), _sample(F.col("term"), F.col("log_weight"), i))).alias(f"_s{i}")
-        for i in range(SAMPLES)
-    ]
+    least = [F.min(_sample(i)).alias(f"_s{i}") for i in range(SAMPLES)]
     signed = weighted_terms(rows, keys, text).groupBy(*keys).agg(*least)
-    mask = F.lit((1 << _NAME_BITS) - 1)
-    none = F.lit("f" * DIGITS)  # no sample: its name has 31 bits
-    parts = [
-        F.coalesce(F.lower(F.lpad(F.hex(F.col(f"_s{i}").bitwiseAND(mask)), DIGITS, "0")), none) for i in range(SAMPLES)
-    ]
-    return signed.select(*keys, F.concat(*parts).alias("fingerprint"))
-
-
-def likeness(one: Column, other: Column) -> Column:
-    """The share of equal samples of two fingerprints, 0 to 1; null if one is null."""
-    same = [
-        (F.substring(one, i * DIGITS + 1, DIGITS) == F.substring(other, i * DIGITS + 1, DIGITS)).cast("int")
-        for i in range(SAMPLES)
-    ]
-    total = same[0]
-    for s in same[1:]:
-        total = total + s
-    return total / F.lit(float(SAMPLES))
+    none = "f" * DIGITS  # no sample: a sample's name has 31 bits
+    parts = [f"coalesce(lower(lpad(hex(_s{i} & {(1 << _NAME_BITS) - 1}L), {DIGITS}, '0')), '{none}')" for i in range(SAMPLES)]
+    return signed.select(*keys, F.expr(f"concat({', '.join(parts)})").alias("fingerprint"))
+
+
+def likeness(one: str, other: str) -> Column:
+    """The share of equal samples of the fingerprints in two columns, 0 to 1; null if one is null."""
+    places = range(1, SAMPLES * DIGITS, DIGITS)
+    same = [f"CAST(substring(`{one}`, {p}, {DIGITS}) = substring(`{other}`, {p}, {DIGITS}) AS INT)" for p in places]
+    return F.expr(f"({' + '.join(same)}) / {float(SAMPLES)}D")
 
 
 def _id_ranges(docs: DataFrame, ids: str, text: str) -> tuple[Column, int]:
@@ -220,6 +209,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ).filter("which = 0 AND NOT extra")
     return found.select(
         "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        likeness("fingerprint", "next_fingerprint").alias("near_next"),
     )

@@ -1,0 +1,73 @@
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from eventlens.llm.fill_middle import PLAIN, PSM, SPM, SkipList, fill_middle, rearrange, restore, tower_heights, unit_lengths
+from tests.llm.data import empty_docs, odd_docs
+
+
+@given(st.lists(st.integers(1, 1000), max_size=400))
+@settings(max_examples=60, deadline=None)
+def test_every_rank_is_reached_exactly(lengths):
+    lanes = SkipList(np.array(lengths, np.int64))
+    assert [lanes.offset(k) for k in range(len(lengths) + 1)] == [sum(lengths[:k]) for k in range(len(lengths) + 1)]
+
+
+def test_lanes_widen_and_sum():
+    lengths = np.arange(1, 20_001)
+    lanes = SkipList(lengths).lanes
+    assert len(lanes) >= 4
+    assert all(a.units.size > b.units.size for a, b in zip(lanes, lanes[1:], strict=False))
+    assert all(lane.units.sum() == 20_000 and lane.chars.sum() == lengths.sum() for lane in lanes)
+    assert all(lane.units.max() < 200 * 4**k for k, lane in enumerate(lanes))
+    assert 0.2 < np.mean(tower_heights(100_000) >= 1) < 0.3
+    with pytest.raises(ValueError):
+        SkipList(lengths).offset(20_001)
+
+
+def slow(text, name, rate=100, spm_rate=50):
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    h = hashlib.sha256(f"7:{name}".encode()).hexdigest()
+    x = [int(h[i : i + 8], 16) for i in range(0, 32, 8)]
+    a, b = sorted((x[0] % (len(units) + 1), x[1] % (len(units) + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or "<P>" in text or "<S>" in text or "<M>" in text or x[2] % 100 >= rate:
+        return len(units), PLAIN, None, None, text
+    if x[3] % 100 < spm_rate:
+        return len(units), SPM, len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), PSM, len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+@given(st.text(alphabet="ab\n\r<PSM>é\U0001f600 ", max_size=60), st.integers(0, 50))
+@settings(max_examples=300, deadline=None)
+def test_rearranged_and_restored(text, name):
+    for rate, spm in ((100, 50), (40, 0), (100, 100)):
+        got = rearrange(text, str(name), 7, rate, spm)
+        assert got == slow(text, name, rate, spm)
+        assert restore(got[4], got[1]) == text
+
+
+def test_documents(spark):
+    docs = odd_docs(spark)
+    want = sorted(
+        str((r.doc_id, *slow(r.text or "", "null" if r.doc_id is None else r.doc_id))) for r in docs.collect()
+    )
+    assert sorted(str(tuple(r)) for r in fill_middle(docs).collect()) == want
+    rows = fill_middle(docs, with_digests=True)
+    assert rows.columns == ["id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    texts = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
+    assert sorted(r.restored_sha256 for r in rows.collect()) == texts
+
+
+def test_long_text(spark):
+    text = "".join(f"line {i} é\n" * (i % 3) for i in range(200_000)) + "end"
+    row = fill_middle(spark.createDataFrame([(5, text)], "doc_id bigint, text string")).first()
+    assert tuple(row)[1:] == slow(text, 5) and row.n == unit_lengths(text).size
+
+
+def test_empty(spark):
+    assert fill_middle(empty_docs(spark)).count() == 0

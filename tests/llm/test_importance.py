@@ -1,0 +1,85 @@
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from eventlens.llm.importance import batch_features, bucket_counts, importance_sample, ranked
+from tests.llm.data import empty_docs, odd_docs, pandas_table
+
+BUCKETS = 10_000
+
+
+def words(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+
+
+def features(text, ngrams=1):
+    w = words(text)
+    grams = [b" ".join(w[i : i + n]) for n in range(1, ngrams + 1) for i in range(len(w) - n + 1)]
+    return [zlib.crc32(g) % BUCKETS for g in grams]
+
+
+def slow(rows, target, ngrams=1, percent=10, min_words=20):
+    s, t = np.zeros(BUCKETS, int), np.zeros(BUCKETS, int)
+    for _, text in rows:
+        np.add.at(s, features(text, ngrams), 1)
+    for text in target:
+        np.add.at(t, features(text, ngrams), 1)
+    gain = [math.floor(1000 * math.log((b + 1) * (s.sum() + BUCKETS) / ((a + 1) * (t.sum() + BUCKETS)))) for a, b in zip(s.tolist(), t.tolist())]
+    out = []
+    for i, text in rows:
+        f = features(text, ngrams)
+        h = int(hashlib.sha256(f"2024:{'null' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out.append((i, len(words(text)), len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
+    able = sorted((r for r in out if r[1] >= min_words), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    return out, [(r[4], r[0]) for r in able[: percent * len(able) // 100]]
+
+
+def check(got, want):
+    rows, drawn = want
+    assert sorted(str(tuple(r)[:5]) for r in got) == sorted(map(str, rows))
+    assert [(r.score, r.id) for r in sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])] == drawn
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, len(drawn) + 1))
+
+
+def test_grams_stay_inside_their_text():
+    texts = [b"A b", b"", b"c", b"!!", b"d e f g", b"\xc3\xa9 b"]
+    n_words, texts_of, buckets_of = batch_features(texts, 3, BUCKETS)
+    assert n_words.tolist() == [2, 0, 1, 0, 4, 2]
+    got = sorted((int(t), int(b)) for t, b in zip(np.concatenate(texts_of), np.concatenate(buckets_of)))
+    assert got == sorted((i, b) for i, t in enumerate(texts) for b in features(t.decode(), 3))
+    assert batch_features([b"", b""], 2, 7)[0].tolist() == [0, 0]
+
+
+def test_against_brute_force(spark):
+    docs, target = odd_docs(spark), pandas_table("benchmark").text.tolist()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    bench = spark.createDataFrame([(t,) for t in [*target, None, ""]], "text string")
+    for ngrams, percent, least in ((1, 10, 20), (3, 60, 1), (2, 100, 0)):
+        got = importance_sample(docs, bench, ngrams=ngrams, percent=percent, min_words=least).collect()
+        check(got, slow(rows, target, ngrams, percent, least))
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
+    target = pandas_table("benchmark").text.tolist()
+    bench = spark.createDataFrame([(t,) for t in target], "text string")
+    check(importance_sample(docs, bench).collect(), slow([(r.doc_id, r.text) for r in docs.collect()], target))
+
+
+def test_places_with_a_hot_score(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100).alias("score"))
+    got = ranked(rows.repartition(6), [F.desc("score"), F.asc("id")]).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 5001))
+    assert [(r.score, r.id) for r in got] == sorted(((r.score, r.id) for r in got), key=lambda p: (-p[0], p[1]))
+
+
+def test_empty(spark):
+    none = empty_docs(spark)
+    assert importance_sample(none, none).count() == 0
+    assert bucket_counts(none).sum() == 0
+    assert all(r["rank"] is None or r.n_words >= 20 for r in importance_sample(odd_docs(spark), none).collect())

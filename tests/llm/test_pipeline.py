@@ -57,5 +57,5 @@ def test_empty(spark):
 
 def test_registered():
     names = list(entry.queries())
-    assert all(any(re.match(rf"op{n}_", x) for x in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(re.match(rf"op{n}_", x) for x in names) for n in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)

@@ -32,6 +32,7 @@ COLUMNS = {
     "op6_simhash": "doc_id fingerprint component_id",
     "op7_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op9_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op12_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
 }
 
 
