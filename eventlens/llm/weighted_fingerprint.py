@@ -5,7 +5,12 @@ space), weighted by how often they occur. For term ``k`` of weight ``S`` and
 sample ``i``, with ``r`` and ``c`` drawn from Gamma(2, 1) and ``b`` from
 Uniform(0, 1) by hashes of ``(k, i)`` alone::
 
-    t = floor(ln S / r + b)        ln a = ln c - r (t + 1 - b)
+    t = floor(ln S / r + b)        a = c exp(-r (t + 1 - b))
+
+``r`` and ``b`` come from two independent exponentials ``x = r b`` and
+``y = r (1 - b)``, of which ``y = -ln u`` for a uniform ``u``; so
+``a = c u exp(-r t)``, and a term that occurs once (``t = 0``) needs no more
+than ``c`` and ``u``.
 
 The sample is the pair ``(k, t)`` of least ``a``. Two texts agree in a sample
 with the probability of their generalised Jaccard similarity, the sum of the
@@ -13,8 +18,8 @@ lesser weights over the sum of the greater ones, so the share of equal samples
 (``likeness``) estimates it with a standard error of at most
 ``0.5 / sqrt(SAMPLES)``.
 
-One sample is one long number, ``ln a`` in fixed point above 31 bits that name
-``(k, t)``, so a fingerprint is the minimum of each of ``SAMPLES`` numbers over
+One sample is one long number, the root of ``a`` in fixed point above 24 bits
+that name ``(k, t)``, so a fingerprint is the minimum of each of ``SAMPLES`` numbers over
 the terms: a hash aggregate of primitive columns, combined before any shuffle.
 Terms go by their 64-bit hash. Counting a text's terms sorts the hashes of its
 words in one array; long texts are split in pieces at white space first, so
@@ -35,14 +40,15 @@ from eventlens.llm.common import prepare, shuffle_width, stored
 
 SAMPLES = 48
 #: Hexadecimal digits of one sample in a fingerprint.
-DIGITS = 8
+DIGITS = 6
 PIECE_CHARS = 1 << 16
 #: Text of one range of ids at most on average; ranges are dealt to tasks, some on average to each.
 RANGE_BYTES = 256 << 20
 RANGES_A_TASK = 2
 #: Ids drawn a range to find its bounds; bounds decide where rows go, never what comes out.
 SAMPLE_IDS = 64
-_NAME_BITS = 31
+_NAME_BITS = 24
+_NAME = (1 << _NAME_BITS) - 1
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -66,16 +72,18 @@ def _halves(hashed: str) -> tuple[str, str]:
 def _sample(i: int) -> Column:
     """Sample ``i`` of one weighted term as one number; null for no term.
 
-    ``ln a`` lies between -90 and 4 for weights of up to 2^31, so the fixed-point part is positive.
+    ``a`` is below 46, so its root has three bits before the point and 36 after it.
     """
-    hashes = [f"xxhash64(term, {3 * i + j})" for j in range(3)]
-    (u1, u2), (u3, u4) = _halves(hashes[0]), _halves(hashes[1])
-    r, log_c = f"(-ln({u1} * {u2}))", f"ln(-ln({u3} * {u4}))"
-    b = f"(shiftrightunsigned({hashes[2]}, 11) * {2.0**-53!r}D)"
-    t = f"floor(log_weight / {r} + {b})"
-    log_a = f"({log_c} - {r} * ({t} + 1.0D - {b}))"
-    fixed = f"CAST(({log_a} + 512.0D) * {2.0**22!r}D AS BIGINT)"
-    return F.expr(f"shiftleft({fixed}, {_NAME_BITS}) | (({hashes[2]} ^ {t}) & {(1 << _NAME_BITS) - 1}L)")
+    one, two = f"xxhash64(term, {2 * i})", f"xxhash64(term, {2 * i + 1})"
+    (u1, u2), (u3, u4) = _halves(one), _halves(two)
+    least = f"(-ln({u3} * {u4}) * {u2})"
+    name = f"(shiftrightunsigned({two}, 8) ^ {one})"
+    number = "shiftleft(CAST(sqrt({a}) * {scale!r}D AS BIGINT), {bits}) | ({name} & {mask}L)"
+    once = number.format(a=least, scale=2.0**36, bits=_NAME_BITS, name=name, mask=_NAME)
+    r = f"(-ln({u1} * {u2}))"
+    t = f"floor((log_weight - ln({u1})) / {r})"
+    often = number.format(a=f"{least} * exp(-{r} * {t})", scale=2.0**36, bits=_NAME_BITS, name=f"({name} ^ {t})", mask=_NAME)
+    return F.expr(f"CASE WHEN log_weight = 0D THEN {once} WHEN log_weight > 0D THEN {often} END")
 
 
 def weighted_terms(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -101,8 +109,8 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFr
     """
     least = [F.min(_sample(i)).alias(f"_s{i}") for i in range(SAMPLES)]
     signed = weighted_terms(rows, keys, text).groupBy(*keys).agg(*least)
-    none = "f" * DIGITS  # no sample: a sample's name has 31 bits
-    parts = [f"coalesce(lower(lpad(hex(_s{i} & {(1 << _NAME_BITS) - 1}L), {DIGITS}, '0')), '{none}')" for i in range(SAMPLES)]
+    none = "g" * DIGITS  # no sample
+    parts = [f"coalesce(lower(lpad(hex(_s{i} & {_NAME}L), {DIGITS}, '0')), '{none}')" for i in range(SAMPLES)]
     return signed.select(*keys, F.expr(f"concat({', '.join(parts)})").alias("fingerprint"))
 
 

@@ -34,15 +34,15 @@ def slow_fingerprint(text):
             # Spark's hash of two columns: the hash of the first is the seed of the second.
             term = xxhash.xxh64_intdigest(word.encode(), seed=42)
             seed = xxhash.xxh64_intdigest(struct.pack("<Q", term), seed=42)
-            one, two, three = (hashed(seed, 3 * i + j) for j in range(3))
-            u = [((h >> 32) + 0.5) * 2.0**-32 for h in (one, two)], [((h & 0xFFFFFFFF) + 0.5) * 2.0**-32 for h in (one, two)]
-            r, log_c = -math.log(u[0][0] * u[1][0]), math.log(-math.log(u[0][1] * u[1][1]))
-            b = (three >> 11) * 2.0**-53
+            one, two = hashed(seed, 2 * i), hashed(seed, 2 * i + 1)
+            u1, u2, u3, u4 = (((h >> 32 if k == 0 else h & 0xFFFFFFFF) + 0.5) * 2.0**-32 for h in (one, two) for k in (0, 1))
+            c, r, b = -math.log(u3 * u4), -math.log(u1 * u2), math.log(u1) / math.log(u1 * u2)
             t = math.floor(math.log(count) / r + b)
-            fixed = int((log_c - r * (t + 1.0 - b) + 512.0) * 2.0**22)
-            value = fixed << 31 | ((three ^ t) & (2**31 - 1))
+            a = c * math.exp(-r * (t + 1 - b))
+            assert a == pytest.approx(c * u2 * math.exp(-r * t))
+            value = int(math.sqrt(c * u2 * math.exp(-r * t)) * 2.0**36) << 24 | ((two >> 8 ^ one ^ t) & (2**24 - 1))
             best = value if best is None else min(best, value)
-        samples.append("f" * wf.DIGITS if best is None else f"{best & (2**31 - 1):08x}")
+        samples.append("g" * wf.DIGITS if best is None else f"{best & (2**24 - 1):06x}")
     return "".join(samples)
 
 
