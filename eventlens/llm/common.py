@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventlens.session import scratch_path, shared_dir
 
-#: Rows of one Arrow batch; bounds what a Python worker holds even when every text is long.
+#: Rows of one Arrow batch; its bytes are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``.
 ARROW_ROWS = 512
 
 
@@ -29,13 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_written: list[str] = []
+class _Scopes(threading.local):
+    """Folders written by this thread, by open scope; the first list is of no scope."""
+
+    def __init__(self) -> None:
+        self.written: list[list[str]] = [[]]
+
+
+_scopes = _Scopes()
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back (cuts lineage)."""
     path = scratch_path(df.sparkSession, purpose)
-    _written.append(path)
+    _scopes.written[-1].append(path)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.scratch = path
@@ -50,20 +58,36 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame) -> None:
     """Delete what ``stored`` wrote for ``df``; nothing may read it, or frames made of it, afterwards."""
     _delete(df.sparkSession, df.scratch)
-    _written.remove(df.scratch)
+    for written in _scopes.written:
+        if df.scratch in written:
+            written.remove(df.scratch)
 
 
 def clear_scratch(spark: SparkSession) -> int:
-    """Delete all that ``stored`` has written in this process and not discarded; how many folders it was.
+    """Delete all that ``stored`` has written in this thread's innermost scope and not discarded; how many folders it was.
 
     For the end of a job, when the results of the operators have been written elsewhere.
     """
-    count = len(_written)
-    while _written:
-        _delete(spark, _written.pop())
+    written = _scopes.written[-1]
+    count = len(written)
+    while written:
+        _delete(spark, written.pop())
     return count
 
 
+def stored_alone(make: Callable[[], DataFrame], purpose: str) -> DataFrame:
+    """The stored result of ``make``; all else that it stored on the way is deleted."""
+    _scopes.written.append([])
+    try:
+        result = stored(make(), purpose)
+        _scopes.written[-1].remove(result.scratch)
+        _scopes.written[-2].append(result.scratch)
+        clear_scratch(result.sparkSession)
+    finally:
+        _scopes.written[-2].extend(_scopes.written.pop())
+    return result
+
+
 def numbered(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     """``docs`` stored with a row number, and the name of that column (none of its own)."""
     name = "row"
@@ -82,17 +106,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def array_sums(rows: DataFrame, column: str, width: int) -> np.ndarray:
+    """Sums of the ``width`` elements of an array column over all rows; zeros without rows. One row reaches the driver."""
+    found = rows.agg(F.array(*[F.sum(F.get(column, F.lit(i))) for i in range(width)]).alias("sums")).first()["sums"]
+    return np.array([x or 0.0 for x in found])
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the value written as text, modulo ``modulus`` (null for null)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def word_lists(texts) -> Iterator[list[bytes]]:
-    """Words between ASCII white space, with A-Z lower-cased and every other byte kept; null: none."""
-    for text in texts:
-        yield text.encode().lower().split() if text else []
-
-
 #: Text of one slice that a worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
 

@@ -201,14 +201,16 @@ def score_texts(docs: DataFrame, models: DataFrame, score: Callable[[bytes | Non
     spark = docs.sparkSession
     shards = shuffle_width(spark)
     id_type = docs.schema["id"].dataType.simpleString()
-    sent = f"shard int, block bigint, message binary, ids array<{id_type}>, n_tokens array<bigint>"
+    # Ids travel as text: pandas makes floats of a column of numbers and nulls, inside structs too.
+    texts = docs.select(F.to_json(F.struct("id")).alias("id"), "text")
+    sent = "shard int, block bigint, message binary, ids array<string>, n_tokens array<bigint>"
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         for i, block in enumerate(_blocks(batches)):
             name = TaskContext.get().partitionId() << 32 | i
-            head = [None if isinstance(k, float) and k != k else k for k in block.ids]
+            head = block.ids
             lengths = [t.size + 1 for t in block.tokens]
             rows = [(s, name, pack(*m), head if s == 0 else None, lengths if s == 0 else None) for s, m in block.entries(shards, True)]
             yield pd.DataFrame(rows, columns=["shard", "block", "message", "ids", "n_tokens"])
@@ -232,11 +234,12 @@ def score_texts(docs: DataFrame, models: DataFrame, score: Callable[[bytes | Non
         for data in pdf.answer:
             texts, sums = unpack(data)
             total[texts] += sums
-        return pd.DataFrame({"id": pd.Series(list(head.ids), dtype=object), "n_tokens": list(head.n_tokens), "sums": list(total)})
+        return pd.DataFrame({"id": list(head.ids), "n_tokens": list(head.n_tokens), "sums": list(total)})
 
     answers = (
-        docs.select("id", "text").mapInPandas(send, sent).groupBy("shard")
+        texts.mapInPandas(send, sent).groupBy("shard")
         .cogroup(models.groupBy("shard"))
-        .applyInPandas(answer, f"block bigint, answer binary, ids array<{id_type}>, n_tokens array<bigint>")
+        .applyInPandas(answer, "block bigint, answer binary, ids array<string>, n_tokens array<bigint>")
     )
-    return answers.groupBy("block").applyInPandas(gather, f"id {id_type}, n_tokens bigint, sums array<double>")
+    rows = answers.groupBy("block").applyInPandas(gather, "id string, n_tokens bigint, sums array<double>")
+    return rows.select(F.from_json("id", f"id {id_type}")["id"].alias("id"), "n_tokens", "sums")
