@@ -39,7 +39,11 @@ GRAM = 5
 FILTER_BITS = 24
 BROADCAST_GRAMS = 100_000
 #: Most words whose hashes a worker remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
+#: Bytes of a text taken at a time, and words hashed together.
+PIECE_BYTES = 1 << 19
+PIECE_WORDS = 1 << 16
+_MARGIN = 2 * WINDOW
 
 _TO_WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -106,35 +110,85 @@ def kept_grams(words: np.ndarray, lengths: np.ndarray, shorter: tuple[int, ...]
     return np.concatenate(places), np.concatenate(sizes), np.concatenate(hashes), start_of, end_of
 
 
+def _pieces(text: str | None) -> Iterator[tuple[list[bytes], int, int, int]]:
+    """A text's words piece by piece: the words, where the piece's own begin and end, and the place of the first word.
+
+    A margin of words of the pieces before and after is on either side, so every window of an own word is whole.
+    """
+    data = (text or "").encode().translate(_TO_WORDS)
+    if len(data) <= PIECE_BYTES:
+        words = data.split()
+        yield words, 0, len(words), 0
+        return
+
+    def chunks() -> Iterator[list[bytes]]:
+        at = 0
+        while at < len(data):
+            end = data.find(b" ", at + PIECE_BYTES)
+            end = len(data) if end < 0 else end
+            yield data[at:end].split()
+            at = end
+
+    before: list[bytes] = []  # the margin, or less at the start of the text
+    own: list[bytes] = []
+    after: list[bytes] = []
+    place = 0
+    for words in chunks():
+        after += words
+        if len(after) < _MARGIN:
+            continue
+        if own:
+            yield before + own + after[:_MARGIN], len(before), len(before) + len(own), place - len(before)
+            place += len(own)
+            before = (before + own)[-_MARGIN:]
+        own, after = after, []
+    own += after
+    yield before + own, len(before), len(before) + len(own), place - len(before)
+
+
 def _contexts(texts, shorter: tuple[int, ...], passes=None) -> tuple[list[int], list[list[dict]]]:
     """Per text its number of words and its kept grams with the words a window around them can reach."""
+    n_words, found = [0] * len(texts), [[] for _ in texts]
+    held: list[tuple] = []  # text, words, own begin and end, place
+    size = 0
+    for i, text in enumerate(texts):
+        for words, begin, end, place in _pieces(text):
+            n_words[i] += end - begin
+            if words:
+                held.append((i, words, begin, end, place))
+                size += len(words)
+            if size >= PIECE_WORDS:
+                _piece_contexts(held, shorter, passes, found)
+                held, size = [], 0
+    if held:
+        _piece_contexts(held, shorter, passes, found)
+    return n_words, found
+
+
+def _piece_contexts(held: list[tuple], shorter: tuple[int, ...], passes, found: list[list[dict]]) -> None:
     memo = _contexts.memo
-    lists = [words_of(t) for t in texts]
-    found: list[list[dict]] = [[] for _ in lists]
-    step = 256  # texts hashed together
-    for at in range(0, len(lists), step):
-        own = lists[at : at + step]
-        flat = [w for words in own for w in words]
-        if not flat:
-            continue
-        lengths = np.array([len(words) for words in own])
-        hashed = np.fromiter(map(memo.__getitem__, flat), dtype=np.uint64, count=len(flat))
-        places, sizes, grams, start_of, end_of = kept_grams(hashed, lengths, shorter)
-        if passes is not None:
-            bit = grams >> np.uint64(64 - FILTER_BITS)
-            ok = (passes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            places, sizes, grams = places[ok], sizes[ok], grams[ok]
-        texts_of = np.searchsorted(np.cumsum(lengths), places, side="right")
-        for place, size, gram, text in zip(places.tolist(), sizes.tolist(), grams.tolist(), texts_of.tolist(), strict=True):
-            k = abs(size)
-            reach = WINDOW - k if size > 0 else 0
-            first, last = int(start_of[place]), int(end_of[place])
-            lo, hi = max(first, place - reach), min(last, place + k + reach)
-            found[at + text].append({
-                "gram": gram - 2**64 if gram >= 2**63 else gram, "size": size, "pos": place - first,
-                "lead": place - lo, "near": b" ".join(flat[lo:hi]).decode(),
-            })
-    return [len(words) for words in lists], found
+    flat = [w for _, words, *_ in held for w in words]
+    lengths = np.array([len(words) for _, words, *_ in held])
+    hashed = np.fromiter(map(memo.__getitem__, flat), dtype=np.uint64, count=len(flat))
+    places, sizes, grams, start_of, end_of = kept_grams(hashed, lengths, shorter)
+    pieces = np.searchsorted(np.cumsum(lengths), places, side="right")
+    begins, ends = (np.array([h[k] for h in held]) for k in (2, 3))
+    within = places - start_of[places]
+    ok = (within >= begins[pieces]) & (within < ends[pieces])
+    if passes is not None:
+        bit = grams >> np.uint64(64 - FILTER_BITS)
+        ok &= (passes[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    chosen = (a[ok].tolist() for a in (places, sizes, grams, pieces))
+    for place, size, gram, piece in zip(*chosen, strict=True):
+        k = abs(size)
+        reach = WINDOW - k if size > 0 else 0
+        first, last = int(start_of[place]), int(end_of[place])
+        lo, hi = max(first, place - reach), min(last, place + k + reach)
+        text, _, _, _, offset = held[piece]
+        found[text].append({
+            "gram": gram - 2**64 if gram >= 2**63 else gram, "size": size, "pos": place - first + offset,
+            "lead": place - lo, "near": b" ".join(flat[lo:hi]).decode(),
+        })
 
 
 _contexts.memo = _Hashes()

@@ -280,10 +280,30 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.filter(remainder(id_col, 5) != 0)
 
 
+def score_floor(
+    docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> float:
+    """Half the lowest score of a labelled document, held out of training, whose language the network names right.
+
+    Over all such documents; 0 if there are none.
+    """
+    if net is None:
+        return 0.0
+    held_out = docs.filter((remainder(id_col, 5) == 0) & F.col(lang_col).isNotNull())
+    found = held_out.select(F.col(lang_col).alias("label"), language_column(net, F.col(text_col)).alias("found"))
+    lowest = found.filter("found.lang = label").agg(F.min("found.score")).first()[0]
+    return 0.5 * (lowest or 0.0)
+
+
 def drop_unidentified(docs: DataFrame, net: Network | None, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """The documents whose language is found (not ``und``) with at least ``min_score``, with their own columns."""
+    """The documents whose language is found (not ``und``) with at least ``min_score``, with their own columns.
+
+    Without a network, where nothing could be learned, those with a letter.
+    """
     columns = docs.columns
     prepare(docs.sparkSession)
+    if net is None:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
     found = language_column(net, F.col(text_col))
     rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("doc"), found.alias("found"))
     return rows.filter((F.col("found.lang") != "und") & (F.col("found.score") >= min_score)).select("doc.*")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import numbered, only, popcount, prepare, shuffle_width, stored, word_lists
+from eventlens.llm.common import numbered, only, popcount, prepare, shuffle_width, stored
 from eventlens.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -43,41 +43,61 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b110001110101
 
 
+#: ASCII white space as one space, A-Z lower-cased.
+_PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Hashes whose bits are counted together.
+HASHES = 1 << 15
+
+
+def _joined(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text, joined by single spaces, with the first and the last place of each."""
+    data = np.frombuffer((text or "").encode().translate(_PLAIN), np.uint8)
+    space = data == 32
+    first = ~space
+    first[1:] &= space[:-1]
+    keep = ~space
+    keep[:-1] |= first[1:]  # the space before a word
+    joined = data[keep].tobytes().lstrip(b" ")
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined)) if joined else np.zeros(0, np.int64)
+    return joined, np.append(0, ends[:-1] + 1)[: ends.size], ends
+
+
 def fingerprints(texts, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Fingerprint of each text: a bit is set if it is set in over half of the shingle hashes."""
-    out = np.zeros(len(texts), dtype=np.uint64)
-    hashes: list[int] = []
-    filled, counts = [], []
+    """Fingerprint of each text: a bit is set if it is set in over half of the shingle hashes.
+
+    Hashes are made and counted ``HASHES`` at a time, within long texts too.
+    """
+    ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    hashes, owners, held = [], [], 0
     digest = xxhash.xxh64_intdigest
 
-    def flush() -> None:
-        if not filled:
-            return
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        set_bits = 2 * ones > np.array(counts)[:, None]
-        out[filled] = np.packbits(set_bits, axis=1, bitorder="little").view("<u8").ravel()
-        hashes.clear(), filled.clear(), counts.clear()
-
-    for i, words in enumerate(word_lists(texts)):
-        if not words:
+    def count() -> None:
+        nonlocal held
+        if held:
+            bits = np.unpackbits(np.concatenate(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            starts = np.cumsum([0, *(h.size for h in hashes[:-1])])
+            np.add.at(ones, owners, np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
+            np.add.at(total, owners, [h.size for h in hashes])
+            hashes.clear(), owners.clear()
+            held = 0
+
+    for i, text in enumerate(texts):
+        joined, starts, ends = _joined(text)
+        if not joined:
             continue
-        joined = b" ".join(words)
-        if len(words) <= shingle_words:
-            own = [digest(joined, SEED)]
+        if starts.size > shingle_words:
+            starts, ends = starts[: starts.size - shingle_words + 1], ends[shingle_words - 1 :]
         else:
-            ends = np.cumsum([len(w) + 1 for w in words]) - 1
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            pairs = zip(starts[: len(words) - shingle_words + 1].tolist(), ends[shingle_words - 1 :].tolist(), strict=True)
-            own = [digest(joined[a:b], SEED) for a, b in pairs]
-        hashes.extend(own)
-        filled.append(i)
-        counts.append(len(own))
-        if len(hashes) > 200_000:
-            flush()
-    flush()
-    return out
+            starts, ends = starts[:1], ends[-1:]
+        for at in range(0, starts.size, HASHES):
+            pairs = zip(starts[at : at + HASHES].tolist(), ends[at : at + HASHES].tolist(), strict=True)
+            own = np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+            hashes.append(own), owners.append(i)
+            held += own.size
+            if held >= HASHES:
+                count()
+    count()
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 @lru_cache(maxsize=1)

@@ -23,7 +23,8 @@ def odd_docs(spark: SparkSession) -> DataFrame:
     rows = [(i, t, "en" if i % 2 else None, None, None) for i, t in enumerate(ODD_TEXTS)]
     rows += [(None, "a b", None, None, None), (None, None, None, None, None), (3, "one two three four", "de", "s", 1)]
     rows += [(100, "same text here", "en", "s", 1)] * 2 + [(100 + i, "same  text here", "en", "s", 1) for i in range(15)]
-    extra = ["fp", "id", "row", "key", "norm", "full", "shard", "block"]
+    extra = ["fp", "id", "row", "key", "norm", "full", "shard", "block", "n_tokens", "ids", "ids_sha256", "Decoded_SHA256", "found",
+             "name", "part", "weight", "score", "rank", "fingerprint", "n", "form", "digest", "component_id"]
     df = spark.createDataFrame([r + ("?",) * len(extra) for r in rows], DOCS + "".join(f", `{c}` string" for c in extra))
     return df.repartition(3)
 

@@ -51,9 +51,23 @@ def test_documents(spark):
     assert sorted(str(r.doc_id) for r in drop_contaminated(docs, items).collect()) == sorted(clean)
 
 
-@pytest.mark.parametrize("bound", [0, 100_000])
-def test_small_vocabulary_short_items_and_ties(spark, monkeypatch, bound):
+def test_pieces_cover_every_word_once(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 40)
+    rng = random.Random(2)
+    for n in (0, 1, 30, 200, 500):
+        text = " ".join(rng.choice(["a", "bb", "x" * 100, "é"]) for _ in range(n))
+        all_words, seen = decontaminate.words_of(text), []
+        for words, begin, end, place in decontaminate._pieces(text):
+            assert all_words[place : place + len(words)] == words
+            assert (place == 0 or begin >= 26) and (place + len(words) == len(all_words) or len(words) - end >= 26)
+            seen += words[begin:end]
+        assert seen == all_words
+
+
+@pytest.mark.parametrize(("bound", "piece"), [(0, 1 << 19), (100_000, 1 << 19), (100_000, 60)])
+def test_small_vocabulary_short_items_and_ties(spark, monkeypatch, bound, piece):
     monkeypatch.setattr(decontaminate, "BROADCAST_GRAMS", bound)
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", piece)
     rng = random.Random(4)
     text = lambda n, k: " ".join(rng.choice("aAbcdé")[:1] + str(rng.randint(0, k)) for _ in range(n))
     items = [(i, text(rng.choice([1, 3, 5, 12, 13, 14, 30]), 1)) for i in range(25)]

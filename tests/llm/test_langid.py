@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm import langid
 from eventlens.llm.langid import (
-    PAD, _back_through_time, _new_network, _softmax, _steps, drop_unidentified, fit_language_model, language_column,
+    PAD, _back_through_time, _new_network, _softmax, _steps, drop_unidentified, fit_language_model, language_column, score_floor,
     pooled, positions, train, training_rows, windows_of,
 )
 from tests.llm.data import SMALL, empty_docs, odd_docs
@@ -83,10 +83,15 @@ def test_odd_rows(spark):
     kept = drop_unidentified(docs, net)
     assert kept.columns == docs.columns
     assert kept.count() == sum(r["lang"] != "und" for r in rows)
+    floor = score_floor(docs, net)
+    assert drop_unidentified(docs, net, min_score=1.1).count() == 0 and 0 <= floor <= 0.5
+    stay = [r for r in rows if r["lang"] != "und" and r["score"] >= floor]
+    assert drop_unidentified(docs, net, min_score=floor).count() == len(stay)
 
 
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string")
+    assert drop_unidentified(docs, None).count() == 1 and score_floor(docs, None) == 0.0
     assert fit_language_model(docs) is None and fit_language_model(empty_docs(spark)) is None
     assert docs.select(language_column(None, F.col("text"))["lang"]).first()[0] == "und"
     assert empty_docs(spark).select(language_column(None, F.col("text"))).count() == 0

@@ -51,6 +51,31 @@ def test_stages_against_brute_force(spark, make):
     assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in got)
 
 
+def test_without_labels_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 !!", None), (3, None, None)], "doc_id bigint, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, SMALL).collect()] == [1]
+
+
+def test_clashing_columns_are_renamed(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z")], "doc_id bigint, text string, n_tokens string, N_TOKENS_ string, ids string")
+    got = corpus_pipeline.byte_bpe(spark, docs, SMALL)
+    assert got.columns == ["doc_id", "n_tokens__", "N_TOKENS_", "ids_", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert got.first()["n_tokens__"] == "x"
+
+
+def test_a_run_leaves_one_table(spark, monkeypatch):
+    import os
+
+    left = corpus_pipeline.run(spark, SMALL)
+    base = os.path.dirname(left.scratch.removeprefix("file://").removeprefix("file:"))
+    mine = [f for f in os.listdir(base) if f.startswith(("pipeline-", "simhash-", "exact-", "document-grams", "contaminated"))]
+    assert os.path.basename(left.scratch) in mine
+    before = set(mine)
+    corpus_pipeline.run(spark, SMALL)
+    after = {f for f in os.listdir(base) if f.startswith(("pipeline-", "simhash-", "exact-", "document-grams", "contaminated"))}
+    assert len(after - before) == 1
+
+
 def test_empty(spark):
     assert chain(spark, empty_docs(spark)).count() == 0
 

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from eventlens.llm.components import components
+from eventlens.llm import simhash
 from eventlens.llm.simhash import composite_keys, fingerprint_links, fingerprints, simhash_components
 from tests.llm.data import SMALL, empty_docs, odd_docs
 
@@ -100,3 +101,13 @@ def test_empty_and_too_many_bits(spark):
     assert simhash_components(empty_docs(spark)).count() == 0
     with pytest.raises(ValueError):
         fingerprint_links(spark.createDataFrame([], "fp bigint"), 5)
+
+
+def test_long_texts_and_white_space_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    texts = [" \t".join(rng.choice(["a", "B", "é", "word"]) + "\x0b" * rng.randint(0, 2) for _ in range(n)) for n in (0, 1, 3, 4, 5, 700, 40)]
+    texts += [None, "  ", " x", "x \n", "\n\nA  b\r"]
+    want = [slow_fingerprint(t) for t in texts]
+    for hashes in (3, 1 << 15):
+        monkeypatch.setattr(simhash, "HASHES", hashes)
+        assert fingerprints(texts).tolist() == want
