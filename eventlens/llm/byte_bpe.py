@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import prepare
+from eventlens.llm.common import give_back, prepare
 
 FOLD_BYTES = 61
 TASK_WORDS = 300_000
@@ -235,6 +235,8 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             if len(words.number) > TASK_WORDS:
                 words.number.clear()
                 fresh = True
+        del words
+        give_back()
 
     out_schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (
         ", ids array<int>" if with_ids else ""
@@ -247,6 +249,8 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             out = known.read(batch, with_ids)
             if out["id"]:
                 yield pa.RecordBatch.from_pydict({k: out[k] for k in out_arrow.names}, schema=out_arrow)
+        del known
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, row_schema)
     folded = rows.withColumn("bounds", F.when(F.col("bounds").isNotNull(), fold_merges(F.col("merges"), F.col("bounds"))))
