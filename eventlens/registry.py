@@ -20,7 +20,7 @@ from eventlens.functions import text as T
 from eventlens.functions.time import event_time
 from eventlens.operators.breakdown import distinct_labels
 from eventlens.operators.facets import column_metadata_values, column_values, facet_counts
-from eventlens.operators.filters import FilterSpec
+from eventlens.operators.filters import FilterSpec, apply_filters
 from eventlens.operators.paging import (
     deep_page_rows,
     next_cursor,
@@ -72,6 +72,23 @@ SQL_REGEXP = (
 )
 SQL_REGEXP_DIGITS = r"SELECT uuid, filename FROM events WHERE regexp_matches(filename, 'demofile4\d\.py$')"
 SQL_QUOTED_NAME = "SELECT uuid, \"action\" FROM events WHERE \"action\" = 'click' -- it's a comment"
+SQL_ORDER_NULLS = (
+    "SELECT environmentName, COUNT(*) AS n, CAST(MIN(rn) AS BIGINT) AS first_rn FROM (SELECT environmentName, uuid, "
+    "row_number() OVER (PARTITION BY action ORDER BY environmentName, uuid DESC) AS rn FROM events) t "
+    "GROUP BY environmentName ORDER BY environmentName LIMIT 4"
+)
+SQL_LIKE_BACKSLASH = (
+    r"SELECT uuid, replace(filename, '/', '\') AS winpath FROM events WHERE replace(filename, '/', '\') LIKE '\mnt\data\%' "
+    r"AND replace(filename, '/', '\') NOT LIKE '%\' || 'demofile4%' AND filename NOT LIKE '%!_%' ESCAPE '!'"
+)
+SQL_INTEGER_DIVISION = (
+    "SELECT timestamp // 86400000000000 AS day, COUNT(*) AS n, MAX(timestamp // 1000 // 1000 % 86400000 // 3600000) AS last_hour "
+    "FROM events GROUP BY timestamp // 86400000000000 ORDER BY day DESC"
+)
+SQL_REGEXP_OPTIONS = (
+    "SELECT uuid, filename FROM events WHERE regexp_matches(filename, 'DEMOFILE4\\d\\.PY$', 'i') "
+    "AND NOT regexp_matches(projectName, concat('PROJ', '1$'), 'i') AND regexp_matches(filename, '.py', 'l')"
+)
 SQL_ESCAPED = r"SELECT uuid, 'it''s' AS quoted, 'a\b\' AS slashed FROM events WHERE filename LIKE '%demofile4%'"
 
 
@@ -416,6 +433,45 @@ def q_sql_escaped_quote(spark, d):
     return events_for(spark, d).sql(SQL_ESCAPED)
 
 
+def q_sql_order_nulls(spark, d):
+    """Sort items of the query, a window and a subquery put nulls last."""
+    return events_for(spark, d).sql(SQL_ORDER_NULLS)
+
+
+def q_sql_like_backslash(spark, d):
+    """Q1: LIKE has no escape character unless the query names one, for computed patterns too."""
+    return events_for(spark, d).sql(SQL_LIKE_BACKSLASH)
+
+
+def q_sql_integer_division(spark, d):
+    """Q1: ``//`` divides integers."""
+    return events_for(spark, d).sql(SQL_INTEGER_DIVISION)
+
+
+def q_sql_regexp_options(spark, d):
+    """Q5: regexp_matches with options, for a literal and a computed pattern."""
+    return events_for(spark, d).sql(SQL_REGEXP_OPTIONS)
+
+
+def _accented(spark, d):
+    """Events whose project name is written with accents and in capitals."""
+    events = events_for(spark, d)
+    return events.rows.select(
+        "uuid", F.concat(F.lit("É"), F.upper("projectName"), F.lit(" été "), F.col("filename")).alias("label")
+    )
+
+
+def q_filter_regex_unicode(spark, d):
+    """A case-insensitive pattern folds accented letters."""
+    return apply_filters(_accented(spark, d), FilterSpec(regex={"label": ["/(?i)^éproj[12] ÉTÉ.*\\.PY$"]}))
+
+
+def q_filter_regex_boundary(spark, d):
+    """Word boundaries go by ASCII, and ``{,2}`` is itself."""
+    spec = FilterSpec(regex={"label": ["/\\bPROJ3\\b", "/x{,2}", "/\\bt\\b.*demofile1\\d\\."]})
+    return apply_filters(_accented(spark, d), spec)
+
+
 def q_sql_page_default_sort(spark, d):
     """Q1/O1: a page of an unordered query shows the newest rows first."""
     return events_for(spark, d).sql_page(SQL_EQUALITY, page=2).rows
@@ -718,6 +774,17 @@ FROM ({EXPORT_SELECT}) x""",
     "sql_regexp_digits": _sql_mode(FULL, SQL_REGEXP_DIGITS),
     "sql_quoted_identifier": _sql_mode(FULL, SQL_QUOTED_NAME + "\n"),
     "sql_escaped_quote": _sql_mode(FULL, SQL_ESCAPED),
+    "sql_order_nulls": _sql_mode(FULL, SQL_ORDER_NULLS),
+    "sql_like_backslash": _sql_mode(FULL, SQL_LIKE_BACKSLASH),
+    "sql_integer_division": _sql_mode(FULL, SQL_INTEGER_DIVISION),
+    "sql_regexp_options": _sql_mode(FULL, SQL_REGEXP_OPTIONS),
+    "filter_regex_unicode": f"""{_ranged(FULL)}, labelled AS (
+    SELECT uuid, 'É' || upper(projectName) || ' été ' || filename AS label FROM ev)
+SELECT * FROM labelled WHERE regexp_matches(label, '(?i)^éproj[12] ÉTÉ.*\\.PY$')""",
+    "filter_regex_boundary": f"""{_ranged(FULL)}, labelled AS (
+    SELECT uuid, 'É' || upper(projectName) || ' été ' || filename AS label FROM ev)
+SELECT * FROM labelled WHERE regexp_matches(label, '\\bPROJ3\\b') OR regexp_matches(label, 'x{{,2}}')
+   OR regexp_matches(label, '\\bt\\b.*demofile1\\d\\.')""",
     "sql_page_default_sort": f"""{_ranged(FULL, "action = 'click'")}
 SELECT * FROM ev ORDER BY "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 100""",
     "sql_page_request_sort": f"""{_ranged(FULL, "action = 'click'")}

@@ -67,7 +67,7 @@ def test_to_java_regex_rewrites_only_bare_dollar():
     assert to_java_regex("a\\$") == "(?d)a\\$"
     assert to_java_regex("[$]x") == "(?d)[$]x"
     assert to_java_regex("[]$]") == "(?d)[]$]"
-    assert to_java_regex("(?m)^a$") == "(?d)(?m)^a$"
+    assert to_java_regex("(?m)^a$") == "(?d)(?:^|(?<=\\n))a(?:\\z|(?=\\n))"
     assert to_java_regex("[[:digit:]]+(?P<n>x)") == "(?d)[\\p{Digit}]+(?<n>x)"
     assert to_java_regex("[^[:space:]]") == "(?d)[^\\s]"
     assert to_java_regex("\\Qa$\\E$") == "(?d)\\Qa$\\E\\z"
