@@ -275,7 +275,6 @@ class _Reader:
 
     def set_of(self, flags: _Flags) -> str:
         """A character class."""
-        begin = self.at
         self.at += 1
         negated = self.pattern.startswith("^", self.at)
         self.at += negated
@@ -302,8 +301,8 @@ class _Reader:
                 out.append("\\" + ch if ch in "[&" or (ch == "^" and not out) else ch)
                 self.at += 1
         java = ("[^" if negated else "[") + "".join(out) + "]"
-        if flags.fold and not set(_ODD_I) & set(self.pattern[begin : self.at]):
-            return f"(?:{java}|(?-iu:[{_ODD_I}]))" if negated else f"(?:(?-iu:(?![{_ODD_I}])){java})"
+        if flags.fold:  # the odd letters i are members only as they stand
+            return f"(?:(?-iu:(?=[{_ODD_I}]){java})|(?-iu:(?![{_ODD_I}])){java})"
         return java
 
 

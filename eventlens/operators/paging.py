@@ -12,14 +12,12 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
+    ArrayType,
     DateType,
-    FractionalType,
-    IntegralType,
     MapType,
-    StringType,
     TimestampNTZType,
     TimestampType,
 )
@@ -71,6 +69,15 @@ def sort_keys(df: DataFrame, column: str | None, order: str | None) -> list[Colu
     return [_key(name, o) for name, o in sort_spec(df, column, order)]
 
 
+def _literal(value) -> Column:
+    """A collected value as a literal, arrays and structs included."""
+    if isinstance(value, Row):
+        return F.struct(*[_literal(v).alias(n) for n, v in value.asDict().items()])
+    if isinstance(value, list):
+        return F.array(*[_literal(v) for v in value])
+    return F.lit(value)
+
+
 def seek_predicate(spec: list[tuple[str, str]], last: Mapping, equal: bool = False) -> Column:
     """Rows strictly after ``last`` in the order ``spec`` (nulls last), with ``equal`` also its equals.
 
@@ -84,14 +91,14 @@ def seek_predicate(spec: list[tuple[str, str]], last: Mapping, equal: bool = Fal
         if v is None:
             beyond = F.lit(False)  # nothing sorts after a null key
         else:
-            beyond = ((c > F.lit(v)) if order == "ASC" else (c < F.lit(v))) | c.isNull()
-        pred = beyond | (c.eqNullSafe(F.lit(v)) & pred)
+            beyond = ((c > _literal(v)) if order == "ASC" else (c < _literal(v))) | c.isNull()
+        pred = beyond | (c.eqNullSafe(_literal(v)) & pred)
     lead, order = spec[0]
     c, v = qcol(lead), last[lead]
     if v is None:
         bound = c.isNull()
     else:
-        bound = ((c >= F.lit(v)) if order == "ASC" else (c <= F.lit(v))) | c.isNull()
+        bound = ((c >= _literal(v)) if order == "ASC" else (c <= _literal(v))) | c.isNull()
     return bound & pred
 
 
@@ -171,6 +178,9 @@ def offset_rows(rows: DataFrame, offset: int, n: int, column: str | None, order:
 # making every task keep offset + n rows for one final merge.
 DEEP_OFFSET = 10_000
 SEEK_FANOUT = 1024
+# Splits of the keys that a seek under another sort counts rows between, and sampled rows for each.
+SPLITS = 1000
+SAMPLE_A_SPLIT = 4
 
 
 def _int_div(x: Column, d: int) -> Column:
@@ -248,12 +258,10 @@ def deep_page_rows(
     if w_lo == w_hi and offset - before > small:
         # One instant holds more rows than a task should sort: go on with the next keys.
         spec = sort_spec(rows, TIME_COLUMN, order)
-        found = seek_window(rows.where(ts == F.lit(w_lo)), spec[1:], offset - before, small)
-        if found is not None:
-            pred, local = found
-            beyond = (ts < F.lit(w_lo)) if order == "DESC" else (ts > F.lit(w_lo))
-            ordered = rows.where(((ts == F.lit(w_lo)) & pred) | beyond).orderBy(*[_key(c, o) for c, o in spec])
-            return (ordered.offset(local) if local else ordered).limit(page_size)
+        pred, local = seek_window(rows.where(ts == F.lit(w_lo)), spec[1:], offset - before, small)
+        beyond = (ts < F.lit(w_lo)) if order == "DESC" else (ts > F.lit(w_lo))
+        ordered = rows.where(((ts == F.lit(w_lo)) & pred) | beyond).orderBy(*[_key(c, o) for c, o in spec])
+        return (ordered.offset(local) if local else ordered).limit(page_size)
     rest = rows.where(ts <= F.lit(w_hi)) if order == "DESC" else rows.where(ts >= F.lit(w_lo))
     return offset_rows(rest, offset - before, page_size, TIME_COLUMN, order)
 
@@ -320,26 +328,61 @@ def fetch_page(
     return page_result(rows, total, page, page_size, sort_column, sort_order, time_range)
 
 
-def _as_long(c: Column, dtype) -> Column | None:
-    """Order-preserving int64 view of a key, or None when there is none."""
-    if isinstance(dtype, IntegralType):
-        return c.cast("long")
+def _view(c: Column, dtype) -> Column:
+    """A key as JSON holds it exactly."""
     if isinstance(dtype, DateType):
-        return F.unix_date(c).cast("long")
-    if isinstance(dtype, TimestampType):
-        return F.unix_micros(c)
-    if isinstance(dtype, TimestampNTZType):
+        return F.unix_date(c)
+    if isinstance(dtype, (TimestampType, TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp"))
-    return None
-
-
-def _common_prefix(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+    return c
+
+
+class _Order:
+    """A row's place in an order, as expressions over its keys."""
+
+    def __init__(self, rows: DataFrame, spec: list[tuple[str, str]]) -> None:
+        self.spec = spec
+        types = rows.schema
+        self.views = [_view(qcol(name), types[name].dataType).alias(f"k{i}") for i, (name, _) in enumerate(spec)]
+        self.key_type = rows.select(F.struct(*self.views).alias("key")).schema["key"].dataType
+
+    def sample(self, rows: DataFrame, total: int, most: int) -> list:
+        """About ``most`` rows' keys in order (all of a small table), each with its JSON; at least one."""
+        keys = rows.select(F.to_json(F.struct(*self.views)).alias("json"), *[qcol(name) for name, _ in self.spec])
+        share = most / max(total, 1)
+        while True:
+            drawn = keys if share >= 1 else keys.sample(share, seed=7)
+            found = drawn.orderBy(*[_key(name, o) for name, o in self.spec]).collect()
+            if found or share >= 1:
+                return found
+            share *= 8
+
+    def _not_before(self, split: Column, own: list[Column]) -> Column:
+        """Whether a row (its keys ``own``) is the split or comes after it; nulls last."""
+        found = F.lit(True)
+        for i, (_, order) in reversed(list(enumerate(self.spec))):
+            c, v = own[i], split[f"k{i}"]
+            beyond = (c > v) if order == "ASC" else (c < v)
+            beyond = F.coalesce(beyond, c.isNull() & v.isNotNull())
+            found = beyond | (c.eqNullSafe(v) & found)
+        return found
+
+    def place(self, splits: list) -> Column:
+        """Twice the number of splits at or before the row, less one if the last of them equals it."""
+        table = F.from_json(F.lit("[" + ",".join(s["json"] for s in splits) + "]"), ArrayType(self.key_type))
+        own = self.views
+        steps = [1 << k for k in range(len(splits).bit_length() - 1, -1, -1)]
+        number = F.aggregate(
+            F.lit(steps).cast("array<int>"),
+            F.lit(0),
+            lambda at, step: at
+            + F.when((at + step <= len(splits)) & self._not_before(F.get(table, at + step - 1), own), step).otherwise(0),
+        )
+        # One more look-up, for equality, as the last step of the search.
+        same = F.struct(*own).eqNullSafe
+        return F.element_at(
+            F.transform(F.array(number), lambda at: 2 * at - F.coalesce(same(F.get(table, at - 1)), F.lit(False)).cast("int")), 1
+        )
 
 
 def seek_window(
@@ -347,113 +390,60 @@ def seek_window(
     spec: list[tuple[str, str]],
     offset: int,
     small: int = DEEP_OFFSET,
-    fanout: int = SEEK_FANOUT,
-    _stats: tuple | None = None,
-    _depth: int = 0,
-) -> tuple[Column, int] | None:
+    total: int | None = None,
+    splits: int = SPLITS,
+) -> tuple[Column, int]:
     """Locate row ``offset`` of the order ``spec`` (nulls last) without sorting.
 
     Returns ``(pred, local)``: ``pred`` keeps a suffix of the order that
     starts at most ``small`` rows before the target, so
     ``rows.where(pred).orderBy(spec).offset(local)`` starts at the target.
-    Each step is one aggregate over the leading key (min / max / count) and
-    one over at most ``fanout`` + 1 buckets of it (collected; bounded): for
-    strings, ranges of the next character past the common prefix of min and
-    max; for integral / date keys, value ranges; for fractional keys, ranges
-    of the finite values plus one bucket each for -inf, +inf and NaN. A single
-    hot value is resolved on the next key. ``None`` when a key type
-    has no bucketing (the caller falls back to a plain top-k).
+
+    A sample of about ``SAMPLE_A_SPLIT * splits`` rows gives the splits, tuples
+    of all keys, and one aggregate counts the rows between them and equal to
+    them (at most ``2 * splits + 1`` rows are collected): two scans of the keys,
+    whatever their types. If more than ``small`` rows still lie before the
+    target in its interval, the interval is searched again; its bounds on the
+    leading key reach the scan. Rows that equal a split in every key are one
+    block; a target inside it is reached by its offset in the block.
     """
     if not spec:
         return F.lit(True), offset
-    if _depth > 64:
-        return None
-    name, order = spec[0]
-    c, dtype = qcol(name), rows.schema[name].dataType
-    desc = order == "DESC"
-    longs = _as_long(c, dtype)
-    fractional = isinstance(dtype, FractionalType)
-    if not isinstance(dtype, StringType) and longs is None and not fractional:
-        return None
-    key = c.cast("double") if fractional else (c if longs is None else longs)
-    finite = ~F.isnan(key) & (key != F.lit(float("inf"))) & (key != F.lit(float("-inf")))
-    ranged = F.when(finite, key) if fractional else key
-    if _stats is None:
-        stats = rows.agg(F.count(key).alias("nn"), F.min(ranged).alias("lo"), F.max(ranged).alias("hi")).first()
-        _stats = (stats["nn"], stats["lo"], stats["hi"])
-    nn, lo, hi = _stats
-    if offset >= nn:  # inside the trailing null group
-        inner = seek_window(rows.where(c.isNull()), spec[1:], offset - nn, small, fanout, None, _depth + 1)
-        return None if inner is None else (c.isNull() & inner[0], inner[1])
-    if lo is not None and lo == hi and not fractional:  # one value: resolve on the next key
-        inner = seek_window(rows.where(key == F.lit(lo)), spec[1:], offset, small, fanout, None, _depth + 1)
-        return None if inner is None else ((key == F.lit(lo)) & inner[0]) | c.isNull(), inner[1]
-    if fractional:
-        # -inf < finite values < +inf < NaN (Spark's order); each special is its own bucket.
-        if lo is None or lo == hi:
-            finite_bucket = F.lit(0).cast("long")
+    total = rows.count() if total is None else total
+    if offset >= total:
+        return F.lit(False), 0
+    order = _Order(rows, spec)
+    left, pred, before = rows, F.lit(True), 0
+    while offset - before > small:
+        drawn = order.sample(left, total, SAMPLE_A_SPLIT * splits)
+        every = max(1, len(drawn) // splits)
+        bounds = list({r["json"]: r for r in drawn[every - 1 :: every]}.values())
+        counted = left.select(order.place(bounds).alias("b")).groupBy("b").count().collect()
+        for r in sorted(counted, key=lambda r: r["b"]):
+            if before + r["count"] > offset:
+                break
+            before += r["count"]
         else:
-            step = (hi - lo) / fanout
-            if step <= 0 or step != step:
-                return None
-            finite_bucket = F.least(F.lit(fanout - 1), ((key - F.lit(lo)) / F.lit(step)).cast("long"))
-        bucket = (
-            F.when(F.isnan(key), F.lit(fanout + 2))
-            .when(key == F.lit(float("inf")), F.lit(fanout + 1))
-            .when(key == F.lit(float("-inf")), F.lit(-1))
-            .otherwise(finite_bucket)
-        )
-        ranged_min, ranged_max = F.min(ranged), F.max(ranged)
-    elif longs is None:
-        # Past the common prefix of min and max, bucket the next character's
-        # code point into at most ``fanout`` ranges (code point order is
-        # UTF-8 byte order); a value that ends at the prefix sorts first (-1).
-        pos = _common_prefix(lo, hi) + 1
-        cp_lo = ord(lo[pos - 1]) if len(lo) >= pos else 0
-        cp_hi = ord(hi[pos - 1])
-        step = max(1, -(-(cp_hi - cp_lo + 1) // fanout))
-        nxt = F.ascii(F.substring(c, pos, 1))
-        bucket = F.when(F.length(c) < pos, F.lit(-1)).otherwise(
-            ((nxt - F.lit(cp_lo)) / F.lit(step)).cast("long")
-        )
-    else:
-        step = max(1, -(-(hi - lo + 1) // fanout))
-        bucket = _int_div(key - F.lit(lo), step)
-    if not fractional:
-        ranged_min, ranged_max = F.min(key), F.max(key)
-    hist = (
-        rows.where(c.isNotNull())
-        .groupBy(bucket.alias("b"))
-        .agg(F.count(F.lit(1)).alias("count"), ranged_min.alias("lo"), ranged_max.alias("hi"))
-        .collect()
-    )
-    before = 0
-    for r in sorted(hist, key=lambda r: r["b"], reverse=desc):
-        if before + r["count"] > offset:
-            b, count, inner_stats = r["b"], r["count"], (r["count"], r["lo"], r["hi"])
+            return F.lit(False), 0  # the rows are fewer than their total
+        at, equal = (r["b"] + 1) // 2, r["b"] % 2 == 1
+        if at:
+            pred = seek_predicate(spec, bounds[at - 1].asDict(), equal=equal)
+        if equal:
             break
-        before += r["count"]
-    after = (bucket < F.lit(b)) if desc else (bucket > F.lit(b))
-    if count <= small:
-        at_or_after = (bucket <= F.lit(b)) if desc else (bucket >= F.lit(b))
-        return at_or_after | c.isNull(), offset - before
-    inside = bucket == F.lit(b)
-    # Redundant bounds for the next level's histogram scan (a top-level
-    # conjunct there, so Parquet statistics can skip row groups).
-    if longs is None and not fractional:
-        inside = inside & c.startswith(lo[: pos - 1])
-    elif not fractional:
-        b_lo, b_hi = inner_stats[1], inner_stats[2]
-        if b_lo is not None and isinstance(dtype, IntegralType):
-            inside = inside & (c >= F.lit(b_lo)) & (c <= F.lit(b_hi))
-    if fractional and (b < 0 or b > fanout or inner_stats[1] is None or inner_stats[1] == inner_stats[2]):
-        # a special value (-inf, +inf, NaN) or one finite value: resolve on the next key
-        inner = seek_window(rows.where(inside), spec[1:], offset - before, small, fanout, None, _depth + 1)
-    else:
-        inner = seek_window(rows.where(inside), spec, offset - before, small, fanout, inner_stats, _depth + 1)
-    if inner is None:
-        return None
-    return (inside & inner[0]) | after | c.isNull(), inner[1]
+        left, total = rows.where(pred), r["count"]
+        if at < len(bounds):
+            left = left.where(_before(spec, bounds[at].asDict()))
+    return pred, offset - before
+
+
+def _before(spec: list[tuple[str, str]], last: Mapping) -> Column:
+    """Rows before ``last`` in the order, with a bound on the leading key for the scan."""
+    lead, order = spec[0]
+    c, v = qcol(lead), last[lead]
+    strictly = ~seek_predicate(spec, last, equal=True)
+    if v is None:
+        return strictly
+    return ((c <= _literal(v)) if order == "ASC" else (c >= _literal(v))) & strictly
 
 
 def seek_page_rows(
@@ -463,14 +453,12 @@ def seek_page_rows(
     sort_column: str | None,
     sort_order: str | None,
     small: int = DEEP_OFFSET,
+    total: int | None = None,
 ) -> DataFrame:
-    """Page ``page`` for any sort with a bucketable leading key, at bounded cost."""
+    """Page ``page`` for any sort, at bounded cost."""
     spec = sort_spec(rows, sort_column, sort_order)
     offset = (max(1, int(page)) - 1) * page_size
-    found = seek_window(rows, spec, offset, small)
-    if found is None:
-        return page_rows(rows, page, page_size, sort_column, sort_order)
-    pred, local = found
+    pred, local = seek_window(rows, spec, offset, small, total)
     ordered = rows.where(pred).orderBy(*[_key(c, o) for c, o in spec])
     return (ordered.offset(local) if local else ordered).limit(page_size)
 
@@ -522,5 +510,5 @@ def page_result(
     elif time_range is not None and (sort_column or DEFAULT_SORT_COLUMN) == TIME_COLUMN:
         df = deep_page_rows(rows, page, page_size, sort_order, *time_range)
     else:
-        df = seek_page_rows(rows, page, page_size, sort_column, sort_order)
+        df = seek_page_rows(rows, page, page_size, sort_column, sort_order, total=total)
     return PageResult(total, page, page_size, start, end, df)

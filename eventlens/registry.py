@@ -176,11 +176,25 @@ def q_page_deep_seek(spark, d):
 
 
 def q_page_deep_filename(spark, d):
-    """A middle page of a string sort, located by key-bucket seeks (no deep top-k)."""
+    """A middle page of a string sort, located by counts between sampled splits (no deep top-k)."""
     return seek_page_rows(events_for(spark, d).rows, page=60, page_size=100,
                           sort_column="filename", sort_order="ASC", small=500)
 
 
+def _with_decimal(rows):
+    """Rows with a decimal key whose values differ in the 20th place only, beyond a double."""
+    digits = F.lpad((F.col("uuid").cast("bigint") * 7 % 8191).cast("string"), 20, "0")
+    amount = F.concat(F.lit("98765432109876543."), digits).cast("decimal(38,20)")
+    return rows.select("uuid", "timestamp", amount.alias("amount"))
+
+
+def q_page_deep_decimal(spark, d):
+    """O3: a middle page sorted by a decimal that no double tells apart."""
+    rows = _with_decimal(events_for(spark, d).rows)
+    page = seek_page_rows(rows, page=50, page_size=100, sort_column="amount", sort_order="DESC", small=500)
+    return page.withColumn("amount", F.col("amount").cast("string"))
+
+
 def q_page_last_env_asc(spark, d):
     """Last page of a string sort with nulls and ties, read from the far end."""
     rows = events_for(spark, d).rows
@@ -712,6 +726,11 @@ WHERE "timestamp" < 1705708800000000000 OR ("timestamp" = 1705708800000000000 AN
 ORDER BY "timestamp" DESC, uuid ASC LIMIT 100''',
     "page_deep_seek": f'{_ranged(FULL)} SELECT * FROM ev ORDER BY "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 7900',
     "page_deep_filename": f'{_ranged(FULL)} SELECT * FROM ev ORDER BY filename ASC NULLS LAST, "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 5900',
+    "page_deep_decimal": f"""{_ranged(FULL)}, amounts AS (
+    SELECT uuid, "timestamp", CAST('98765432109876543.' || lpad(CAST(CAST(uuid AS BIGINT) * 7 % 8191 AS VARCHAR), 20, '0')
+           AS DECIMAL(38,20)) AS amount FROM ev)
+SELECT uuid, "timestamp", CAST(amount AS VARCHAR) AS amount FROM amounts
+ORDER BY amounts.amount DESC, "timestamp" DESC, uuid ASC LIMIT 100 OFFSET 4900""",
     "page_last_env_asc": f"""{_ranged(FULL)}
 SELECT uuid, "timestamp", filename, projectName, userId, username, environmentName, workspaceName, action FROM (
   SELECT *, row_number() OVER (ORDER BY environmentName ASC NULLS LAST, "timestamp" DESC, uuid ASC) AS rn,
