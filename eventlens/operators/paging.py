@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
     DateType,
+    IntegralType,
     MapType,
     TimestampNTZType,
     TimestampType,
@@ -328,27 +329,41 @@ def fetch_page(
     return page_result(rows, total, page, page_size, sort_column, sort_order, time_range)
 
 
-def _view(c: Column, dtype) -> Column:
-    """A key as JSON holds it exactly."""
+def _view(c: Column, dtype, order: str) -> tuple[Column, str]:
+    """A key as JSON holds it exactly, and its direction; whole numbers are turned round to ascend."""
     if isinstance(dtype, DateType):
-        return F.unix_date(c)
-    if isinstance(dtype, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
-    return c
+        c = F.unix_date(c)
+    elif isinstance(dtype, (TimestampType, TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif not isinstance(dtype, IntegralType):
+        return c, order
+    return (c, "ASC") if order == "ASC" else (F.bitwise_not(c), "ASC")
 
 
 class _Order:
-    """A row's place in an order, as expressions over its keys."""
+    """A row's place in an order, as expressions over its keys.
+
+    Neighbouring keys of one direction form a struct, which Spark compares
+    field by field; a null is the least value of a field, so in ascending
+    structs a flag puts it last.
+    """
 
     def __init__(self, rows: DataFrame, spec: list[tuple[str, str]]) -> None:
         self.spec = spec
-        types = rows.schema
-        self.views = [_view(qcol(name), types[name].dataType).alias(f"k{i}") for i, (name, _) in enumerate(spec)]
-        self.key_type = rows.select(F.struct(*self.views).alias("key")).schema["key"].dataType
+        groups: list[tuple[str, list[Column]]] = []
+        for name, wanted in spec:
+            c, order = _view(qcol(name), rows.schema[name].dataType, wanted)
+            if not groups or groups[-1][0] != order:
+                groups.append((order, []))
+            groups[-1][1].extend([c.isNull(), c] if order == "ASC" else [c])
+        self.orders = [order for order, _ in groups]
+        structs = [F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cs)]) for _, cs in groups]
+        self.key = F.struct(*[g.alias(f"g{i}") for i, g in enumerate(structs)])
+        self.key_type = rows.select(self.key.alias("key")).schema["key"].dataType
 
     def sample(self, rows: DataFrame, total: int, most: int) -> list:
         """About ``most`` rows' keys in order (all of a small table), each with its JSON; at least one."""
-        keys = rows.select(F.to_json(F.struct(*self.views)).alias("json"), *[qcol(name) for name, _ in self.spec])
+        keys = rows.select(F.to_json(self.key).alias("json"), *[qcol(name) for name, _ in self.spec])
         share = most / max(total, 1)
         while True:
             drawn = keys if share >= 1 else keys.sample(share, seed=7)
@@ -357,32 +372,31 @@ class _Order:
                 return found
             share *= 8
 
-    def _not_before(self, split: Column, own: list[Column]) -> Column:
-        """Whether a row (its keys ``own``) is the split or comes after it; nulls last."""
+    def _not_before(self, key: Column, split: Column) -> Column:
+        """Whether a key is the split or comes after it."""
         found = F.lit(True)
-        for i, (_, order) in reversed(list(enumerate(self.spec))):
-            c, v = own[i], split[f"k{i}"]
+        for i, order in reversed(list(enumerate(self.orders))):
+            c, v = key[f"g{i}"], split[f"g{i}"]
             beyond = (c > v) if order == "ASC" else (c < v)
-            beyond = F.coalesce(beyond, c.isNull() & v.isNotNull())
-            found = beyond | (c.eqNullSafe(v) & found)
+            found = beyond | ((c == v) & found)
         return found
 
-    def place(self, splits: list) -> Column:
-        """Twice the number of splits at or before the row, less one if the last of them equals it."""
+    def places(self, rows: DataFrame, splits: list) -> DataFrame:
+        """``b`` of each row: twice the number of splits at or before it, less one if the last of them equals it."""
         table = F.from_json(F.lit("[" + ",".join(s["json"] for s in splits) + "]"), ArrayType(self.key_type))
-        own = self.views
-        steps = [1 << k for k in range(len(splits).bit_length() - 1, -1, -1)]
-        number = F.aggregate(
-            F.lit(steps).cast("array<int>"),
-            F.lit(0),
-            lambda at, step: at
-            + F.when((at + step <= len(splits)) & self._not_before(F.get(table, at + step - 1), own), step).otherwise(0),
-        )
-        # One more look-up, for equality, as the last step of the search.
-        same = F.struct(*own).eqNullSafe
-        return F.element_at(
-            F.transform(F.array(number), lambda at: 2 * at - F.coalesce(same(F.get(table, at - 1)), F.lit(False)).cast("int")), 1
-        )
+        steps = F.lit([1 << k for k in range(len(splits).bit_length() - 1, -1, -1)]).cast("array<int>")
+
+        def search(key: Column) -> Column:
+            def step(at: Column, more: Column) -> Column:
+                inside = (at + more <= len(splits)) & self._not_before(key, F.get(table, at + more - 1))
+                return at + F.when(inside, more).otherwise(0)
+
+            return F.aggregate(steps, F.lit(0), step)
+
+        # An array of one element binds the key, so that it is made once a row.
+        found = rows.select(self.key.alias("key"), F.transform(F.array(self.key), search)[0].alias("at"))
+        equal = F.coalesce(F.col("key") == F.get(table, F.col("at") - 1), F.lit(False))
+        return found.select((2 * F.col("at") - equal.cast("int")).alias("b"))
 
 
 def seek_window(
@@ -418,7 +432,7 @@ def seek_window(
         drawn = order.sample(left, total, SAMPLE_A_SPLIT * splits)
         every = max(1, len(drawn) // splits)
         bounds = list({r["json"]: r for r in drawn[every - 1 :: every]}.values())
-        counted = left.select(order.place(bounds).alias("b")).groupBy("b").count().collect()
+        counted = order.places(left, bounds).groupBy("b").count().collect()
         for r in sorted(counted, key=lambda r: r["b"]):
             if before + r["count"] > offset:
                 break

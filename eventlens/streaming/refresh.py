@@ -10,12 +10,20 @@ sink is partitioned by the UTC day so date-range reads prune folders.
 There is no state: the stream is a stateless projection, so a lost
 executor only re-runs its task and a lost driver resumes from the
 checkpoint.
+
+What has been appended is counted batch by batch while a query runs, and the
+totals lie in a small file beside the checkpoint. Spark's last progress
+reports are read often enough that none is missed; where one is (the driver
+was lost after a batch, before its report was counted), the table itself is
+counted, which reads the footers of its files.
 """
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -30,8 +38,9 @@ from eventlens.session import ensure_conf
 from eventlens.sources.parquet import PARTITION_DATE_COLUMN
 
 
-# Reports a query keeps (a few KB each); a run of more batches than this is counted in part.
-PROGRESS_REPORTS = 1_000_000
+# Seconds between two looks at a running query's reports; Spark keeps its last 100.
+POLL_SECONDS = 0.5
+TOTALS_FILE = "eventlens-totals.json"
 
 
 @dataclass(frozen=True)
@@ -42,7 +51,8 @@ class RefreshStatus:
     status_text: str     # e.g. "Completed" / "In Progress"
     updated_at: str      # ISO time of the last progress report
     rows: int            # rows appended by this run
-    batches: int
+    batches: int         # batches of this run that had rows
+    total_rows: int = 0  # rows appended by all runs of the checkpoint
 
     @property
     def updated_text(self) -> str:
@@ -51,7 +61,115 @@ class RefreshStatus:
 
     def as_dict(self) -> dict:
         return {"status": self.status, "statusText": self.status_text, "updatedAt": self.updated_at,
-                "updatedText": self.updated_text, "rows": self.rows, "batches": self.batches}
+                "updatedText": self.updated_text, "rows": self.rows, "batches": self.batches,
+                "totalRows": self.total_rows}
+
+
+@dataclass
+class Totals:
+    """Rows appended by all batches up to ``batch``."""
+
+    batch: int = -1
+    rows: int = 0
+
+
+def _path(spark: SparkSession, *parts: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(p.rstrip("/") for p in parts))
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_totals(spark: SparkSession, checkpoint: str) -> Totals:
+    """The totals beside a checkpoint; none counted if there is no file, or one that was cut off."""
+    path, fs = _path(spark, checkpoint, TOTALS_FILE)
+    if not fs.exists(path):
+        return Totals()
+    stream = fs.open(path)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    try:
+        return Totals(**json.loads(text))
+    except (ValueError, TypeError):
+        return Totals()
+
+
+def write_totals(spark: SparkSession, checkpoint: str, totals: Totals) -> None:
+    path, fs = _path(spark, checkpoint, TOTALS_FILE)
+    stream = fs.create(path, True)
+    try:
+        stream.write(bytearray(json.dumps(asdict(totals)).encode()))
+    finally:
+        stream.close()
+
+
+def last_batch(spark: SparkSession, table: str) -> int:
+    """The last batch that the sink has committed; -1 before the first."""
+    path, fs = _path(spark, table, "_spark_metadata")
+    if not fs.exists(path):
+        return -1
+    names = [f.getPath().getName().removesuffix(".compact") for f in fs.listStatus(path)]
+    return max((int(n) for n in names if n.isdigit()), default=-1)
+
+
+class RowCounter(threading.Thread):
+    """Counts the rows of a query's batches while it runs; one number a run and one for all."""
+
+    def __init__(self, spark: SparkSession, query, table: str, checkpoint: str, totals: Totals) -> None:
+        super().__init__(daemon=True, name=f"refresh-rows-{query.runId}")
+        self.spark, self.query, self.table, self.checkpoint = spark, query, table, checkpoint
+        self.totals = totals
+        self.rows = self.batches = 0
+        self.updated: str | None = None
+        self.lock = threading.Lock()
+
+    def look(self) -> None:
+        """Count the reports that are new since the last look."""
+        with self.lock:
+            reports = [p if isinstance(p, dict) else json.loads(p.json) for p in self.query.recentProgress]
+            if reports:
+                self.updated = reports[-1]["timestamp"]
+            new = {p["batchId"]: int(p["numInputRows"]) for p in reports if p["batchId"] > self.totals.batch and p["numInputRows"]}
+            if not new:
+                return
+            if min(new) > self.totals.batch + 1:  # a report was missed
+                self._recount(max(new), sum(new.values()), len(new))
+            else:
+                self._add(max(new), sum(new.values()), len(new))
+            write_totals(self.spark, self.checkpoint, self.totals)
+
+    def _add(self, batch: int, rows: int, batches: int) -> None:
+        self.totals = Totals(batch, self.totals.rows + rows)
+        self.rows += rows
+        self.batches += batches
+
+    def _recount(self, batch: int, rows: int, batches: int) -> None:
+        """Batches were not all seen: the table says how many rows there are up to the last one committed."""
+        last = max(batch, last_batch(self.spark, self.table))
+        total = self.spark.read.parquet(self.table).count()
+        missed = last - self.totals.batch - batches
+        self._add(last, max(rows, total - self.totals.rows), batches + missed)
+
+    def run(self) -> None:
+        while self.query.isActive:
+            self.look()
+            self.query.awaitTermination(POLL_SECONDS)
+
+
+def _counted(spark: SparkSession, query, table: str, checkpoint: str, totals: Totals):
+    """The query with a counter that runs along."""
+    query.row_counter = RowCounter(spark, query, table, checkpoint, totals)
+    query.row_counter.start()
+    return query
+
+
+def _totals_before(spark: SparkSession, table: str, checkpoint: str) -> Totals:
+    """Totals of the runs before; if a committed batch was never counted, the table is."""
+    totals, last = read_totals(spark, checkpoint), last_batch(spark, table)
+    if last > totals.batch:
+        totals = Totals(last, spark.read.parquet(table).count())
+        write_totals(spark, checkpoint, totals)
+    return totals
 
 
 def landing_schema(spark: SparkSession, landing: str, recursive: bool = False) -> StructType:
@@ -77,8 +195,6 @@ def _stream(spark, landing, schema, transform, file_glob, max_files_per_trigger,
     stream = reader.parquet(landing)
     if transform is not None:
         stream = transform(stream)
-    # Reports of all batches are kept, so that the status counts every row.
-    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(PROGRESS_REPORTS))
     return stream.withColumn(PARTITION_DATE_COLUMN, F.to_date(event_time(TIME_COLUMN)))
 
 
@@ -99,6 +215,7 @@ def refresh(
     partition folders; ``recursive=True`` also descends into plain folders.
     """
     ensure_conf(spark)
+    before = _totals_before(spark, table, checkpoint)
     query = (
         _stream(spark, landing, schema, transform, file_glob, max_files_per_trigger, recursive)
         .writeStream.format("parquet")
@@ -108,6 +225,7 @@ def refresh(
         .trigger(availableNow=True)
         .start(table)
     )
+    _counted(spark, query, table, checkpoint, before)
     query.awaitTermination()
     return status_of(query)
 
@@ -131,7 +249,8 @@ def start_refresh(
     the two can be mixed without re-appending a file.
     """
     ensure_conf(spark)
-    return (
+    before = _totals_before(spark, table, checkpoint)
+    query = (
         _stream(spark, landing, schema, transform, file_glob, max_files_per_trigger, recursive)
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
@@ -140,18 +259,20 @@ def start_refresh(
         .trigger(processingTime=every)
         .start(table)
     )
+    return _counted(spark, query, table, checkpoint, before)
 
 
 def status_of(query) -> RefreshStatus:
-    """Status of a refresh ``StreamingQuery`` (running or finished) from its progress reports."""
-    progress = [p for p in (query.recentProgress or [])]
-    rows = sum(int(p.get("numInputRows", 0) if isinstance(p, dict) else p.numInputRows) for p in progress)
-    stamps = [(p.get("timestamp") if isinstance(p, dict) else p.timestamp) for p in progress]
-    updated = stamps[-1] if stamps else datetime.now(timezone.utc).isoformat()
+    """Status of a refresh query (running or finished) that :func:`start_refresh` returned."""
+    counter: RowCounter = query.row_counter
+    if query.isActive is False:
+        counter.join()
+    counter.look()
+    updated = counter.updated or datetime.now(timezone.utc).isoformat()
     if query.exception() is not None:
         status = "Failed"
     elif query.isActive:
         status = "InProgress"
     else:
         status = "Completed"
-    return RefreshStatus(status, camel_words_text(status), updated, rows, len(progress))
+    return RefreshStatus(status, camel_words_text(status), updated, counter.rows, counter.batches, counter.totals.rows)

@@ -204,3 +204,47 @@ def test_time_seek_is_exact_over_long_ranges(spark):
         for page in range(1, len(full) // 7 + 1, 3):
             got = [r.uuid for r in deep_page_rows(ev.rows, page, 7, order, ev.lo_ns, ev.hi_ns, small=5).collect()]
             assert got == full[(page - 1) * 7: page * 7], (order, page)
+
+
+def test_seek_on_any_sortable_type(spark):
+    """Decimals beyond a double, dates, timestamps, booleans, binaries, arrays and structs, with nulls and ties."""
+    import datetime as dt
+    import random
+    from decimal import Decimal
+
+    from eventlens.operators.paging import page_rows, seek_page_rows
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        n = rng.randint(0, 12)
+        values = [
+            Decimal(98765432109876543) + Decimal(n) / 10**15, dt.date(2024, 1, 1 + n), dt.datetime(2024, 1, 1, 0, 0, 0, n), n % 2 == 0,
+            bytes([n, 255 - n]), [n % 3, None, n], (n % 4, f"x{n}" if n % 3 else None), float("nan") if n == 5 else n / 7, f"é{n}'\n",
+        ]
+        rows.append((i % 150, *[None if rng.random() < 0.1 else v for v in values]))
+    schema = ("uuid bigint, dec decimal(38,15), d date, t timestamp, b boolean, bin binary, arr array<bigint>, "
+              "st struct<a: int, s: string>, f double, s string")
+    df = spark.createDataFrame(rows, schema).repartition(3).cache()
+    for column in schema.split(", ")[1:]:
+        name = column.split()[0]
+        if name not in df.columns:
+            continue
+        for order, page in (("ASC", 4), ("DESC", 13)):
+            got = seek_page_rows(df, page, 10, name, order, small=25).collect()
+            assert list(map(str, got)) == list(map(str, page_rows(df, page, 10, name, order).collect())), (name, order)
+
+
+def test_seek_searches_an_interval_again_and_stops_at_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    from eventlens.operators import paging
+
+    df = spark.range(3000).select((F.col("id") % 3 == 0).alias("hot"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("uuid"))
+    spec = paging.sort_spec(df, "hot", "DESC")
+    for offset in (0, 999, 1500, 2990):
+        pred, local = paging.seek_window(df, spec, offset, small=10, splits=4)
+        assert df.where(~pred).count() + local == offset
+        assert local <= 10 or df.where(pred).orderBy(*paging.sort_keys(df, "hot", "DESC")).offset(local).first() is not None
+    pred, local = paging.seek_window(df, spec, 5000, small=10)
+    assert df.where(pred).count() == 0

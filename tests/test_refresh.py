@@ -51,6 +51,39 @@ def test_long_running_refresh_reports_progress(spark, tmp_dir):
     finally:
         q.stop()
     s = status_of(q)
-    assert s.status == "Completed" and s.rows == 35
+    assert s.status == "Completed" and s.rows == 35 and s.total_rows == 35 and s.as_dict()["totalRows"] == 35
     # the batch refresh continues from the same checkpoint without re-appending
     assert refresh(spark, landing, table, ckpt, EVENT_SCHEMA, recursive=True).rows == 0
+
+
+def test_rows_are_counted_past_the_reports_spark_keeps_and_after_a_lost_driver(spark, tmp_dir, monkeypatch):
+    from eventlens.streaming import refresh as r
+
+    landing, table, ckpt = f"{tmp_dir}/landing", f"{tmp_dir}/table", f"{tmp_dir}/ckpt"
+    many = [{"uuid": f"a{i}", "timestamp": ns("2025-11-10") + i} for i in range(24)]
+    make_events(spark, many).repartition(12).write.parquet(landing)
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "2")
+    monkeypatch.setattr(r, "POLL_SECONDS", 60)  # reports are missed
+    try:
+        first = refresh(spark, landing, table, ckpt, EVENT_SCHEMA, max_files_per_trigger=1)
+    finally:
+        spark.conf.set(kept, before)
+    monkeypatch.undo()
+    assert (first.rows, first.batches, first.total_rows) == (24, 12, 24)
+    assert r.read_totals(spark, ckpt) == r.Totals(11, 24) and r.last_batch(spark, table) == 11
+
+    make_events(spark, [{"uuid": f"b{i}"} for i in range(5)]).coalesce(1).write.mode("append").parquet(landing)
+    second = refresh(spark, landing, table, ckpt, EVENT_SCHEMA)
+    assert (second.rows, second.batches, second.total_rows) == (5, 1, 29)
+
+    for lost in (r.Totals(3, 8), None):  # the driver was lost before it wrote the totals, or while it did
+        path, fs = r._path(spark, ckpt, r.TOTALS_FILE)
+        if lost:
+            r.write_totals(spark, ckpt, lost)
+        else:
+            fs.create(path, True).close()
+        again = refresh(spark, landing, table, ckpt, EVENT_SCHEMA)
+        assert (again.rows, again.total_rows) == (0, 29) and r.read_totals(spark, ckpt).rows == 29
+    assert spark.conf.get(kept) == before
