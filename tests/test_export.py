@@ -1,3 +1,5 @@
+import pytest
+
 from eventlens.dataset import EventSet
 from eventlens.functions.text import camel_words_text, column_label, title_label
 from eventlens.operators.projection import export_frame, table_columns, table_view
@@ -58,3 +60,29 @@ def test_export_name():
 
     assert sinks.export_name("csv", datetime(2025, 11, 10, 1, 2, 3)) == "workspace_audit_events_20251110_010203.csv"
 
+
+
+def test_single_file_is_joined_from_parallel_parts(spark, tmp_dir):
+    import csv
+    import os
+
+    from pyspark.sql import functions as F
+
+    from eventlens.sources import sinks
+
+    df = spark.range(0, 1000, 1, 7).select(
+        F.col("id").alias("Row, id"), F.when(F.col("id") % 5 == 0, 'a "quoted",\nline').otherwise(F.lit(None)).alias("text")
+    )
+    path = sinks.write_csv(df, f"{tmp_dir}/one.csv", single_file=True)
+    files = [f for f in os.listdir(path) if not f.startswith((".", "_"))]
+    assert files == ["part-00000.csv"]
+    with open(f"{path}/part-00000.csv", newline="") as f:
+        rows = list(csv.reader(f))
+    assert rows[0] == ["Row, id", "text"] and [int(r[0]) for r in rows[1:]] == list(range(1000))
+    assert all(r[1] == ('a "quoted",\nline' if int(r[0]) % 5 == 0 else "") for r in rows[1:])
+    back = sinks.read_csv_export(spark, path, df.schema)
+    assert back.count() == 1000
+    with pytest.raises(Exception):
+        sinks.write_csv(df, path, single_file=True)
+    empty = sinks.write_csv(df.limit(0), f"{tmp_dir}/none.csv", single_file=True)
+    assert sinks.read_csv_export(spark, empty, df.schema).count() == 0
