@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import threading
 from collections.abc import Callable, Iterator
 
@@ -121,7 +120,6 @@ def remainder(column: str, modulus: int) -> Column:
 
 def give_back() -> None:
     """Return freed memory to the machine at the end of a task; a reused worker would keep it."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
     if trim is not None:

@@ -19,6 +19,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import prepare, remainder
+from eventlens.llm.common import give_back, prepare, remainder
 
 WINDOW = 96
 HIDDEN = 12
@@ -257,14 +259,16 @@ def language_column(net: Network | None, text: Column) -> Column:
         return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.expr("cast(map() as map<string, double>)").alias("shares"))
 
     @F.pandas_udf(kind)
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        mean, share = pooled(net, [t or "" for t in texts])
-        best = mean.argmax(axis=1)
-        return pd.DataFrame({
-            "lang": [net.languages[i] for i in best],
-            "score": np.clip(mean[np.arange(len(best)), best], 0, 1),
-            "shares": [dict(zip(net.languages, map(float, s), strict=True)) for s in share],
-        })
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            mean, share = pooled(net, [t or "" for t in texts])
+            best = mean.argmax(axis=1)
+            yield pd.DataFrame({
+                "lang": [net.languages[i] for i in best],
+                "score": np.clip(mean[np.arange(len(best)), best], 0, 1),
+                "shares": [dict(zip(net.languages, map(float, s), strict=True)) for s in share],
+            })
+        give_back()
 
     found = predict(text)
     has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import numbered, only, popcount, prepare, shuffle_width, stored
+from eventlens.llm.common import give_back, numbered, only, popcount, prepare, shuffle_width, stored
 from eventlens.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -212,8 +212,10 @@ def simhash_components(
     prepare(docs.sparkSession)
 
     @F.pandas_udf("bigint")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints(texts.tolist(), shingle_words).view(np.int64))
+    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(fingerprints(texts.tolist(), shingle_words).view(np.int64))
+        give_back()
 
     seen = stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")), "simhash-rows")
     classes = seen.groupBy("fp").agg(F.min("id").alias("first"))
