@@ -114,7 +114,7 @@ class Block:
     def entries(self, shards: int, by_text: bool) -> Iterator[tuple[int, tuple]]:
         """For each shard (the first always) its tokens and, sorted, their pairs, counts and texts."""
         n = len(self.number)
-        hashed = np.fromiter((xxhash.xxh64_intdigest(w) or 1 for w in self.number), np.uint64, n)
+        hashed = word_hashes(self)
         suffix = np.fromiter((xxhash.xxh32_intdigest(w[-SUFFIX_BYTES:]) for w in self.number), np.int64, n)
         fine = np.append((suffix % COARSE) * FINE + (hashed >> np.uint64(40)).astype(np.int64) % FINE, CLASSES - 1)
         hashed = np.append(hashed, END)
@@ -155,7 +155,12 @@ class Block:
             yield s, tuple(message)
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
+def word_hashes(block: Block) -> np.ndarray:
+    """Hashes of a block's distinct words, in order of their numbers; none is 0."""
+    return np.fromiter((xxhash.xxh64_intdigest(w) or 1 for w in block.number), np.uint64, len(block.number))
+
+
+def text_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
     block = Block()
     for pdf in batches:
         for key, text in zip(pdf["id"].tolist(), pdf["text"].tolist(), strict=True):
@@ -172,7 +177,7 @@ def shard_counts(docs: DataFrame, build: Callable[[int, np.ndarray, np.ndarray,
     shards = shuffle_width(docs.sparkSession)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _blocks(batches):
+        for block in text_blocks(batches):
             rows = [(s, pack(*m)) for s, m in block.entries(shards, False) if m[0].size]
             yield pd.DataFrame(rows, columns=["shard", "message"])
 
@@ -208,7 +213,7 @@ def score_texts(docs: DataFrame, models: DataFrame, score: Callable[[bytes | Non
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        for i, block in enumerate(_blocks(batches)):
+        for i, block in enumerate(text_blocks(batches)):
             name = TaskContext.get().partitionId() << 32 | i
             head = block.ids
             lengths = [t.size + 1 for t in block.tokens]
