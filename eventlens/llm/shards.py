@@ -75,8 +75,8 @@ def find_tokens(known: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.where(known[at] == tokens, at, -1)
 
 
-def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+def pack(*arrays, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpack(data: bytes) -> tuple:
@@ -160,12 +160,12 @@ def word_hashes(block: Block) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) or 1 for w in block.number), np.uint64, len(block.number))
 
 
-def text_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
+def text_blocks(batches: Iterator[pd.DataFrame], most: int = BLOCK_CHARS) -> Iterator[Block]:
     block = Block()
     for pdf in batches:
         for key, text in zip(pdf["id"].tolist(), pdf["text"].tolist(), strict=True):
             block.add(key, text)
-            if block.chars >= BLOCK_CHARS:
+            if block.chars >= most:
                 yield block
                 block = Block()
     if block.ids:
