@@ -32,20 +32,26 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _bit_filter(keys: DataFrame) -> DataFrame:
-    """One row, one array: the words of a bit set over the column ``bit``."""
+def bit_filter(keys: DataFrame, size: int) -> DataFrame:
+    """One row, one array: the words of a bit set of ``size`` bits over the column ``bit``."""
     words = (
         keys.select(F.shiftright("bit", 6).cast("int").alias("word"), (F.col("bit") % 64).cast("int").alias("at"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
     )
-    every = keys.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("word"))
+    every = keys.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("word"))
     whole = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
     return whole.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("filter")
     )
 
 
+def in_filter(bits: DataFrame, bit: Column) -> Column:
+    """Whether a bit of a stored ``bit_filter`` is set."""
+    word = F.element_at(bits.scalar(), (F.shiftright(bit, 6) + 1).cast("int"))
+    return F.getbit(word, (bit % 64).cast("int")) == 1
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row per input row: ``id, norm_len, keep_id, group_size, kept``.
 
@@ -63,10 +69,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     coarse = F.pmod(F.xxhash64("norm_len", "prefix_hash"), F.lit(FILTER_BITS))
     # Length, then prefix within the length, in one scan: a length that occurs once goes with its only prefix.
     by_prefix = keyed.groupBy("norm_len", "prefix_hash").agg(F.count(F.lit(1)).alias("n"))
-    bits = stored(_bit_filter(by_prefix.filter("n > 1").select(coarse.alias("bit"))), "exact-filter")
+    bits = stored(bit_filter(by_prefix.filter("n > 1").select(coarse.alias("bit")), FILTER_BITS), "exact-filter")
 
-    word = F.element_at(bits.scalar(), (F.shiftright(coarse, 6) + 1).cast("int"))
-    hit = F.getbit(word, (coarse % 64).cast("int")) == 1
+    hit = in_filter(bits, coarse)
     full = F.sha2("norm", 256)
     kept_columns = ["id", "norm_len", F.when(hit, full).alias("full")] + ([full.alias("digest")] if digests else [])
     seen = stored(keyed.select(*kept_columns).withColumn("row", F.monotonically_increasing_id()), "exact-rows")

@@ -18,15 +18,18 @@ of two or three words corrects that and adds what it frees as a context, an
 unseen one adds nothing. Texts send their words to the words' shards and the distinct grams
 they hold to the shard of the middle word, where those grams' sums of all orders
 are, and get sums of logarithms back. Words, pairs and contexts whose bit in a
-filter of the model's keys (hashes of 64 bits) is clear are left out. One task
-answers the messages of at most ``SCAN_TASKS`` tasks of the scan to one shard,
-so a frequent word's shard is copied as often as the input asks for.
-
-The model is fitted on the whole texts of at most ``TRAIN_DOCS`` trusted ids,
-drawn by a hash of the id, so that they can be picked out of the scan, and a
-word's grams can meet in one task; everything else covers all rows. The driver
-gets counts of counts and the filter, at most ``FILTER_BITS`` bits; with more
-grams than it suits, more are sent in vain and the results are the same.
+filter of the model's keys (hashes of 64 bits) is clear are left out. Words and
+pairs that trusted text has most often, at most ``HOT_WORDS`` and ``HOT_PAIRS``, are
+looked up where the text is, in a table that goes to all tasks; all others are
+sent. A shard is copied by its part of the trusted tokens, so that one task answers
+what an even sixteenth of ``SCAN_TASKS`` tasks of the scan would send.
+
+The model is fitted on the whole texts of all trusted rows outside the held-out
+fifth. They are picked out of the scan by a bit filter of fixed size over their ids,
+and exactly by a join of what is left. The number of shards follows
+``spark.sql.shuffle.partitions``. The driver gets counts of counts, a number for each
+shard, the frequent words and pairs, and the filter, at most ``FILTER_BITS`` bits;
+with more grams than it suits, more are sent in vain and the results are the same.
 
 Trusted rows with crc32(id) mod 5 = 0 are left out of training. Their
 perplexities give, for each language, the quantile above which documents are
@@ -46,24 +49,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import array_sums, give_back, prepare, remainder, stored
+from eventlens.llm.common import array_sums, give_back, prepare, remainder, shuffle_width, stored
+from eventlens.llm.exact_dedup import bit_filter, in_filter
 from eventlens.llm.shards import Block, find_tokens, narrow, pack, text_blocks, unpack, word_hashes
 
 #: Part of held-out trusted documents that the threshold keeps.
 QUANTILE = 0.98
-#: Most trusted ids whose texts the model is fitted on.
-TRAIN_DOCS = 20_000
+#: Bits of the filter over trusted ids.
+ID_BITS = 1 << 24
 #: Tokens of the longest grams, 2 or 3.
 ORDER = 2
 #: Bits of the filter for each gram, and most bits in all (32 MB).
 BITS_A_GRAM, FILTER_BITS = 32, 1 << 28
 #: Characters of the texts that are scored together: more of them share the words of a message.
 SCORE_CHARS = 14_000_000
-#: Shards of the model, whose size ``TRAIN_DOCS`` bounds; and tasks of the scan whose messages one task of a shard may take.
+#: Least shards of the model, and pages of its filter; tasks of the scan that a sixteenth of the messages may be from.
 SHARDS, SCAN_TASKS = 16, 32
+#: Shuffle partitions for each shard of the model.
+SHARD_PARTITIONS = 4
+#: Words and pairs looked up where the text is.
+HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 17
+#: Grams of one shard that are merged at a time.
+MERGE_GRAMS = 4_000_000
 BOUNDARY = np.uint64(0)
 #: Words are told apart by 46 bits of their hash, bits 0 and 1 being fixed: among a million, two are alike once in 140 models.
 WORD_BITS = np.uint64((1 << 48) - 2)
@@ -82,6 +92,11 @@ def as_context(pairs: np.ndarray) -> np.ndarray:
     return mix(pairs, np.full(pairs.size, 1, np.uint64))
 
 
+def model_shards(spark: SparkSession) -> int:
+    """A multiple of the filter's pages, so that all of a shard's keys are on one."""
+    return SHARDS * -(-shuffle_width(spark) // (SHARDS * SHARD_PARTITIONS))
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
 
@@ -225,6 +240,7 @@ class Orders:
     three: np.ndarray
     total: float
     unknown: float
+    load: np.ndarray  #: part of the trusted tokens after words of each shard
 
     def alone(self, count: np.ndarray) -> np.ndarray:
         return (count - self.one[np.minimum(count.astype(np.int64), 3) - 1]) / self.total + self.unknown
@@ -245,7 +261,7 @@ class Orders:
 
 def fit(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, Orders]:
     """The model of each shard: its grams, what it asked for of words alone, and of its own words alone."""
-    shards = SHARDS
+    shards = model_shards(trusted.sparkSession)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in text_blocks(batches):
@@ -260,9 +276,21 @@ def fit(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, Orders]:
         give_back()
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(words[second], words[before], words[word], n) for words, second, before, word, n in map(unpack_sorted, pdf.grams)]
-        held = _held(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return pd.DataFrame({"shard": [key[0]], "grams": [held], "stats": [Shard(held, order).stats()]})
+        held, parts, size = b"", [], 0
+        for i, data in enumerate(pdf.grams, 1):
+            words, second, before, word, n = unpack_sorted(data)
+            parts.append((words[second], words[before], words[word], n))
+            size += n.size
+            if size >= MERGE_GRAMS or i == len(pdf):
+                held = _held(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                if i < len(pdf):
+                    words, second, before, word, n = unpack_sorted(held)
+                    parts, size = [(words[second], words[before], words[word], n)], 0
+        own = Shard(held, order)
+        rows = pd.DataFrame({"shard": [key[0]], "grams": [held], "stats": [own.stats()], "tokens": [int(own.n.sum())]})
+        del own, parts
+        give_back()
+        return rows
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -283,7 +311,7 @@ def fit(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, Orders]:
 
     texts = trusted.select(F.lit(None).cast("int").alias("id"), "text")
     sent = texts.mapInPandas(send, "shard int, grams binary").groupBy("shard")
-    held = stored(sent.applyInPandas(merge, "shard int, grams binary, stats array<double>"), "trusted-grams")
+    held = stored(sent.applyInPandas(merge, "shard int, grams binary, stats array<double>, tokens bigint"), "trusted-grams")
     asked = held.select("shard", "grams").mapInPandas(ask, "own int, asking int, words binary").groupBy("own")
     alone = stored(asked.applyInPandas(reply, "shard int, asked binary, own binary, stats array<double>"), "trusted-words")
 
@@ -292,11 +320,15 @@ def fit(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, Orders]:
     one = discounts(*ones)
     cut = one @ np.array([ones[0], ones[1], kinds - ones[0] - ones[1]])
     unknown = (cut / total if total else 1.0) / (kinds + 1)
+    load = np.zeros(shards)
+    for row in held.select("shard", "tokens").collect():  # one a shard
+        load[row["shard"]] = row["tokens"]
+    load /= max(load.sum(), 1.0)
 
     none = F.lit(None).cast("binary")
     grams = held.select("shard", "grams", none.alias("asked"), none.alias("own"))
     model = grams.unionByName(alone.select("shard", none.alias("grams"), "asked", "own"))
-    return model, Orders(order, one, two, three, total, unknown)
+    return model, Orders(order, one, two, three, total, unknown, load)
 
 
 def _held(second: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
@@ -307,8 +339,8 @@ def _held(second: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarra
 
 
 def key_filter(model: DataFrame, order: int) -> np.ndarray:
-    """Bits for the keys of each shard, in bytes; their number follows the counted keys up to ``FILTER_BITS``."""
-    shards, bits = SHARDS, 64
+    """Bits for the keys, in bytes, a page for the shards alike modulo ``SHARDS``; they follow the counted keys up to ``FILTER_BITS``."""
+    pages, bits = SHARDS, 64
 
     def keys_of(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
         for shard, grams, own in zip(pdf["shard"], pdf.grams, pdf.own, strict=True):
@@ -323,24 +355,25 @@ def key_filter(model: DataFrame, order: int) -> np.ndarray:
 
     held = model.filter("grams IS NOT NULL OR own IS NOT NULL").select("shard", "grams", "own")
     keys = held.mapInPandas(sizes, "size bigint").agg(F.sum("size")).first()[0] or 0
-    while bits * shards < keys * BITS_A_GRAM and bits * shards * 2 <= FILTER_BITS:
+    while bits * pages < keys * BITS_A_GRAM and bits * pages * 2 <= FILTER_BITS:
         bits *= 2
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(shard, pack(narrow(np.diff(np.unique(_place(keys, bits)), prepend=0)))) for shard, keys in keys_of(pdf)]
-            yield pd.DataFrame(rows, columns=["shard", "places"])
+            rows = [(shard % pages, pack(narrow(np.diff(np.unique(_place(keys, bits)), prepend=0)))) for shard, keys in keys_of(pdf)]
+            yield pd.DataFrame(rows, columns=["page", "places"])
+        give_back()
 
     def page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.zeros(bits, bool)
         for data in pdf.places:
             own[np.cumsum(unpack(data)[0], dtype=np.int64)] = True
-        return pd.DataFrame({"shard": [key[0]], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+        return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(own, bitorder="little").tobytes()]})
 
-    pages = held.mapInPandas(places, "shard int, places binary").groupBy("shard")
-    found = np.zeros((shards, bits // 8), np.uint8)
-    for row in pages.applyInPandas(page, "shard int, bits binary").collect():  # at most FILTER_BITS
-        found[row["shard"]] = np.frombuffer(row["bits"], np.uint8)
+    placed = held.mapInPandas(places, "page int, places binary").groupBy("page")
+    found = np.zeros((pages, bits // 8), np.uint8)
+    for row in placed.applyInPandas(page, "page int, bits binary").collect():  # at most FILTER_BITS
+        found[row["page"]] = np.frombuffer(row["bits"], np.uint8)
     return found
 
 
@@ -350,14 +383,57 @@ def _place(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def may_hold(found: np.ndarray, keys: np.ndarray, shards: np.ndarray) -> np.ndarray:
     at = _place(keys, found.shape[1] * 8)
-    return (found[shards, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return (found[shards % found.shape[0], at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+@dataclass
+class Hot:
+    """Frequent words, rising, and pairs of them (number of the first times the words, and of the second); what each adds."""
+
+    words: np.ndarray
+    values: np.ndarray
+    pairs: np.ndarray
+    adds: np.ndarray
+
+
+def frequent(model: DataFrame, orders: Orders) -> Hot:
+    """Each shard's part of ``HOT_WORDS`` words and, in a model of order 2, ``HOT_PAIRS`` pairs, the most frequent it has."""
+    words_each = -(-HOT_WORDS // orders.load.size)
+
+    def top(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        known, value, shards = orders.model(held)
+        found = np.zeros((0, 2), np.uint64)
+        words, values, adds = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        for own in shards:  # one, or none
+            size = own.words.size
+            n = np.bincount(own.pair // size, own.n2, size)
+            words = own.words[np.argsort(-n, kind="stable")[: min(words_each, int((n > 0).sum()))]]
+            values = value[np.searchsorted(known, words)]
+            if orders.order < 3:
+                most = np.argsort(-own.n2, kind="stable")[: int(HOT_PAIRS * orders.load[key[0]])]
+                found = own.words[np.stack([own.pair[most] // size, own.pair[most] % size], axis=1)]
+                adds = own.adds2[most]
+        give_back()
+        return pd.DataFrame({"hot": [pack(words, values, found, adds)]})
+
+    rows = model.groupBy("shard").applyInPandas(top, "hot binary").collect()  # the bounded table
+    parts = [unpack(row["hot"]) for row in rows] or [(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 2), np.uint64), np.zeros(0))]
+    words, values, found, adds = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by_word = np.argsort(words)
+    words, values = words[by_word], values[by_word]
+    first, second = (find_tokens(words, x) for x in found.T)
+    held = (first >= 0) & (second >= 0)
+    pairs, adds = (first * words.size + second)[held], adds[held]
+    by_pair = np.argsort(pairs)
+    return Hot(words, values, pairs[by_pair], adds[by_pair])
 
 
 NONE = np.uint64(1)
 
 
-def _messages(block: Block, bits: np.ndarray, shards: int, order: int) -> tuple[np.ndarray, list[bytes | None]]:
-    """Words of each text that the model can't know, and for each shard the words and grams it may know, with texts and counts."""
+def _messages(block: Block, bits: np.ndarray, hot: Hot, shards: int, order: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """Of each text: words that the model can't know, and the sum of what frequent words and pairs add; for each shard the other
+    words and grams it may know, with texts and counts."""
     t, texts = tokens_of(block, order), len(block.tokens)
     hashed = np.append(t.hashed, NONE)  # stands for what the model can't know
     home = shard_of(hashed, shards)
@@ -371,13 +447,21 @@ def _messages(block: Block, bits: np.ndarray, shards: int, order: int) -> tuple[
     unknown = np.bincount(t.text[~known[word]], minlength=texts)
     edges = np.searchsorted(home, np.arange(shards + 1))
 
-    at = known[word]
+    at_hot = find_tokens(hot.words, hashed)
+    sums = np.bincount(t.text, np.append(hot.values, 0.0)[at_hot][word], texts)
+    at = (known & (at_hot < 0))[word]
     entry, count = np.unique(word[at] * texts + t.text[at], return_counts=True)
     own, first = np.unique(entry // texts, return_index=True)
     alone = (own, np.append(first, entry.size), entry, count)
 
     pair = mix(hashed[before], hashed[word])
     seen = may_hold(bits, pair, home[before]) & known[word]
+    if hot.pairs.size:
+        one, two = at_hot[before], at_hot[word]
+        found = find_tokens(hot.pairs, np.where((one >= 0) & (two >= 0), one * hot.words.size + two, -1))
+        sums += np.bincount(t.text, np.append(hot.adds, 0.0)[found], texts)
+        seen &= found < 0
+        del one, two, found
     context = as_context(np.append(np.uint64(0), pair[:-1]))
     after = may_hold(bits, context, home[before]) & ~t.first & (order > 2)
     at = (seen | after) & known[before]
@@ -399,7 +483,7 @@ def _messages(block: Block, bits: np.ndarray, shards: int, order: int) -> tuple[
         words = (pack_sorted(hashed[alone[0][a:b]]), *_uses(*alone[1:], a, b, texts))
         held, place = np.unique(hashed[np.concatenate([second[c:d], before[c:d], word[c:d]])], return_inverse=True)
         made.append(pack(words, (pack_sorted(held, *place.reshape(3, -1)), *_uses(first, entry, count, c, d, texts)), texts, level=3))
-    return unknown, made
+    return unknown, sums, made
 
 
 def _uses(first: np.ndarray, entry: np.ndarray, count: np.ndarray, a: int, b: int, texts: int) -> tuple:
@@ -412,27 +496,28 @@ def _uses(first: np.ndarray, entry: np.ndarray, count: np.ndarray, a: int, b: in
 def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
     """``id, n_tokens, perplexity`` of each row of ``docs`` (id, text) under the model of ``trusted`` (text)."""
     spark = prepare(docs.sparkSession)
-    shards = SHARDS
     model, orders = fit(trusted.select(F.col(text_col).alias("text")), order)
     bits = spark.sparkContext.broadcast(key_filter(model, order))
+    hot = spark.sparkContext.broadcast(frequent(model, orders))
     id_type = docs.schema["id"].dataType.simpleString()
     # Ids travel as text: pandas makes floats of a column of numbers and nulls, inside structs too.
     texts = docs.select(F.to_json(F.struct("id")).alias("id"), F.col(text_col).alias("text"))
-    salts = -(-texts.rdd.getNumPartitions() // SCAN_TASKS)
+    salts = np.maximum(1, np.ceil(orders.load * texts.rdd.getNumPartitions() * SHARDS / SCAN_TASKS)).astype(int).tolist()
+    shards = len(salts)
 
     unknown = float(np.log10(orders.unknown))
-    models = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    models = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.get(F.lit(salts), F.col("shard")) - 1)))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        columns = ["shard", "salt", "block", "message", "ids", "n_tokens", "unknown"]
+        columns = ["shard", "salt", "block", "message", "ids", "n_tokens", "total"]
         for i, block in enumerate(text_blocks(batches, SCORE_CHARS)):
-            missed, made = _messages(block, bits.value, shards, order)
+            missed, sums, made = _messages(block, bits.value, hot.value, shards, order)
             lengths = [t.size + 1 for t in block.tokens]
-            head = (0, task % salts, task << 32 | i, None, block.ids, lengths, missed.tolist())
-            rows = [(s, task % salts, task << 32 | i, m, None, None, None) for s, m in enumerate(made) if m is not None]
+            head = (0, task % salts[0], task << 32 | i, None, block.ids, lengths, (missed * unknown + sums).tolist())
+            rows = [(s, task % salts[s], task << 32 | i, m, None, None, None) for s, m in enumerate(made) if m is not None]
             yield pd.DataFrame([head, *rows], columns=columns)
         give_back()
 
@@ -454,11 +539,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text", or
             found, place = np.unique(text, return_inverse=True)
             sums = np.bincount(place, np.repeat(np.concatenate([alone, more]), uses) * count, found.size)
             answers.append(pack(narrow(found), sums))
-        return pd.DataFrame({**{c: messages[c] for c in ("block", "ids", "n_tokens", "unknown")}, "answer": answers})
+        return pd.DataFrame({**{c: messages[c] for c in ("block", "ids", "n_tokens", "total")}, "answer": answers})
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf[pdf.ids.notna()].iloc[0]
-        total = np.array(head.unknown, float) * unknown
+        total = np.array(head.total, float)
         for data in pdf.answer:
             if data is not None:
                 found, sums = unpack(data)
@@ -466,11 +551,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text", or
         n = np.array(head.n_tokens)
         return pd.DataFrame({"id": list(head.ids), "n_tokens": n, "perplexity": 10 ** (-total / n)})
 
-    sent = "shard int, salt int, block bigint, message binary, ids array<string>, n_tokens array<bigint>, unknown array<bigint>"
+    sent = "shard int, salt int, block bigint, message binary, ids array<string>, n_tokens array<bigint>, total array<double>"
     answers = (
         texts.mapInPandas(send, sent).groupBy("shard", "salt")
         .cogroup(models.groupBy("shard", "salt"))
-        .applyInPandas(answer, "block bigint, ids array<string>, n_tokens array<bigint>, unknown array<bigint>, answer binary")
+        .applyInPandas(answer, "block bigint, ids array<string>, n_tokens array<bigint>, total array<double>, answer binary")
     )
     rows = answers.groupBy("block").applyInPandas(gather, "id string, n_tokens bigint, perplexity double")
     return rows.select(F.from_json("id", f"id {id_type}")["id"].alias("id"), "n_tokens", "perplexity")
@@ -483,7 +568,6 @@ def quality(
     text_col: str = "text",
     lang_col: str = "lang",
     quantile: float = QUANTILE,
-    train_docs: int = TRAIN_DOCS,
     order: int = ORDER,
 ) -> DataFrame:
     """``id, lang, n_tokens, perplexity, threshold, kept`` for each row of ``docs``.
@@ -492,9 +576,13 @@ def quality(
     """
     spark = prepare(docs.sparkSession)
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
+    learned = good.filter(remainder("id", 5) != 0)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = good.filter(remainder("id", 5) != 0).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(train_docs)
-    trusted = texts.join(F.broadcast(sample), "id", "left_semi")  # at most train_docs ids
+    near = texts
+    if good.schema["id"].dataType == texts.schema["id"].dataType:  # else equal ids may be written differently
+        bit = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+        near = texts.filter(in_filter(stored(bit_filter(learned.select(bit.alias("bit")), ID_BITS), "trusted-filter"), bit))
+    trusted = near.join(learned, "id", "left_semi")
     named = texts.select(F.struct("id", "lang").alias("id"), "text")
     scored = stored(perplexities(named, trusted, order=order).select("id.id", "id.lang", "n_tokens", "perplexity"), "perplexities")
     held = scored.filter(remainder("id", 5) == 0).join(good, "id", "left_semi")

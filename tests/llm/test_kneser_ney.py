@@ -123,3 +123,28 @@ def test_thresholds_by_language_and_without_labels(spark):
     free = quality(docs, labels.limit(0)).collect()
     assert len(free) == len(rows) and all(r.kept and r.threshold is None for r in free)
     assert quality(empty_docs(spark), labels).count() == 0
+
+
+def test_the_model_is_fitted_on_all_trusted_text(spark):
+    """27,000 trusted ids, of which four in five are learned from."""
+    text = F.format_string("w%s of x%s%s", F.col("id") % 90, F.col("id") % 7, F.when(F.col("id") % 11 == 0, F.lit(" rare")).otherwise(F.lit("")))
+    docs = spark.range(27_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    learned = [r.text for r in docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").collect()]
+    assert len(learned) > 20_000
+    some = docs.filter("doc_id < 200").withColumnRenamed("doc_id", "id").collect()
+    got = {r.id: math.log10(r.perplexity) * r.n_tokens for r in quality(docs, labels).filter("id < 200").collect()}
+    slow = Slow(learned, 2)
+    assert all(abs(got[int(i)] - total) < 1e-6 for i, _, total in wanted(slow, some))
+
+
+@pytest.mark.parametrize("words, pairs, partitions", [(0, 0, 8), (16, 40, 200), (1 << 16, 1 << 17, 200)])
+def test_frequent_words_and_more_shards_change_nothing(spark, monkeypatch, words, pairs, partitions):
+    monkeypatch.setattr(kn, "HOT_WORDS", words)
+    monkeypatch.setattr(kn, "HOT_PAIRS", pairs)
+    monkeypatch.setattr(kn, "shuffle_width", lambda _: partitions)
+    monkeypatch.setattr(kn, "MERGE_GRAMS", 50)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("id"), "text").repartition(3)
+    trusted = docs.filter("id % 3 = 0")
+    slow = Slow([r.text for r in trusted.collect()], 2)
+    assert alike(found(perplexities(docs, trusted).collect()), wanted(slow, docs.collect()))
