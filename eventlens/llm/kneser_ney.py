@@ -25,8 +25,8 @@ sent. A shard is copied by its part of the trusted tokens, so that one task answ
 what an even sixteenth of ``SCAN_TASKS`` tasks of the scan would send.
 
 The model is fitted on the whole texts of all trusted rows outside the held-out
-fifth. They are picked out of the scan by a bit filter of fixed size over their ids,
-and exactly by a join of what is left. The number of shards follows
+fifth. They are picked out of the scan by two bit filters of fixed size, and by a
+join of the few rows that these leave in doubt. The number of shards follows
 ``spark.sql.shuffle.partitions``. The driver gets counts of counts, a number for each
 shard, the frequent words and pairs, and the filter, at most ``FILTER_BITS`` bits;
 with more grams than it suits, more are sent in vain and the results are the same.
@@ -400,32 +400,42 @@ def frequent(model: DataFrame, orders: Orders) -> Hot:
     """Each shard's part of ``HOT_WORDS`` words and, in a model of order 2, ``HOT_PAIRS`` pairs, the most frequent it has."""
     words_each = -(-HOT_WORDS // orders.load.size)
 
-    def top(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
-        known, value, shards = orders.model(held)
-        found = np.zeros((0, 2), np.uint64)
-        words, values, adds = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-        for own in shards:  # one, or none
-            size = own.words.size
-            n = np.bincount(own.pair // size, own.n2, size)
-            words = own.words[np.argsort(-n, kind="stable")[: min(words_each, int((n > 0).sum()))]]
-            values = value[np.searchsorted(known, words)]
-            if orders.order < 3:
-                most = np.argsort(-own.n2, kind="stable")[: int(HOT_PAIRS * orders.load[key[0]])]
-                found = own.words[np.stack([own.pair[most] // size, own.pair[most] % size], axis=1)]
-                adds = own.adds2[most]
+    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for shard, data in zip(pdf["shard"], pdf.grams, strict=True):
+                own = Shard(data, orders.order)
+                size = own.words.size
+                before, word = own.pair // size, own.pair % size
+                share, freed, total = smoothed(own.n2, orders.two, before, size, np.zeros(before.size))
+                words = np.argsort(-total, kind="stable")[: min(words_each, int((total > 0).sum()))]
+                most = np.argsort(-own.n2, kind="stable")[: int(HOT_PAIRS * orders.load[shard]) if orders.order < 3 else 0]
+                pairs = own.words[np.stack([before[most], word[most]], axis=1)]
+                yield pd.DataFrame({"hot": [pack(own.words[words], freed[words], pairs, share[most], freed[before[most]])]})
+        give_back()
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for own, count in map(unpack_sorted, pdf.own):
+                at = find_tokens(own, words)
+                yield pd.DataFrame({"hot": [pack(np.flatnonzero(at >= 0), count[at[at >= 0]])]})
         give_back()
-        return pd.DataFrame({"hot": [pack(words, values, found, adds)]})
 
-    rows = model.groupBy("shard").applyInPandas(top, "hot binary").collect()  # the bounded table
-    parts = [unpack(row["hot"]) for row in rows] or [(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 2), np.uint64), np.zeros(0))]
-    words, values, found, adds = (np.concatenate(x) for x in zip(*parts, strict=True))
+    tops = model.filter("grams IS NOT NULL").select("shard", "grams").mapInPandas(top, "hot binary").collect()  # the bounded table
+    parts = [unpack(row["hot"]) for row in tops] or [(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 2), np.uint64), np.zeros(0), np.zeros(0))]
+    words, freed, found, share, freed_before = (np.concatenate(x) for x in zip(*parts, strict=True))
     by_word = np.argsort(words)
-    words, values = words[by_word], values[by_word]
+    words, freed = words[by_word], freed[by_word]
+    p1 = np.ones(words.size)
+    for row in model.filter("own IS NOT NULL").select("own").mapInPandas(alone, "hot binary").collect():
+        at, count = unpack(row["hot"])
+        p1[at] = orders.alone(count)
     first, second = (find_tokens(words, x) for x in found.T)
     held = (first >= 0) & (second >= 0)
-    pairs, adds = (first * words.size + second)[held], adds[held]
+    first, second, share, rest = first[held], second[held], share[held], freed_before[held]
+    pairs = first * words.size + second
     by_pair = np.argsort(pairs)
-    return Hot(words, values, pairs[by_pair], adds[by_pair])
+    rest = rest * p1[second]
+    return Hot(words, np.log10(p1 * freed), pairs[by_pair], np.log10((share + rest) / rest)[by_pair])
 
 
 NONE = np.uint64(1)
@@ -561,6 +571,18 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text", or
     return rows.select(F.from_json("id", f"id {id_type}")["id"].alias("id"), "n_tokens", "perplexity")
 
 
+def rows_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is among the distinct ``ids``; texts are shuffled where two filters of fixed size leave doubt."""
+    if ids.schema["id"].dataType != texts.schema["id"].dataType:  # equal ids may have unlike hashes
+        return texts.join(ids, "id", "left_semi")
+    first, second = (F.pmod(F.xxhash64("id", F.lit(i)), F.lit(ID_BITS)) for i in (0, 1))
+    near = in_filter(stored(bit_filter(ids.select(first.alias("bit")), ID_BITS), "id-filter"), first)
+    # What passes without being an id sets the second filter: what passes the first and not that one is an id.
+    false = texts.filter(near).select("id").join(ids, "id", "left_anti")
+    doubt = in_filter(stored(bit_filter(false.select(second.alias("bit")), ID_BITS), "id-doubts"), second)
+    return texts.filter(near & ~doubt).unionByName(texts.filter(near & doubt).join(ids, "id", "left_semi").select(*texts.columns))
+
+
 def quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -578,11 +600,7 @@ def quality(
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
     learned = good.filter(remainder("id", 5) != 0)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    near = texts
-    if good.schema["id"].dataType == texts.schema["id"].dataType:  # else equal ids may be written differently
-        bit = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
-        near = texts.filter(in_filter(stored(bit_filter(learned.select(bit.alias("bit")), ID_BITS), "trusted-filter"), bit))
-    trusted = near.join(learned, "id", "left_semi")
+    trusted = rows_of(texts, learned)
     named = texts.select(F.struct("id", "lang").alias("id"), "text")
     scored = stored(perplexities(named, trusted, order=order).select("id.id", "id.lang", "n_tokens", "perplexity"), "perplexities")
     held = scored.filter(remainder("id", 5) == 0).join(good, "id", "left_semi")

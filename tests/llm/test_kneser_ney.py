@@ -148,3 +148,16 @@ def test_frequent_words_and_more_shards_change_nothing(spark, monkeypatch, words
     trusted = docs.filter("id % 3 = 0")
     slow = Slow([r.text for r in trusted.collect()], 2)
     assert alike(found(perplexities(docs, trusted).collect()), wanted(slow, docs.collect()))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 12])
+def test_rows_of_ids_are_exact_whatever_the_filters_hold(spark, monkeypatch, bits):
+    monkeypatch.setattr(kn, "ID_BITS", bits)
+    rows = [(i % 300, f"t{i}") for i in range(700)] + [(None, "none")]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    for step in (7, 2, 1000):
+        ids = spark.range(0, 900, step)
+        got = sorted(r.text for r in kn.rows_of(texts, ids).collect())
+        assert got == sorted(t for i, t in rows if i is not None and i % step == 0)
+    narrow = spark.range(0, 900, 7).select(F.col("id").cast("int").alias("id"))
+    assert kn.rows_of(texts, narrow).count() == sum(i is not None and i % 7 == 0 for i, _ in rows)
