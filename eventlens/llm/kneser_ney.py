@@ -22,7 +22,7 @@ filter of the model's keys (hashes of 64 bits) is clear are left out. Words and
 pairs that trusted text has most often, at most ``HOT_WORDS`` and ``HOT_PAIRS``, are
 looked up where the text is, in a table that goes to all tasks; all others are
 sent. A shard is copied by its part of the trusted tokens, so that one task answers
-what an even sixteenth of ``SCAN_TASKS`` tasks of the scan would send.
+what an even sixteenth of ``SCAN_TASKS`` tasks of the scan would send, and at most ``UNEVEN`` of that more.
 
 The model is fitted on the whole texts of all trusted rows outside the held-out
 fifth. They are picked out of the scan by two bit filters of fixed size, and by a
@@ -68,10 +68,14 @@ BITS_A_GRAM, FILTER_BITS = 32, 1 << 28
 SCORE_CHARS = 14_000_000
 #: Least shards of the model, and pages of its filter; tasks of the scan that a sixteenth of the messages may be from.
 SHARDS, SCAN_TASKS = 16, 32
+#: Part by which a task's share of them may be larger before its shard is copied once more.
+UNEVEN = 0.25
 #: Shuffle partitions for each shard of the model.
 SHARD_PARTITIONS = 4
 #: Words and pairs looked up where the text is.
 HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 17
+#: Tokens whose keys are looked up at a time where the text is.
+LOOKED_UP = 1 << 18
 #: Grams of one shard that are merged at a time.
 MERGE_GRAMS = 4_000_000
 BOUNDARY = np.uint64(0)
@@ -121,6 +125,27 @@ def unpack_sorted(data: bytes) -> tuple:
     return np.cumsum(steps, dtype=np.uint64), *arrays
 
 
+def runs(before: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Whether a gram, in order, is the first with its context."""
+    first = np.ones(before.size, bool)
+    first[1:] = (before[1:] != before[:-1]) | (second[1:] != second[:-1])
+    return first
+
+
+def pack_grams(words: np.ndarray, second: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarray) -> bytes:
+    """Rising words, and merged grams of their numbers with counts: middle words, and last words after one context, as steps."""
+    steps = np.where(runs(before, second), word, np.diff(word, prepend=0))
+    return pack_sorted(words, second, np.diff(before, prepend=0), steps, n)
+
+
+def unpack_grams(data: bytes) -> tuple:
+    words, second, before, steps, n = unpack_sorted(data)
+    before, word = np.cumsum(before, dtype=np.int64), np.cumsum(steps, dtype=np.int64)
+    at = np.flatnonzero(runs(before, second))
+    word -= np.repeat(word[at] - steps[at].astype(np.int64), np.diff(np.append(at, word.size)))
+    return words, second, before, word, n
+
+
 @dataclass
 class Tokens:
     """A block's tokens in order: numbers of a word, of the two before it, and of its text."""
@@ -138,20 +163,20 @@ def tokens_of(block: Block, order: int) -> Tokens:
     lengths = np.array([t.size for t in block.tokens], np.int64)
     ends = np.cumsum(lengths + 1) - 1
     edge = hashed.size - 1
-    word = np.full(int(lengths.sum()) + lengths.size, edge, np.int64)
+    word = np.full(int(lengths.sum()) + lengths.size, edge, np.int32)
     inner = np.ones(word.size, bool)
     inner[ends] = False
     word[inner] = np.concatenate([*block.tokens, np.zeros(0, np.int32)])
     first = np.zeros(word.size, bool)
     first[ends - lengths] = True
-    before = np.append(edge, word[:-1])  # a text's last token is the boundary, so the next one starts after it
-    second = np.where(first | (order < 3), edge, np.append(edge, before[:-1]))
-    return Tokens(hashed, word, before, second, first, np.repeat(np.arange(lengths.size), lengths + 1))
+    before = np.append(np.int32(edge), word[:-1])  # a text's last token is the boundary, so the next one starts after it
+    second = np.where(first | (order < 3), np.int32(edge), np.append(np.int32(edge), before[:-1]))
+    return Tokens(hashed, word, before, second, first, np.repeat(np.arange(lengths.size, dtype=np.int32), lengths + 1))
 
 
 def merged(second: np.ndarray, before: np.ndarray, word: np.ndarray, size: int, n: np.ndarray | None = None) -> tuple:
     """Distinct grams of three as numbers below ``size``, by the middle word, and how often each occurs."""
-    context, context_of = np.unique(before * size + second, return_inverse=True)
+    context, context_of = np.unique(before.astype(np.int64) * size + second, return_inverse=True)
     gram, gram_of = np.unique(context_of * size + word, return_inverse=True)
     own = context[gram // size]
     return own % size, own // size, gram % size, np.bincount(gram_of, n, gram.size).astype(np.int64)
@@ -165,8 +190,8 @@ class Shard:
     """
 
     def __init__(self, data: bytes, order: int):
-        self.words, self.second, self.before, self.word, self.n = unpack_sorted(data)
-        self.second, self.before, self.word = (x.astype(np.int64) for x in (self.second, self.before, self.word))
+        self.words, second, self.before, self.word, self.n = unpack_grams(data)
+        self.second = second.astype(np.int64)
         size = self.words.size
         start = (self.words[self.before] == BOUNDARY) | (order < 3)
         self.pair, self.pair_of = np.unique(self.before * size + self.word, return_inverse=True)
@@ -278,14 +303,14 @@ def fit(trusted: DataFrame, order: int = ORDER) -> tuple[DataFrame, Orders]:
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         held, parts, size = b"", [], 0
         for i, data in enumerate(pdf.grams, 1):
-            words, second, before, word, n = unpack_sorted(data)
-            parts.append((words[second], words[before], words[word], n))
-            size += n.size
+            parts.append(unpack_grams(data))
+            size += parts[-1][-1].size
             if size >= MERGE_GRAMS or i == len(pdf):
-                held = _held(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                held = _joined(parts)
+                parts, size = [], 0
                 if i < len(pdf):
-                    words, second, before, word, n = unpack_sorted(held)
-                    parts, size = [(words[second], words[before], words[word], n)], 0
+                    parts = [unpack_grams(held)]
+                    size = parts[0][-1].size
         own = Shard(held, order)
         rows = pd.DataFrame({"shard": [key[0]], "grams": [held], "stats": [own.stats()], "tokens": [int(own.n.sum())]})
         del own, parts
@@ -335,7 +360,18 @@ def _held(second: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarra
     """Grams of hashes with their counts, merged and packed."""
     words, number = np.unique(np.concatenate([second, before, word]), return_inverse=True)
     *own, n = merged(*number.reshape(3, -1), words.size, n)
-    return pack_sorted(words, *own, n)
+    return pack_grams(words, *own, n)
+
+
+def _joined(parts: list[tuple]) -> bytes:
+    """Unpacked grams of several parts, merged and packed."""
+    words = np.unique(np.concatenate([own for own, *_ in parts]))
+    place = [np.searchsorted(words, own).astype(np.int32) for own, *_ in parts]
+    grams = [np.concatenate([of[part[k]] for of, part in zip(place, parts, strict=True)]) for k in (1, 2, 3)]
+    n = np.concatenate([part[4] for part in parts])
+    parts.clear()  # their memory is needed
+    *own, n = merged(*grams, words.size, n)
+    return pack_grams(words, *own, n)
 
 
 def key_filter(model: DataFrame, order: int) -> np.ndarray:
@@ -442,40 +478,48 @@ NONE = np.uint64(1)
 
 
 def _messages(block: Block, bits: np.ndarray, hot: Hot, shards: int, order: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
-    """Of each text: words that the model can't know, and the sum of what frequent words and pairs add; for each shard the other
+    """Of each text of the block, whose words go: words that the model can't know, and the sum of what frequent words and pairs add; for each shard the other
     words and grams it may know, with texts and counts."""
     t, texts = tokens_of(block, order), len(block.tokens)
+    block.number, block.tokens = {}, []  # their memory is needed
     hashed = np.append(t.hashed, NONE)  # stands for what the model can't know
     home = shard_of(hashed, shards)
     by_shard = np.lexsort((hashed, home))
     hashed, home = hashed[by_shard], home[by_shard]
     size = hashed.size
-    number = np.empty(size, np.int64)
-    number[by_shard] = np.arange(size)
+    number = np.empty(size, np.int32)
+    number[by_shard] = np.arange(size, dtype=np.int32)
     none, known = number[-1], may_hold(bits, hashed, home)
-    word, before, second = number[t.word], number[t.before], number[t.second]
-    unknown = np.bincount(t.text[~known[word]], minlength=texts)
+    word, before, second, text, inner = number[t.word], number[t.before], number[t.second], t.text, ~t.first
+    del t
+    unknown = np.bincount(text[~known[word]], minlength=texts)
     edges = np.searchsorted(home, np.arange(shards + 1))
 
     at_hot = find_tokens(hot.words, hashed)
-    sums = np.bincount(t.text, np.append(hot.values, 0.0)[at_hot][word], texts)
+    sums = np.bincount(text, np.append(hot.values, 0.0)[at_hot][word], texts)
     at = (known & (at_hot < 0))[word]
-    entry, count = np.unique(word[at] * texts + t.text[at], return_counts=True)
+    entry, count = np.unique(word[at].astype(np.int64) * texts + text[at], return_counts=True)
     own, first = np.unique(entry // texts, return_index=True)
     alone = (own, np.append(first, entry.size), entry, count)
 
-    pair = mix(hashed[before], hashed[word])
-    seen = may_hold(bits, pair, home[before]) & known[word]
+    seen, after = np.zeros(word.size, bool), np.zeros(word.size, bool)
+    found = np.full(word.size, -1, np.int32)  # place among the frequent pairs
+    for start in range(0, word.size, LOOKED_UP):  # the keys of few tokens are held at a time
+        some = slice(start, start + LOOKED_UP)
+        w, b = word[some], before[some]
+        seen[some] = may_hold(bits, mix(hashed[b], hashed[w]), home[b]) & known[w]
+        if hot.pairs.size:
+            one, two = at_hot[b], at_hot[w]
+            found[some] = find_tokens(hot.pairs, np.where((one >= 0) & (two >= 0), one * hot.words.size + two, -1))
+        if order > 2:
+            after[some] = may_hold(bits, as_context(mix(hashed[second[some]], hashed[b])), home[b]) & inner[some]
     if hot.pairs.size:
-        one, two = at_hot[before], at_hot[word]
-        found = find_tokens(hot.pairs, np.where((one >= 0) & (two >= 0), one * hot.words.size + two, -1))
-        sums += np.bincount(t.text, np.append(hot.adds, 0.0)[found], texts)
+        sums += np.bincount(text, np.append(hot.adds, 0.0)[found], texts)
         seen &= found < 0
-        del one, two, found
-    context = as_context(np.append(np.uint64(0), pair[:-1]))
-    after = may_hold(bits, context, home[before]) & ~t.first & (order > 2)
-    at = (seen | after) & known[before]
-    word, second, before, text = np.where(seen, word, none)[at], np.where(after, second, none)[at], before[at], t.text[at]
+    at = np.flatnonzero((seen | after) & known[before])
+    word, second = np.where(seen[at], word[at], none).astype(np.int64), np.where(after[at], second[at], none)
+    before, text = before[at].astype(np.int64), text[at]
+    del seen, after, found, inner, at
     two, two_of = np.unique(before * size + second, return_inverse=True)
     three, three_of = np.unique(two_of * size + word, return_inverse=True)
     entry, count = np.unique(three_of * texts + text, return_counts=True)
@@ -507,12 +551,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text", or
     """``id, n_tokens, perplexity`` of each row of ``docs`` (id, text) under the model of ``trusted`` (text)."""
     spark = prepare(docs.sparkSession)
     model, orders = fit(trusted.select(F.col(text_col).alias("text")), order)
-    bits = spark.sparkContext.broadcast(key_filter(model, order))
+    bits = spark.sparkContext.broadcast(pack(key_filter(model, order)))  # executors keep it on disk too
     hot = spark.sparkContext.broadcast(frequent(model, orders))
     id_type = docs.schema["id"].dataType.simpleString()
     # Ids travel as text: pandas makes floats of a column of numbers and nulls, inside structs too.
     texts = docs.select(F.to_json(F.struct("id")).alias("id"), F.col(text_col).alias("text"))
-    salts = np.maximum(1, np.ceil(orders.load * texts.rdd.getNumPartitions() * SHARDS / SCAN_TASKS)).astype(int).tolist()
+    salts = np.maximum(1, np.ceil(orders.load * texts.rdd.getNumPartitions() * SHARDS / SCAN_TASKS - UNEVEN)).astype(int).tolist()
     shards = len(salts)
 
     unknown = float(np.log10(orders.unknown))
@@ -523,9 +567,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text", or
 
         task = TaskContext.get().partitionId()
         columns = ["shard", "salt", "block", "message", "ids", "n_tokens", "total"]
+        (own_bits,) = unpack(bits.value)
         for i, block in enumerate(text_blocks(batches, SCORE_CHARS)):
-            missed, sums, made = _messages(block, bits.value, hot.value, shards, order)
             lengths = [t.size + 1 for t in block.tokens]
+            missed, sums, made = _messages(block, own_bits, hot.value, shards, order)
+            give_back()
             head = (0, task % salts[0], task << 32 | i, None, block.ids, lengths, (missed * unknown + sums).tolist())
             rows = [(s, task % salts[s], task << 32 | i, m, None, None, None) for s, m in enumerate(made) if m is not None]
             yield pd.DataFrame([head, *rows], columns=columns)
@@ -549,6 +595,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text", or
             found, place = np.unique(text, return_inverse=True)
             sums = np.bincount(place, np.repeat(np.concatenate([alone, more]), uses) * count, found.size)
             answers.append(pack(narrow(found), sums))
+        del known, value, grams
+        give_back()
         return pd.DataFrame({**{c: messages[c] for c in ("block", "ids", "n_tokens", "total")}, "answer": answers})
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

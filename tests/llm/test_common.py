@@ -1,6 +1,7 @@
 import os
+import time
 
-from eventlens.llm.common import clear_scratch, discard, numbered, only, stored
+from eventlens.llm.common import CLEANUP, clear_scratch, discard, numbered, only, stored
 
 
 def folder(df):
@@ -22,3 +23,17 @@ def test_numbered_takes_a_free_name(spark):
     kept = rows.limit(2).select(name)
     left = only(rows, name, kept)
     assert left.columns == ["row", "ROW_"] and left.count() == 2
+
+
+def test_shuffle_files_of_a_stored_frame_are_deleted(spark):
+    """At once, not when the driver next collects garbage."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum("shuffle_" in name for name in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())))
+    before = files()
+    kept = stored(spark.range(1000).repartition(5, "id"), "shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and kept.count() == 1000
+    assert spark.conf.get(CLEANUP, "false") == "false"

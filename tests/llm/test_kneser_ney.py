@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm import kneser_ney as kn
 from eventlens.llm.kneser_ney import discounts, perplexities, quality
+from eventlens.llm.shards import Block
 from tests.llm.data import SMALL, empty_docs, odd_docs
 
 
@@ -161,3 +163,43 @@ def test_rows_of_ids_are_exact_whatever_the_filters_hold(spark, monkeypatch, bit
         assert got == sorted(t for i, t in rows if i is not None and i % step == 0)
     narrow = spark.range(0, 900, 7).select(F.col("id").cast("int").alias("id"))
     assert kn.rows_of(texts, narrow).count() == sum(i is not None and i % 7 == 0 for i, _ in rows)
+
+
+def test_a_block_and_a_merge_hold_few_numbers_a_token():
+    """Bytes a token beyond what goes in, at the peak of making messages and of merging grams."""
+    rng = np.random.default_rng(0)
+    block = Block()
+    for i in range(400):
+        block.add(str(i), " ".join(f"w{x}" for x in rng.zipf(1.3, 1000) % 20_000))
+    tokens = 400 * 1001
+    t = kn.tokens_of(block, 2)
+    grams = kn.merged(t.second, t.before, t.word, t.hashed.size)
+    parts = [kn.unpack_grams(kn._held(*(t.hashed[x] for x in grams[:3]), grams[3]))] * 4
+    whole = parts[0][-1].size * len(parts)
+    hot = kn.Hot(np.sort(t.hashed)[::9], np.zeros(t.hashed[::9].size), np.arange(3), np.zeros(3))
+    del t, grams
+    filled = np.full((16, 1 << 10), 0x55, np.uint8)
+
+    def peak(make) -> int:
+        tracemalloc.start()
+        before = tracemalloc.get_traced_memory()[0]
+        make()
+        most = tracemalloc.get_traced_memory()[1] - before
+        tracemalloc.stop()
+        return most
+
+    assert peak(lambda: kn._messages(block, filled, hot, 16, 2)) < 80 * tokens
+    assert peak(lambda: kn._joined(parts)) < 110 * whole
+
+
+@pytest.mark.parametrize("size", [0, 1, 5000])
+def test_packed_grams_come_back(size):
+    rng = np.random.default_rng(size)
+    words = np.unique(rng.integers(0, 1 << 47, 300, np.uint64) * np.uint64(2))
+    second, before, word = rng.integers(0, words.size, (3, size))
+    grams = kn.merged(second, before, word, words.size)
+    own, *back = kn.unpack_grams(kn.pack_grams(words, *grams))
+    assert (own == words).all() and all((a == b).all() for a, b in zip(back, grams, strict=True))
+    halves = [(words, *kn.merged(second[k::2], before[k::2], word[k::2], words.size)) for k in (0, 1)]
+    used, *joined = kn.unpack_grams(kn._joined(halves))
+    assert (used == words).all() and all((a == b).all() for a, b in zip(joined, grams, strict=True))
